@@ -47,12 +47,7 @@ def carry_forward(df: DataFrame, keys: list[str], order: str, value: str) -> Dat
     """Replace NULLs of ``value`` by the last value before them, by whole-number order."""
     df = df.withColumn("_b", F.floor(F.col(order) / F.lit(BLOCK)))
     group = [*keys, "_b"]
-    last = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*group)
-        .agg(F.max_by(value, order).alias("_last"))
-    )
-    blocks = df.select(*group).distinct().join(last, group, "left")
+    blocks = df.groupBy(*group).agg(F.expr(f"max_by({value}, {order}) FILTER (WHERE {value} IS NOT NULL)").alias("_last"))
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     start = blocks.select(*group, F.last("_last", ignorenulls=True).over(before).alias("_start"))
     within = W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
@@ -64,27 +59,28 @@ def carry_forward(df: DataFrame, keys: list[str], order: str, value: str) -> Dat
     )
 
 
-def number_rows(df: DataFrame, group: list[str], seq: str, out: str) -> DataFrame:
-    """Number rows 0, 1, 2... in (``group``, ``seq``) order without moving them.
+def number_rows(df: DataFrame, files: DataFrame | None, out: str) -> DataFrame:
+    """Number rows 0, 1, 2... in reading order without moving them.
 
-    ``group`` orders the pieces of the input (file number, offset of the split) and
-    ``seq`` the rows inside one piece.  ``seq`` must be consecutive within a piece, as
-    ``monotonically_increasing_id`` after the last filter is.  Only one row per piece
-    is shuffled; the rows themselves get their number by a join with that small table.
+    ``df`` has ``part`` (file name) and ``block`` (offset of the input split), straight
+    from a scan and filters.  ``files`` (``part, file``) gives the order of the files and
+    is carried along as the column ``file``; without it names give the order and ``file``
+    is 0.  Only one row per input split is aggregated and shuffled; the rows get their
+    number from that small table.
     """
-    pieces = df.groupBy(*group).agg(F.count("*").alias("_n"), F.min(seq).alias("_first"))
-    first, *rest = group
-    per_file = pieces.groupBy(first).agg(F.sum("_n").alias("_file_rows"))
-    file_before = W.orderBy(first).rowsBetween(W.unboundedPreceding, -1)
-    files = per_file.select(first, F.coalesce(F.sum("_file_rows").over(file_before), F.lit(0)).alias("_file_off"))
-    if rest:
-        before = W.partitionBy(first).orderBy(*rest).rowsBetween(W.unboundedPreceding, -1)
-        pieces = pieces.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    df = df.withColumn("_seq", F.monotonically_increasing_id())
+    pieces = df.groupBy("part", "block").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
+    if files is None:
+        pieces = pieces.withColumn("file", F.lit(0))
     else:
-        pieces = pieces.withColumn("_off", F.lit(0))
-    table = pieces.join(files, first).select(*group, "_first", (F.col("_off") + F.col("_file_off")).alias("_base"))
-    return (
-        df.join(table, group)
-        .withColumn(out, F.col(seq) - F.col("_first") + F.col("_base"))
-        .drop("_first", "_base")
+        unknown = F.raise_error(F.concat(F.lit("file not in the list of inputs: "), F.col("part"))).cast("int")
+        pieces = pieces.join(files, "part", "left").withColumn("file", F.coalesce("file", unknown))
+    whole = pieces.groupBy("file").agg(F.sum("_n").alias("_rows"))
+    files_before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
+    whole = whole.select("file", F.coalesce(F.sum("_rows").over(files_before), F.lit(0)).alias("_file_base"))
+    before = W.partitionBy("file").orderBy("part", "block").rowsBetween(W.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    table = pieces.join(whole, "file").select(
+        "part", "block", "file", (F.col("_base") + F.col("_file_base") - F.col("_first")).alias("_base")
     )
+    return df.join(table, ["part", "block"]).withColumn(out, F.col("_seq") + F.col("_base")).drop("_seq", "_base")

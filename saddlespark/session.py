@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "saddlespark", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,3 +43,12 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="saddlespark-")
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a result that several later steps read to the shared folder, and read it back.
+
+    Lineage ends there, so a lost executor costs a re-read and not a re-computation.
+    """
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
