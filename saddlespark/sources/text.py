@@ -77,18 +77,36 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> Lines:
     return Lines(df, files, tuple(f for f, k in table if k == 0))
 
 
+def is_data() -> Column:
+    """Neither a blank line nor a ``#`` line, once the fields are in column ``f``."""
+    return (F.size("f") > 0) & ~F.get("f", F.lit(0)).startswith("#")
+
+
 def data_fields(lines: DataFrame, separator: str | None = None) -> DataFrame:
     """Add the fields of each line as ``f``; blank lines and ``#`` lines are dropped."""
     f = fields(F.col("value"), separator) if separator else fields(F.col("value"))
-    return lines.withColumn("f", f).filter((F.size("f") > 0) & ~F.get("f", F.lit(0)).startswith("#"))
+    return lines.withColumn("f", f).filter(is_data())
+
 
+def must(x: Column, problem: str, where: Column | None = None) -> Column:
+    """``x``, or an error naming the line where it is NULL.
+
+    The optimizer may evaluate an expression before the filter that drops comment lines,
+    so the error itself is limited to lines that hold data (and meet ``where``).
+    """
+    guard = is_data() if where is None else is_data() & where
+    return F.coalesce(x, F.when(guard, F.raise_error(F.concat(F.lit(problem + ": "), F.col("value")))))
 
-def number_at(pos: int, mode: str = STRICT) -> Column:
-    """Field ``pos`` as a double; a bad one raises, or is NULL in permissive mode."""
+
+def number_at(pos: int, mode: str = STRICT, where: Column | None = None, shape: Column | None = None) -> Column:
+    """Field ``pos`` as a double; a bad one raises, or is NULL in permissive mode.
+
+    A line that does not meet ``shape`` has no good numbers.
+    """
     x = F.get("f", F.lit(pos)).try_cast("double")
-    if mode == PERMISSIVE:
-        return x
-    return F.coalesce(x, F.raise_error(F.concat(F.lit(f"field {pos} is not a number: "), F.col("value"))).cast("double"))
+    if shape is not None:
+        x = F.when(shape, x)
+    return x if mode == PERMISSIVE else must(x, f"field {pos} is not a number in its place", where).cast("double")
 
 
 # ---- trajectories and hills ------------------------------------------------------
@@ -107,19 +125,14 @@ def parse_hills(lines: DataFrame, ndim: int, mode: str = STRICT) -> DataFrame:
     """``step, c0.., s0.., height`` from lines of exactly 2N+2 fields."""
     df = data_fields(lines)
     width = 2 * ndim + 2
-    if mode == PERMISSIVE:
-        df = df.filter(F.size("f") == width)
-    else:
-        ok = F.size("f") == width
-        bad = F.raise_error(F.concat(F.lit(f"a hill needs {width} fields: "), F.col("value")))
-        df = df.withColumn("f", F.when(ok, F.col("f")).otherwise(bad.cast("array<string>")))
-    step = F.get("f", F.lit(0)).try_cast("long")
+    fits = F.size("f") == width
+    step = F.when(fits, F.get("f", F.lit(0)).try_cast("long"))
     if mode != PERMISSIVE:
-        step = F.coalesce(step, F.raise_error(F.concat(F.lit("bad step: "), F.col("value"))).cast("long"))
+        step = must(step, f"a hill needs a step and {width - 1} numbers").cast("long")
     cols = {"step": step}
-    cols |= {f"c{k}": number_at(1 + k, mode) for k in range(ndim)}
-    cols |= {f"s{k}": number_at(1 + ndim + k, mode) for k in range(ndim)}
-    cols["height"] = number_at(1 + 2 * ndim, mode)
+    cols |= {f"c{k}": number_at(1 + k, mode, shape=fits) for k in range(ndim)}
+    cols |= {f"s{k}": number_at(1 + ndim + k, mode, shape=fits) for k in range(ndim)}
+    cols["height"] = number_at(1 + 2 * ndim, mode, shape=fits)
     df = df.withColumns(cols)
     return df.dropna(subset=list(cols)) if mode == PERMISSIVE else df
 
@@ -167,14 +180,14 @@ def _grid_rows(lines: Lines, spec: GridSpec, nvalues: int, other_shapes: str) ->
     fits = F.size("f") == n + nvalues
     if other_shapes == "skip":
         rows = rows.filter(fits)
+        fits_or_all = fits
     else:
-        bad = F.raise_error(F.concat(F.lit(f"a row needs {n + nvalues} fields: "), F.col("value")))
-        rows = rows.withColumn("f", F.when(fits, F.col("f")).otherwise(bad.cast("array<string>")))
-    addr = spec.address([number_at(k) for k in range(n)])
-    outside = F.raise_error(F.concat(F.lit("a row lies outside the grid: "), F.col("value")))
-    values = F.struct(*[number_at(n + k).alias(f"v{k}") for k in range(nvalues)])
+        fits_or_all = F.lit(True)
+    here = F.when(fits, spec.address([F.get("f", F.lit(k)).try_cast("double") for k in range(n)]))
+    addr = must(here, f"a row needs {n + nvalues} numbers and a place on the grid", fits_or_all).cast("long")
+    values = F.struct(*[number_at(n + k, where=fits_or_all).alias(f"v{k}") for k in range(nvalues)])
     rows = rows.select(
-        F.coalesce(addr, outside.cast("long")).alias("addr"),
+        addr.alias("addr"),
         values.alias("v"),
         F.struct("part", "block", F.monotonically_increasing_id().alias("s")).alias("place"),
     )
@@ -216,8 +229,8 @@ def read_history(spark: SparkSession, paths: str | list[str]) -> tuple[GridSpec,
         df = df.withColumn("f", f).filter(F.size("f") > 0).withColumn("sep", comment & (F.size("f") == 2))
         df = df.filter(F.col("sep") | (~comment & (F.size("f") == n + 1)))
         addr = spec.address([num(k) for k in range(n)])
-        outside = F.raise_error(F.concat(F.lit("a row lies outside the grid: "), F.col("value"))).cast("long")
-        cell = F.when(~F.col("sep"), F.struct(F.coalesce(addr, outside).alias("addr"), num(n).alias("v")))
+        addr = must(addr, "a row lies outside the grid", F.size("f") == n + 1).cast("long")
+        cell = F.when(~F.col("sep"), F.struct(addr.alias("addr"), num(n).alias("v")))
         return df.select("part", "block", "sep", cell.alias("cell"))
 
     # several steps below read these rows, so the text is parsed once
@@ -244,5 +257,6 @@ def read_history(spark: SparkSession, paths: str | list[str]) -> tuple[GridSpec,
 def read_path(spark: SparkSession, path: str, ndim: int) -> DataFrame:
     """Positions of a path file, with or without the value column our own paths carry."""
     lines = read_lines(spark, path)
-    rows = lines.map(lambda d: data_fields(d, WHITESPACE).filter(F.size("f").isin(ndim, ndim + 1)))
-    return rows.numbered().select("row", *[number_at(k).alias(f"x{k}") for k in range(ndim)])
+    fits = F.size("f").isin(ndim, ndim + 1)
+    rows = lines.map(lambda d: data_fields(d, WHITESPACE).filter(fits))
+    return rows.numbered().select("row", *[number_at(k, where=fits).alias(f"x{k}") for k in range(ndim)])
