@@ -796,7 +796,7 @@ def oracle_sql() -> dict[str, str]:
     user = "(user_id * 11.0e0 - 700.0e0)"
     price = s_reweight(GridSpec.of(PRICE), ["l_extendedprice"])
     price_tax = s_reweight(GridSpec.of(PRICE, TAX), ["l_extendedprice", "l_tax"])
-    parts = "list_filter(regexp_split_to_array(text, '[(),\\s]+'), s -> s <> '')"
+    parts = "list_filter(regexp_split_to_array(text, '[(),\\s]+'), lambda s: s <> '')"
     sums = s_hist("lineitem", LI[:2], GRID_2D, "sum(l_extendedprice)")
     hills_1d = s_hills(one_d, [("c0", "s0")])
     return {
@@ -852,7 +852,7 @@ def oracle_sql() -> dict[str, str]:
         "shortest_sum": s_shortest(),
         "traj_text_parse": f"SELECT addr, {r('value', 2)} AS value FROM {sums}",
         "number_list_parse": f"SELECT doc_id, CAST(len({parts}) AS BIGINT) AS pieces, "
-        f"{r(f'list_sum(list_transform({parts}, s -> CASE WHEN abs(coalesce(try_cast(s AS DOUBLE), 0e0)) < 1e9 THEN coalesce(try_cast(s AS DOUBLE), 0e0) ELSE 0e0 END))', 3)} AS total FROM documents",
+        f"{r(f'list_sum(list_transform({parts}, lambda s: CASE WHEN abs(coalesce(try_cast(s AS DOUBLE), 0e0)) < 1e9 THEN coalesce(try_cast(s AS DOUBLE), 0e0) ELSE 0e0 END))', 3)} AS total FROM documents",
         "hills_text": hills_1d,
         "grid_text_round_trip": s_table(s_count(GRID_CYC), GRID_CYC),
         "vector_grid_text": f"SELECT addr, {r('g0')} AS v0, {r('g1')} AS v1 FROM {s_field(GRID_CYC)}",

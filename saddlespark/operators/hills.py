@@ -9,6 +9,7 @@ carries at most (tasks x bins) rows however many hills there are.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,21 +23,27 @@ from .ordered import running_sum
 EXPONENT_CUTOFF = 100.0
 
 
+def _covers_period(axis: Axis) -> bool:
+    return axis.real_periodic and abs(axis.bins * axis.width - axis.period) <= 1e-9 * axis.period
+
+
 def _touched(axis: Axis, center: Column, sigma: Column) -> Column:
-    """Bin numbers along one axis within reach of a hill (a superset by a bin or so)."""
+    """Bins along one axis within reach of a hill (a superset by a bin or so).
+
+    ``center`` is wrapped already.  On an axis that covers its period the numbers run
+    beyond the ends and are to be taken modulo the number of bins.
+    """
     n, w = axis.bins, axis.width
-    every = F.sequence(F.lit(0), F.lit(n - 1))
-    reach = F.abs(sigma) * F.lit(math.sqrt(2.0 * EXPONENT_CUTOFF))
-    c = axis.wrap(center)
-    first = F.floor((c - reach - F.lit(axis.lower)) / F.lit(w)) - 1
-    last = F.floor((c + reach - F.lit(axis.lower)) / F.lit(w)) + 1
-    if not axis.periodic:
-        first, last = F.greatest(first, F.lit(0)), F.least(last, F.lit(n - 1))
-        return F.when(first <= last, F.sequence(first.cast("int"), last.cast("int")))
-    if not axis.real_periodic or abs(axis.bins * w - axis.period) > 1e-9 * axis.period:
+    every = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    if axis.periodic and not _covers_period(axis):
         return every  # only part of the period is on the grid: the distance decides
-    near = F.transform(F.sequence(first, F.greatest(first, last)), lambda i: F.pmod(i, F.lit(n)).cast("int"))
-    return F.when(last - first + 1 >= n, every).otherwise(near)
+    reach = F.abs(sigma) * F.lit(math.sqrt(2.0 * EXPONENT_CUTOFF))
+    first = F.floor((center - reach - F.lit(axis.lower)) / F.lit(w)) - 1
+    last = F.floor((center + reach - F.lit(axis.lower)) / F.lit(w)) + 1
+    if axis.periodic:
+        return F.when(last - first + 1 >= n, every).otherwise(F.sequence(first, F.greatest(first, last)))
+    first, last = F.greatest(first, F.lit(0)), F.least(last, F.lit(n - 1))
+    return F.when(first <= last, F.sequence(first, F.greatest(first, last)))
 
 
 def hill_terms(hills: DataFrame, spec: GridSpec, keep: list[str]) -> DataFrame:
@@ -44,21 +51,34 @@ def hill_terms(hills: DataFrame, spec: GridSpec, keep: list[str]) -> DataFrame:
 
     ``hills`` has columns ``c0.., s0.., height``.
     """
-    df = hills.withColumn("_exp", F.lit(0.0))
-    dists: list[Column] = []
+    spark, n = hills.sparkSession, spec.ndim
+    # A few bytes of a hill turn into many rows here, so input splits are no measure of
+    # the work: hills are dealt out evenly first.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    ready = [a.wrap(F.col(f"c{k}")).alias(f"c{k}") for k, a in enumerate(spec.axes)]
+    df = hills.select(*keep, "height", *ready, *[f"s{k}" for k in range(n)]).repartition(tasks)
     for k, axis in enumerate(spec.axes):
-        c, s, i, d = F.col(f"c{k}"), F.col(f"s{k}"), f"_i{k}", f"_d{k}"
-        df = df.withColumn(i, F.explode(_touched(axis, c, s)))
-        df = df.withColumn(d, axis.distance(axis.center(F.col(i)), c))
-        df = df.withColumn("_exp", F.col("_exp") + F.col(d) * F.col(d) / (F.lit(2.0) * s * s))
-        df = df.filter(F.col("_exp") < F.lit(EXPONENT_CUTOFF))
-        dists.append(-F.col(d) / (s * s))
-    energy = F.col("height") * F.exp(-F.col("_exp"))
-    addr = spec.address_of_index([F.col(f"_i{k}") for k in range(spec.ndim)])
-    rows = df.select(*keep, addr.alias("addr"), energy.alias("energy"), *[d.alias(f"_r{k}") for k, d in enumerate(dists)])
-    return rows.select(
-        *keep, "addr", "energy", *[(F.col(f"_r{k}") * F.col("energy")).alias(f"g{k}") for k in range(spec.ndim)]
-    )
+        c, s = F.col(f"c{k}"), F.col(f"s{k}")
+        # The range is built inside explode and no filter follows: the optimizer would
+        # copy a filter's expression, and a named array, below this step and evaluate
+        # them twice.  Bins beyond the cutoff add 0 instead.
+        df = df.withColumn("_j", F.explode(_touched(axis, c, s)))
+        i = F.pmod(F.col("_j"), F.lit(axis.bins)) if _covers_period(axis) else F.col("_j")
+        df = df.withColumn(f"_i{k}", i).drop("_j")
+        # bin centres outside the period occur only on a grid that is larger than it
+        x = axis.center(F.col(f"_i{k}"))
+        inside = not axis.periodic or (axis.period_lower <= axis.lower and axis.upper <= axis.period_upper)
+        df = df.withColumn(f"_d{k}", (x if inside else axis.wrap(x)) - c)
+        if axis.periodic:
+            d, half, p = F.col(f"_d{k}"), F.lit(axis.period * 0.5), F.lit(axis.period)
+            df = df.withColumn(f"_d{k}", F.when(d > half, d - p).when(d < -half, d + p).otherwise(d))
+        df = df.withColumn(f"_r{k}", F.col(f"_d{k}") / (s * s))
+    q = reduce(lambda a, b: a + b, (F.lit(0.5) * F.col(f"_d{k}") * F.col(f"_r{k}") for k in range(n)))
+    addr = spec.address_of_index([F.col(f"_i{k}") for k in range(n)])
+    df = df.select(*keep, addr.alias("addr"), "height", q.alias("_q"), *[f"_r{k}" for k in range(n)])
+    energy = F.when(F.col("_q") < F.lit(EXPONENT_CUTOFF), F.col("height") * F.exp(-F.col("_q"))).otherwise(F.lit(0.0))
+    df = df.withColumn("energy", energy)
+    return df.select(*keep, "addr", "energy", *[(-F.col(f"_r{k}") * F.col("energy")).alias(f"g{k}") for k in range(n)])
 
 
 def _names(spec: GridSpec) -> tuple[str, ...]:
