@@ -19,15 +19,16 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from saddlespark.functions.axis import Axis  # noqa: E402
 from saddlespark.functions.grid import GridSpec  # noqa: E402
-from saddlespark.functions.units import fields, numbers, thermal_energy  # noqa: E402
+from saddlespark.functions.units import numbers, thermal_energy  # noqa: E402
 from saddlespark.operators import graph as G  # noqa: E402
 from saddlespark.operators import hills as H  # noqa: E402
 from saddlespark.operators import histogram as B  # noqa: E402
 from saddlespark.operators import history as Y  # noqa: E402
 from saddlespark.operators import poisson, search, stencil, thermo  # noqa: E402
 from saddlespark.operators.histogram import Histogram  # noqa: E402
+from saddlespark.operators.ordered import explode_range  # noqa: E402
 from saddlespark.operators.patches import Patch, apply_patches  # noqa: E402
-from saddlespark.session import materialize, shared_folder  # noqa: E402
+from saddlespark.session import shared_folder  # noqa: E402
 from saddlespark.sources import mdlog, sinks, text  # noqa: E402
 from saddlespark.streaming.accumulate import run_to_end, stream_bin_sum  # noqa: E402
 
@@ -235,9 +236,8 @@ def hourly(spark, sf) -> DataFrame:
     ev = load(spark, sf, "events").select(hour.alias("frame"), "value", HOURS.address([F.col("value")]).alias("addr"))
     updates = ev.filter(F.col("addr").isNotNull()).groupBy("frame", "addr").agg(F.avg("value").alias("value"))
     updates = updates.select(F.lit(0).alias("file"), "frame", "addr", "value")
-    last = load(spark, sf, "events").select(F.explode(F.sequence(F.lit(0).cast("long"), hour.cast("long"))).alias("frame"))
     frames = load(spark, sf, "events").agg(F.max(hour).alias("top"))
-    frames = frames.select(F.lit(0).alias("file"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))).alias("frame"))
+    frames = explode_range(frames.withColumn("file", F.lit(0)), F.lit(0), F.col("top") + 1, "frame")
     return Y.fill_frames(updates, frames, HOURS).select("frame", "addr", "value")
 
 
@@ -246,7 +246,7 @@ def q_history_frames(spark, sf):
 
 
 def q_history_rmsd_last(spark, sf):
-    return rounded(Y.rmsd(materialize(hourly(spark, sf)), HOURS))
+    return rounded(Y.rmsd(hourly(spark, sf), HOURS))
 
 
 def q_history_rmsd_ref(spark, sf):
@@ -413,9 +413,9 @@ def q_traj_text_parse(spark, sf):
 
 
 def q_number_list_parse(spark, sf):
-    rows = load(spark, sf, "documents").select("doc_id", numbers(F.col("text")).alias("n"), fields(F.col("text")).alias("f"))
+    rows = load(spark, sf, "documents").select("doc_id", numbers(F.col("text")).alias("n"))
     total = F.aggregate("n", F.lit(0.0), lambda a, x: a + F.when(F.abs(x) < 1e9, x).otherwise(0.0))
-    return rounded(rows.select("doc_id", F.size("f").cast("long").alias("pieces"), total.alias("total")), digits=3)
+    return rounded(rows.select("doc_id", F.size("n").cast("long").alias("pieces"), total.alias("total")), digits=3)
 
 
 def q_hills_text(spark, sf):

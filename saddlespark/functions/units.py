@@ -33,7 +33,7 @@ def parse_numbers(text: str) -> list[float]:
 
 def fields(line: Column, separator: str = FIELD_SEPARATOR) -> Column:
     """Split a text line, dropping the empty pieces."""
-    return F.filter(F.split(line, separator), lambda s: s != "")
+    return F.array_remove(F.split(line, separator), "")
 
 
 def numbers(line: Column, separator: str = FIELD_SEPARATOR) -> Column:

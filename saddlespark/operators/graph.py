@@ -124,20 +124,14 @@ def dfs_order(graph: DataFrame, start: int) -> DataFrame:
         F.lit(start).cast("long").alias("node"), F.array().cast(f"array<{ord_type}>").alias("key"), F.lit(True).alias("fresh")
     )
     state = materialize(seed)
-    while True:
-        step = state.filter("fresh").join(graph, F.col("node") == F.col("src"))
-        found = step.groupBy("dst").agg(F.min(F.array_append("key", F.col("ord"))).alias("new"))
-        both = state.join(found, F.col("node") == F.col("dst"), "full_outer")
-        better = F.col("new").isNotNull() & (F.col("key").isNull() | (F.col("new") < F.col("key")))
-        state = materialize(
-            both.select(
-                F.coalesce("node", "dst").alias("node"),
-                F.when(better, F.col("new")).otherwise(F.col("key")).alias("key"),
-                better.alias("fresh"),
-            )
+    while not state.filter("fresh").isEmpty():
+        sent = state.filter("fresh").join(graph, F.col("node") == F.col("src")).select(
+            F.col("dst").alias("node"), F.array_append("key", F.col("ord")).alias("key"), F.lit(True).alias("fresh")
         )
-        if state.filter("fresh").isEmpty():
-            return number_sorted(state.select("node", "key"), ["key"], "visit").select("visit", "node")
+        # of equal paths the one already known is the lesser, and is not passed on again
+        every = state.withColumn("fresh", F.lit(False)).unionByName(sent)
+        state = materialize(every.groupBy("node").agg(F.min(F.struct("key", "fresh")).alias("m")).select("node", "m.*"))
+    return number_sorted(state.select("node", "key"), ["key"], "visit").select("visit", "node")
 
 
 # ---- label-correcting search -----------------------------------------------------------
@@ -158,6 +152,8 @@ def _compare_key(mode: str, label: Column, length: int) -> Column:
     """
     if mode != MFEP:
         return label
+    # rounded up, so that most passes share one plan shape and its generated code
+    length = max(16, 1 << (length - 1).bit_length())
     tail = F.coalesce(F.try_element_at(label, F.lit(-1)), F.lit(float("-inf")))
     padded = F.concat(label, F.array_repeat(tail, F.lit(length) - F.size(label)))
     return F.struct(padded.alias("w"), F.size(label).alias("n"))
@@ -201,32 +197,49 @@ def spfa(graph: DataFrame, start: int, mode: str = MFEP, bipartite: bool = False
             return state.select("node", "label", distance_value(mode, F.col("label")).alias("distance"), "path")
         if not bipartite:
             queue, longest = _settle_queue(queue, graph, mode, longest)
+            served = queue.select("node", F.col("label").alias("ql"), F.col("path").alias("qp"))
+            state = state.join(served, "node", "left").select(
+                "node", F.coalesce("ql", "label").alias("label"), F.coalesce("qp", "path").alias("path"), "okey"
+            )
         longest += 1
-        key = lambda c: _compare_key(mode, F.col(c), longest)
-        base = state.join(queue.select("node", F.col("label").alias("ql"), F.col("path").alias("qp")), "node", "left").select(
-            "node", F.coalesce("ql", "label").alias("label"), F.coalesce("qp", "path").alias("path"), "okey"
-        )
-        sent = queue.join(graph, F.col("node") == F.col("src")).select(
-            "dst", F.col("okey").alias("from"), "ord", _extend(mode, F.col("label"), F.col("weight")).alias("new"),
-            F.array_append("path", F.col("dst")).alias("new_path"),
-        )
-        seen = base.select(F.col("node").alias("dst"), F.col("label").alias("old"), F.col("okey").alias("own"))
-        offers = sent.join(seen, "dst", "left").filter(
-            (F.col("own").isNull() | (F.col("from") > F.col("own"))) & (F.col("old").isNull() | (key("new") < key("old")))
-        )
-        best = offers.groupBy("dst").agg(
-            F.min(F.struct(key("new").alias("k"), F.col("from"), F.col("ord"), F.col("new"), F.col("new_path"))).alias("b"),
-            F.min(F.struct("from", "ord")).alias("q"),
+        state = materialize(_serve_pass(state, queue, graph, mode, longest))
+    raise RuntimeError(f"the search did not settle within {max_passes} passes")
+
+
+def _serve_pass(state: DataFrame, queue: DataFrame, graph: DataFrame, mode: str, length: int) -> DataFrame:
+    """State after all queued nodes were served.  States and offers meet in one shuffle."""
+    ord_type = graph.schema["ord"].dataType
+    key = lambda c: _compare_key(mode, c, length)
+    offers = queue.join(graph, F.col("node") == F.col("src")).select(
+        F.col("dst").alias("node"), _extend(mode, F.col("label"), F.col("weight")).alias("label"),
+        F.array_append("path", F.col("dst")).alias("path"), F.col("okey").alias("from"), "ord",
+        F.lit(None).cast(state.schema["okey"].dataType).alias("okey"), F.lit(True).alias("offer"),
+    )
+    known = state.select(
+        "node", "label", "path", F.lit(None).cast(state.schema["okey"].dataType).alias("from"),
+        F.lit(None).cast(ord_type).alias("ord"), "okey", F.lit(False).alias("offer"),
+    )
+    here = W.partitionBy("node")
+    held = F.when(~F.col("offer"), F.struct("label", "path", "okey"))
+    rows = known.unionByName(offers).withColumn("old", F.first(held, ignorenulls=True).over(here))
+    late = F.col("old.okey").isNull() | (F.col("from") > F.col("old.okey"))
+    better = F.col("offer") & late & (F.col("old").isNull() | (key(F.col("label")) < key(F.col("old.label"))))
+    best = F.struct(key(F.col("label")).alias("k"), "from", "ord", "label", "path")
+    return (
+        rows.groupBy("node")
+        .agg(
+            F.min(F.when(better, best)).alias("b"),
+            F.min(F.when(better, F.struct("from", "ord"))).alias("q"),
+            F.first("old", ignorenulls=True).alias("old"),
         )
-        state = materialize(
-            base.join(best, F.col("node") == F.col("dst"), "full_outer").select(
-                F.coalesce("node", "dst").alias("node"),
-                F.coalesce("b.new", "label").alias("label"),
-                F.coalesce("b.new_path", "path").alias("path"),
-                F.when(F.col("q").isNotNull(), F.array_append("q.from", F.col("q.ord"))).alias("okey"),
-            )
+        .filter(F.col("old").isNotNull() | F.col("b").isNotNull())
+        .select(
+            "node",
+            F.coalesce("b.label", "old.label").alias("label"),
+            F.coalesce("b.path", "old.path").alias("path"),
+            F.when(F.col("q").isNotNull(), F.array_append("q.from", F.col("q.ord"))).alias("okey"),
         )
-    raise RuntimeError(f"the search did not settle within {max_passes} passes")
+    )
 
 
 def _settle_queue(queue: DataFrame, graph: DataFrame, mode: str, longest: int) -> tuple[DataFrame, int]:

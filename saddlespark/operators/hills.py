@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.axis import Axis
 from ..functions.grid import GridSpec
+from ..session import materialize
 from .histogram import Histogram
-from .ordered import running_sum
+from .ordered import explode_range, running_sum
 
 # Fixed value: a Gaussian whose exponent reaches this counts as 0.
 EXPONENT_CUTOFF = 100.0
@@ -110,15 +111,14 @@ def snapshots(hills: DataFrame, spec: GridSpec, stride: int, order: str = "row")
     Hills after the last snapshot belong to none.
     """
     hit = (F.col("step") > 0) & (F.col("step") % F.lit(stride) == 0)
-    marked = running_sum(hills, [], order, hit.cast("long"), "snapshot", inclusive=False, levels=2)
+    # both results are read twice below; the second one holds at most one row per
+    # snapshot and bin
+    marked = materialize(running_sum(hills, [], order, {"snapshot": hit.cast("long")}, inclusive=False, levels=2))
     ends = marked.filter(hit).select("snapshot", "step")
-    parts = _totals(hill_terms(marked, spec, ["snapshot"]), spec, ["snapshot"])
+    parts = materialize(_totals(hill_terms(marked, spec, ["snapshot"]), spec, ["snapshot"]))
     names = _names(spec)
-    # every snapshot holds every bin: number both by one range, no join of the two
-    n = spec.size
-    cells = ends.withColumn("addr", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")))
+    cells = explode_range(ends, F.lit(0), F.lit(spec.size), "addr")
     full = cells.join(parts, ["snapshot", "addr"], "left").fillna(0.0, subset=list(names))
-    for v in names:
-        full = running_sum(full, ["addr"], "snapshot", F.col(v), v)
+    full = running_sum(full, ["addr"], "snapshot", {v: F.col(v) for v in names})
     return full.select("snapshot", "step", "addr", *names)
 

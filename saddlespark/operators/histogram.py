@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.grid import GridSpec
+from ..session import materialize
 
 # A grid of at most this many bins may be broadcast: the size is known from its
 # axes alone (about 16 bytes a bin and value), so the bound holds for any input.
@@ -36,6 +37,14 @@ class Histogram:
         df = rows.join(bounded(self.df.select("addr", *self.values), self.spec), "addr", "left")
         return Histogram(self.spec, df.fillna(0.0, subset=list(self.values)), self.values)
 
+    def settled(self) -> "Histogram":
+        """The dense grid, computed once and kept in the shared folder.
+
+        A grid is small beside the rows it was binned from; steps that read it more than
+        once must not bin those rows again.
+        """
+        return Histogram(self.spec, materialize(self.dense().df), self.values)
+
     def table(self) -> DataFrame:
         """Dense rows with bin numbers, bin centres and values."""
         d = self.dense()

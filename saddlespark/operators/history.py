@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grid import GridSpec
+from ..session import materialize
 from .histogram import Histogram, bounded
-from .ordered import carry_forward
+from .ordered import carry_forward, explode_range
 
 
 def fill_frames(updates: DataFrame, frames: DataFrame, spec: GridSpec) -> DataFrame:
@@ -17,8 +18,7 @@ def fill_frames(updates: DataFrame, frames: DataFrame, spec: GridSpec) -> DataFr
     ``frames``: ``file, frame``, every frame there is.  A bin a frame does not list keeps
     the value of the frame before it in the same file; a file starts from zeros.
     """
-    n = spec.size
-    cells = frames.select("file", "frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("addr"))
+    cells = explode_range(frames.select("file", "frame"), F.lit(0), F.lit(spec.size), "addr")
     full = cells.join(updates, ["file", "frame", "addr"], "left")
     full = carry_forward(full, ["file", "addr"], "frame", "value")
     return full.select("file", "frame", "addr", F.coalesce("value", F.lit(0.0)).alias("value"))
@@ -44,7 +44,10 @@ def rmsd(history: DataFrame, spec: GridSpec, reference: Histogram | None = None)
     """
     if reference is not None and reference.spec.size != spec.size:
         raise ValueError("the reference is on another grid than the history")
-    ref = (reference or last_frame(history, spec)).df.select("addr", F.col("value").alias("_ref"))
+    if reference is None:
+        history = materialize(history)
+        reference = last_frame(history, spec)
+    ref = reference.df.select("addr", F.col("value").alias("_ref"))
     gap = F.coalesce(F.col("_ref"), F.lit(0.0)) - F.col("value")
     return (
         history.join(bounded(ref, spec), "addr", "left")

@@ -15,32 +15,44 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 14
 
 
+def explode_range(df: DataFrame, first: Column, end: Column, out: str) -> DataFrame:
+    """One row per whole number from ``first`` up to but not including ``end``.
+
+    Done in two steps, so that no row ever holds more than ``BLOCK`` numbers.
+    """
+    df = df.withColumns({"_first": first.cast("long"), "_end": end.cast("long")}).filter(F.col("_end") > F.col("_first"))
+    pieces = F.floor((F.col("_end") - F.col("_first") - 1) / F.lit(BLOCK))
+    df = df.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces)))
+    low = F.col("_first") + F.col("_piece") * F.lit(BLOCK)
+    high = F.least(low + F.lit(BLOCK), F.col("_end")) - 1
+    return df.withColumn(out, F.explode(F.sequence(low, high))).drop("_first", "_end", "_piece")
+
+
 def running_sum(
-    df: DataFrame, keys: list[str], pos: str, value: Column, out: str, inclusive: bool = True, levels: int = 1
+    df: DataFrame, keys: list[str], pos: str, values: dict[str, Column], inclusive: bool = True, levels: int = 1
 ) -> DataFrame:
-    """Add the running sum of ``value`` within ``keys``, in order of the whole number ``pos``.
+    """Add running sums (name -> summed expression) within ``keys``, in order of ``pos``.
 
-    Rows are cut into blocks of ``BLOCK`` positions; each block starts from the total of
-    the blocks before it.  ``levels`` says how often those totals are cut into blocks in
-    turn: one level leaves (positions / BLOCK) rows a key to one task, two levels
-    (positions / BLOCK**2).
+    ``pos`` is a whole number.  Rows are cut into blocks of ``BLOCK`` positions; each block
+    starts from the total of the blocks before it.  ``levels`` says how often those totals
+    are cut into blocks in turn: one level leaves (positions / BLOCK) rows a key to one
+    task, two levels (positions / BLOCK**2).
     """
-    block, total, start, run = (f"_{n}{levels}" for n in ("b", "t", "s", "r"))
-    df = df.withColumns({block: F.floor(F.col(pos) / F.lit(BLOCK)), run: value})
+    block = f"_b{levels}"
+    name = {v: (f"_t{k}_{levels}", f"_s{k}_{levels}", f"_r{k}_{levels}") for k, v in enumerate(values)}
+    df = df.withColumns({block: F.floor(F.col(pos) / F.lit(BLOCK)), **{name[v][2]: c for v, c in values.items()}})
     group = [*keys, block]
-    totals = df.groupBy(*group).agg(F.sum(run).alias(total))
+    totals = df.groupBy(*group).agg(*[F.sum(r).alias(t) for t, _, r in name.values()])
     if levels > 1:
-        starts = running_sum(totals, keys, block, F.col(total), start, inclusive=False, levels=levels - 1)
+        starts = running_sum(totals, keys, block, {s: F.col(t) for t, s, _ in name.values()}, False, levels - 1)
     else:
         before = W.partitionBy(*keys).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
-        starts = totals.withColumn(start, F.coalesce(F.sum(total).over(before), F.lit(0)))
+        starts = totals.withColumns({s: F.coalesce(F.sum(t).over(before), F.lit(0)) for t, s, _ in name.values()})
     within = W.partitionBy(*group).orderBy(pos).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    df = df.withColumn(run, F.coalesce(F.sum(run).over(within), F.lit(0)))
-    return (
-        df.join(starts.select(*group, start), group)
-        .withColumn(out, F.col(run) + F.col(start))
-        .drop(*{block, run, start} - {out})
-    )
+    df = df.withColumns({r: F.coalesce(F.sum(r).over(within), F.lit(0)) for _, _, r in name.values()})
+    joined = df.join(starts.select(*group, *[s for _, s, _ in name.values()]), group)
+    joined = joined.withColumns({v: F.col(r) + F.col(s) for v, (_, s, r) in name.items()})
+    return joined.drop(block, *[c for _, s, r in name.values() for c in (s, r)])
 
 
 def carry_forward(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:

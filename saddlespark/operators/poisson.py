@@ -21,8 +21,10 @@ from ..session import materialize
 from .histogram import Histogram
 from .stencil import divergence
 
-# A line along an axis of at most this many bins is transformed as one row; a longer
-# axis is summed row by row instead.
+# Lines of at most this many bins are transformed many at a time.
+SHORT_BINS = 1 << 10
+# Lines of at most this many bins are transformed one at a time; along a still longer axis
+# the transform is a plain sum over pairs of positions.
 LINE_BINS = 1 << 20
 
 
@@ -65,6 +67,13 @@ def transform(hist: Histogram, k: int) -> Histogram:
         wide = rows.withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(axis.bins - 1).cast("long"))))
         part = F.sum(F.col("value") * _kernel(axis, F.col("m"), F.col("i")))
         out = wide.groupBy("base", "m").agg(part.alias("value"))
+    elif axis.bins > SHORT_BINS:
+
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            line = pdf.sort_values("i")["value"].to_numpy()
+            return pd.DataFrame({"base": pdf["base"].iloc[0], "m": np.arange(len(line)), "value": _line_transform(axis, line[None, :])[0]})
+
+        out = rows.groupBy("base").applyInPandas(one, "base long, m long, value double")
     else:
 
         @F.pandas_udf("array<double>")

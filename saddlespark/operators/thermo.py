@@ -19,7 +19,7 @@ def from_probability(prob: Histogram, kt: float) -> Histogram:
 
     Empty bins become +infinity.  A distribution without any weight gives zeros.
     """
-    dense = prob.dense().df
+    dense = prob.settled().df
     norm = dense.agg(F.sum("value")).scalar()
     top = dense.agg(F.max("value")).scalar()
     p = F.col("value")
@@ -36,7 +36,7 @@ def from_probability(prob: Histogram, kt: float) -> Histogram:
 
 def to_free_energy(prob: Histogram, kt: float) -> Histogram:
     """Free energy of raw weights, minimum 0; empty bins take the highest finite value."""
-    f = prob.dense().df.withColumn("value", F.when(F.col("value") > 0, F.lit(-kt) * F.ln("value")))
+    f = prob.settled().df.withColumn("value", F.when(F.col("value") > 0, F.lit(-kt) * F.ln("value")))
     high = f.agg(F.coalesce(F.max("value"), F.lit(0.0))).scalar()
     low = f.agg(F.coalesce(F.min("value"), F.lit(0.0))).scalar()
     return Histogram(prob.spec, f.withColumn("value", F.coalesce(F.col("value"), high) - low))

@@ -21,7 +21,7 @@ from ..functions.grid import GridSpec
 from ..functions.units import fields
 from ..operators.histogram import Histogram
 from ..operators.history import fill_frames
-from ..operators.ordered import number_rows, running_sum
+from ..operators.ordered import explode_range, number_rows, running_sum
 from ..session import materialize
 
 WHITESPACE = r"\s+"
@@ -159,11 +159,11 @@ def read_header(lines: Lines) -> GridSpec:
     def head(n: int):
         return [r.f for r in placed.orderBy(*order).limit(n).select("f").collect()]
 
-    first = head(1)
-    if not first or len(first[0]) < 2:
+    top = head(16)
+    if not top or len(top[0]) < 2:
         raise ValueError("the file has no '# N' line")
-    n = int(first[0][1])
-    axes = head(n + 1)[1:]
+    n = int(top[0][1])
+    axes = (top if n < 16 else head(n + 1))[1 : n + 1]
     if len(axes) < n or any(len(a) < 5 for a in axes):
         raise ValueError(f"the header does not describe {n} axes")
     out = []
@@ -244,13 +244,13 @@ def read_history(spark: SparkSession, paths: str | list[str]) -> tuple[GridSpec,
     before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
     per_file = per_file.select("file", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
 
-    placed = running_sum(rows, ["file"], "row", ends, "local").filter(~F.col("sep")).join(per_file, "file")
+    placed = running_sum(rows, ["file"], "row", {"local": ends}).filter(~F.col("sep")).join(per_file, "file")
     updates = (
         placed.withColumn("frame", F.col("local") + F.col("_base"))
         .groupBy("file", "frame", "addr")
         .agg(F.max_by("v", "row").alias("value"))
     )
-    frames = per_file.select("file", F.explode(F.sequence(F.col("_base"), F.col("_base") + F.col("_n") - 1)).alias("frame"))
+    frames = explode_range(per_file, F.col("_base"), F.col("_base") + F.col("_n"), "frame")
     return spec, materialize(fill_frames(materialize(updates), frames, spec))
 
 

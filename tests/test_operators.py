@@ -221,8 +221,9 @@ def test_integration_matches_dense_least_squares(spark, spec, monkeypatch):
     want = laplace_solution([dense(g, v) for v in g.values], spec)
     assert dense(poisson.integrate(g)) == pytest.approx(want, rel=1e-8, abs=1e-8)
     if spec.ndim == 2:
-        monkeypatch.setattr(poisson, "LINE_BINS", 1)
-        assert dense(poisson.integrate(g)) == pytest.approx(want, rel=1e-8, abs=1e-8)
+        for limit in ("SHORT_BINS", "LINE_BINS"):
+            monkeypatch.setattr(poisson, limit, 1)
+            assert dense(poisson.integrate(g)) == pytest.approx(want, rel=1e-8, abs=1e-8)
 
 
 def test_integration_recovers_a_potential(spark):
@@ -304,11 +305,18 @@ def test_running_sums_across_blocks(spark, monkeypatch, levels):
     rows = [(k, rnd.choice("ab"), rnd.randint(-5, 5)) for k in range(40)]
     df = spark.createDataFrame(rows, "pos long, key string, v long")
     for inclusive in (True, False):
-        got = {r.pos: r.s for r in ordered.running_sum(df, ["key"], "pos", F.col("v"), "s", inclusive, levels).collect()}
+        got = {r.pos: r.s for r in ordered.running_sum(df, ["key"], "pos", {"s": F.col("v"), "t": -F.col("v")}, inclusive, levels).collect()}
         for p, key, v in rows:
             assert got[p] == sum(x for q, k, x in rows if k == key and (q < p or inclusive and q == p))
 
 
+def test_ranges_explode_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BLOCK", 4)
+    df = spark.createDataFrame([(0, 0), (5, 6), (3, 14), (9, 2), (0, 8)], "a long, b long")
+    got = sorted((r.a, r.n) for r in ordered.explode_range(df, F.col("a"), F.col("b"), "n").collect())
+    assert got == sorted((a, n) for a, b in [(0, 0), (5, 6), (3, 14), (9, 2), (0, 8)] for n in range(a, b))
+
+
 def test_values_carry_forward_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(ordered, "BLOCK", 3)
     rnd = random.Random(7)
