@@ -43,6 +43,7 @@ VALUE = Axis(0.0, 500.0, 50)
 CIRCLE = Axis(0.0, 360.0, 24, True)
 FINE_QTY = Axis(0.0, 50.0, 50)
 GRID_1D = GridSpec.of(QTY)
+GRID_COARSE = GridSpec.of(Axis(0.0, 50.0, 5), DISC)
 GRID_2D = GridSpec.of(QTY, DISC)
 GRID_3D = GridSpec.of(QTY, DISC, TAX)
 GRID_CYC = GridSpec.of(QTY, Axis(0.0, 0.1, 5, True))
@@ -390,7 +391,7 @@ def q_mfep_visited(spark, sf):
 
 
 def q_mfep_spfa(spark, sf):
-    return rounded(search.find_path(mean_price(spark, sf, GRID_1D), [2.5], [47.5], algorithm="spfa").path)
+    return rounded(search.find_path(mean_price(spark, sf, GRID_COARSE), START, END, PATCHES, algorithm="spfa").path)
 
 
 def q_dfs_order(spark, sf):
@@ -721,14 +722,17 @@ def s_edges(grid: str, g: GridSpec) -> str:
     return f"(SELECT n.addr AS src, n.neighbor AS dst, t.value AS weight FROM {nb} n JOIN {grid} t ON t.addr = n.neighbor)"
 
 
-def s_patch() -> str:
-    extra = " + ".join(
+def s_patch_sum() -> str:
+    return " + ".join(
         "CASE WHEN "
         + " AND ".join(f"x{k} BETWEEN {num(c - 0.5 * w)} AND {num(c + 0.5 * w)}" for k, (c, w) in enumerate(zip(p.center, p.length)))
         + f" THEN {num(p.value)} ELSE 0e0 END"
         for p in PATCHES
     )
-    return f"SELECT addr, {r(f'value + {extra}')} AS value FROM {s_count(GRID_2D)}"
+
+
+def s_patch() -> str:
+    return f"SELECT addr, {r(f'value + {s_patch_sum()}')} AS value FROM {s_count(GRID_2D)}"
 
 
 def s_minimax() -> str:
@@ -752,6 +756,74 @@ def s_shortest() -> str:
     )
 
 
+def s_label_key(label: str) -> str:
+    """A list that sorts like a label: padded with its last weight, then its length."""
+    tail = f"CASE WHEN len({label}) = 0 THEN CAST('-inf' AS DOUBLE) ELSE {label}[-1] END"
+    return f"list_concat({label}, list_resize(CAST([] AS DOUBLE[]), 600 - len({label}), {tail}), [CAST(len({label}) AS DOUBLE)])"
+
+
+def s_search(g: GridSpec, result: str) -> str:
+    """Label-setting search, one node served per round of the recursion."""
+    start, end = g.address_value(START), g.address_value(END)
+    grid = f"(SELECT * REPLACE (value + {s_patch_sum()} AS value) FROM {s_price(g)})"
+    order = f"(ORDER BY served IS NOT NULL, label IS NULL, {s_label_key('label')}, addr)"
+    new = "list_reverse_sort(list_append(ul, e.weight))"
+    better = f"(served IS NULL AND addr <> u AND e.weight IS NOT NULL AND (label IS NULL OR {s_label_key(new)} < {s_label_key('label')}))"
+    return (
+        f"WITH RECURSIVE g AS MATERIALIZED (SELECT * FROM {grid}), e AS MATERIALIZED (SELECT * FROM {s_edges('g', g)}), "
+        f"s AS (SELECT 0 AS it, addr, CASE WHEN addr = {start} THEN CAST([] AS DOUBLE[]) END AS label, "
+        f"CASE WHEN addr = {start} THEN [addr] END AS path, CAST(NULL AS INTEGER) AS served FROM g UNION ALL "
+        f"SELECT it + 1, addr, CASE WHEN {better} THEN {new} ELSE label END, CASE WHEN {better} THEN list_append(up, addr) ELSE path END, "
+        "CASE WHEN addr = u THEN it ELSE served END FROM (SELECT *, first_value(addr) OVER w AS u, first_value(label) OVER w AS ul, "
+        f"first_value(path) OVER w AS up FROM s WHERE it < {g.size} WINDOW w AS {order}) LEFT JOIN e ON e.src = u AND e.dst = addr), "
+        f"last AS (SELECT * FROM s WHERE it = {g.size}), goal AS (SELECT * FROM last WHERE addr = {end}) "
+    ) + result
+
+
+def s_path_rows(g: GridSpec) -> str:
+    xs = ", ".join(f"{r(c)} AS {c}" for c in g.coord_names)
+    steps = "(SELECT unnest(path) AS addr, CAST(generate_subscripts(path, 1) - 1 AS INTEGER) AS ord, len(path) - 1 AS n FROM goal)"
+    return f"SELECT ord, addr, {r('ord / n')} AS s, {xs}, {r('value')} AS value FROM {steps} JOIN g USING (addr)"
+
+
+def s_visited(g: GridSpec) -> str:
+    xs = ", ".join(f"{r(c)} AS {c}" for c in g.coord_names)
+    return f"SELECT addr, {xs} FROM last JOIN {s_points(g)} USING (addr) WHERE served < (SELECT served FROM goal)"
+
+
+def s_queue_search(g: GridSpec) -> str:
+    """Queue-based search, one queued node served per round until the queue is empty."""
+    start, end = g.address_value(START), g.address_value(END)
+    grid = f"(SELECT * REPLACE (value + {s_patch_sum()} AS value) FROM {s_price(g)})"
+    cases = " ".join(
+        f"WHEN {s_neighbor(k, p, g).replace('addr', 'src')} = dst THEN {2 * k + (0 if p else 1)}" for k in range(g.ndim) for p in (True, False)
+    )
+    new = "list_reverse_sort(list_append(ul, e.weight))"
+    better = f"(uq IS NOT NULL AND e.weight IS NOT NULL AND (label IS NULL OR {s_label_key(new)} < {s_label_key('label')}))"
+    return (
+        f"WITH RECURSIVE g AS MATERIALIZED (SELECT * FROM {grid}), e AS MATERIALIZED (SELECT *, CASE {cases} END AS adj FROM {s_edges('g', g)}), "
+        f"s AS (SELECT 0 AS it, addr, CASE WHEN addr = {start} THEN CAST([] AS DOUBLE[]) END AS label, "
+        f"CASE WHEN addr = {start} THEN [addr] END AS path, CASE WHEN addr = {start} THEN 0 END AS q, 1 AS waiting FROM g UNION ALL "
+        f"SELECT it + 1, addr, CASE WHEN {better} THEN {new} ELSE label END, CASE WHEN {better} THEN list_append(up, addr) ELSE path END, "
+        f"CASE WHEN addr = u THEN NULL WHEN {better} THEN coalesce(q, it * 10 + adj + 1) ELSE q END, uq FROM (SELECT *, first_value(addr) OVER w AS u, "
+        "first_value(label) OVER w AS ul, first_value(path) OVER w AS up, first_value(q) OVER w AS uq FROM s WHERE waiting IS NOT NULL "
+        "WINDOW w AS (ORDER BY q NULLS LAST)) LEFT JOIN e ON e.src = u AND e.dst = addr), "
+        f"goal AS (SELECT * FROM s WHERE waiting IS NULL AND addr = {end}) " + s_path_rows(g)
+    )
+
+
+def s_dfs(start: int, nodes: int) -> str:
+    """Smallest path of edge ranks to every node, relaxed as often as there are nodes."""
+    rank = f"(SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY weight, dst) AS k FROM {S_BOTH})"
+    return (
+        f"WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {rank} UNION ALL SELECT range, range, 0 FROM range({nodes})), "
+        f"b AS (SELECT 0 AS it, CAST({start} AS BIGINT) AS node, CAST([] AS BIGINT[]) AS path UNION ALL "
+        "SELECT b.it + 1, e.dst, min(CASE WHEN e.k = 0 THEN b.path ELSE list_append(b.path, e.k) END) FROM b JOIN e ON e.src = b.node "
+        f"WHERE b.it < {nodes} GROUP BY 1, 2) "
+        f"SELECT row_number() OVER (ORDER BY path) - 1 AS visit, node FROM b WHERE it = {nodes}"
+    )
+
+
 S_GRAPH = (
     "(SELECT CAST(round(l_discount * 100) AS BIGINT) AS src, CAST(round(l_tax * 100) AS BIGINT) + 11 AS dst, sum(l_quantity) AS weight "
     "FROM lineitem GROUP BY 1, 2)"
@@ -850,6 +922,10 @@ def oracle_sql() -> dict[str, str]:
         "patch_grid": s_patch(),
         "minimax_barrier": s_minimax(),
         "shortest_sum": s_shortest(),
+        "mfep_dijkstra": s_search(GRID_2D, s_path_rows(GRID_2D)),
+        "mfep_visited": s_search(GRID_2D, s_visited(GRID_2D)),
+        "mfep_spfa": s_queue_search(GRID_COARSE),
+        "dfs_order": s_dfs(0, 20),
         "traj_text_parse": f"SELECT addr, {r('value', 2)} AS value FROM {sums}",
         "number_list_parse": f"SELECT doc_id, CAST(len({parts}) AS BIGINT) AS pieces, "
         f"{r(f'list_sum(list_transform({parts}, lambda s: CASE WHEN abs(coalesce(try_cast(s AS DOUBLE), 0e0)) < 1e9 THEN coalesce(try_cast(s AS DOUBLE), 0e0) ELSE 0e0 END))', 3)} AS total FROM documents",

@@ -86,6 +86,12 @@ class Histogram:
     def minimum(self) -> DataFrame:
         return self.dense().df.agg(*[F.min(v).alias(v) for v in self.values])
 
+    def extent(self) -> DataFrame:
+        """Lowest and highest finite value, the range a plot of the grid needs."""
+        v = F.col(self.values[0])
+        finite = F.when(F.abs(v) < F.lit(float("inf")), v)
+        return self.dense().df.agg(F.min(finite).alias("minimum"), F.max(finite).alias("maximum"))
+
     def merge(self, other: "Histogram") -> "Histogram":
         """Add another histogram, re-binned by the centres of its bins."""
         spec = self.spec

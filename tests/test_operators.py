@@ -351,3 +351,37 @@ def test_units_and_number_lists(spark):
     assert parse_numbers("(1, 2.5, x) 4") == [1.0, 2.5, 0.0, 4.0]
     df = spark.createDataFrame([("(1, 2.5, x) 4",)], "t string")
     assert df.select(numbers(F.col("t"))).first()[0] == [1.0, 2.5, 0.0, 4.0]
+
+
+def test_nearly_equal_and_extent(spark):
+    from saddlespark.functions.units import nearly_equal
+
+    df = spark.createDataFrame([(1.0, 1.0 + 2**-52), (1.0, 1.0 + 1e-9), (0.0, 1e-309)], "a double, b double")
+    assert [r[0] for r in df.select(nearly_equal(F.col("a"), F.col("b"))).collect()] == [True, False, True]
+    spec = GridSpec.of(Axis(0.0, 3.0, 3))
+    h = Histogram(spec, spark.createDataFrame([(0, 2.0), (1, math.inf)], "addr long, value double"))
+    assert tuple(h.extent().first()) == (0.0, 2.0)
+
+
+def test_frames_can_be_appended(spark):
+    from saddlespark.operators import history
+
+    spec = GridSpec.of(Axis(0.0, 2.0, 2))
+    frames = spark.createDataFrame([(0, 0), (0, 1)], "file int, frame long")
+    updates = spark.createDataFrame([(0, 0, 0, 5.0), (0, 1, 1, 7.0)], "file int, frame long, addr long, value double")
+    full = history.fill_frames(updates, frames, spec)
+    more = history.append_frame(full, filled(spark, spec), 2)
+    got = {(r.frame, r.addr): r.value for r in more.collect()}
+    assert [got[k] for k in [(0, 0), (0, 1), (1, 0), (1, 1)]] == [5.0, 0.0, 5.0, 7.0] and len(got) == 6
+
+
+def test_stream_sums_equal_batch_sums(spark, tmp_path):
+    from saddlespark.streaming.accumulate import run_to_end, stream_bin_sum
+
+    spec = GridSpec.of(Axis(0.0, 1.0, 4))
+    df = spark.range(200).select((F.col("id") / 150.0).alias("x"), F.col("id").cast("double").alias("v"))
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    sums = run_to_end(stream_bin_sum(stream, spec, [F.col("x")], {"value": F.col("v")}))
+    want = dense(B.bin_sum(df, spec, [F.col("x")], {"value": F.col("v")}))
+    assert dense(Histogram(spec, sums)) == pytest.approx(want)
