@@ -264,12 +264,15 @@ def q_history_text(spark, sf):
     rows = cells.select("frame", F.lit(1).alias("k"), "addr", F.concat_ws(" ", x.cast("string"), F.col("value").cast("string")).alias("value"))
     heads = sinks.header_lines(HOURS)
     head = F.posexplode(F.array(*[F.lit(h) for h in heads]))
-    top = cells.select("frame").distinct().select("frame", head.alias("p", "value"))
+    span = cells.agg(F.min("frame").alias("low"), F.max("frame").alias("high"))
+    top = explode_range(span, F.col("low"), F.col("high") + 1, "frame").select("frame", head.alias("p", "value"))
     rows = rows.unionByName(top.select("frame", F.lit(0).alias("k"), F.col("p").cast("long").alias("addr"), "value"))
     folder = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
     rows.orderBy("frame", "k", "addr").select("value").write.text(folder)
     _, frames = text.read_history(spark, folder)
-    return rounded(frames.select("frame", "addr", "value"))
+    # a text history starts with its first data row, that is in the first hour with events
+    low = load(spark, sf, "events").agg(F.min(hour)).scalar()
+    return rounded(frames.select((F.col("frame") + low).alias("frame"), "addr", "value"))
 
 
 # ---- finite differences -------------------------------------------------------------------------
@@ -902,7 +905,7 @@ def oracle_sql() -> dict[str, str]:
         "reweight": f"SELECT addr, {r('value', 4)} AS value FROM {price}",
         "reweight_pmf": f"SELECT addr, {r('value')} AS value FROM {s_energy(price_tax)}",
         "history_frames": f"SELECT frame, addr, {r('value')} AS value FROM {s_hourly()}",
-        "history_text": f"SELECT frame, addr, {r('value')} AS value FROM {s_hourly()}",
+        "history_text": f"SELECT frame, addr, {r('value')} AS value FROM {s_hourly()} WHERE frame >= (SELECT CAST(floor((epoch(min(ts)) - 1704067200) / 3600) AS BIGINT) FROM events)",
         "history_rmsd_last": s_rmsd(last),
         "history_rmsd_ref": s_rmsd(ref),
         "derivative": f"SELECT addr, {r(s_derivative('value', 0, GRID_2D), 3)} AS d0, {r(s_derivative('value', 1, GRID_2D), 3)} AS d1 FROM {s_price(GRID_2D)}",

@@ -38,7 +38,13 @@ def fields(line: Column, separator: str = FIELD_SEPARATOR) -> Column:
 
 def numbers(line: Column, separator: str = FIELD_SEPARATOR) -> Column:
     """Column form of :func:`parse_numbers`."""
-    return F.transform(fields(line, separator), lambda s: F.coalesce(s.try_cast("double"), F.lit(0.0)))
+    # a failed cast is costly, so only what starts like a number is tried
+    starts_like_one = r"(?i)^[-+]?([0-9.]|inf|nan)"
+
+    def one(s: Column) -> Column:
+        return F.coalesce(F.when(s.rlike(starts_like_one), s.try_cast("double")), F.lit(0.0))
+
+    return F.transform(fields(line, separator), one)
 
 
 def nearly_equal(a: Column, b: Column, ulps: int = 2) -> Column:

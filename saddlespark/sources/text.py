@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.axis import Axis
 from ..functions.grid import GridSpec
-from ..functions.units import fields
+from ..functions.units import FIELD_SEPARATOR, fields
 from ..operators.histogram import Histogram
 from ..operators.history import fill_frames
 from ..operators.ordered import explode_range, number_rows, running_sum
@@ -77,28 +77,32 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> Lines:
     return Lines(df, files, tuple(f for f, k in table if k == 0))
 
 
-def is_data() -> Column:
-    """Neither a blank line nor a ``#`` line, once the fields are in column ``f``."""
-    return (F.size("f") > 0) & ~F.get("f", F.lit(0)).startswith("#")
+def is_data(separator: str = FIELD_SEPARATOR) -> Column:
+    """Neither a blank line nor a ``#`` line.
+
+    Looks at the start of the raw line, so a filter on it does not split the line.
+    """
+    return F.col("value").rlike(r"^\s*[^\s#]" if separator == WHITESPACE else r"^[(),\s]*[^(),\s#]")
 
 
-def data_fields(lines: DataFrame, separator: str | None = None) -> DataFrame:
+def data_fields(lines: DataFrame, separator: str = FIELD_SEPARATOR) -> DataFrame:
     """Add the fields of each line as ``f``; blank lines and ``#`` lines are dropped."""
-    f = fields(F.col("value"), separator) if separator else fields(F.col("value"))
-    return lines.withColumn("f", f).filter(is_data())
+    return lines.filter(is_data(separator)).withColumn("f", fields(F.col("value"), separator))
 
 
-def must(x: Column, problem: str, where: Column | None = None) -> Column:
+def must(x: Column, problem: str, where: Column | None = None, separator: str = FIELD_SEPARATOR) -> Column:
     """``x``, or an error naming the line where it is NULL.
 
     The optimizer may evaluate an expression before the filter that drops comment lines,
     so the error itself is limited to lines that hold data (and meet ``where``).
     """
-    guard = is_data() if where is None else is_data() & where
+    guard = is_data(separator) if where is None else is_data(separator) & where
     return F.coalesce(x, F.when(guard, F.raise_error(F.concat(F.lit(problem + ": "), F.col("value")))))
 
 
-def number_at(pos: int, mode: str = STRICT, where: Column | None = None, shape: Column | None = None) -> Column:
+def number_at(
+    pos: int, mode: str = STRICT, where: Column | None = None, shape: Column | None = None, separator: str = FIELD_SEPARATOR
+) -> Column:
     """Field ``pos`` as a double; a bad one raises, or is NULL in permissive mode.
 
     A line that does not meet ``shape`` has no good numbers.
@@ -106,7 +110,7 @@ def number_at(pos: int, mode: str = STRICT, where: Column | None = None, shape:
     x = F.get("f", F.lit(pos)).try_cast("double")
     if shape is not None:
         x = F.when(shape, x)
-    return x if mode == PERMISSIVE else must(x, f"field {pos} is not a number in its place", where).cast("double")
+    return x if mode == PERMISSIVE else must(x, f"field {pos} is not a number in its place", where, separator).cast("double")
 
 
 # ---- trajectories and hills ------------------------------------------------------
@@ -151,8 +155,7 @@ def read_header(lines: Lines) -> GridSpec:
     df = lines.df
     if lines.first_parts is not None:
         df = df.filter(F.col("part").isin(*lines.first_parts))
-    comments = df.withColumn("f", fields(F.col("value"), WHITESPACE))
-    comments = comments.filter(F.get("f", F.lit(0)).startswith("#"))
+    comments = df.filter(F.col("value").rlike(r"^\s*#")).withColumn("f", fields(F.col("value"), WHITESPACE))
     placed = comments.withColumn("_seq", F.monotonically_increasing_id())
     order = ["part", "block", "_seq"]
 
@@ -184,8 +187,8 @@ def _grid_rows(lines: Lines, spec: GridSpec, nvalues: int, other_shapes: str) ->
     else:
         fits_or_all = F.lit(True)
     here = F.when(fits, spec.address([F.get("f", F.lit(k)).try_cast("double") for k in range(n)]))
-    addr = must(here, f"a row needs {n + nvalues} numbers and a place on the grid", fits_or_all).cast("long")
-    values = F.struct(*[number_at(n + k, where=fits_or_all).alias(f"v{k}") for k in range(nvalues)])
+    addr = must(here, f"a row needs {n + nvalues} numbers and a place on the grid", fits_or_all, WHITESPACE).cast("long")
+    values = F.struct(*[number_at(n + k, where=fits_or_all, separator=WHITESPACE).alias(f"v{k}") for k in range(nvalues)])
     rows = rows.select(
         addr.alias("addr"),
         values.alias("v"),
@@ -220,16 +223,16 @@ def read_history(spark: SparkSession, paths: str | list[str]) -> tuple[GridSpec,
     spec = read_header(lines)
     n = spec.ndim
     f = fields(F.col("value"), WHITESPACE)
-    comment = F.get("f", F.lit(0)).startswith("#")
+    comment = F.col("value").rlike(r"^\s*#")
 
     def num(k: int) -> Column:
         return F.coalesce(F.get("f", F.lit(k)).try_cast("double"), F.lit(0.0))
 
     def kinds(df: DataFrame) -> DataFrame:
-        df = df.withColumn("f", f).filter(F.size("f") > 0).withColumn("sep", comment & (F.size("f") == 2))
+        df = df.withColumn("f", f).withColumn("sep", comment & (F.size("f") == 2))
         df = df.filter(F.col("sep") | (~comment & (F.size("f") == n + 1)))
         addr = spec.address([num(k) for k in range(n)])
-        addr = must(addr, "a row lies outside the grid", F.size("f") == n + 1).cast("long")
+        addr = must(addr, "a row lies outside the grid", F.size("f") == n + 1, WHITESPACE).cast("long")
         cell = F.when(~F.col("sep"), F.struct(addr.alias("addr"), num(n).alias("v")))
         return df.select("part", "block", "sep", cell.alias("cell"))
 
@@ -259,4 +262,4 @@ def read_path(spark: SparkSession, path: str, ndim: int) -> DataFrame:
     lines = read_lines(spark, path)
     fits = F.size("f").isin(ndim, ndim + 1)
     rows = lines.map(lambda d: data_fields(d, WHITESPACE).filter(fits))
-    return rows.numbered().select("row", *[number_at(k, where=fits).alias(f"x{k}") for k in range(ndim)])
+    return rows.numbered().select("row", *[number_at(k, where=fits, separator=WHITESPACE).alias(f"x{k}") for k in range(ndim)])
