@@ -1,5 +1,9 @@
 """Free-energy grids, trajectories and hills on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from .functions.axis import Axis
 from .functions.grid import GridSpec
 from .functions.units import thermal_energy
@@ -9,6 +13,10 @@ from .session import build_session
 
 __version__ = "0.1.0"
 
+# The few functions that run in Python workers travel with their tasks, so executors need
+# no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = [
     "Axis",
     "GridSpec",

@@ -97,12 +97,18 @@ def _trace(rule: _Label, path, weights) -> tuple:
 
 
 # ---- one tile -------------------------------------------------------------------------
-def _serve(rule: _Label, own: dict, around: dict, start: int, limit: tuple | None = None) -> dict:
+def _serve(
+    rule: _Label, own: dict, around: dict, start: int, limit: tuple | None = None, end: int | None = None, brief: bool = False
+) -> dict:
     """Serve the nodes of one tile: node -> (path, weights).
 
     ``own``: node -> outgoing edges.  ``around``: node outside -> (path, weights, edges into
-    the tile).  With ``limit`` only nodes served before that key are returned.
+    the tile).  With ``limit`` only nodes served before that key are returned.  If ``end`` is
+    given and no edge leaves the tile, nodes behind ``end`` are not served.  ``brief`` is for
+    barriers: instead of its path a node gets one step from the start that weighs as much.
     """
+    if end is not None and (start not in own or any(v not in own for out in own.values() for v, _ in out)):
+        end = None
     heap, best, done = [], {}, {}
     for node, (path, weights, _) in around.items():
         label, key = _trace(rule, path, weights)
@@ -119,7 +125,9 @@ def _serve(rule: _Label, own: dict, around: dict, start: int, limit: tuple | Non
         if limit is not None and key >= limit:
             break
         label, _, _, parent, last_weight, entered_by = best[u]
-        done[u] = (parent, last_weight)
+        done[u] = (start, label) if brief and u != start else (parent, last_weight)
+        if u == end:
+            break
         for v, w in own[u] if u in own else around[u][2]:
             # nodes of the path by which the search came into the tile are behind us
             if v not in own or v in done or v in entered_by:
@@ -132,9 +140,11 @@ def _serve(rule: _Label, own: dict, around: dict, start: int, limit: tuple | Non
     out: dict = {}
     for v, (parent, w) in done.items():  # parents come before their children
         if v in around:
-            out[v] = around[v][:2]
+            out[v] = around[v][0], around[v][1]
         elif parent is None:
             out[v] = ([v], [])
+        elif brief:
+            out[v] = ([start, v], [w])
         else:
             path, weights = out[parent]
             out[v] = ([*path, v], [*weights, w])
@@ -156,22 +166,21 @@ def _split(pdf: pd.DataFrame):
     return own, inside, around
 
 
-def _tile_round(mode: str, start: int):
+def _tile_round(mode: str, start: int, end: int | None, brief: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         # of a node outside the tile the message just received replaces the older one
         halo = pdf[~pdf.own].sort_values("changed").drop_duplicates("node", keep="last")
         pdf = pd.concat([pdf[pdf.own], halo])
         own, inside, around = _split(pdf)
-        found = _serve(_Label(mode), inside, around, start)
-        old = dict(zip(own.node, own.path))
+        found = _serve(_Label(mode), inside, around, start, end=end, brief=brief)
+        old = {n: None if p is None else (list(p), list(w)) for n, p, w in zip(own.node, own.path, own.weights)}
         rows = pdf.copy()
         rows["changed"] = False
         paths, weights, changed = [], [], []
         for node, is_own, p, w in zip(rows.node, rows.own, rows.path, rows.weights):
             if is_own:
-                was = old[node]
+                changed.append(found.get(node) != old[node])
                 p, w = found.get(node, (None, None))
-                changed.append((p is None) != (was is None) or (p is not None and list(was) != p))
             else:
                 changed.append(False)
             paths.append(p)
@@ -194,12 +203,21 @@ def _tile_visited(mode: str, start: int, end_path: list, end_weights: list):
 
 # ---- rounds -----------------------------------------------------------------------------
 def label_setting(
-    graph: DataFrame, start: int, end: int, mode: str = MFEP, tile: int | None = None, tile_of: Column | None = None
+    graph: DataFrame,
+    start: int,
+    end: int,
+    mode: str = MFEP,
+    tile: int | None = None,
+    tile_of: Column | None = None,
+    to_end: bool = False,
+    brief: bool = False,
 ) -> SearchResult:
     """Search from ``start``; paths to every reachable node, and the one to ``end``.
 
     ``graph``: ``src, dst, weight``.  Nodes are cut into tiles of ``tile`` consecutive
-    numbers, or by ``tile_of``, an expression over the column ``node``.
+    numbers, or by ``tile_of``, an expression over the column ``node``.  With ``to_end`` the
+    nodes that would be served after ``end`` may be missing.  ``brief``, for the maximum-edge
+    mode, finds distances only: a path is then just the start and the node.
     """
     node = F.col("node")
     tile_of = F.floor(node / F.lit(tile or TILE_NODES)).cast("long") if tile_of is None else tile_of
@@ -225,7 +243,7 @@ def label_setting(
             active = messages.select("tile").distinct()
             busy = state.join(active, "tile", "left_semi").unionByName(messages)
             idle = state.join(active, "tile", "left_anti")
-        served = busy.groupBy("tile").applyInPandas(_tile_round(mode, start), STATE)
+        served = busy.groupBy("tile").applyInPandas(_tile_round(mode, start, end if to_end else None, brief), STATE)
         state = materialize(idle.withColumn("changed", F.lit(False)).unionByName(served))
         moved = state.filter("own AND changed").withColumnRenamed("tile", "home")
         targets = F.array_distinct(F.transform("out", lambda e: e["tile"]))
@@ -283,6 +301,8 @@ def find_path(
 ) -> PathResult:
     """Path between two positions of a (patched) grid.
 
+    In minimum-free-energy mode ``distances`` covers at least the bins served before the end.
+
     ``algorithm`` is ``"dijkstra"`` (label setting) or ``"spfa"`` (queue based); in
     minimum-free-energy mode the two can find different paths.
     """
@@ -296,7 +316,14 @@ def find_path(
     grid = Histogram(spec, materialize(patched.df), patched.values)
     edges = grid_edges(grid)
     if algorithm == "dijkstra":
-        r = label_setting(edges, a, b, mode, tile_of=_grid_tile(spec, F.col("node"), tile_nodes))
+        tiles = _grid_tile(spec, F.col("node"), tile_nodes)
+        if mode == MFEP and spec.size > tile_nodes:
+            # No bin beyond the barrier between the two ends is served before the search
+            # arrives.  Finding the barrier first is the cheaper search of the two.
+            cheap = label_setting(edges, a, b, MAX, tile_of=tiles, brief=True).nodes
+            barrier = cheap.filter(F.col("node") == F.lit(b)).select("distance").first()
+            edges = edges.filter(F.col("weight") <= F.lit(barrier[0])) if barrier else edges
+        r = label_setting(edges, a, b, mode, tile_of=tiles, to_end=mode == MFEP)
         nodes, visited, distances = r.path, r.visited, r.nodes.select("node", "distance")
     elif algorithm == "spfa":
         found = spfa(edges, a, mode, bipartite=is_bipartite(spec))
