@@ -32,6 +32,12 @@ from saddlespark.session import shared_folder  # noqa: E402
 from saddlespark.sources import mdlog, sinks, text  # noqa: E402
 from saddlespark.streaming.accumulate import run_to_end, stream_bin_sum  # noqa: E402
 
+try:
+    import corpus_pipeline
+    from saddlespark.llm import queries as llm
+except ImportError:
+    llm = None
+
 # ---- grids the queries use --------------------------------------------------------
 QTY = Axis(0.0, 50.0, 10)
 DISC = Axis(0.0, 0.1, 5)
@@ -874,7 +880,7 @@ def oracle_sql() -> dict[str, str]:
     parts = "list_filter(regexp_split_to_array(text, '[(),\\s]+'), lambda s: s <> '')"
     sums = s_hist("lineitem", LI[:2], GRID_2D, "sum(l_extendedprice)")
     hills_1d = s_hills(one_d, [("c0", "s0")])
-    return {
+    return text_sql() | {
         "axis_wrap_index": s_axis_query(),
         "axis_min_image_dist": f"SELECT event_id, {r(s_dist(SA, user, ANGLE))} AS cyclic, {r(s_dist(SA, user, VALUE))} AS plain FROM events",
         "grid_reverse_address": s_reverse(),
@@ -943,7 +949,21 @@ def oracle_sql() -> dict[str, str]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query by name."""
-    return {name[2:]: f for name, f in globals().items() if name.startswith("q_") and callable(f)}
+    own = {name[2:]: f for name, f in globals().items() if name.startswith("q_") and callable(f)}
+    return own | text_queries()
+
+
+def text_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The text operators and their pipeline; none where that part of the library is absent."""
+    if llm is None:
+        return {}
+    return llm.queries() | {"pipeline": corpus_pipeline.run}
+
+
+def text_sql() -> dict[str, str]:
+    if llm is None:
+        return {}
+    return llm.oracle_sql() | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
 
 
 def entry(spark: SparkSession) -> DataFrame:
