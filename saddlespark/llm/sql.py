@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import chat, mixing
 from .quality import MARKS, RULES, STOP_WORDS
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -52,3 +53,66 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND {' AND '.join(tests)} AS kept
 FROM c JOIN m USING (doc_id)"""
+
+
+def mix_sources() -> str:
+    weights = "[" + ", ".join(map(str, mixing.WEIGHTS)) + "]"
+    marks = " + ".join(f"(strlen(t) - strlen(replace(t, '{c}', '')))" for c in "#*$%&|<>!")
+    return rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
+k AS (
+  SELECT doc_id, source, size,
+    -ln((CAST(CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5e0) / 4503599627370496e0)
+    / greatest(0.1e0, 1e0 - CASE WHEN strlen(t) > 0 THEN 10e0 * ({marks}) / strlen(t) ELSE 0e0 END) AS key
+  FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT *, {weights}[(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS w,
+    {mixing.MOST} * source_size AS cap FROM s),
+a AS (
+  SELECT *, {mixing.SHARE}e0 * (sum(source_size) OVER ()) AS total, sum(w) OVER () AS ws,
+    coalesce(sum(cap) OVER before, 0) AS caps, coalesce(sum(w) OVER before, 0) AS ahead
+  FROM w WINDOW before AS (ORDER BY cap / w, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, cap <= w * ((total - caps) / (ws - ahead)) AS capped FROM a),
+g AS (
+  SELECT source, source_size, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE
+    w * ((total - coalesce(sum(cap) FILTER (capped) OVER (), 0)) / (ws - coalesce(sum(w) FILTER (capped) OVER (), 0))) END AS target
+  FROM f),
+p AS (
+  SELECT k.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes,
+    coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source),
+c AS (SELECT *, passes + CASE WHEN before + size / 2e0 < target - passes * source_size THEN 1 ELSE 0 END AS copies FROM p)
+SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM c"""
+
+
+def chat_format(control: str) -> str:
+    esc = r"regexp_replace({}, '<(\|+)', '<|\1', 'g')"
+    role = esc.format(r"replace(replace(role, '\', '\\'), chr(10), '\n')")
+    return rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{control}'), (-1, 1, 'assistant', '{control}')),
+t AS (
+  SELECT *, row_number() OVER o - 1 AS n, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + {chat.MARK_TOKENS} AS tokens,
+    {len(chat.START) + 1 + len(chat.STOP)} + length({role}) + length({esc.format('text')}) AS chars
+  FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+b AS (
+  SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t),
+w AS (SELECT *, floor((before + tokens - 1) / {chat.FRESH}) AS w FROM b),
+opens AS (SELECT conv_id, w, min(n) AS o, min(before) AS f FROM w GROUP BY conv_id, w),
+context AS (
+  SELECT t.conv_id, t.chars FROM w t JOIN opens USING (conv_id) WHERE t.n = 0 AND t.role = 'system' AND opens.o > 0
+  UNION ALL
+  SELECT t.conv_id, t.chars FROM w t JOIN opens USING (conv_id)
+  WHERE t.n BETWEEN opens.o - {chat.HISTORY_TURNS} AND opens.o - 1 AND opens.f - t.before <= {chat.HISTORY_TOKENS}
+    AND NOT (t.n = 0 AND t.role = 'system')),
+extra AS (SELECT conv_id, sum(chars) AS chars FROM context GROUP BY conv_id),
+own AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '') AS learnt, sum(chars) AS chars
+  FROM w GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256,
+  CAST(own.chars + coalesce(extra.chars, 0) AS BIGINT) AS formatted_chars
+FROM own LEFT JOIN extra USING (conv_id)"""
