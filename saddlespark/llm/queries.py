@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, sharding, sql
+from . import chat, mixing, packing, pages, quality, sharding, sql
 from .common import table
 
 
@@ -59,6 +59,12 @@ def op3_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op5_page_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    found = pages.extract(table(spark, sf, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op7_shards(spark: SparkSession, sf: str) -> DataFrame:
     """Shard and place of every document; shards hold nearly the same number of bytes."""
     return sharding.shard(table(spark, sf, "documents"), shards=16).select(
