@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, pages, quality, sharding, sql
+from . import chat, licenses, mixing, packing, pages, quality, sharding, sql
 from .common import table
 
 
@@ -59,6 +59,11 @@ def op3_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    return licenses.scan(table(spark, sf, "documents"))
+
+
 def op5_page_text(spark: SparkSession, sf: str) -> DataFrame:
     """Main text of every page."""
     found = pages.extract(table(spark, sf, "pages"))
@@ -94,5 +99,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": sql.mix_sources(),
         "op3_chat_format": sql.chat_format(CONTROL),
+        "op4_license_scan": sql.license_scan(),
         "op8_quality_rules": sql.quality_rules(),
     }

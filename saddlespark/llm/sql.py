@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, mixing
+import math
+
+from . import chat, licenses, mixing
 from .quality import MARKS, RULES, STOP_WORDS
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -116,3 +118,34 @@ own AS (
 SELECT conv_id, n_turns, turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256,
   CAST(own.chars + coalesce(extra.chars, 0) AS BIGINT) AS formatted_chars
 FROM own LEFT JOIN extra USING (conv_id)"""
+
+
+def license_scan() -> str:
+    phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in licenses.PHRASES.items())
+    rows = []
+    for label, text in licenses.TEMPLATES:
+        words = sorted(set(text.split()))
+        rows.append(f"('{label}', {words}, {math.ceil(licenses.CONTAINS * len(words))}, {len(words)})")
+    step = licenses.BLOCK // 2
+    return rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+phrases(p, label, k) AS (VALUES {phrases}),
+starts AS (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d),
+hits AS (SELECT doc_id, label, i FROM starts JOIN phrases ON array_to_string(w[i + 1:i + k], ' ') = p),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM hits GROUP BY doc_id),
+blocks AS (
+  SELECT doc_id, list_distinct(w[s + 1:s + {licenses.BLOCK}]) AS w
+  FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 1 - {step}, 0) + 1, {step})) AS s FROM d)),
+templates(label, words, need, n) AS (VALUES {", ".join(rows)}),
+more AS (
+  SELECT doc_id, list(DISTINCT label) AS labels, max(CAST(common AS DOUBLE) / n) AS share
+  FROM (SELECT doc_id, label, need, n, len(list_intersect(w, words)) AS common FROM blocks, templates)
+  WHERE common >= need GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,
+  CASE WHEN base.labels IS NOT NULL THEN 1e0 ELSE coalesce(share, 0e0) END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)"""
