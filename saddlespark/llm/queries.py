@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, packing, pages, quality, sharding, sql
+from . import chat, licenses, mixing, ngram_join, packing, pages, quality, sharding, sql
 from .common import table
 
 
@@ -77,6 +77,11 @@ def op7_shards(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op9_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Size of every document's set of 4-word shingles and its component of links at Jaccard 0.85."""
+    return ngram_join.near_duplicates(table(spark, sf, "documents"), words=4, percent=85)
+
+
 def op10_pack(spark: SparkSession, sf: str) -> DataFrame:
     """Which window holds which piece of which document."""
     return packing.pack_documents(table(spark, sf, "documents"), tokenizer_path()).select(
