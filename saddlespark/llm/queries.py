@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, ngram_join, packing, pages, quality, sharding, sql
+from . import chat, forest, licenses, mixing, ngram_join, packing, pages, quality, sharding, sql
 from .common import table
 
 
@@ -29,6 +29,11 @@ def op1_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.plan(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 nearest vectors by inner product of every 20th vector."""
+    return forest.search(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
