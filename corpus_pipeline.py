@@ -2,7 +2,7 @@
 
 ``STAGES`` names the stages in order.  Each takes (spark, docs, sf_dir) and returns a
 DataFrame; ``run`` writes each result as Parquet to the session's shared folder and reads it
-back as the next stage's documents.
+back as the next stage's documents.  All stages but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from saddlespark.llm import quality
+from saddlespark.llm import line_dedup, mixing, ngram_join, packing, quality
+from saddlespark.llm.queries import tokenizer_path
 from saddlespark.session import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,7 +25,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules)]
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated lines; those that lose all their lines go, n_chars follows the text."""
+    kept = line_dedup.dedup_lines(docs, drop_emptied=True)
+    changed = F.when(F.col("lines_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", changed).select(*docs.columns)
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of Jaccard similarity 0.8 on five-word shingles connect."""
+    return ngram_join.distinct_documents(docs, words=5, percent=80)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: a row for each time a document is taken."""
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document of the mix stands in the training windows."""
+    return packing.pack_documents(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup_stage),
+    ("ngram_jaccard", ngram_jaccard),
+    ("mix_sources", mix_sources),
+    ("pack", pack),
+]
 
 # Joins by similarity, tokenizers and packing are beyond SQL.
 ORACLE_SQL = None

@@ -42,10 +42,10 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import fresh
 from .components import components
+from .lists import pairs_across
 
 SKETCH_BITS = 20  # counters per row of the sketch; two rows of four bytes each: 8 MB in all
 BITMAP_BITS = 1024
-LIST_BLOCK = 512  # sets of a list that meet another block in one place
 WORDS_KEPT = 500_000  # word hashes that a worker remembers
 BROADCAST_IDS = 1 << 20  # ids of 8 bytes: 8 MB; more go through a shuffled join
 
@@ -290,63 +290,14 @@ def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, perc
     return joined.select("a", "b", "ga", "gb").mapInPandas(run, "a long, b long")
 
 
-def _rest(lists: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a list and that the bitmaps leave.
+def _unproved(percent: int):
+    """The test of pairs inside lists: the bitmaps do not rule a link out."""
 
-    The members of a list are ordered by component and cut into blocks; every two blocks meet in
-    one place, unless both lie in the same component.
-    """
-    root = roots.select(F.col("node").alias("sid"), "root")
-    rows = lists.select("key", "sid").join(root, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    mixed = rows.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("key")
-    rows = rows.join(mixed, "key")
-    place = F.row_number().over(W.partitionBy("key").orderBy("root", "sid")) - 1
-    rows = materialize(rows.withColumn("block", F.floor(place / F.lit(LIST_BLOCK)).cast("int")))
-    blocks = rows.groupBy("key", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    other = blocks.select("key", F.col("block").alias("block2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    meet = blocks.join(other, "key").filter("block <= block2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)")
-    meet = meet.select("key", F.col("block").alias("i"), F.col("block2").alias("j"))
-    sides = meet.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    full = rows.join(sides, ["key", "block"]).join(sets.select("sid", "n", "bits"), "sid")
-    full = full.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j", "block", "root", "sid")
+    def test(rows: pd.DataFrame):
+        bits, n = _stack(rows["bits"]), rows["n"].to_numpy()
+        return lambda x, y: ~_apart(bits[x], bits[y], n[x], n[y], percent)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # the last group of a batch may go on in the next
-        for b in itertools.chain(batches, [None]):
-            rest = held if b is None else b if held is None else pd.concat([held, b], ignore_index=True)
-            if rest is None or not len(rest):
-                continue
-            group = rest[["key", "i", "j"]].to_numpy()
-            starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1)])
-            done = len(rest) if b is None else starts[-1]
-            held = None if b is None else rest.iloc[done:].reset_index(drop=True)
-            if done:
-                yield _inside(rest.iloc[:done], starts[starts < done], percent)
-
-    return full.select("key", "i", "j", "block", "root", "sid", "n", "bits").mapInPandas(run, "a long, b long").distinct()
-
-
-def _inside(rows: pd.DataFrame, starts: np.ndarray, percent: int) -> pd.DataFrame:
-    """Pairs inside groups of rows that lie in different components and, if a group has two blocks, in both."""
-    ends = np.r_[starts[1:], len(rows)]
-    last = np.repeat(ends, ends - starts)
-    root, sid, n = (rows[c].to_numpy() for c in ("root", "sid", "n"))
-    across = (rows["i"] != rows["j"]).to_numpy()
-    block, bits, at = rows["block"].to_numpy(), _stack(rows["bits"]), np.arange(len(rows))
-    found = []
-    step = 1
-    while True:
-        x = at[at + step < last]
-        if not len(x):
-            break
-        y = x + step
-        ok = (root[x] != root[y]) & (~across[x] | (block[x] != block[y]))
-        x, y = x[ok], y[ok]
-        left = ~_apart(bits[x], bits[y], n[x], n[y], percent)
-        found.append(np.stack([sid[x[left]], sid[y[left]]], axis=1))
-        step += 1
-    pairs = np.sort(np.concatenate(found), axis=1) if found else np.empty((0, 2), dtype=np.int64)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]}).drop_duplicates()
+    return test
 
 
 # ---- the join --------------------------------------------------------------------------
@@ -371,7 +322,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
     stars = lists.filter("sid <> pivot").select(F.least("pivot", "sid").alias("a"), F.greatest("pivot", "sid").alias("b")).distinct()
     edges = materialize(_linked(materialize(_probable(stars, sets, percent)), docs, sets, words, percent).union(subsets).distinct())
     roots = components(edges)
-    more = materialize(_rest(lists, roots, sets, percent))
+    more = materialize(pairs_across(lists, roots, sets.select("sid", "n", "bits"), _unproved(percent)))
     if not more.isEmpty():
         roots = components(edges.union(_linked(more, docs, sets, words, percent)))
     named = sets.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, forest, licenses, mixing, ngram_join, packing, pages, quality, sharding, sql
+from . import chat, forest, licenses, line_dedup, mixing, ngram_join, packing, pages, quality, sharding, sql
 from .common import table
 
 
@@ -75,6 +75,12 @@ def op5_page_text(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the lines that repeat an earlier one, exactly or nearly."""
+    kept = line_dedup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", F.col("lines_removed").cast("long").alias("lines_removed"), F.char_length("text").cast("long").alias("n_chars"), "text")
+
+
 def op7_shards(spark: SparkSession, sf: str) -> DataFrame:
     """Shard and place of every document; shards hold nearly the same number of bytes."""
     return sharding.shard(table(spark, sf, "documents"), shards=16).select(
