@@ -61,6 +61,7 @@ KT = thermal_energy(300.0, "kcal/mol")
 PATCHES = [Patch((12.0, 0.05), (15.0, 0.05), 40.0), Patch((30.0, 0.03), (24.0, 0.03), -7.5)]
 START, END = [2.5, 0.01], [47.5, 0.09]
 STRIDE = 250
+TILE = 16  # bins of a search tile: small enough that these searches cross tiles
 
 
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -382,25 +383,26 @@ def q_patch_grid(spark, sf):
 
 
 def q_minimax_barrier(spark, sf):
-    r = search.find_path(mean_price(spark, sf, GRID_2D), START, END, mode="max")
-    start = GRID_2D.address_value(START)
-    return rounded(r.distances.filter(F.col("addr") != start))
+    """Barriers from the start to every bin; none to the start itself (NULL)."""
+    r = search.find_path(mean_price(spark, sf, GRID_2D), START, END, mode="max", tile_nodes=TILE)
+    passed = F.when(F.col("distance") > F.lit(float("-inf")), F.col("distance"))
+    return rounded(r.distances.withColumn("distance", passed))
 
 
 def q_shortest_sum(spark, sf):
-    return rounded(search.find_path(mean_price(spark, sf, GRID_2D), START, END, mode="sum").distances, digits=3)
+    return rounded(search.find_path(mean_price(spark, sf, GRID_2D), START, END, mode="sum", tile_nodes=TILE).distances, digits=3)
 
 
 def q_mfep_dijkstra(spark, sf):
-    return rounded(search.find_path(mean_price(spark, sf, GRID_2D), START, END, PATCHES).path)
+    return rounded(search.find_path(mean_price(spark, sf, GRID_2D), START, END, PATCHES, tile_nodes=TILE).path)
 
 
 def q_mfep_visited(spark, sf):
-    return rounded(search.find_path(mean_price(spark, sf, GRID_2D), START, END, PATCHES).visited)
+    return rounded(search.find_path(mean_price(spark, sf, GRID_2D), START, END, PATCHES, tile_nodes=TILE).visited)
 
 
 def q_mfep_spfa(spark, sf):
-    return rounded(search.find_path(mean_price(spark, sf, GRID_COARSE), START, END, PATCHES, algorithm="spfa").path)
+    return rounded(search.find_path(mean_price(spark, sf, GRID_2D), START, END, PATCHES, algorithm="spfa").path)
 
 
 def q_dfs_order(spark, sf):
@@ -423,9 +425,15 @@ def q_traj_text_parse(spark, sf):
 
 
 def q_number_list_parse(spark, sf):
+    """Fields of every text as numbers (0 if they are none): sum of the finite ones, and how many are not."""
     rows = load(spark, sf, "documents").select("doc_id", numbers(F.col("text")).alias("n"))
-    total = F.aggregate("n", F.lit(0.0), lambda a, x: a + F.when(F.abs(x) < 1e9, x).otherwise(0.0))
-    return rounded(rows.select("doc_id", F.size("n").cast("long").alias("pieces"), total.alias("total")), digits=3)
+    finite = F.filter("n", lambda x: F.abs(x) < float("inf"))
+    total = F.aggregate(finite, F.lit(0.0), lambda a, x: a + x)
+    short = lambda c: F.when(F.abs(c) < 1e9, F.round(c, 3) + 0.0).otherwise(c)  # noqa: E731  digits that a double has
+    return rows.select(
+        "doc_id", F.size("n").cast("long").alias("pieces"), short(total).alias("total"), short(F.array_max(finite)).alias("most"),
+        (F.size("n") - F.size(finite)).cast("long").alias("endless"),
+    )
 
 
 def q_hills_text(spark, sf):
@@ -750,7 +758,19 @@ def s_minimax() -> str:
         f"WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {s_edges(s_price(GRID_2D), GRID_2D)}), reach AS ("
         f"SELECT CAST({start} AS BIGINT) AS addr, CAST('-inf' AS DOUBLE) AS b UNION "
         "SELECT e.dst, greatest(r.b, e.weight) FROM reach r JOIN e ON e.src = r.addr) "
-        f"SELECT addr, {r('min(b)')} AS distance FROM reach WHERE addr <> {start} GROUP BY addr"
+        f"SELECT addr, CASE WHEN addr <> {start} THEN {r('min(b)')} END AS distance FROM reach GROUP BY addr"
+    )
+
+
+def s_numbers(parts: str) -> str:
+    shape = r"^[-+]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[-+]?[0-9]+)?|inf(inity)?|nan)$"
+    one = f"CASE WHEN regexp_matches(s, '{shape}', 'i') THEN coalesce(try_cast(s AS DOUBLE), 0e0) ELSE 0e0 END"
+    short = lambda x: f"CASE WHEN abs({x}) < 1e9 THEN {r(x, 3)} ELSE {x} END"
+    return (
+        f"WITH d AS (SELECT doc_id, list_transform({parts}, lambda s: {one}) AS n FROM documents), "
+        "f AS (SELECT *, list_filter(n, lambda x: abs(x) < CAST('inf' AS DOUBLE)) AS fin FROM d) "
+        f"SELECT doc_id, CAST(len(n) AS BIGINT) AS pieces, {short('coalesce(list_sum(fin), 0e0)')} AS total, {short('list_max(fin)')} AS most, "
+        "CAST(len(n) - len(fin) AS BIGINT) AS endless FROM f"
     )
 
 
@@ -933,11 +953,10 @@ def oracle_sql() -> dict[str, str]:
         "shortest_sum": s_shortest(),
         "mfep_dijkstra": s_search(GRID_2D, s_path_rows(GRID_2D)),
         "mfep_visited": s_search(GRID_2D, s_visited(GRID_2D)),
-        "mfep_spfa": s_queue_search(GRID_COARSE),
+        "mfep_spfa": s_queue_search(GRID_2D),
         "dfs_order": s_dfs(0, 20),
         "traj_text_parse": f"SELECT addr, {r('value', 2)} AS value FROM {sums}",
-        "number_list_parse": f"SELECT doc_id, CAST(len({parts}) AS BIGINT) AS pieces, "
-        f"{r(f'list_sum(list_transform({parts}, lambda s: CASE WHEN abs(coalesce(try_cast(s AS DOUBLE), 0e0)) < 1e9 THEN coalesce(try_cast(s AS DOUBLE), 0e0) ELSE 0e0 END))', 3)} AS total FROM documents",
+        "number_list_parse": s_numbers(parts),
         "hills_text": hills_1d,
         "grid_text_round_trip": s_table(s_count(GRID_CYC), GRID_CYC),
         "vector_grid_text": f"SELECT addr, {r('g0')} AS v0, {r('g1')} AS v1 FROM {s_field(GRID_CYC)}",

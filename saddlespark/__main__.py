@@ -23,7 +23,7 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     try:
         run(build_session(master=args.master), chosen[0], args.config)
-    except (OSError, ValueError, KeyError, json.JSONDecodeError) as e:
+    except (ArithmeticError, OSError, ValueError, KeyError, json.JSONDecodeError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
     return 0

@@ -36,15 +36,19 @@ def fields(line: Column, separator: str = FIELD_SEPARATOR) -> Column:
     return F.array_remove(F.split(line, separator), "")
 
 
-def numbers(line: Column, separator: str = FIELD_SEPARATOR) -> Column:
-    """Column form of :func:`parse_numbers`."""
-    # a failed cast is costly, so only what starts like a number is tried
-    starts_like_one = r"(?i)^[-+]?([0-9.]|inf|nan)"
+# How a number is written: Spark's cast would also take Java's suffixes and hexadecimal forms.
+NUMBER = r"(?i)^[-+]?((\d+\.?\d*|\.\d+)(e[-+]?\d+)?|inf(inity)?|nan)$"
+
 
-    def one(s: Column) -> Column:
-        return F.coalesce(F.when(s.rlike(starts_like_one), s.try_cast("double")), F.lit(0.0))
+def to_number(field: Column) -> Column:
+    """A field as a double; NULL if it is not written as a number."""
+    # the test comes first also because a failed cast is costly
+    return F.when(field.rlike(NUMBER), field.try_cast("double"))
 
-    return F.transform(fields(line, separator), one)
+
+def numbers(line: Column, separator: str = FIELD_SEPARATOR) -> Column:
+    """Column form of :func:`parse_numbers`."""
+    return F.transform(fields(line, separator), lambda s: F.coalesce(to_number(s), F.lit(0.0)))
 
 
 def nearly_equal(a: Column, b: Column, ulps: int = 2) -> Column:

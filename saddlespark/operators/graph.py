@@ -166,7 +166,7 @@ def distance_value(mode: str, label: Column) -> Column:
     return F.coalesce(F.try_element_at(label, F.lit(1)), F.lit(0.0))
 
 
-def spfa(graph: DataFrame, start: int, mode: str = MFEP, bipartite: bool = False, max_passes: int = 10_000) -> DataFrame:
+def spfa(graph: DataFrame, start: int, mode: str = MFEP, bipartite: bool = False) -> DataFrame:
     """Queue-based label-correcting search: ``node, label, distance, path``.
 
     One round handles all nodes that stand in the queue together.  ``okey`` is a node's
@@ -175,8 +175,9 @@ def spfa(graph: DataFrame, start: int, mode: str = MFEP, bipartite: bool = False
     nodes of one pass that are neighbours of each other can see each other's updates;
     in a bipartite graph there are none, elsewhere those updates are settled first.
 
-    A path may visit a node twice, and nothing bounds the passes of this method by
-    construction: more than ``max_passes`` is an error.
+    The search ends when nothing is queued, however many passes that takes; a node is queued
+    only if its label got smaller, so no state comes twice.  Sums that still fall after as many
+    passes as there are nodes show a cycle of negative weight, which is an error.
     """
     graph = materialize(graph.select("src", "dst", "weight", "ord"))
     spark = graph.sparkSession
@@ -191,10 +192,16 @@ def spfa(graph: DataFrame, start: int, mode: str = MFEP, bipartite: bool = False
     # label lengths never exceed the length of the walk, which a pass extends by the
     # longest chain of neighbours inside the queue; the bound below is raised to match
     longest = 0
-    for _ in range(max_passes):
+    passes, most = 0, None
+    while True:
         queue = state.filter(F.col("okey").isNotNull()).select("node", "label", "path", "okey")
         if queue.isEmpty():
             return state.select("node", "label", distance_value(mode, F.col("label")).alias("distance"), "path")
+        passes += 1
+        if mode == SUM and passes & (passes - 1) == 0:
+            most = most or graph.select(F.explode(F.array("src", "dst")).alias("n")).distinct().count()
+            if passes > most + 1:
+                raise RuntimeError("the graph has a cycle of negative weight")
         if not bipartite:
             queue, longest = _settle_queue(queue, graph, mode, longest)
             served = queue.select("node", F.col("label").alias("ql"), F.col("path").alias("qp"))
@@ -203,7 +210,6 @@ def spfa(graph: DataFrame, start: int, mode: str = MFEP, bipartite: bool = False
             )
         longest += 1
         state = materialize(_serve_pass(state, queue, graph, mode, longest))
-    raise RuntimeError(f"the search did not settle within {max_passes} passes")
 
 
 def _serve_pass(state: DataFrame, queue: DataFrame, graph: DataFrame, mode: str, length: int) -> DataFrame:

@@ -52,12 +52,9 @@ def hill_terms(hills: DataFrame, spec: GridSpec, keep: list[str]) -> DataFrame:
 
     ``hills`` has columns ``c0.., s0.., height``.
     """
-    spark, n = hills.sparkSession, spec.ndim
-    # A few bytes of a hill turn into many rows here, so input splits are no measure of
-    # the work: hills are dealt out evenly first.
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = spec.ndim
     ready = [a.wrap(F.col(f"c{k}")).alias(f"c{k}") for k, a in enumerate(spec.axes)]
-    df = hills.select(*keep, "height", *ready, *[f"s{k}" for k in range(n)]).repartition(tasks)
+    df = hills.select(*keep, "height", *ready, *[f"s{k}" for k in range(n)])
     for k, axis in enumerate(spec.axes):
         c, s = F.col(f"c{k}"), F.col(f"s{k}")
         # The range is built inside explode and no filter follows: the optimizer would

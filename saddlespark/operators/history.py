@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +39,24 @@ def last_frame(history: DataFrame, spec: GridSpec) -> Histogram:
     return Histogram(spec, history.filter(F.col("frame") == top).select("addr", "value"))
 
 
+def same_grid(a: GridSpec, b: GridSpec) -> bool:
+    """The same axes, to the nine digits that file headers carry."""
+
+    def alike(x: float, y: float) -> bool:
+        return math.isclose(x, y, rel_tol=1e-8, abs_tol=1e-8)
+
+    pairs = zip(a.axes, b.axes)
+    return a.ndim == b.ndim and all(
+        p.bins == q.bins and p.periodic == q.periodic and alike(p.lower, q.lower) and alike(p.upper, q.upper) for p, q in pairs
+    )
+
+
 def rmsd(history: DataFrame, spec: GridSpec, reference: Histogram | None = None) -> DataFrame:
     """Root mean square deviation of every frame, over all bins of the grid.
 
     The reference is the last frame unless one is given.  ``history`` holds dense frames.
     """
-    if reference is not None and reference.spec.size != spec.size:
+    if reference is not None and not same_grid(reference.spec, spec):
         raise ValueError("the reference is on another grid than the history")
     if reference is None:
         history = materialize(history)

@@ -95,4 +95,7 @@ def number_rows(df: DataFrame, files: DataFrame | None, out: str) -> DataFrame:
     table = pieces.join(whole, "file").select(
         "part", "block", "file", (F.col("_base") + F.col("_file_base") - F.col("_first")).alias("_base")
     )
-    return df.join(table, ["part", "block"]).withColumn(out, F.col("_seq") + F.col("_base")).drop("_seq", "_base")
+    # the files are scanned once for the pieces and once for the rows: both must be split alike
+    lost = F.raise_error(F.concat(F.lit("input split differently on a second scan: "), F.col("part"))).cast("long")
+    found = df.join(table, ["part", "block"], "left")
+    return found.withColumn(out, F.col("_seq") + F.coalesce("_base", lost)).drop("_seq", "_base")

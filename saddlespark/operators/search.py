@@ -35,7 +35,7 @@ from .histogram import Histogram
 from .patches import Patch, apply_patches
 
 # Nodes of one tile, that is, of one task's search.
-TILE_NODES = 1 << 14
+TILE_NODES = 1 << 12
 
 OUT_TYPE = "array<struct<dst:bigint,tile:bigint,weight:double>>"
 STATE = f"tile long, node long, own boolean, out {OUT_TYPE}, path array<long>, weights array<double>, changed boolean"
@@ -301,7 +301,7 @@ def find_path(
 ) -> PathResult:
     """Path between two positions of a (patched) grid.
 
-    In minimum-free-energy mode ``distances`` covers at least the bins served before the end.
+    In minimum-free-energy mode ``distances`` has the bins served before the end, and the end.
 
     ``algorithm`` is ``"dijkstra"`` (label setting) or ``"spfa"`` (queue based); in
     minimum-free-energy mode the two can find different paths.
@@ -317,7 +317,7 @@ def find_path(
     edges = grid_edges(grid)
     if algorithm == "dijkstra":
         tiles = _grid_tile(spec, F.col("node"), tile_nodes)
-        if mode == MFEP and spec.size > tile_nodes:
+        if mode == MFEP:
             # No bin beyond the barrier between the two ends is served before the search
             # arrives.  Finding the barrier first is the cheaper search of the two.
             cheap = label_setting(edges, a, b, MAX, tile_of=tiles, brief=True).nodes
@@ -325,6 +325,9 @@ def find_path(
             edges = edges.filter(F.col("weight") <= F.lit(barrier[0])) if barrier else edges
         r = label_setting(edges, a, b, mode, tile_of=tiles, to_end=mode == MFEP)
         nodes, visited, distances = r.path, r.visited, r.nodes.select("node", "distance")
+        if mode == MFEP:
+            served = visited.union(distances.filter(F.col("node") == F.lit(b)).select("node")).distinct()
+            distances = distances.join(served, "node", "left_semi")
     elif algorithm == "spfa":
         found = spfa(edges, a, mode, bipartite=is_bipartite(spec))
         nodes = found.filter(F.col("node") == F.lit(b)).select(F.posexplode("path").alias("ord", "node"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,23 +24,25 @@ def build_session(app: str = "saddlespark", master: str | None = None, **conf: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the session names it.
+    """The folder every executor can reach, as the session names it; it goes when the session ends.
 
-    Only a local session without the setting gets a temporary folder of its own; on a
-    cluster a missing setting is an error, because a machine-local folder would be
-    lost together with its executor.
+    That is the folder Spark made for this application below ``spark.checkpoint.dir``.  Only a
+    local session without the setting gets one next to its tables; on a cluster a missing
+    setting is an error, because a machine-local folder would be lost together with its
+    executor.
     """
     sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
+        sc.setCheckpointDir(folder)
     folder = sc.getCheckpointDir()
-    if folder:
-        return folder
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="saddlespark-")
-    sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir()
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.grid import GridSpec
-from ..functions.units import fields
+from ..functions.units import fields, to_number
 from ..operators.histogram import Histogram, bin_mean
-from .text import STRICT, Lines, parse_trajectory, read_lines
+from .text import PERMISSIVE, STRICT, Lines, parse_trajectory, read_lines
 
 # Line prefixes of the log format and the names of its force terms.
 TITLE_PREFIX = "ETITLE:"
@@ -20,6 +20,15 @@ FORCE_TITLES = ("VDW_FORCE", "ELECT_FORCE")
 STEP, VDW, ELECT = "TS", "VDW", "ELECT"
 
 
+def _number(field: Column, title: str, mode: str) -> Column:
+    x = to_number(field)
+    if mode == PERMISSIVE:
+        return x
+    # only lines of the log reach this point with fields
+    wrong = F.raise_error(F.concat(F.lit(f"no number for {title}: "), F.col("value"))).cast("double")
+    return F.coalesce(x, F.when(F.col("value").startswith(ENERGY_PREFIX) | F.col("value").startswith(PAIR_PREFIX), wrong))
+
+
 @dataclass(frozen=True)
 class MDLog:
     """A parsed log.  Lines stay text until a term is asked for."""
@@ -37,10 +46,11 @@ class MDLog:
         start = F.struct(*[F.lit(x).cast(t) for x, t in zip(self._start, ("string", "long", "long"))])
         return df.filter(F.struct("part", "block", "pos") > start)
 
-    def energies(self, titles: list[str] | None = None) -> DataFrame:
+    def energies(self, titles: list[str] | None = None, mode: str = STRICT) -> DataFrame:
         """``row`` and one column per title, one row per energy line.
 
-        A title listed twice in the log keeps the column of its first mention.
+        A title listed twice in the log keeps the column of its first mention.  A missing or bad
+        number is an error, or NULL in permissive mode.
         """
         titles = list(self.titles) if titles is None else titles
         place = dict(zip(self.titles, self._columns))
@@ -50,10 +60,10 @@ class MDLog:
         body = F.expr(f"substring(value, {len(ENERGY_PREFIX) + 1})")
         df = self._energy_lines().withColumn("f", fields(body, r"\s+"))
         return self.lines.map(lambda _: df).numbered().select(
-            "row", *[F.coalesce(F.get("f", F.lit(place[t])).try_cast("double"), F.lit(0.0)).alias(t) for t in titles]
+            "row", *[_number(F.get("f", F.lit(place[t])), t, mode).alias(t) for t in titles]
         )
 
-    def forces(self, title: str) -> DataFrame:
+    def forces(self, title: str, mode: str = STRICT) -> DataFrame:
         """``row`` and the three components ``<title>_x, _y, _z`` of one force term."""
         if title not in FORCE_TITLES:
             raise KeyError(f"unknown force term {title!r}; a log can have {list(FORCE_TITLES)}")
@@ -62,7 +72,7 @@ class MDLog:
         df = df.withColumn("at", at.cast("int")).filter(F.col("at") > 0)
 
         def part(k: int):
-            return F.coalesce(F.get("f", F.col("at") + F.lit(k)).try_cast("double"), F.lit(0.0))
+            return _number(F.get("f", F.col("at") + F.lit(k)), title, mode)
 
         return self.lines.map(lambda _: df).numbered().select("row", *[part(k).alias(f"{title}_{c}") for k, c in enumerate("xyz")])
 
@@ -118,8 +128,8 @@ def bin_log(
     rows = picked.numbered().select("row", *coords)
     values: list[str] = list(energies)
     if energies:
-        rows = rows.join(log.energies(energies), "row", "left")
+        rows = rows.join(log.energies(energies, mode), "row", "left")
     for t in forces:
-        rows = rows.join(log.forces(t), "row", "left")
+        rows = rows.join(log.forces(t, mode), "row", "left")
         values += [f"{t}_{c}" for c in "xyz"]
     return bin_mean(rows, spec, [F.col(c) for c in coords], {v: F.col(f"`{v}`") for v in values}, count_all)

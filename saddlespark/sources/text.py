@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.axis import Axis
 from ..functions.grid import GridSpec
-from ..functions.units import FIELD_SEPARATOR, fields
+from ..functions.units import FIELD_SEPARATOR, fields, to_number
 from ..operators.histogram import Histogram
 from ..operators.history import fill_frames
 from ..operators.ordered import explode_range, number_rows, running_sum
@@ -33,6 +33,27 @@ def _local(path: str) -> str:
     return unquote(urlparse(path).path if "://" in path or path.startswith("file:") else path).rstrip("/")
 
 
+# Spark names the files of a folder part-00000, part-00001, ... and adds digits from 100000 on.
+NUMBERED = r"^(.*/part-)(\d+)([^/]*)$"
+DIGITS = 12
+
+
+def _part_name(path: str) -> str:
+    """A file's name in a form whose text order is the order of the files.
+
+    A local file is spelt file:/x in one place and file:///x in another.
+    """
+    path = re.sub("^file:/+", "file:/", path)
+    return re.sub(NUMBERED, lambda m: m[1] + m[2].rjust(DIGITS, "0") + m[3], path)
+
+
+def _part_column(path: Column) -> Column:
+    path = F.regexp_replace(path, "^file:/+", "file:/")
+    piece = lambda k: F.regexp_extract(path, NUMBERED, k)
+    number = F.lpad(piece(2), F.greatest(F.char_length(piece(2)), F.lit(DIGITS)), "0")
+    return F.when(path.rlike(NUMBERED), F.concat(piece(1), number, piece(3))).otherwise(path)
+
+
 @dataclass(frozen=True)
 class Lines:
     """Lines of one or more files with their place: ``value, part, block``.
@@ -55,12 +76,7 @@ class Lines:
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> Lines:
     paths = [paths] if isinstance(paths, str) else list(paths)
-    # Splits must be the same each time the files are scanned, so their size may not
-    # follow the number of executors that happen to be up.
-    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
-    # a local file is spelt file:/x in one place and file:///x in another
-    part = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
+    part = _part_column(F.col("_metadata.file_path"))
     df = spark.read.text(paths).select("value", part.alias("part"), F.col("_metadata.file_block_start").alias("block"))
     if len(paths) == 1:
         return Lines(df, None)
@@ -72,7 +88,7 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> Lines:
             p = p.rpartition("/")[0]
         return given.get(p, len(paths))
 
-    table = [(re.sub("^file:/+", "file:/", f), owner(f)) for f in df.inputFiles()]
+    table = [(_part_name(f), owner(f)) for f in df.inputFiles()]
     files = spark.createDataFrame(table, "part string, file int")
     return Lines(df, files, tuple(f for f, k in table if k == 0))
 
@@ -107,7 +123,7 @@ def number_at(
 
     A line that does not meet ``shape`` has no good numbers.
     """
-    x = F.get("f", F.lit(pos)).try_cast("double")
+    x = to_number(F.get("f", F.lit(pos)))
     if shape is not None:
         x = F.when(shape, x)
     return x if mode == PERMISSIVE else must(x, f"field {pos} is not a number in its place", where, separator).cast("double")
@@ -186,7 +202,7 @@ def _grid_rows(lines: Lines, spec: GridSpec, nvalues: int, other_shapes: str) ->
         fits_or_all = fits
     else:
         fits_or_all = F.lit(True)
-    here = F.when(fits, spec.address([F.get("f", F.lit(k)).try_cast("double") for k in range(n)]))
+    here = F.when(fits, spec.address([to_number(F.get("f", F.lit(k))) for k in range(n)]))
     addr = must(here, f"a row needs {n + nvalues} numbers and a place on the grid", fits_or_all, WHITESPACE).cast("long")
     values = F.struct(*[number_at(n + k, where=fits_or_all, separator=WHITESPACE).alias(f"v{k}") for k in range(nvalues)])
     rows = rows.select(
@@ -212,11 +228,13 @@ def read_vector_grid(spark: SparkSession, path: str, multiplicity: int | None =
     return Histogram(spec, _grid_rows(lines, spec, m, "skip"), tuple(f"v{k}" for k in range(m)))
 
 
-def read_history(spark: SparkSession, paths: str | list[str]) -> tuple[GridSpec, DataFrame]:
+def read_history(spark: SparkSession, paths: str | list[str], mode: str = STRICT) -> tuple[GridSpec, DataFrame]:
     """All frames of history files: grid of the first file, and ``frame, addr, value``.
 
     A ``# N`` line behind the first data row of a file ends a frame, and so does the end
-    of the file.  Bins a frame does not list keep their value from the frame before.
+    of the file.  Bins a frame does not list keep their value from the frame before.  A
+    row of another shape, a bad number and a place off the grid are errors; permissive
+    mode drops such rows.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     lines = read_lines(spark, paths)
@@ -225,15 +243,17 @@ def read_history(spark: SparkSession, paths: str | list[str]) -> tuple[GridSpec,
     f = fields(F.col("value"), WHITESPACE)
     comment = F.col("value").rlike(r"^\s*#")
 
-    def num(k: int) -> Column:
-        return F.coalesce(F.get("f", F.lit(k)).try_cast("double"), F.lit(0.0))
-
     def kinds(df: DataFrame) -> DataFrame:
         df = df.withColumn("f", f).withColumn("sep", comment & (F.size("f") == 2))
-        df = df.filter(F.col("sep") | (~comment & (F.size("f") == n + 1)))
-        addr = spec.address([num(k) for k in range(n)])
-        addr = must(addr, "a row lies outside the grid", F.size("f") == n + 1, WHITESPACE).cast("long")
-        cell = F.when(~F.col("sep"), F.struct(addr.alias("addr"), num(n).alias("v")))
+        df = df.filter(F.col("sep") | ~comment & (F.size("f") > 0))
+        fits, row = F.size("f") == n + 1, ~comment & (F.size("f") > 0)
+        x = [F.when(fits, to_number(F.get("f", F.lit(k)))) for k in range(n + 1)]
+        addr = F.when(x[n].isNotNull(), spec.address(x[:n]))
+        if mode == PERMISSIVE:
+            df = df.filter(F.col("sep") | addr.isNotNull())
+        else:
+            addr = must(addr, f"a row needs {n + 1} numbers and a place on the grid", row, WHITESPACE)
+        cell = F.when(~F.col("sep"), F.struct(addr.cast("long").alias("addr"), x[n].alias("v")))
         return df.select("part", "block", "sep", cell.alias("cell"))
 
     # several steps below read these rows, so the text is parsed once
