@@ -16,11 +16,14 @@ def con():
     return connect(SF)
 
 
+OWN = [name for name in entry.queries() if name not in entry.text_queries()]
+
+
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(OWN) == set(entry.oracle_sql()) - set(entry.text_sql())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", OWN)
 def test_query(spark, con, name):
     outcome, _ = compare(spark, con, name, SF)
     assert outcome.startswith("ok"), outcome
