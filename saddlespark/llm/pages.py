@@ -223,7 +223,8 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
                 body = xxhash.xxh64_intdigest(page.main_text()) - (1 << 63)
                 # the row without a subtree counts the page itself
                 out += [(where, None, body), *((where, h, body) for h in {page.hashes[i] for i in page.candidates()})]
-            yield pd.DataFrame(out, columns=["host", "subtree", "body"]).astype({"subtree": "Int64"})
+            where, found, body = zip(*out, strict=True) if out else ((), (), ())
+            yield pd.DataFrame({"host": where, "subtree": pd.array(found, dtype="Int64"), "body": pd.array(body, dtype="int64")})
 
     known = pages.select(host(F.col("url")).alias("host"), F.col("html")).filter("host IS NOT NULL AND html IS NOT NULL")
     seen = known.mapInPandas(subtrees, "host string, subtree long, body long").distinct()
