@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, shared_folder
 from .common import fresh
 from .components import components
 from .lists import pairs_across
@@ -316,7 +317,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
     light = boundary(mean, percent)
     sets = materialize(sigs.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
 
-    keys = materialize(_alive(_keys(docs, words, percent, sketch, light)))
+    keys = _alive(_keys(docs, words, percent, sketch, light))
     subsets = keys.filter("lo IS NOT NULL").filter("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
     lists = keys.filter("lo IS NULL").select("key", "sid", "pivot")
     stars = lists.filter("sid <> pivot").select(F.least("pivot", "sid").alias("a"), F.greatest("pivot", "sid").alias("b")).distinct()
@@ -338,25 +339,20 @@ def _alive(keys: DataFrame) -> DataFrame:
     For subsets of two sizes, sets of both sizes must be there.
     """
     # written as a table, because it is read twice and a second pass over the texts costs more
-    stored = written(keys)
+    spark = keys.sparkSession
+    path = f"{shared_folder(spark)}/keys-{uuid.uuid4().hex}"
+    keys.write.parquet(path)
+    stored = spark.read.parquet(path)
     lists = stored.groupBy("key", "lo", "hi").agg(
         F.min("sid").alias("pivot"), F.max("sid").alias("_other"), F.min("n").alias("_n0"), F.max("n").alias("_n1")
     )
     lists = lists.filter("pivot <> _other AND (lo IS NULL OR lo = hi OR _n0 <> _n1)")
     lists = lists.select(F.col("key").alias("_key"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "pivot")
     same = (F.col("key") == F.col("_key")) & F.col("lo").eqNullSafe(F.col("_lo")) & F.col("hi").eqNullSafe(F.col("_hi"))
-    return stored.join(lists, same).select("key", "sid", "lo", "hi", "pivot")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, which is smaller than a checkpoint."""
-    import uuid
-
-    from ..session import shared_folder
-
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = materialize(stored.join(lists, same).select("key", "sid", "lo", "hi", "pivot"))
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return out
 
 
 def distinct_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
