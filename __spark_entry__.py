@@ -61,6 +61,7 @@ KT = thermal_energy(300.0, "kcal/mol")
 PATCHES = [Patch((12.0, 0.05), (15.0, 0.05), 40.0), Patch((30.0, 0.03), (24.0, 0.03), -7.5)]
 START, END = [2.5, 0.01], [47.5, 0.09]
 STRIDE = 250
+LOG_GRID = GridSpec.of(Axis(0.0, 500.0, 20))
 TILE = 16  # bins of a search tile: small enough that these searches cross tiles
 
 
@@ -465,25 +466,129 @@ def q_path_text(spark, sf):
     return rounded(B.lookup(path, energy_2d(spark, sf), [F.col("x0"), F.col("x1")], outside=None))
 
 
-def q_mdlog_parse_bin(spark, sf):
-    """Orders as a log and a trajectory, paired row by row, one row short in the log."""
+def order_log(spark, sf, short: bool) -> tuple[str, str]:
+    """Orders as a log and a trajectory in two text folders; ``short`` leaves the last order out of the log."""
     orders = load(spark, sf, "orders")
     base = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
     key, price = F.col("o_orderkey"), F.col("o_totalprice")
     n = F.lit("ETITLE: TS BOND VDW TS ELECT")
     energy = F.concat_ws(" ", F.lit("ENERGY:"), key, price, -price / 2.0, key, price * 1.5e-3)
     pair = F.concat_ws(" ", F.lit("PAIR INTERACTION: STEP:"), key, F.lit("VDW_FORCE:"), price, key, F.lit("1.5"), F.lit("ELECT_FORCE: 1 2 3"))
-    lines = orders.select(key.alias("k"), F.posexplode(F.array(n, energy, pair)).alias("p", "value"))
+    logged = orders.filter(key < orders.agg(F.max("o_orderkey")).scalar()) if short else orders
+    lines = logged.select(key.alias("k"), F.posexplode(F.array(n, energy, pair)).alias("p", "value"))
     lines.orderBy("k", "p").select("value").write.text(base + "-log")
     traj = F.concat_ws(" ", key, price / 1000.0)
     orders.orderBy("o_orderkey").select(traj.alias("value")).write.text(base + "-traj")
-    log = mdlog.read_md_log(spark, base + "-log")
-    h = mdlog.bin_log(
-        log, text.read_lines(spark, base + "-traj"), GridSpec.of(Axis(0.0, 500.0, 20)), [1], ["VDW", "ELECT", "TS"], ["VDW_FORCE"]
-    )
+    return base + "-log", base + "-traj"
+
+
+def q_mdlog_parse_bin(spark, sf):
+    """Orders as a log and a trajectory, paired row by row."""
+    log, traj = order_log(spark, sf, False)
+    h = mdlog.bin_log(mdlog.read_md_log(spark, log), text.read_lines(spark, traj), LOG_GRID, [1], ["VDW", "ELECT", "TS"], ["VDW_FORCE"])
+    return rounded(h.dense().df, digits=4)
+
+
+def q_mdlog_short_log(spark, sf):
+    """A log that ends one row early: the last position counts in diluted means only."""
+    log, traj = order_log(spark, sf, True)
+    h = mdlog.bin_log(mdlog.read_md_log(spark, log), text.read_lines(spark, traj), LOG_GRID, [1], ["VDW"], ["VDW_FORCE"], count_all=True)
     return rounded(h.dense().df, digits=4)
 
 
+# ---- text written and read back --------------------------------------------------------------------------
+def numbers_of(spark, folder: str, *names: str) -> DataFrame:
+    """Lines of a folder that hold data, as named numbers (NULL where there is none)."""
+    lines = text.data_fields(spark.read.text(folder), text.WHITESPACE)
+    return lines.select(*[F.get("f", F.lit(k)).try_cast("double").alias(n) for k, n in enumerate(names)], *[c for c in lines.columns if c == "name"])
+
+
+def q_split_frames_text(spark, sf):
+    """Every frame of a history as a grid file of its own."""
+    prefix = f"{shared_folder(spark)}/split-{uuid.uuid4().hex}"
+    sinks.write_frames(hourly(spark, sf), HOURS, prefix)
+    rows = numbers_of(spark, prefix + "_frames", "x0", "value")
+    frame = F.regexp_extract("name", r"_(\d+)\.pmf$", 1).cast("long")
+    return rounded(rows.select(frame.alias("frame"), HOURS.address([F.col("x0")]).alias("addr"), "value"))
+
+
+def q_rmsd_text(spark, sf):
+    folder = f"{shared_folder(spark)}/rmsd-{uuid.uuid4().hex}"
+    sinks.write_rmsd(Y.rmsd(hourly(spark, sf), HOURS), folder)
+    return rounded(numbers_of(spark, folder, "frame", "rmsd").withColumn("frame", F.col("frame").cast("long")))
+
+
+def q_patched_grid_text(spark, sf):
+    folder = f"{shared_folder(spark)}/patched-{uuid.uuid4().hex}"
+    sinks.write_grid(apply_patches(counts(spark, sf, GRID_2D), PATCHES), folder)
+    return rounded(text.read_grid(spark, folder).df.select("addr", "value"))
+
+
+def q_path_pmf_text(spark, sf):
+    """Values along a path as written for plotting: blank where the path leaves the grid."""
+    place = load(spark, sf, "part").select(
+        F.col("p_partkey").alias("row"), (F.col("p_size") + 4.0).alias("x0"), ((F.col("p_retailprice") - 900.0) / 900.0).alias("x1")
+    )
+    folder = f"{shared_folder(spark)}/pathpmf-{uuid.uuid4().hex}"
+    sinks.write_path_pmf(B.lookup(place, energy_2d(spark, sf), [F.col("x0"), F.col("x1")], outside=None), GRID_2D, folder)
+    return rounded(numbers_of(spark, folder, "x0", "x1", "value"))
+
+
+def q_snapshots_text(spark, sf):
+    """Running sums of hills, one grid file per snapshot."""
+    steps = H.snapshots(event_hills(spark, sf), GridSpec.of(VALUE), STRIDE)
+    folder = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    name = F.concat(F.lit("s_"), F.col("step").cast("string"), F.lit(".pmf"))
+    sinks.write_grids(steps.select("step", "addr", "value"), GridSpec.of(VALUE), ["value"], name, folder)
+    rows = numbers_of(spark, folder, "x0", "value")
+    step = F.regexp_extract("name", r"_(\d+)\.pmf$", 1).cast("long")
+    return rounded(rows.select(step.alias("step"), GridSpec.of(VALUE).address([F.col("x0")]).alias("addr"), "value"), digits=5)
+
+
+def q_files_in_list_order(spark, sf):
+    """Grids in two files read as one history: frames follow the list, not the names."""
+    base = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    sinks.write_grid(B.bin_count(load(spark, sf, "events"), HOURS, [F.col("value")]), base + "-z")
+    sinks.write_grid(B.bin_sum(load(spark, sf, "events"), HOURS, [F.col("value")], {"value": F.col("value")}), base + "-a")
+    _, frames = text.read_history(spark, [base + "-z", base + "-a"])
+    return rounded(frames.select("frame", "addr", "value"), digits=2)
+
+
+# ---- small operators --------------------------------------------------------------------------------------
+def q_thermal_energy(spark, sf):
+    """Sizes of parts taken as temperatures, in both units."""
+    part = load(spark, sf, "part")
+    return part.select(
+        "p_partkey",
+        F.round(thermal_energy(F.col("p_size"), "kcal/mol"), 12).alias("kcal"),
+        F.round(thermal_energy(F.col("p_size"), "kJ/mol"), 12).alias("kj"),
+    )
+
+
+def q_hist_generate_vector(spark, sf):
+    field = price_field(spark, sf, GRID_2D)
+    field = Histogram(GRID_2D, field.df.select("addr", F.col("g0").alias("v0"), F.col("g1").alias("v1")), ("v0", "v1"))
+    made = B.generate(spark, GRID_2D, lambda x, y: x * 2.0, lambda x, y: -y)
+    return rounded(field.merge(made).dense().df)
+
+
+def q_edited_axis_edges(spark, sf):
+    """Counts on an axis of another width and start, with the edges of each bin."""
+    axis = QTY.with_width(2.5).with_lower(9.9)
+    h = B.bin_count(load(spark, sf, "lineitem"), GridSpec.of(axis), coords(1))
+    edges = F.array(*[F.lit(e) for e in axis.edges()])
+    at = F.col("addr").cast("int")
+    return rounded(h.dense().df.select("addr", F.get(edges, at).alias("low"), F.get(edges, at + 1).alias("high"), "value"))
+
+
+def q_edge_lookup(spark, sf):
+    """One edge that is there and one that is not."""
+    g = co_orders(spark, sf, False)
+    there = g.agg(F.min(F.struct("src", "dst")).alias("e")).first()["e"]
+    found = G.get_edge(g, there.src, there.dst).withColumn("which", F.lit("there"))
+    return rounded(found.unionByName(G.get_edge(g, there.src, there.src).withColumn("which", F.lit("absent"))))
+
+
 # ---- streaming -----------------------------------------------------------------------------------------------
 def q_stream_bin_sum(spark, sf):
     rows = spark.readStream.schema(load(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
@@ -870,14 +975,17 @@ def s_lookup_path(key: str) -> str:
     )
 
 
-def s_mdlog() -> str:
-    a = Axis(0.0, 500.0, 20)
+def s_mdlog(short: bool = False) -> str:
+    a = LOG_GRID.axes[0]
     x = "(o_totalprice / 1000.0e0)"
     cols = {
         "VDW": "-o_totalprice / 2.0e0", "ELECT": "o_totalprice * 1.5e-3", "TS": "CAST(o_orderkey AS DOUBLE)",
         "VDW_FORCE_x": "o_totalprice", "VDW_FORCE_y": "CAST(o_orderkey AS DOUBLE)", "VDW_FORCE_z": "1.5e0",
     }
-    means = ", ".join(f'avg({c}) AS "{n}"' for n, c in cols.items())
+    if short:
+        cols = {n: c for n, c in cols.items() if n not in ("ELECT", "TS")}
+    mean = "sum({}) FILTER (o_orderkey < (SELECT max(o_orderkey) FROM orders)) / count(*)" if short else "avg({})"
+    means = ", ".join(f'{mean.format(c)} AS "{n}"' for n, c in cols.items())
     out = ", ".join(f'{r(f"coalesce({n}, 0e0)", 4)} AS "{n}"' for n in cols)
     return (
         f"SELECT addr, {out} FROM (SELECT range AS addr FROM range({a.bins})) LEFT JOIN (SELECT {s_idx(x, a)} AS addr, {means} FROM orders "
@@ -885,6 +993,31 @@ def s_mdlog() -> str:
     )
 
 
+def s_small() -> dict[str, str]:
+    """Counterparts of what is written and read back, and of small operators; constants are spelt out."""
+    hours, both = GridSpec.of(HOURS.axes[0]), "SELECT {} AS frame, addr, {} AS value FROM {}"
+    count = both.format(0, "value", s_hist("events", ["value"], hours, "count(*)"))
+    total = both.format(1, r("value", 2), s_hist("events", ["value"], hours, "sum(value)"))
+    last = f"(SELECT addr, value FROM {s_hourly()} WHERE frame = (SELECT max(frame) FROM {s_hourly()}))"
+    first = f"(SELECT min((src, dst)) AS e FROM {S_BOTH})"
+    return {
+        "split_frames_text": f"SELECT frame, addr, {r('value')} AS value FROM {s_hourly()}",
+        "rmsd_text": s_rmsd(last),
+        "patched_grid_text": s_patch(),
+        "path_pmf_text": f"SELECT x0, x1, value FROM ({s_lookup_path('p_partkey')})",
+        "snapshots_text": f"SELECT step, addr, value FROM ({s_strided()})",
+        "files_in_list_order": f"{count} UNION ALL {total}",
+        "mdlog_short_log": s_mdlog(True),
+        "thermal_energy": "SELECT p_partkey, round(p_size * 0.001987204258641e0, 12) AS kcal, round(p_size * 0.008314462618153e0, 12) AS kj FROM part",
+        "hist_generate_vector": f"SELECT addr, {r('g0 + x0 * 2e0')} AS v0, {r('g1 - x1')} AS v1 FROM {s_field(GRID_2D)}",
+        "edited_axis_edges": "SELECT b AS addr, 10e0 + 2.5e0 * b AS low, 12.5e0 + 2.5e0 * b AS high, CAST(count(l_quantity) AS DOUBLE) AS value "
+        "FROM (SELECT range AS b FROM range(16)) LEFT JOIN lineitem ON l_quantity BETWEEN 10 AND 50 "
+        "AND b = CAST(least(floor((l_quantity - 10e0) / 2.5e0), 15) AS BIGINT) GROUP BY b",
+        "edge_lookup": f"SELECT 'there' AS which, {r('max(weight)')} AS weight, true AS found FROM {S_BOTH} JOIN {first} ON src = e[1] AND dst = e[2] "
+        "UNION ALL SELECT 'absent', 0e0, false",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     """For each query, SQL that computes the same rows from the same tables."""
     e2, c2 = s_energy(s_count(GRID_2D)), s_count(GRID_2D)
@@ -900,7 +1033,7 @@ def oracle_sql() -> dict[str, str]:
     parts = "list_filter(regexp_split_to_array(text, '[(),\\s]+'), lambda s: s <> '')"
     sums = s_hist("lineitem", LI[:2], GRID_2D, "sum(l_extendedprice)")
     hills_1d = s_hills(one_d, [("c0", "s0")])
-    return text_sql() | {
+    return text_sql() | s_small() | {
         "axis_wrap_index": s_axis_query(),
         "axis_min_image_dist": f"SELECT event_id, {r(s_dist(SA, user, ANGLE))} AS cyclic, {r(s_dist(SA, user, VALUE))} AS plain FROM events",
         "grid_reverse_address": s_reverse(),

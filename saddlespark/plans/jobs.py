@@ -85,7 +85,7 @@ def reweight(spark: SparkSession, cfg: dict) -> None:
 
 
 def history(spark: SparkSession, cfg: dict) -> None:
-    spec, frames = read_history(spark, cfg.get("History PMF Files", []))
+    spec, frames = read_history(spark, cfg.get("History PMF Files", []), cfg.get("Mode", STRICT))
     prefix = cfg.get("Output", "")
     if cfg.get("RMSD", False):
         reference = read_grid(spark, cfg["Reference"]) if cfg.get("Reference") else None
