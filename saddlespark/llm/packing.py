@@ -28,37 +28,100 @@ from pyspark.sql import functions as F
 WINDOW = 4096
 END_ID = 2
 GROUP_PIECES = 8192  # pieces that one task places
-WORDS_KEPT = 200_000  # words whose ids a worker remembers
+WORDS_KEPT = 600_000  # words whose ids a worker remembers
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class _WordIds(dict):
-    """Ids of a word as little-endian bytes, encoded on first sight."""
+    """Ids of words as little-endian bytes.
+
+    Words are learnt many at a time: one by one the calls cost more than the encoding.  Words of
+    letters only are one stretch for the tokenizer and end in a token that closes a word; other
+    words are told apart by a mark between them.
+    """
+
+    MARK = "\ue000"
+    TAILS = frozenset(".,;:!?")
 
     def __init__(self, path: str):
+        import numpy as np
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
+        super().__init__({"": b""})
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.mark = self._encode(self.MARK)
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word, add_special_tokens=False).ids
-        out = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        self[word] = out
-        return out
+    def _encode(self, text: str):
+        import numpy as np
 
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-def token_bytes(text: str | None, ids: _WordIds) -> bytes:
-    """Ids of a text and the closing id, four bytes each.
+    def _plain(self, words: list[str]) -> list:
+        import numpy as np
 
-    The tokenizer drops white space and no token spans it, so blank-separated stretches can be
-    encoded one by one; words come again, stretches of text do not.
+        ids = self._encode(" ".join(words))
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        return [ids[s:e] for s, e in zip([0, *ends[:-1]], ends, strict=True)] if len(ends) == len(words) and ends[-1] == len(ids) else []
+
+    def _marked(self, words: list[str]) -> list:
+        import numpy as np
+
+        ids, n = self._encode(f" {self.MARK} ".join(words)), len(self.mark)
+        hit = np.ones(max(0, len(ids) - n + 1), dtype=bool)
+        for k in range(n):
+            hit &= ids[k : len(ids) - n + 1 + k] == self.mark[k]
+        at = np.flatnonzero(hit)
+        if len(at) != len(words) - 1 or self.MARK in "".join(words):
+            return []
+        return [ids[s:e] for s, e in zip([0, *(at + n)], [*at, len(ids)], strict=True)]
+
+    def _add(self, words: list[str], cut) -> None:
+        for k in range(0, len(words), 1000):
+            part = words[k : k + 1000]
+            found = cut(part) or [self._encode(w) for w in part]
+            self.update((w, x.tobytes()) for w, x in zip(part, found, strict=True))
+
+    def learn(self, words: set[str]) -> None:
+        """Ids for words not known yet.
+
+        A mark behind a letter is a token of its own, and ASCII letters are lowered by the
+        tokenizer itself, so such words are put together from others.
+        """
+        if len(self) > WORDS_KEPT:
+            self.clear()
+            self[""] = b""
+        new = {}
+        for w in words:
+            if w not in self:
+                split = len(w) > 1 and w[-1] in self.TAILS and w[-2].isalpha()
+                base, tail = (w[:-1], w[-1]) if split else (w, "")
+                new[w] = (base.lower() if base.isascii() else base, tail)
+        need = list({p for both in new.values() for p in both if p not in self})
+        self._add([w for w in need if w.isalpha()], self._plain)
+        self._add([w for w in need if not w.isalpha()], self._marked)
+        self.update((w, self[base] + self[tail]) for w, (base, tail) in new.items())
+
+
+def stretches(text: str | None) -> list[str]:
+    """A text cut at blanks and line ends.
+
+    The tokenizer drops white space and no token spans it, so the stretches can be encoded one
+    by one; words come again, whole texts do not.
     """
-    words = (text or "").replace("\n", " ").split(" ")
-    return b"".join([ids[w] for w in words]) + END_ID.to_bytes(4, "little")
+    return (text or "").replace("\n", " ").split(" ")
+
+
+def token_bytes(texts: list[str | None], ids: _WordIds) -> Iterator[bytes]:
+    """Ids of each text and the closing id, four bytes each."""
+    for k in range(0, len(texts), 256):
+        words = [stretches(t) for t in texts[k : k + 256]]
+        ids.learn(set().union(*words))
+        for w in words:
+            yield b"".join(map(ids.__getitem__, w)) + END_ID.to_bytes(4, "little")
 
 
 def cut(buffer: bytes, window: int) -> list[tuple[int, bytes]]:
@@ -73,8 +136,8 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool
         ids = _WordIds(tokenizer)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"].array, batch["text"].array, strict=True):
-                buffer = token_bytes(None if text is pd.NA or text is None else text, ids)
+            texts = [t if isinstance(t, str) else None for t in batch["text"]]
+            for doc, buffer in zip(batch["doc_id"].array, token_bytes(texts, ids), strict=True):
                 for start, part in cut(buffer, window):
                     row = (doc, start, len(part) // 4, zlib.crc32(part), len(buffer) // 4)
                     rows.append((*row, part) if with_ids else row)
