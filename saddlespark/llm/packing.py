@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 WINDOW = 4096
 END_ID = 2
 GROUP_PIECES = 8192  # pieces that one task places
-WORDS_KEPT = 600_000  # words whose ids a worker remembers
+WORDS_KEPT = 1_000_000  # words whose ids a worker remembers, some 200 bytes each
+TEXTS_AT_ONCE = 1024  # whose words are looked up together
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -117,8 +118,8 @@ def stretches(text: str | None) -> list[str]:
 
 def token_bytes(texts: list[str | None], ids: _WordIds) -> Iterator[bytes]:
     """Ids of each text and the closing id, four bytes each."""
-    for k in range(0, len(texts), 256):
-        words = [stretches(t) for t in texts[k : k + 256]]
+    for k in range(0, len(texts), TEXTS_AT_ONCE):
+        words = [stretches(t) for t in texts[k : k + TEXTS_AT_ONCE]]
         ids.learn(set().union(*words))
         for w in words:
             yield b"".join(map(ids.__getitem__, w)) + END_ID.to_bytes(4, "little")
