@@ -108,9 +108,8 @@ def snapshots(hills: DataFrame, spec: GridSpec, stride: int, order: str = "row")
     Hills after the last snapshot belong to none.
     """
     hit = (F.col("step") > 0) & (F.col("step") % F.lit(stride) == 0)
-    # both results are read twice below; the second one holds at most one row per
-    # snapshot and bin
-    marked = materialize(running_sum(hills, [], order, {"snapshot": hit.cast("long")}, inclusive=False, levels=2))
+    # the hills are read twice rather than copied; what is kept has at most one row per snapshot and bin
+    marked = running_sum(hills, [], order, {"snapshot": hit.cast("long")}, inclusive=False, levels=2)
     ends = marked.filter(hit).select("snapshot", "step")
     parts = materialize(_totals(hill_terms(marked, spec, ["snapshot"]), spec, ["snapshot"]))
     names = _names(spec)

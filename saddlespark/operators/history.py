@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.grid import GridSpec
 from ..session import materialize
 from .histogram import Histogram, bounded
-from .ordered import carry_forward, explode_range
+from .ordered import explode_range
 
 
 def fill_frames(updates: DataFrame, frames: DataFrame, spec: GridSpec) -> DataFrame:
@@ -18,12 +19,19 @@ def fill_frames(updates: DataFrame, frames: DataFrame, spec: GridSpec) -> DataFr
 
     ``updates``: ``file, frame, addr, value`` (one row per listed bin).
     ``frames``: ``file, frame``, every frame there is.  A bin a frame does not list keeps
-    the value of the frame before it in the same file; a file starts from zeros.
+    the value of the frame before it in the same file; a file starts from zeros.  Only the
+    listed bins (and one zero per file and bin) are shuffled.
     """
-    cells = explode_range(frames.select("file", "frame"), F.lit(0), F.lit(spec.size), "addr")
-    full = cells.join(updates, ["file", "frame", "addr"], "left")
-    full = carry_forward(full, ["file", "addr"], "frame", "value")
-    return full.select("file", "frame", "addr", F.coalesce("value", F.lit(0.0)).alias("value"))
+    bounds = frames.groupBy("file").agg(F.min("frame").alias("_low"), (F.max("frame") + 1).alias("_high"))
+    zeros = explode_range(bounds, F.lit(0), F.lit(spec.size), "addr").select(
+        "file", F.col("_low").alias("frame"), "addr", F.lit(0.0).alias("value"), F.lit(0).alias("_listed")
+    )
+    listed = updates.select("file", "frame", "addr", "value", F.lit(1).alias("_listed"))
+    # each value holds until the bin is listed again; a zero whose bin is listed at once holds for no frame
+    after = F.lead("frame").over(W.partitionBy("file", "addr").orderBy("frame", "_listed"))
+    spans = listed.unionByName(zeros).withColumn("_next", after).join(bounds, "file")
+    held = spans.select("file", "addr", F.coalesce("value", F.lit(0.0)).alias("value"), F.col("frame").alias("_from"), F.coalesce("_next", "_high").alias("_to"))
+    return explode_range(held, F.col("_from"), F.col("_to"), "frame").select("file", "frame", "addr", "value")
 
 
 def append_frame(history: DataFrame, hist: Histogram, frame: int, file: int = 0) -> DataFrame:

@@ -140,7 +140,6 @@ def sumhills(spark: SparkSession, cfg: dict) -> None:
         return well_tempered(h, *factor) if tempered else h
 
     if stride > 0:
-        hills = materialize(hills)
         steps = scaled(Histogram(spec, snapshots(hills, spec, stride), ("value", *grads)))
         # of several hills with the same step the last one names the snapshot
         keys = ["step", "addr"]
