@@ -55,40 +55,56 @@ def normal_word(word: str) -> str:
 
 
 class Words(dict):
-    """Number of a normalised word's hash and weight in the growing tables; -1 for mere marks."""
+    """Number of each normalised word; -1 for mere marks.
+
+    ``hashes`` has the words' hashes by number, ``votes`` what each word adds to every bit of a
+    fingerprint: its weight where its hash has the bit, and less the weight elsewhere.
+    """
 
     def __init__(self):
         import xxhash
 
         super().__init__()
         self.hash = xxhash.xxh64_intdigest
-        self.hashes: list[int] = []
-        self.weights: list[int] = []
+        self._reset()
+
+    def _reset(self) -> None:
+        self.clear()
+        self._new: list[tuple[int, int]] = []
+        self.hashes, self.votes = np.empty(0, dtype=np.uint64), np.empty((0, 64), dtype=np.float32)
 
     def __missing__(self, word: str) -> int:
         known = normal_word(word)
+        out = -1
         if known:
-            self.hashes.append(self.hash(known))
-            self.weights.append(max(1, len(known) - 2))
-        self[word] = out = len(self.hashes) - 1 if known else -1
+            out = len(self.hashes) + len(self._new)
+            self._new.append((self.hash(known), max(1, len(known) - 2)))
+        self[word] = out
         return out
 
+    def settle(self) -> None:
+        """Extend the tables by the words met since the last call."""
+        if self._new:
+            found, weights = zip(*self._new, strict=True)
+            hashes, weights = np.array(found, dtype=np.uint64), np.array(weights, dtype=np.float32)
+            bits = (hashes[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+            votes = (bits.astype(np.float32) * 2 - 1) * weights[:, None]
+            self.hashes, self.votes, self._new = np.concatenate([self.hashes, hashes]), np.concatenate([self.votes, votes]), []
+
     def shrink(self) -> None:
         if len(self) > WORDS_KEPT:
-            self.clear()
-            self.hashes, self.weights = [], []
+            self._reset()
 
 
-def fingerprints(words: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """SimHash of lines: the sign, per bit, of the weighted sum over the words that begin at ``starts``."""
+def fingerprints(votes: np.ndarray, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """SimHash of lines: the sign, per bit, of the sum of votes of the words from each start to the next."""
     ends = np.r_[starts[1:], len(words)]
     out, shifts = np.zeros(len(starts), dtype=np.uint64), np.arange(64, dtype=np.uint64)
     at = 0
     while at < len(starts):
         upto = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK_WORDS, side="right")))
         lo, hi = starts[at], ends[upto - 1]
-        bits = ((words[lo:hi, None] >> shifts) & np.uint64(1)).astype(np.float32) * 2 - 1
-        sums = np.add.reduceat(bits * weights[lo:hi, None], starts[at:upto] - lo, axis=0)
+        sums = np.add.reduceat(votes[words[lo:hi]], starts[at:upto] - lo, axis=0)
         out[at:upto] = ((sums > 0).astype(np.uint64) << shifts).sum(axis=1, dtype=np.uint64)
         at = upto
     return out
@@ -113,10 +129,11 @@ def occurrences(docs: DataFrame) -> DataFrame:
             if not found:
                 continue
             at = np.fromiter(itertools.chain.from_iterable(found), dtype=np.int64, count=total)
-            words = np.array(known.hashes, dtype=np.uint64)[at]
+            known.settle()
+            words = known.hashes[at]
             ends = [*starts[1:], total]
             sid = [known.hash(words[s:e].tobytes()) - (1 << 63) for s, e in zip(starts, ends, strict=True)]
-            sim = fingerprints(words, np.array(known.weights, dtype=np.float32)[at], np.array(starts))
+            sim = fingerprints(known.votes, at, np.array(starts))
             yield pd.DataFrame({"doc": doc, "line": number, "sid": sid, "sim": sim.view(np.int64)})
             known.shrink()
 

@@ -119,6 +119,10 @@ def distance(a, b):
     return row[-1]
 
 
+def fingerprint(weighted):
+    return sum((sum(w if h >> b & 1 else -w for h, w in weighted) > 0) << b for b in range(64))
+
+
 def deduped(docs):
     """The same rule by loops over all pairs of lines."""
     known = line_dedup.Words()
@@ -128,13 +132,14 @@ def deduped(docs):
             words = line_words(line)
             if len(words) >= line_dedup.MIN_WORDS:
                 ids = [known[w] for w in words]
-                h, w = np.array(known.hashes, dtype=np.uint64)[ids], np.array(known.weights, dtype=np.float32)[ids]
-                places.append((doc, k, " ".join(words), line_dedup.fingerprints(h, w, np.array([0]))[0]))
+                known.settle()
+                places.append((doc, k, " ".join(words), fingerprint([(known.hash(w), max(1, len(w) - 2)) for w in words])))
+                assert places[-1][3] == line_dedup.fingerprints(known.votes, np.array(ids), np.array([0]))[0]
     pairs = []
     for i, a in enumerate(places):
         for j in range(i):
             b = places[j]
-            near = int(a[3] ^ b[3]).bit_count() <= line_dedup.DISTANCE
+            near = (a[3] ^ b[3]).bit_count() <= line_dedup.DISTANCE
             longest = max(len(a[2]), len(b[2]))
             if a[2] == b[2] or near and distance(a[2], b[2]) <= int((1 - line_dedup.SIMILARITY) * longest + 1e-9):
                 pairs.append((i, j))
