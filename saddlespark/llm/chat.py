@@ -58,7 +58,7 @@ def unescape_role(role: Column) -> Column:
 def numbered(turns: DataFrame) -> DataFrame:
     """conv, role, text, tokens and, per conversation, the number of the turn and the tokens before it."""
     t = turns.select(
-        F.col("conv_id").alias("conv"),
+        F.struct("conv_id").alias("conv"),  # a struct is never null, so joins on it need no special case
         F.col("turn"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
@@ -76,7 +76,7 @@ def numbered(turns: DataFrame) -> DataFrame:
     order = W.partitionBy("conv", "block").orderBy("turn", "role", "text")
     done = order.rowsBetween(W.unboundedPreceding, -1)
     t = t.withColumns({"_ti": F.coalesce(F.sum("tokens").over(done), F.lit(0)), "_ni": F.row_number().over(order) - 1})
-    t = t.join(starts, F.col("conv").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")))
+    t = t.join(starts, (F.col("conv") == F.col("_c")) & (F.col("block") == F.col("_b")))
     return t.select("conv", "role", "text", "tokens", (F.col("_n0") + F.col("_ni")).alias("n"), (F.col("_t0") + F.col("_ti")).alias("before"))
 
 
@@ -98,11 +98,11 @@ def windows(
     ask = opens.select("_c", "_w", "from", F.explode(F.sequence(F.lit(1), F.lit(history_turns))).alias("_d"), "open")
     ask = ask.select("_c", "_w", "from", (F.col("open") - F.col("_d")).alias("_n")).filter("_n >= 0")
     light = t.select("conv", "n", "before", "role", "text")
-    back = light.join(ask, F.col("conv").eqNullSafe(F.col("_c")) & (F.col("n") == F.col("_n")))
+    back = light.join(ask, (F.col("conv") == F.col("_c")) & (F.col("n") == F.col("_n")))
     back = back.filter(F.col("from") - F.col("before") <= history_tokens)
     system = light.filter((F.col("n") == 0) & (F.col("role") == "system")).select("conv", "n", "role", "text")
     # the system turn is context of every window but its own and those that have it as history
-    front = system.join(opens.filter("open > 0"), F.col("conv").eqNullSafe(F.col("_c"))).select("conv", "_w", "n", "role", "text")
+    front = system.join(opens.filter("open > 0"), (F.col("conv") == F.col("_c"))).select("conv", "_w", "n", "role", "text")
     again = back.select("conv", "_w", "n", "role", "text").filter(~((F.col("n") == 0) & (F.col("role") == "system")))
     rows = t.select("conv", F.col("window").alias("_w"), "n", "role", "text", F.lit(False).alias("context"))
     rows = rows.unionByName(front.unionByName(again).withColumn("context", F.lit(True)))
@@ -131,7 +131,7 @@ def windows(
         lambda z: F.struct((z["at"] + z["p"]["head"]).alias("start"), z["p"]["loss"].alias("length")),
     )
     return made.select(
-        F.col("conv").alias("conv_id"),
+        F.col("conv.conv_id").alias("conv_id"),
         F.col("_w").alias("window"),
         F.concat_ws("", F.transform("p", lambda x: x["piece"])).alias("formatted"),
         F.size(F.filter("p", lambda x: x["context"])).alias("n_context"),
