@@ -46,7 +46,8 @@ from .components import components
 from .lists import pairs_across
 
 SKETCH_BITS = 20  # counters per row of the sketch; two rows of four bytes each: 8 MB in all
-BITMAP_BITS = 1024
+BITMAP_BITS = 512
+MANY = 16  # members from which a list gets several pivots
 WORDS_KEPT = 500_000  # word hashes that a worker remembers
 BROADCAST_IDS = 1 << 20  # ids of 8 bytes: 8 MB; more go through a shuffled join
 
@@ -317,10 +318,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
     light = boundary(mean, percent)
     sets = materialize(sigs.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
 
-    keys = _alive(_keys(docs, words, percent, sketch, light))
-    subsets = keys.filter("lo IS NOT NULL").filter("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
-    lists = keys.filter("lo IS NULL").select("key", "sid", "pivot")
-    stars = lists.filter("sid <> pivot").select(F.least("pivot", "sid").alias("a"), F.greatest("pivot", "sid").alias("b")).distinct()
+    subsets, lists = _alive(_keys(docs, words, percent, sketch, light))
+    stars = _stars(lists)
     edges = materialize(_linked(materialize(_probable(stars, sets, percent)), docs, sets, words, percent).union(subsets).distinct())
     roots = components(edges)
     more = materialize(pairs_across(lists, roots, sets.select("sid", "n", "bits"), _unproved(percent)))
@@ -333,26 +332,41 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _alive(keys: DataFrame) -> DataFrame:
-    """Keys that different sets share, with one of those sets as pivot.
+def _alive(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) by shared subsets, and the entries (key, sid) of lists with different sets.
 
-    For subsets of two sizes, sets of both sizes must be there.
+    Subsets link if sets of both their sizes have them.
     """
-    # written as a table, because it is read twice and a second pass over the texts costs more
+    # written as a table, because it is read more than once and a second pass over the texts costs more
     spark = keys.sparkSession
     path = f"{shared_folder(spark)}/keys-{uuid.uuid4().hex}"
     keys.write.parquet(path)
     stored = spark.read.parquet(path)
-    lists = stored.groupBy("key", "lo", "hi").agg(
-        F.min("sid").alias("pivot"), F.max("sid").alias("_other"), F.min("n").alias("_n0"), F.max("n").alias("_n1")
+    parts = stored.filter("lo IS NOT NULL")
+    found = parts.groupBy("key", "lo", "hi").agg(
+        F.min("sid").alias("a"), F.max("sid").alias("_other"), F.min("n").alias("_n0"), F.max("n").alias("_n1")
     )
-    lists = lists.filter("pivot <> _other AND (lo IS NULL OR lo = hi OR _n0 <> _n1)")
-    lists = lists.select(F.col("key").alias("_key"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "pivot")
-    same = (F.col("key") == F.col("_key")) & F.col("lo").eqNullSafe(F.col("_lo")) & F.col("hi").eqNullSafe(F.col("_hi"))
-    out = materialize(stored.join(lists, same).select("key", "sid", "lo", "hi", "pivot"))
+    found = found.filter("a <> _other AND (lo = hi OR _n0 <> _n1)").select("key", "lo", "hi", "a")
+    subsets = parts.join(found, ["key", "lo", "hi"]).filter("sid <> a").select("a", F.col("sid").alias("b")).distinct()
+    entries = stored.filter("lo IS NULL").select("key", "sid")
+    shared = entries.groupBy("key").agg(F.min("sid").alias("_a"), F.max("sid").alias("_b")).filter("_a <> _b").select("key")
+    subsets, lists = materialize(subsets), materialize(entries.join(shared, "key"))
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    return out
+    return subsets, lists
+
+
+def _stars(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each member of a list and the list's pivot; long lists have up to four pivots.
+
+    In a group of near copies two copies can be too far apart although both are near a third, so
+    several pivots leave fewer pairs of different components for the second scan.
+    """
+    other = [F.min(F.struct(F.xxhash64("sid", F.lit(k)).alias("h"), "sid"))["sid"] for k in range(2)]
+    ends = lists.groupBy("key").agg(F.min("sid").alias("p"), F.array(F.min("sid"), F.max("sid"), *other).alias("ps"), F.count("*").alias("_n"))
+    pivots = ends.select("key", F.when(F.col("_n") >= MANY, F.array_distinct("ps")).otherwise(F.array("p")).alias("ps"))
+    pairs = lists.join(pivots, "key").select("sid", F.explode("ps").alias("p")).filter("sid <> p")
+    return pairs.select(F.least("p", "sid").alias("a"), F.greatest("p", "sid").alias("b")).distinct()
 
 
 def distinct_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
