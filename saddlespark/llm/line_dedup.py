@@ -42,7 +42,8 @@ MIN_WORDS = 5
 DISTANCE = 3
 PIECES = 5
 SIMILARITY = 0.8
-WORDS_KEPT = 300_000
+WORDS_KEPT = 200_000  # words that a worker remembers, 256 bytes each in the table of votes
+HELD_WORDS = 1 << 17  # words of lines that wait for their fingerprints
 CHUNK_WORDS = 1 << 16  # words whose bits are summed at once
 BROADCAST_IDS = 1 << 20  # of 8 bytes; more go through a shuffled join
 
@@ -92,7 +93,7 @@ class Words(dict):
             self.hashes, self.votes, self._new = np.concatenate([self.hashes, hashes]), np.concatenate([self.votes, votes]), []
 
     def shrink(self) -> None:
-        if len(self) > WORDS_KEPT:
+        if len(self) >= WORDS_KEPT:
             self._reset()
 
 
@@ -113,29 +114,33 @@ def fingerprints(votes: np.ndarray, words: np.ndarray, starts: np.ndarray) -> np
 def occurrences(docs: DataFrame) -> DataFrame:
     """Every line of enough words: doc, doc_id, line number, sid (hash of the normalised line) and fingerprint."""
 
+    def frame(known: Words, lines: list[tuple[int, int, np.ndarray]]) -> pd.DataFrame:
+        known.settle()
+        starts = np.cumsum([0, *(len(ids) for _, _, ids in lines)])
+        at = np.concatenate([ids for _, _, ids in lines])
+        words = known.hashes[at]
+        sid = [known.hash(words[s:e].tobytes()) - (1 << 63) for s, e in itertools.pairwise(starts.tolist())]
+        sim = fingerprints(known.votes, at, starts[:-1])
+        doc, number, _ = zip(*lines, strict=True)
+        return pd.DataFrame({"doc": doc, "line": number, "sid": sid, "sim": sim.view(np.int64)})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Words()
+        known, lines, held = Words(), [], 0
         for b in batches:
-            doc, number, sid, found, starts, total = [], [], [], [], [], 0
             for key, text in zip(b["doc"].array, b["text"].array, strict=True):
                 for k, line in enumerate(text.split("\n")):
-                    ids = [i for i in map(known.__getitem__, line.split()) if i >= 0]
+                    ids = np.array([i for i in map(known.__getitem__, line.split()) if i >= 0], dtype=np.int32)
                     if len(ids) >= MIN_WORDS:
-                        doc.append(key)
-                        number.append(k)
-                        found.append(ids)
-                        starts.append(total)
-                        total += len(ids)
-            if not found:
-                continue
-            at = np.fromiter(itertools.chain.from_iterable(found), dtype=np.int64, count=total)
-            known.settle()
-            words = known.hashes[at]
-            ends = [*starts[1:], total]
-            sid = [known.hash(words[s:e].tobytes()) - (1 << 63) for s, e in zip(starts, ends, strict=True)]
-            sim = fingerprints(known.votes, at, np.array(starts))
-            yield pd.DataFrame({"doc": doc, "line": number, "sid": sid, "sim": sim.view(np.int64)})
-            known.shrink()
+                        lines.append((key, k, ids))
+                        held += len(ids)
+                # whatever the size of a batch, few lines and words are held at a time
+                if held >= HELD_WORDS or len(known) >= WORDS_KEPT:
+                    if lines:
+                        yield frame(known, lines)
+                    known.shrink()
+                    lines, held = [], 0
+        if lines:
+            yield frame(known, lines)
 
     return docs.select("doc", "text").filter("text IS NOT NULL").mapInPandas(run, "doc long, line int, sid long, sim long")
 
