@@ -1,20 +1,20 @@
 """Removal of repeated and nearly repeated lines across a corpus.
 
 Lines are normalised (lower case, digits as 0, marks at the ends of words dropped).  Equal
-normalised lines are one class from the start.  Different ones are linked if their SimHash
-fingerprints differ in at most ``DISTANCE`` bits and their edit similarity reaches
-``SIMILARITY``; of every connected group the first occurrence (by doc_id, then line) stays.
+normalised lines are one class from the start.  Different ones are linked if their edit
+similarity reaches ``SIMILARITY``; of every connected group the first occurrence (by doc_id,
+then line) stays.
 
-Fingerprints are cut into ``PIECES`` blocks.  With at most ``DISTANCE`` bits different, at least
-PIECES - DISTANCE blocks agree, so joining on every choice of that many blocks finds every such
-pair (pigeonhole).  Each list of a join key is scanned twice: first everybody against the list's
-smallest member, which connects groups of near copies without forming their pairs, then pairs
-of different components inside the lists, in blocks of bounded size.  Edit distances are
-computed by Spark's own bounded function on the lines themselves.
+Which lines are compared is decided by fingerprints of their words.  A line has ``BANDS`` keys,
+each made of ``ROWS`` minima over hashes of its words (weighted MinHash), short lines more; lines
+that share a key meet.  Each list of a key is scanned twice: first everybody against the list's smallest member,
+which connects groups of near copies without forming their pairs, then pairs of different
+components inside the lists, in blocks of bounded size.  Lengths that rule the similarity out,
+and SimHash fingerprints that differ in more than ``DISTANCE`` bits (nearly half of them), stop a
+pair before its edit distance is computed, by Spark's own bounded function on the lines.
 
-Words weigh by length, so lines are not alike for their small words.  A changed word moves
-several bits in a short line and few in a long one: what the fingerprint finds are long lines
-with small changes; the README has measured rates.
+Words weigh by length, so lines do not meet for their small words.  Keys are a matter of chance:
+a pair that shares no key and no third line is missed; the README has the measured recall.
 
 Cases: lines with fewer than ``MIN_WORDS`` words always stay.  Null texts stay null, empty ones
 empty.  Rows that repeat doc_id and text count as one document and come out alike.  Ties in
@@ -39,10 +39,16 @@ from .components import components
 from .lists import pairs_across
 
 MIN_WORDS = 5
-DISTANCE = 3
-PIECES = 5
 SIMILARITY = 0.8
-WORDS_KEPT = 200_000  # words that a worker remembers, 256 bytes each in the table of votes
+# Of 5,121 pairs of lines at SIMILARITY in sf0.1, two differ in more bits; of unlike lines about five in six do.
+DISTANCE = 28
+BANDS = 20
+ROWS = 4
+# Lines of up to so many words, of which one changed word is a larger part, have further keys of fewer minima.
+SHORT = 12
+SHORT_BANDS = 12
+SHORT_ROWS = 2
+WORDS_KEPT = 100_000  # words that a worker remembers, 576 bytes each in the tables of votes and ranks
 HELD_WORDS = 1 << 17  # words of lines that wait for their fingerprints
 CHUNK_WORDS = 1 << 16  # words whose bits are summed at once
 BROADCAST_IDS = 1 << 20  # of 8 bytes; more go through a shuffled join
@@ -55,11 +61,17 @@ def normal_word(word: str) -> str:
     return DIGITS.sub("0", EDGES.sub("", word.lower()))
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)  # the mixing constant of splitmix64
+    return x ^ (x >> np.uint64(29))
+
+
 class Words(dict):
     """Number of each normalised word; -1 for mere marks.
 
     ``hashes`` has the words' hashes by number, ``votes`` what each word adds to every bit of a
     fingerprint: its weight where its hash has the bit, and less the weight elsewhere.
+    ``ranks`` has its place in each of the orders whose first words make the keys, ``sizes`` its length.
     """
 
     def __init__(self):
@@ -67,52 +79,91 @@ class Words(dict):
 
         super().__init__()
         self.hash = xxhash.xxh64_intdigest
+        self.salts = [np.uint64(self.hash(bytes([k])) | 1) for k in range(BANDS * ROWS)]
         self._reset()
 
     def _reset(self) -> None:
         self.clear()
-        self._new: list[tuple[int, int]] = []
+        self._new: list[tuple[int, int, int]] = []
         self.hashes, self.votes = np.empty(0, dtype=np.uint64), np.empty((0, 64), dtype=np.float32)
+        self.ranks, self.sizes = np.empty((0, BANDS * ROWS), dtype=np.float32), np.empty(0, dtype=np.int64)
 
     def __missing__(self, word: str) -> int:
         known = normal_word(word)
         out = -1
         if known:
             out = len(self.hashes) + len(self._new)
-            self._new.append((self.hash(known), max(1, len(known) - 2)))
+            self._new.append((self.hash(known), max(1, len(known) - 2), len(known)))
         self[word] = out
         return out
 
     def settle(self) -> None:
         """Extend the tables by the words met since the last call."""
         if self._new:
-            found, weights = zip(*self._new, strict=True)
+            found, weights, sizes = zip(*self._new, strict=True)
             hashes, weights = np.array(found, dtype=np.uint64), np.array(weights, dtype=np.float32)
             bits = (hashes[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
             votes = (bits.astype(np.float32) * 2 - 1) * weights[:, None]
+            ranks = np.empty((len(hashes), BANDS * ROWS), dtype=np.float32)
+            for k, salt in enumerate(self.salts):
+                # a quotient, not a logarithm: it has the same bits on every machine
+                ranks[:, k] = (mixed(hashes * salt) >> np.uint64(32)).astype(np.float32) / weights
             self.hashes, self.votes, self._new = np.concatenate([self.hashes, hashes]), np.concatenate([self.votes, votes]), []
+            self.ranks, self.sizes = np.concatenate([self.ranks, ranks]), np.concatenate([self.sizes, np.array(sizes, dtype=np.int64)])
 
     def shrink(self) -> None:
         if len(self) >= WORDS_KEPT:
             self._reset()
 
 
-def fingerprints(votes: np.ndarray, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """SimHash of lines: the sign, per bit, of the sum of votes of the words from each start to the next."""
-    ends = np.r_[starts[1:], len(words)]
-    out, shifts = np.zeros(len(starts), dtype=np.uint64), np.arange(64, dtype=np.uint64)
+def _chunks(starts: np.ndarray, total: int) -> Iterator[tuple[int, int, int, int]]:
+    """Runs of lines with few words: first line and the one after the last, first word and the one after the last."""
+    ends = np.r_[starts[1:], total]
     at = 0
     while at < len(starts):
         upto = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK_WORDS, side="right")))
-        lo, hi = starts[at], ends[upto - 1]
+        yield at, upto, starts[at], ends[upto - 1]
+        at = upto
+
+
+def fingerprints(votes: np.ndarray, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """SimHash of lines: the sign, per bit, of the sum of votes of the words from each start to the next."""
+    out, shifts = np.zeros(len(starts), dtype=np.uint64), np.arange(64, dtype=np.uint64)
+    for at, upto, lo, hi in _chunks(starts, len(words)):
         sums = np.add.reduceat(votes[words[lo:hi]], starts[at:upto] - lo, axis=0)
         out[at:upto] = ((sums > 0).astype(np.uint64) << shifts).sum(axis=1, dtype=np.uint64)
-        at = upto
+    return out
+
+
+def _keys(least: np.ndarray, first: int) -> np.ndarray:
+    """A number per band from its minima (line, band, row); bands are told apart by numbers from ``first`` on."""
+    key = np.broadcast_to(np.arange(first, first + least.shape[1], dtype=np.uint64), least.shape[:2])
+    for k in range(least.shape[2]):
+        key = mixed((key ^ least[:, :, k]) * np.uint64(0x9E3779B97F4A7C15))
+    return key
+
+
+def band_keys(ranks: np.ndarray, words: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """The keys of every line: hashes of the smallest ranks of its words."""
+    out: list[np.ndarray] = []
+    for at, upto, lo, hi in _chunks(starts, len(words)):
+        least = np.minimum.reduceat(ranks[words[lo:hi]], starts[at:upto] - lo, axis=0)
+        least = least.view(np.uint32).astype(np.uint64)
+        keys = list(_keys(least.reshape(-1, BANDS, ROWS), 1).view(np.int64))
+        short = np.flatnonzero(np.diff(np.r_[starts[at:upto], hi]) <= SHORT)
+        more = _keys(least[short, : SHORT_BANDS * SHORT_ROWS].reshape(-1, SHORT_BANDS, SHORT_ROWS), BANDS + 1).view(np.int64)
+        for k, m in zip(short, more, strict=True):
+            keys[k] = np.concatenate([keys[k], m])
+        out += keys
     return out
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Every line of enough words: doc, doc_id, line number, sid (hash of the normalised line) and fingerprint."""
+    """Every line of enough words: doc, doc_id, line number, sid (hash of the normalised line), fingerprint,
+    length of the normalised line and its keys.
+
+    Of equal lines that follow soon on each other just the first has the keys.
+    """
 
     def frame(known: Words, lines: list[tuple[int, int, np.ndarray]]) -> pd.DataFrame:
         known.settle()
@@ -121,8 +172,15 @@ def occurrences(docs: DataFrame) -> DataFrame:
         words = known.hashes[at]
         sid = [known.hash(words[s:e].tobytes()) - (1 << 63) for s, e in itertools.pairwise(starts.tolist())]
         sim = fingerprints(known.votes, at, starts[:-1])
+        size = np.add.reduceat(known.sizes[at] + 1, starts[:-1]) - 1
+        keys = band_keys(known.ranks, at, starts[:-1])
+        seen = set()
+        for k, s in enumerate(sid):
+            if s in seen:
+                keys[k] = None
+            seen.add(s)
         doc, number, _ = zip(*lines, strict=True)
-        return pd.DataFrame({"doc": doc, "line": number, "sid": sid, "sim": sim.view(np.int64)})
+        return pd.DataFrame({"doc": doc, "line": number, "sid": sid, "sim": sim.view(np.int64), "size": size, "keys": keys})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, lines, held = Words(), [], 0
@@ -142,21 +200,24 @@ def occurrences(docs: DataFrame) -> DataFrame:
         if lines:
             yield frame(known, lines)
 
-    return docs.select("doc", "text").filter("text IS NOT NULL").mapInPandas(run, "doc long, line int, sid long, sim long")
+    return docs.select("doc", "text").filter("text IS NOT NULL").mapInPandas(run, "doc long, line int, sid long, sim long, size long, keys array<long>")
 
 
-def block_keys(sim: Column) -> Column:
-    """One hash per choice of blocks that must agree."""
-    size = -(-64 // PIECES)
-    mask = F.lit((1 << size) - 1).cast("long")
-    pieces = [F.shiftrightunsigned(sim, k * size).bitwiseAND(mask) for k in range(PIECES)]
-    chosen = itertools.combinations(range(PIECES), PIECES - DISTANCE)
-    return F.array(*[F.xxhash64(F.lit(n), *[pieces[k] for k in c]) for n, c in enumerate(chosen)])
+def _near(one: tuple[Column, Column], two: tuple[Column, Column]) -> Column:
+    """Whether fingerprints and lengths leave it possible that lines (sim, size) are alike."""
+    longest = F.greatest(one[1], two[1])
+    fits = F.abs(one[1] - two[1]) <= F.floor(F.lit(1 - SIMILARITY) * longest + F.lit(1e-9))
+    return fits & (F.bit_count(one[0].bitwiseXOR(two[0])) <= DISTANCE)
 
 
 def _close(rows: pd.DataFrame):
-    sim = rows["sim"].to_numpy().view(np.uint64)
-    return lambda x, y: np.bitwise_count(sim[x] ^ sim[y]) <= DISTANCE
+    sim, size = rows["sim"].to_numpy().view(np.uint64), rows["size"].to_numpy()
+
+    def test(x, y):
+        fits = np.abs(size[x] - size[y]) <= np.floor((1 - SIMILARITY) * np.maximum(size[x], size[y]) + 1e-9)
+        return fits & (np.bitwise_count(sim[x] ^ sim[y]) <= DISTANCE)
+
+    return test
 
 
 def _alike(pairs: DataFrame, docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -192,16 +253,21 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     rows = materialize(occurrences(docs))
     ids = docs.select("doc", "doc_id")
     # the first place of each class; all classes for the links, later only those that come twice
-    places = rows.groupBy("sid").agg(F.min(F.struct("doc", "line")).alias("p"), F.first("sim").alias("sim"), F.count("*").alias("n"))
-    places = materialize(places.select("sid", "p.doc", "p.line", "sim", "n"))
-    keys = places.select("sid", "sim", F.explode(block_keys(F.col("sim"))).alias("key"))
-    least = keys.groupBy("key").agg(F.min(F.struct("sid", "sim")).alias("pivot"), F.max("sid").alias("_m")).filter("pivot.sid <> _m").select("key", "pivot")
-    shared = materialize(keys.join(least, "key").select("key", "sid", "sim", F.col("pivot.sid").alias("pivot"), F.col("pivot.sim").alias("psim")))
-    near = F.bit_count(F.col("sim").bitwiseXOR(F.col("psim"))) <= DISTANCE
-    stars = shared.filter((F.col("sid") != F.col("pivot")) & near).select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
+    places = rows.groupBy("sid").agg(
+        F.min(F.struct("doc", "line")).alias("p"), F.first("sim").alias("sim"), F.first("size").alias("size"), F.count("*").alias("n")
+    )
+    places = materialize(places.select("sid", "p.doc", "p.line", "sim", "size", "n"))
+    # dealt out once for both uses; a class that comes in several places has its keys several times
+    keys = rows.filter("keys IS NOT NULL").select("sid", F.explode("keys").alias("key")).filter("key IS NOT NULL").repartition("key")
+    least = keys.groupBy("key").agg(F.min("sid").alias("pivot"), F.max("sid").alias("_m")).filter("pivot <> _m").select("key", "pivot")
+    shared = materialize(keys.join(least, "key").select("key", "sid", "pivot").distinct())
+    about = places.select("sid", "sim", "size")
+    one, two = (about.select(F.col("sid").alias(x), F.struct("sim", "size").alias(f"_{x}")) for x in "ab")
+    stars = shared.filter("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct().join(one, "a").join(two, "b")
+    stars = stars.filter(_near(*[(F.col(f"_{x}.sim"), F.col(f"_{x}.size")) for x in "ab"])).select("a", "b")
     edges = materialize(_alike(materialize(stars), docs, places.select("sid", "doc", "line")))
     roots = components(edges)
-    more = materialize(pairs_across(shared.select("key", "sid"), roots, places.select("sid", "sim"), _close))
+    more = materialize(pairs_across(shared.select("key", "sid"), roots, about, _close))
     if not more.isEmpty():
         roots = components(edges.union(_alike(more, docs, places.select("sid", "doc", "line"))))
     linked = roots.select(F.col("node").alias("sid"), "root")

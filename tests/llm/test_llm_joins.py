@@ -182,6 +182,24 @@ def test_repeated_and_nameless_documents_come_out_alike(spark):
     assert sum(got.values()) == 4 and got[2, "other"] == 1 and got[1, line] + got[None, line] in (1, 2)
 
 
+def test_changed_lines_go_as_by_edit_similarity_alone(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 10)))
+    lines = []
+    for n in (8, 12, 20, 20, 30, 60, 60, 150) * 4:
+        base = [word() for _ in range(n)]
+        other = list(base)
+        for k in rng.sample(range(n), max(1, n // 8)):
+            other[k] = word()
+        lines += [" ".join(base), " ".join(other)]
+    want = sum(distance(a, b) <= 0.2 * max(len(a), len(b)) for a, b in zip(lines[::2], lines[1::2], strict=True))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = [r.doc_id for r in line_dedup.dedup_lines(df).filter("lines_removed = 1").collect()]
+    # the first line of a pair always stays, and nearly every other one that is alike goes
+    assert all(i % 2 and distance(lines[i - 1], lines[i]) <= 0.2 * max(map(len, lines[i - 1 : i + 1])) for i in got)
+    assert want >= 25 and len(got) >= 0.95 * want
+
+
 # ---- licenses --------------------------------------------------------------------------
 def test_license_labels(spark):
     gpl = "This work is licensed under the GNU General Public License, version 3."
