@@ -49,7 +49,7 @@ CONTAINERS = frozenset(
 BLOCKS = TEXT_BLOCKS | CONTAINERS
 NOT_TEXT = frozenset(
     "head nav footer aside form noscript template button select object svg canvas audio video dialog menu search "
-    "input option math map".split()
+    "input option".split()
 ) | RAW
 # An open element of the set is closed by the tag.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -67,6 +67,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.hints, self.holds, self.hashes = ["#root"], [-1], [frozenset()], [False], [0]
+        self.names: list[set[str] | frozenset[str]] = [frozenset()]  # whole names of class and role
         self.texts: list[tuple[int, int, str]] = []  # element, block number, text
         self._inner: list[list[str]] = [[]]
         self._stack, self._block, self._open_p = [0], 0, 0
@@ -111,14 +112,19 @@ class Page:
         if tag in VOID:
             return
         words: set[str] = set()
+        names: set[str] = set()
         if attrs:
             for m in HINTED.finditer(attrs):
-                words.update(re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower()))
-                if m[1].lower() == "role" and (m[2] or m[3] or m[4] or "").lower() == "main":
+                told = (m[2] or m[3] or m[4] or "").lower()
+                words.update(re.split(r"[^a-z0-9]+", told))
+                if m[1].lower() != "id":
+                    names.update(told.split())
+                if m[1].lower() == "role" and told == "main":
                     words.add("#main")
         self.tags.append(tag)
         self.parents.append(self._stack[-1])
         self.hints.append(words)
+        self.names.append(names)
         self.holds.append(False)
         self.hashes.append(0)
         self._stack.append(len(self.tags) - 1)
@@ -167,13 +173,16 @@ class Page:
         return roots
 
     def declared(self) -> list[bool]:
-        """Elements that the markup itself says are not main text, with all they hold."""
+        """Elements that the markup itself says are not main text, with all they hold.
+
+        Inside an article just containers can be, by a whole name of their class or role.
+        """
         out = [False] * len(self.tags)
         inside = [False] * len(self.tags)
         for i in range(1, len(self.tags)):
             up, tag = self.parents[i], self.tags[i]
-            inside[i] = inside[up] or tag in ("article", "main")
-            hint = self.hints[i] & (HINTS if inside[i] else OUTSIDE_HINTS)
+            inside[i] = inside[up] or tag in ("article", "main") or "#main" in self.hints[i]
+            hint = (tag in CONTAINERS and self.names[i] & HINTS) if inside[i] else self.hints[i] & OUTSIDE_HINTS
             own = tag in NOT_TEXT or bool(hint) or (tag == "header" and not inside[up])
             out[i] = out[up] or (own and not self.holds[i] and tag not in ("html", "body"))
         return out

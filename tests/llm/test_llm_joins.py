@@ -241,6 +241,17 @@ def test_page_text_and_templates(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+def test_names_of_headings_and_sections_keep_their_text(spark):
+    body = (
+        '<h2 id="related-work">Related work</h2><section id="comment-period"><p>the period</p></section><p id="notice-2">second notice</p>'
+        '<div class="response alert-levels">levels</div><p class="notice">a notice</p><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p>'
+        '<div class="big comments">nice</div><ul role="navigation"><li>menu</ul>'
+    )
+    for around in ("article", "main"):
+        source = f'<body><div id="cookie-notice">cookies</div><{around}>{body}</{around}></body>'
+        assert pages.Page(source).main_text() == "Related work\n\nthe period\n\nsecond notice\n\nlevels\n\na notice\n\nso x=1"
+
+
 # ---- search ----------------------------------------------------------------------------
 @pytest.mark.parametrize("leaf", [4096, 64])
 def test_search_recall(spark, monkeypatch, leaf):
