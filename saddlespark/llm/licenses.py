@@ -10,7 +10,9 @@ documents that have them, rarest first, counted over all documents.  In that ord
 * length: and at least ``need`` words of it in all,
 * position: and after the first common word both sides must still have ``need`` words,
 
-where need = ceil(CONTAINS * n).  What passes is verified by intersection.  The index of template
+where need = ceil(CONTAINS * n).  What passes is verified by intersection, and by the telling words:
+if the words of a template of another label are enough for a match, the block must also hold one
+of the words that the other template lacks ("sharealike", "noncommercial").  The index of template
 prefixes has a few hundred rows, given by the templates alone, and is therefore broadcast.
 Everything is native DataFrame code; only documents with a rare template word get blocks, and
 only one small row per different text with a match is joined back.
@@ -107,20 +109,30 @@ def frequencies(texts: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {w: 0 for w in vocabulary} | {r["w"]: r["count"] for r in found}
 
 
+def telling(templates=TEMPLATES, contains: float = CONTAINS) -> list[list[list[str]]]:
+    """Per template the sets of words of which a block must hold one each, so as not to be a template of another label."""
+    words = [(label, set(t.split())) for label, t in templates]
+    return [
+        [sorted(own - other) for name, other in words if name != label and len(own & other) >= math.ceil(contains * len(own))]
+        for label, own in words
+    ]
+
+
 def matches(texts: DataFrame, templates=TEMPLATES, contains: float = CONTAINS, block: int = BLOCK) -> DataFrame:
     """``key``, the labels of the templates that a block of the text holds, and the best containment."""
     vocabulary = sorted({w for _, t in templates for w in t.split()})
     seen = frequencies(texts, vocabulary)
     rank = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (seen[w], w)))}
     index, rare = [], set()
-    for label, text in templates:
+    for (label, text), sets in zip(templates, telling(templates, contains), strict=True):
         ranks = sorted({rank[w] for w in text.split()})
+        tell = [[rank[w] for w in x] for x in sets]
         need = math.ceil(contains * len(ranks))
         for place, r in enumerate(ranks[: len(ranks) - need + 1]):
-            index.append((r, label, place, ranks, need))
+            index.append((r, label, place, ranks, need, tell))
             rare.add(r)
     spark = texts.sparkSession
-    prefixes = spark.createDataFrame(index, "rank int, label string, place int, ranks array<int>, need int")
+    prefixes = spark.createDataFrame(index, "rank int, label string, place int, ranks array<int>, need int, tell array<array<int>>")
     lookup = F.create_map(*[F.lit(x) for w, r in rank.items() for x in (w, r)])
     rare_words = F.array(*[F.lit(w) for w, r in rank.items() if r in rare])
     docs = texts.select("key", words_of(F.col("norm")).alias("w")).filter(F.arrays_overlap("w", rare_words))
@@ -135,6 +147,7 @@ def matches(texts: DataFrame, templates=TEMPLATES, contains: float = CONTAINS, b
     pairs = pairs.filter(F.least(F.size("ranks") - F.col("place"), F.size("have") - F.col("at")) >= F.col("need"))
     common = F.array_intersect("have", "ranks")
     pairs = pairs.withColumn("common", F.size(common)).filter(F.col("common") >= F.col("need"))
+    pairs = pairs.filter(F.forall("tell", lambda x: F.arrays_overlap(x, F.col("have"))))
     found = pairs.select("key", "label", (F.col("common") / F.size("ranks")).alias("share"))
     return found.groupBy("key").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
 

@@ -219,6 +219,15 @@ def test_license_labels(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_templates_are_told_apart(spark):
+    by = "This work is licensed under a Creative Commons Attribution{} 4.0 International License"
+    texts = [t for _, t in licenses.TEMPLATES] + [by.format(x) for x in ("-ShareAlike", "-NonCommercial", "-NonCommercial-ShareAlike", "")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
+    want = [label for label, _ in licenses.TEMPLATES] + ["cc-by-sa", "cc-by-nc", "cc-by-nc,cc-by-sa", ""]
+    assert [got[k] for k in range(len(texts))] == want
+
+
 # ---- pages -----------------------------------------------------------------------------
 def test_page_text_and_templates(spark):
     def page(k, extra="", tail="</article></body></html>"):
