@@ -37,7 +37,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialize, shared_folder
@@ -370,13 +369,18 @@ def _stars(lists: DataFrame) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id; a repeated doc_id stays once.
+    """One document of each component, the one with the smallest doc_id and, below it, hash of the text.
 
-    Documents without words or without doc_id are linked with nothing and stay.
+    Documents are told apart by doc_id and text, so other texts under a repeated doc_id are
+    documents of their own; equal rows stay once.  Documents without doc_id are linked among each
+    other, also by way of others, and one of each component stays beside the one with a doc_id.
+    Documents without words are linked with nothing and stay.
     """
-    found = near_duplicates(docs, words, percent)
-    drop = found.groupBy("doc_id").agg(F.min("component_id").alias("_c")).filter("_c <> doc_id").select(F.col("doc_id").alias("_id"))
-    (turn,) = fresh(docs, "_turn")
-    copies = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = docs.join(drop, F.col("doc_id") == F.col("_id"), "left_anti").withColumn(turn, F.row_number().over(copies))
-    return rows.filter(F.col("doc_id").isNull() | (F.col(turn) == 1)).drop(turn)
+    key, part = fresh(docs, "_key", "_part")
+    own = F.xxhash64(F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text").isNull(), F.col("text"))
+    found = near_duplicates(docs.select(own.alias("doc_id"), "text"), words, percent)
+    found = found.select(F.col("doc_id").alias(key), F.col("component_id").alias(part)).distinct()
+    ids = docs.select(own.alias(key), "doc_id", F.xxhash64("text").alias("text")).distinct()
+    first = ids.join(found, key).groupBy(part, F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "text", key)).alias("first"))
+    kept = first.select(F.col(f"first.{key}").alias(key))
+    return docs.withColumn(key, own).join(kept, key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -93,6 +93,14 @@ def test_distinct_documents(spark):
     assert ngram_join.distinct_documents(df.limit(0)).count() == 0
 
 
+def test_distinct_documents_by_text(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    rows = [(3, a), (5, a), (5, b), (9, b), (5, "k l m n o p"), (None, b), (None, b), (None, "i j k l m"), (None, "i j k l m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter((r.doc_id, r.text) for r in ngram_join.distinct_documents(df).collect())
+    assert kept == Counter([(3, a), (5, b), (5, "k l m n o p"), (None, b), (None, "i j k l m")])
+
+
 def test_subset_sizes_are_exactly_the_links():
     for percent in (80, 85):
         for n in range(1, 30):
