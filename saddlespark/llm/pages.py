@@ -2,7 +2,8 @@
 
 Two passes over the pages.  The first hashes every block-level element's subtree (tag, texts,
 children) and Spark counts, per host, on how many pages with different main texts each hash
-occurs; hashes on many of a host's pages are its template.  The second pass takes the page's
+occurs; hashes on many of a host's pages are its template.  How many grows with the logarithm of
+the host's pages, so what fills thousands of pages of a large host is found however large the rest.  The second pass takes the page's
 article, leaves out what the markup itself declares to be something else (menus, forms,
 adverts, comments...) and every subtree that belongs to the template, and joins the blocks
 that are left.
@@ -30,8 +31,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 MIN_PAGES = 5  # with different main texts
-MIN_SHARE = 0.1  # of a host's different pages
-BROADCAST_HASHES = 1 << 16  # 8 bytes each: half a megabyte; more go through a shuffled join
+BROADCAST_HASHES = 1 << 16  # more go through shuffled joins
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -216,47 +216,67 @@ def host(url) -> F.Column:
     return F.nullif(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host and the hashes of its template.
+def _subtrees(pages: DataFrame) -> DataFrame:
+    """page (hash of host and html), host, hash of a subtree and of the main text.
 
-    A page has a bounded number of subtrees, and each hash of the template is on at least
-    ``min_share`` of the pages, so the list of a host is bounded however many pages it has.
+    The row without a subtree counts the page itself.
     """
     import xxhash
 
-    def subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for where, source in zip(b["host"].array, b["html"].array, strict=True):
+            for key, where, source in zip(b["page"].array, b["host"].array, b["html"].array, strict=True):
                 page = Page(source)
                 body = xxhash.xxh64_intdigest(page.main_text()) - (1 << 63)
-                # the row without a subtree counts the page itself
-                out += [(where, None, body), *((where, h, body) for h in {page.hashes[i] for i in page.candidates()})]
-            where, found, body = zip(*out, strict=True) if out else ((), (), ())
-            yield pd.DataFrame({"host": where, "subtree": pd.array(found, dtype="Int64"), "body": pd.array(body, dtype="int64")})
+                out += [(key, where, None, body), *((key, where, h, body) for h in {page.hashes[i] for i in page.candidates()})]
+            key, where, found, body = zip(*out, strict=True) if out else ((), (), (), ())
+            columns = {"page": pd.array(key, dtype="int64"), "host": where, "subtree": pd.array(found, dtype="Int64"), "body": pd.array(body, dtype="int64")}
+            yield pd.DataFrame(columns)
 
     known = pages.select(host(F.col("url")).alias("host"), F.col("html")).filter("host IS NOT NULL AND html IS NOT NULL")
-    seen = known.mapInPandas(subtrees, "host string, subtree long, body long").distinct()
+    known = known.select(F.xxhash64("host", "html").alias("page"), "host", "html")
+    return known.mapInPandas(run, "page long, host string, subtree long, body long")
+
+
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """host and subtree: a row for each hash of its template.
+
+    A hash belongs to it on ``min_pages`` different pages, or log2 of the host's if that is more.
+    """
+    seen = _subtrees(pages).select("host", "subtree", "body").distinct()
     counts = seen.groupBy("host", "subtree").agg(F.count("*").alias("pages"))
-    whole = counts.filter("subtree IS NULL").select("host", F.col("pages").alias("all"))
+    whole = counts.filter("subtree IS NULL").select("host", F.greatest(F.lit(min_pages), F.floor(F.log2("pages"))).alias("need"))
     often = counts.filter(F.col("subtree").isNotNull() & (F.col("pages") >= min_pages)).join(whole, "host")
-    often = often.filter(F.col("pages") >= min_share * F.col("all"))
-    return often.groupBy("host").agg(F.collect_set("subtree").alias("template"))
+    return often.filter("pages >= need").select("host", "subtree")
 
 
 def extract(pages: DataFrame, **kw) -> DataFrame:
     """page_id, url and main text of every page."""
     found = materialize(templates(pages, **kw))
-    hashes = found.agg(F.coalesce(F.sum(F.size("template")), F.lit(0))).first()[0]
-    side = F.broadcast(found) if hashes <= BROADCAST_HASHES else found
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host(F.col("url")).alias("host"))
+    shared = None
+    if found.count() <= BROADCAST_HASHES:
+        by_host: dict[str, set[int]] = {}
+        for r in found.toLocalIterator():
+            by_host.setdefault(r["host"], set()).add(r["subtree"])
+        shared = pages.sparkSession.sparkContext.broadcast(by_host)
+        rows = rows.withColumn("template", F.lit(None).cast("array<long>"))
+    else:
+        # each page gets the hashes it has itself, whatever the length of its host's list
+        own = _subtrees(pages).filter("subtree IS NOT NULL").select("page", "host", "subtree").distinct().join(found, ["host", "subtree"])
+        own = own.groupBy("page").agg(F.collect_set("subtree").alias("template"))
+        rows = rows.withColumn("page", F.xxhash64("host", "html")).join(own, "page", "left")
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for source, template in zip(b["html"].array, b["template"].array, strict=True):
-                out.append(Page(source).main_text(set() if template is None else set(template)) if source else "")
+            for source, where, template in zip(b["html"].array, b["host"].array, b["template"].array, strict=True):
+                if shared is not None:
+                    known = shared.value.get(where, frozenset())
+                else:
+                    known = set() if template is None else set(template)
+                out.append(Page(source).main_text(known) if source else "")
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": out})
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host(F.col("url")).alias("host"))
-    joined = rows.join(side, "host", "left").select("page_id", "url", "html", "template")
-    return joined.mapInPandas(texts, "page_id long, url string, text string")
+    return rows.select("page_id", "url", "html", "host", "template").mapInPandas(texts, "page_id long, url string, text string")

@@ -269,6 +269,18 @@ def test_names_of_headings_and_sections_keep_their_text(spark):
         assert pages.Page(source).main_text() == "Related work\n\nthe period\n\nsecond notice\n\nlevels\n\na notice\n\nso x=1"
 
 
+@pytest.mark.parametrize("most", [pages.BROADCAST_HASHES, 0])
+def test_template_on_few_pages_of_a_large_host(spark, monkeypatch, most):
+    monkeypatch.setattr(pages, "BROADCAST_HASHES", most)
+    box = "<div><span>members read more</span></div>"
+    rows = [(k, "http://h.example/x", f"<article><p>Text {k}</p>{box if k % 20 == 0 else ''}</article>") for k in range(200)]
+    rows += [(300, "http://o.example/x", f"<article><p>Text</p>{box}</article>"), (301, None, f"<article>{box}</article>"), (302, "x", None)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    # the box is on ten of 200 pages of the host
+    assert all(got[k] == f"Text {k}" for k in range(200))
+    assert got[300] == "Text\n\nmembers read more" and got[301] == "members read more" and got[302] == ""
+
+
 # ---- search ----------------------------------------------------------------------------
 @pytest.mark.parametrize("leaf", [4096, 64])
 def test_search_recall(spark, monkeypatch, leaf):
