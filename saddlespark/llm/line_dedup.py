@@ -1,7 +1,8 @@
 """Removal of repeated and nearly repeated lines across a corpus.
 
-Lines are normalised (lower case, digits as 0, marks at the ends of words dropped).  Equal
-normalised lines are one class from the start.  Different ones are linked if their edit
+Lines are normalised (lower case, marks at the ends of words dropped; digits stay, so rows of
+numbers are copies only if the numbers are).  Equal normalised lines are one class from the
+start.  Different ones are linked if their edit
 similarity reaches ``SIMILARITY``; of every connected group the first occurrence (by doc_id,
 then line) stays.
 
@@ -45,7 +46,7 @@ DISTANCE = 28
 BANDS = 20
 ROWS = 4
 # Lines of up to so many words, of which one changed word is a larger part, have further keys of fewer minima.
-SHORT = 12
+SHORT = 16
 SHORT_BANDS = 12
 SHORT_ROWS = 2
 WORDS_KEPT = 100_000  # words that a worker remembers, 576 bytes each in the tables of votes and ranks
@@ -54,11 +55,10 @@ CHUNK_WORDS = 1 << 16  # words whose bits are summed at once
 BROADCAST_IDS = 1 << 20  # of 8 bytes; more go through a shuffled join
 
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-DIGITS = re.compile(r"\d")
 
 
 def normal_word(word: str) -> str:
-    return DIGITS.sub("0", EDGES.sub("", word.lower()))
+    return EDGES.sub("", word.lower())
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -208,6 +208,16 @@ def test_changed_lines_go_as_by_edit_similarity_alone(spark):
     assert want >= 25 and len(got) >= 0.95 * want
 
 
+def test_rows_of_other_numbers_stay(spark):
+    rows = ["1204 3381 9920 1175 6402", "5871 2093 4416 8059 7732", "bread 1.20 milk 0.95 eggs", "1204 3381 9920 1175 6402"]
+    log = [f"2026-01-0{k} the nightly job of the northern office has come to its end" for k in (1, 2)]
+    df = spark.createDataFrame(list(enumerate(rows + log)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    # equal numbers are a copy, other numbers are not; long lines that differ in a digit are alike by edit similarity
+    assert [out[k] for k in range(6)] == [*rows[:3], "", log[0], ""]
+    assert sorted(r.doc_id for r in line_dedup.dedup_lines(df, drop_emptied=True).collect()) == [0, 1, 2, 4]
+
+
 # ---- licenses --------------------------------------------------------------------------
 def test_license_labels(spark):
     gpl = "This work is licensed under the GNU General Public License, version 3."
