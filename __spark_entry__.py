@@ -267,7 +267,7 @@ def q_history_text(spark, sf):
     """The same history written as a text file of frames and read back."""
     hour = F.floor((F.unix_timestamp("ts") - F.lit(1704067200)) / 3600)
     ev = load(spark, sf, "events").select(hour.alias("frame"), "value", HOURS.address([F.col("value")]).alias("addr"))
-    cells = ev.groupBy("frame", "addr").agg(F.avg("value").alias("value"))
+    cells = ev.filter(F.col("addr").isNotNull()).groupBy("frame", "addr").agg(F.avg("value").alias("value"))
     x = HOURS.position(F.col("addr"))[0]
     rows = cells.select("frame", F.lit(1).alias("k"), "addr", F.concat_ws(" ", x.cast("string"), F.col("value").cast("string")).alias("value"))
     heads = sinks.header_lines(HOURS)
