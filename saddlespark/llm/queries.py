@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, forest, licenses, line_dedup, mixing, ngram_join, packing, pages, quality, sharding, sql
+from . import chat, exact_dedup, forest, licenses, line_dedup, mixing, ngram_join, packing, pages, quality, sharding, sql
 from .common import table
 
 
@@ -100,6 +100,11 @@ def op10_pack(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Which row stays for every document, of those whose texts are equal but for the case of A-Z."""
+    return exact_dedup.exact_duplicates(table(spark, sf, "documents"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -117,4 +122,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_chat_format": sql.chat_format(CONTROL),
         "op4_license_scan": sql.license_scan(),
         "op8_quality_rules": sql.quality_rules(),
+        "op11_exact_dedup": sql.exact_dedup(),
     }
