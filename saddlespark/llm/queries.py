@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, forest, licenses, line_dedup, mixing, ngram_join, packing, pages, quality, sharding, sql
+from . import chat, exact_dedup, forest, licenses, line_dedup, mixing, ngram_join, packing, pages, phrases, quality, sharding, sql
 from .common import table
 
 
@@ -105,6 +105,11 @@ def op11_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    """The 2,000 phrases of every language whose words attract each other most, of those with 100 occurrences."""
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -123,4 +128,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_license_scan": sql.license_scan(),
         "op8_quality_rules": sql.quality_rules(),
         "op11_exact_dedup": sql.exact_dedup(),
+        "op13_collocations": sql.collocations(),
     }

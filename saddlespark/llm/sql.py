@@ -158,3 +158,31 @@ WITH told AS (SELECT doc_id, translate(coalesce(text, ''), '{upper}', '{upper.lo
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
 FROM told"""
+
+
+def collocations(least: int = 100, longest: int = 5, top: int = 2000) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    cuts = " UNION ALL ".join(f"SELECT *, {k} AS k FROM often WHERE len(words) > {k}" for k in range(1, longest))
+    return rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+langs AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+sizes AS (SELECT unnest(range(1, {longest + 1})) AS size),
+places AS (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w, sizes WHERE len(w) >= size),
+often AS (
+  SELECT lang, w[i:i + size - 1] AS words, count(*) AS a FROM places GROUP BY lang, words HAVING count(*) >= {least}),
+cuts AS ({cuts}),
+scored AS (
+  SELECT c.lang, c.words, c.a, k, f.a AS l, g.a AS r, n,
+    CAST((1000::HUGEINT * c.a * n) // (f.a::HUGEINT * g.a) AS BIGINT) AS score
+  FROM cuts c JOIN often f ON f.lang = c.lang AND f.words = c.words[1:k]
+    JOIN often g ON g.lang = c.lang AND g.words = c.words[k + 1:] JOIN langs ON langs.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, a, words[1:len(words) - 1] AS words FROM often WHERE len(words) > 2
+  UNION SELECT lang, a, words[2:] FROM often WHERE len(words) > 2),
+free AS (SELECT *, array_to_string(words, ' ') AS phrase FROM best b ANTI JOIN longer USING (lang, words, a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM free QUALIFY rank <= {top}"""
