@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, forest, licenses, line_dedup, mixing, ngram_join, packing, pages, phrases, quality, sharding, sql
+from . import chat, exact_dedup, forest, licenses, line_dedup, mixing, ngram_join, packing, pages, phrases, quality, sharding, sql, token_alignment
 from .common import table
 
 
@@ -105,6 +105,12 @@ def op11_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups and links of the tokens of two tokenizers in every document, and how common the links are."""
+    found = token_alignment.alignment_statistics(table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
     """The 2,000 phrases of every language whose words attract each other most, of those with 100 occurrences."""
     return phrases.collocations(table(spark, sf, "documents"))
