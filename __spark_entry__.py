@@ -308,6 +308,18 @@ def q_poisson_integrate(spark, sf):
     return rounded(poisson.integrate(price_field(spark, sf, GRID_CYC)).df, digits=4)
 
 
+def q_poisson_laplacian(spark, sf):
+    """Second differences of the integrated grid: the right-hand side they have to meet."""
+    return rounded(stencil.laplacian(poisson.integrate(price_field(spark, sf, GRID_CYC))).df, digits=4)
+
+
+def q_poisson_line(spark, sf):
+    """A one-dimensional gradient, integrated by running sums."""
+    rows = load(spark, sf, "lineitem")
+    grad = B.bin_mean(rows, GRID_1D, coords(1), {"g0": F.col("l_extendedprice") / 1000.0})
+    return rounded(poisson.integrate(grad).df, digits=4)
+
+
 # ---- hills -----------------------------------------------------------------------------------------
 def event_hills(spark, sf) -> DataFrame:
     return load(spark, sf, "events").select(
@@ -763,6 +775,28 @@ def s_div(g: GridSpec) -> str:
     return f"(SELECT *, {s_derivative('g0', 0, g)} + {s_derivative('g1', 1, g)} AS div FROM {s_field(g)})"
 
 
+def s_source(g: GridSpec, div: str) -> str:
+    """addr, rhs, half of a gradient grid whose axis 0 is open and whose other axes are periodic."""
+    n, w = g.axes[0].bins - 1, g.axes[0].width
+    half = f"(CASE WHEN i0 = 0 OR i0 = {n} THEN 0.5e0 ELSE 1e0 END)"
+    rhs = f"div + CASE WHEN i0 = 0 THEN {num(2 / w)} * g0 WHEN i0 = {n} THEN -{num(2 / w)} * g0 ELSE 0e0 END"
+    return f"(SELECT addr, {rhs} AS rhs, {half} AS half FROM {div})"
+
+
+def s_poisson_laplacian() -> str:
+    return f"SELECT addr, {r('rhs - avg(rhs * half) OVER () / half', 4)} AS value FROM {s_source(GRID_CYC, s_div(GRID_CYC))}"
+
+
+def s_poisson_line() -> str:
+    g = GRID_1D
+    field = f"(SELECT *, value AS g0 FROM {s_hist('lineitem', LI[:1], g, 'avg(l_extendedprice / 1000.0e0)')})"
+    div = f"(SELECT *, {s_derivative('g0', 0, g)} AS div FROM {field})"
+    source = f"(SELECT addr, (rhs * half - avg(rhs * half) OVER ()) * {num(g.axes[0].width**2)} AS s FROM {s_source(g, div)})"
+    steps = f"(SELECT addr, sum(s) OVER (ORDER BY addr) AS step FROM {source})"
+    u = f"(SELECT addr, coalesce(sum(step) OVER (ORDER BY addr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS u FROM {steps})"
+    return f"SELECT addr, {r('u - min(u) OVER ()', 4)} AS value FROM {u}"
+
+
 def s_poisson() -> str:
     """Cosine transform along the open axis 0, Hartley transform along the periodic axis 1."""
     import math
@@ -1071,6 +1105,8 @@ def oracle_sql() -> dict[str, str]:
         "derivative_periodic": f"SELECT addr, {r(s_derivative('value', 0, GridSpec.of(ANGLE)))} AS d0 FROM {s_hist('events', [SA], GridSpec.of(ANGLE), 'avg(value)')}",
         "divergence": f"SELECT addr, {r('div', 4)} AS value FROM {s_div(GRID_CYC)}",
         "poisson_integrate": s_poisson(),
+        "poisson_laplacian": s_poisson_laplacian(),
+        "poisson_line": s_poisson_line(),
         "sum_hills_1d": hills_1d,
         "sum_hills_2d_grad": s_hills(HILLS_2D, [("c0", "s0"), ("c1", "s1")]),
         "sum_hills_periodic": s_hills(circle, [("c1", "s1")]),

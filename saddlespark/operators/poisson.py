@@ -3,8 +3,14 @@
 The finite-difference Laplacian of a box grid is a sum of one operator per axis, and
 each of those is diagonal in a cosine basis (open ends) or a Fourier basis (periodic).
 So the linear system needs no matrix and no iteration: transform along every axis, divide
-by the sum of eigenvalues, transform back.  A transform handles the lines of the grid
-along one axis independently; each line is one row, and lines are spread over tasks.
+by the sum of eigenvalues, transform back.
+
+A line of the grid is never gathered.  Its L positions are written as n1 x n2; groups of n1
+positions that are n2 apart are transformed, turned by a phase, and regrouped into n2 groups
+across them: two grouped passes, no group beyond a few times the root of L.  Lengths without
+such factors are padded to a power of two (the transform becomes a convolution with a chirp,
+which is again three such transforms).  A one-dimensional grid needs no transform: two
+running sums solve it.
 """
 
 from __future__ import annotations
@@ -19,13 +25,11 @@ from pyspark.sql import functions as F
 from ..functions.axis import Axis
 from ..session import materialize
 from .histogram import Histogram
+from .ordered import running_sum
 from .stencil import divergence
 
-# Lines of at most this many bins are transformed many at a time.
-SHORT_BINS = 1 << 10
-# Lines of at most this many bins are transformed one at a time; along a still longer axis
-# the transform is a plain sum over pairs of positions.
-LINE_BINS = 1 << 20
+# A factor of a length may exceed its root by this much.
+UNEVEN = 8
 
 
 def _ends(axis: Axis, i: Column) -> Column:
@@ -40,49 +44,85 @@ def _eigenvalue(axis: Axis, m: Column) -> Column:
     return -(F.lit(2.0) - F.lit(2.0) * F.cos(m * F.lit(angle))) / F.lit(axis.width**2)
 
 
-def _line_transform(axis: Axis, lines: np.ndarray) -> np.ndarray:
-    """Cosine transform (open ends, end values halved) or Hartley transform of each row."""
-    if axis.periodic:
-        f = np.fft.fft(lines, axis=1)
-        return f.real - f.imag
-    mirrored = np.concatenate([lines, lines[:, -2:0:-1]], axis=1)
-    return np.fft.rfft(mirrored, axis=1).real * 0.5
+def factors(length: int) -> tuple[int, int] | None:
+    """n1 <= n2 with the product ``length`` and n2 near its root, if there are such."""
+    n2 = next(n for n in range(math.isqrt(max(length - 1, 0)) + 1, length + 1) if length % n == 0)
+    return (length // n2, n2) if n2 <= UNEVEN * math.sqrt(length) else None
 
 
-def _kernel(axis: Axis, m: Column, i: Column) -> Column:
-    """The same transform as one coefficient per pair of positions."""
-    if axis.periodic:
-        angle = m * i % F.lit(axis.bins) * F.lit(2.0 * math.pi / axis.bins)
-        return F.cos(angle) + F.sin(angle)
-    n = axis.bins - 1
-    return _ends(axis, i) * F.cos(m * i % F.lit(2 * n) * F.lit(math.pi / n))
+def _groups(rows: DataFrame, size: int) -> DataFrame:
+    """Discrete Fourier transform inside each group: (base, g, p, re, im) to (base, g, m, re, im); absent places are 0."""
+
+    @F.pandas_udf("array<double>")
+    def along(places: pd.Series, re: pd.Series, im: pd.Series) -> pd.Series:
+        lines = np.zeros((len(places), size), dtype=np.complex128)
+        for line, p, x, y in zip(lines, places, re, im, strict=True):
+            line[p] = x + 1j * y
+        f = np.fft.fft(lines, axis=1)
+        return pd.Series(list(np.concatenate([f.real, f.imag], axis=1)))
+
+    cells = rows.groupBy("base", "g").agg(F.collect_list(F.struct("p", "re", "im")).alias("c"))
+    done = cells.select("base", "g", along("c.p", "c.re", "c.im").alias("f"))
+    done = done.withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))))
+    at = F.col("m").cast("int")
+    return done.select("base", "g", "m", F.get("f", at).alias("re"), F.get("f", at + size).alias("im"))
+
+
+def _turned(df: DataFrame, angle: Column) -> DataFrame:
+    """Values times the complex number of an angle."""
+    c, s = F.cos(angle), F.sin(angle)
+    re, im = F.col("re") * c - F.col("im") * s, F.col("re") * s + F.col("im") * c
+    return df.withColumns({"re": re, "im": im})
+
+
+def fourier(rows: DataFrame, length: int) -> DataFrame:
+    """Discrete Fourier transform of lines: (base, i, re, im) to (base, m, re, im) for all m below ``length``."""
+    pair = factors(length)
+    if pair is None:
+        return _by_chirp(rows, length)
+    n1, n2 = pair
+    if n1 > 1:
+        far = rows.select("base", (F.col("i") % n2).alias("g"), F.expr(f"i div {n2}").alias("p"), "re", "im")
+        phase = F.col("g") * F.col("m") % F.lit(length) * F.lit(-2.0 * math.pi / length)
+        rows = _turned(_groups(far, n1), phase).select("base", F.col("m").alias("g"), F.col("g").alias("p"), "re", "im")
+    else:
+        rows = rows.select("base", F.lit(0).cast("long").alias("g"), F.col("i").alias("p"), "re", "im")
+    return _groups(rows, n2).select("base", (F.col("g") + F.col("m") * n1).alias("m"), "re", "im")
+
+
+def _by_chirp(rows: DataFrame, length: int) -> DataFrame:
+    """The transform as a convolution: m * i is (m^2 + i^2 - (m - i)^2) / 2."""
+    wide = 1 << (2 * length - 1).bit_length()
+    chirp = lambda i: i * i % F.lit(2 * length) * F.lit(-math.pi / length)
+    one = fourier(_turned(rows, chirp(F.col("i"))), wide)
+    j = F.col("id")
+    t = F.when(j < length, j).when(j > wide - length, F.lit(wide) - j)
+    answer = rows.sparkSession.range(wide).withColumn("t", t).filter("t IS NOT NULL")
+    answer = answer.select(F.lit(0).cast("long").alias("base"), F.col("id").alias("i"), F.cos(chirp(F.col("t"))).alias("re"), (-F.sin(chirp(F.col("t")))).alias("im"))
+    answer = fourier(answer, wide).select("m", F.col("re").alias("x"), F.col("im").alias("y"))
+    re, im, x, y = (F.col(c) for c in ("re", "im", "x", "y"))
+    # back by the conjugate: its transform is the inverse but for the sign and the length
+    both = one.join(answer, "m").select("base", F.col("m").alias("i"), (re * x - im * y).alias("re"), (-(re * y + im * x)).alias("im"))
+    back = fourier(both, wide).filter(F.col("m") < length)
+    back = back.select("base", "m", (F.col("re") / wide).alias("re"), (-F.col("im") / wide).alias("im"))
+    return _turned(back, chirp(F.col("m")))
 
 
 def transform(hist: Histogram, k: int) -> Histogram:
-    """Transform a dense grid along axis ``k``.  Twice is ``scale(axis)`` times the identity."""
+    """Cosine transform (open ends, end values halved) or Hartley transform along axis ``k`` of a dense grid.
+
+    Twice is ``scale(axis)`` times the identity.
+    """
     spec, axis, stride = hist.spec, hist.spec.axes[k], hist.spec.strides[k]
     i = spec.index_of_address(F.col("addr"))[k]
-    rows = hist.df.select((F.col("addr") - i * F.lit(stride)).alias("base"), i.alias("i"), "value")
-    if axis.bins > LINE_BINS:
-        wide = rows.withColumn("m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(axis.bins - 1).cast("long"))))
-        part = F.sum(F.col("value") * _kernel(axis, F.col("m"), F.col("i")))
-        out = wide.groupBy("base", "m").agg(part.alias("value"))
-    elif axis.bins > SHORT_BINS:
-
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            line = pdf.sort_values("i")["value"].to_numpy()
-            return pd.DataFrame({"base": pdf["base"].iloc[0], "m": np.arange(len(line)), "value": _line_transform(axis, line[None, :])[0]})
-
-        out = rows.groupBy("base").applyInPandas(one, "base long, m long, value double")
+    rows = hist.df.select((F.col("addr") - i * F.lit(stride)).alias("base"), i.cast("long").alias("i"), F.col("value").alias("re"), F.lit(0.0).alias("im"))
+    if axis.periodic:
+        out = fourier(rows, axis.bins).withColumn("value", F.col("re") - F.col("im"))
     else:
-
-        @F.pandas_udf("array<double>")
-        def along(lines: pd.Series) -> pd.Series:
-            return pd.Series(list(_line_transform(axis, np.stack(lines.to_numpy()))))
-
-        line = F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda s: s["value"])
-        lines = rows.groupBy("base").agg(line.alias("line"))
-        out = lines.select("base", F.posexplode(along("line")).alias("m", "value"))
+        length = 2 * (axis.bins - 1)
+        mirrored = F.array_distinct(F.array(F.col("i"), F.lit(length) - F.col("i")))
+        rows = rows.withColumn("i", F.explode(mirrored)).filter(F.col("i") < length)
+        out = fourier(rows, length).filter(F.col("m") < axis.bins).withColumn("value", F.col("re") * 0.5)
     return Histogram(spec, out.select((F.col("base") + F.col("m") * F.lit(stride)).alias("addr"), "value"))
 
 
@@ -108,6 +148,21 @@ def laplacian_rows(grad: Histogram) -> DataFrame:
     return df.select("addr", rhs.alias("rhs"), half.alias("half"))
 
 
+def _along_line(rows: DataFrame, mean: float, axis: Axis) -> DataFrame:
+    """Solution on a one-dimensional grid: the differences are a running sum, the potential another."""
+    source = (F.col("rhs") * F.col("half") - F.lit(mean)) * F.lit(axis.width**2)
+    steps = materialize(running_sum(rows, [], "addr", {"step": source}, levels=2).select("addr", "step"))
+    if axis.periodic:
+        steps = steps.withColumn("step", F.col("step") - F.lit(steps.agg(F.avg("step")).scalar()))
+    return running_sum(steps, [], "addr", {"value": F.col("step")}, inclusive=False, levels=2).select("addr", "value")
+
+
+def _from_zero(spec, df: DataFrame) -> Histogram:
+    df = materialize(df)
+    low = df.agg(F.min("value")).scalar()
+    return Histogram(spec, df.withColumn("value", F.col("value") - low))
+
+
 def integrate(grad: Histogram) -> Histogram:
     """Potential whose gradient is nearest to ``grad``, shifted so that its minimum is 0.
 
@@ -117,6 +172,8 @@ def integrate(grad: Histogram) -> Histogram:
     spec = grad.spec
     rows = materialize(laplacian_rows(grad))
     mean = rows.agg(F.avg(F.col("rhs") * F.col("half"))).scalar()
+    if spec.ndim == 1:
+        return _from_zero(spec, _along_line(rows, mean, spec.axes[0]))
     u = Histogram(spec, rows.select("addr", (F.col("rhs") - mean / F.col("half")).alias("value")))
     for k in range(spec.ndim):
         u = transform(u, k)
@@ -129,6 +186,4 @@ def integrate(grad: Histogram) -> Histogram:
     u = u.with_values({"value": F.when(F.col("addr") == 0, F.lit(0.0)).otherwise(F.col("value") / (total * F.lit(norm)))})
     for k in range(spec.ndim):
         u = transform(u, k)
-    df = materialize(u.df)
-    low = df.agg(F.min("value")).scalar()
-    return Histogram(spec, df.withColumn("value", F.col("value") - low))
+    return _from_zero(spec, u.df)

@@ -83,3 +83,18 @@ def divergence(grad: Histogram) -> Histogram:
         raise ValueError("a divergence needs one component per axis")
     parts = _parts(grad, [F.col(v) for v in grad.values])
     return Histogram(grad.spec, parts.groupBy("addr").agg(F.sum("part").alias("value"))).dense()
+
+
+def laplacian(hist: Histogram) -> Histogram:
+    """Sum over axes of second differences of a dense grid; at an open end the neighbour is mirrored."""
+    spec, addr = hist.spec, F.col("addr")
+    sends: list[Column] = []
+    for axis, stride, i in zip(spec.axes, spec.strides, spec.index_of_address(addr)):
+        n, unit = axis.bins, F.col("value") / F.lit(axis.width**2)
+        part = lambda to, x: F.struct((addr + to * F.lit(stride)).alias("addr"), x.alias("part"))
+        sends.append(part(F.lit(0), unit * -2.0))
+        for step, last, wrapped, second in ((-1, 0, n - 1, 1), (1, n - 1, 1 - n, n - 2)):
+            across = part(F.lit(wrapped), unit) if axis.periodic else F.lit(None)
+            sends.append(F.when(i == last, across).otherwise(part(F.lit(step), unit * (F.lit(1.0) if axis.periodic else F.when(i == second, 2.0).otherwise(1.0)))))
+    rows = hist.df.select(F.explode(F.array_compact(F.array(*sends))).alias("s")).select("s.addr", "s.part")
+    return Histogram(spec, rows.groupBy("addr").agg(F.sum("part").alias("value")))

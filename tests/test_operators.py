@@ -216,14 +216,48 @@ def laplace_solution(grad, spec):
         GridSpec.of(Axis(0.0, 1.0, 4), Axis(0.0, 1.0, 3), Axis(0.0, 1.0, 4, True)),
     ],
 )
-def test_integration_matches_dense_least_squares(spark, spec, monkeypatch):
+def test_integration_matches_dense_least_squares(spark, spec):
     g = filled(spark, spec, 4, spec.ndim) if spec.ndim > 1 else Histogram(spec, filled(spark, spec, 4).df, ("value",))
     want = laplace_solution([dense(g, v) for v in g.values], spec)
     assert dense(poisson.integrate(g)) == pytest.approx(want, rel=1e-8, abs=1e-8)
-    if spec.ndim == 2:
-        for limit in ("SHORT_BINS", "LINE_BINS"):
-            monkeypatch.setattr(poisson, limit, 1)
-            assert dense(poisson.integrate(g)) == pytest.approx(want, rel=1e-8, abs=1e-8)
+    solved = Histogram(spec, spark.createDataFrame([(k, float(v)) for k, v in enumerate(want.ravel(order="F"))], "addr long, value double"))
+    rhs = poisson.laplacian_rows(g).withColumn("value", F.col("rhs"))
+    mean = rhs.agg(F.avg(F.col("rhs") * F.col("half"))).scalar()
+    left = Histogram(spec, rhs.select("addr", (F.col("rhs") - mean / F.col("half")).alias("value")))
+    assert dense(stencil.laplacian(solved)) == pytest.approx(dense(left), rel=1e-6, abs=1e-6)
+
+
+@pytest.mark.parametrize("length", [1, 2, 7, 12, 97, 131, 360, 1009])
+def test_fourier_transform_of_lines(spark, length):
+    rng = np.random.default_rng(length)
+    x = rng.normal(size=(3, length)) + 1j * rng.normal(size=(3, length))
+    rows = [(10 * b, i, float(x[b, i].real), float(x[b, i].imag)) for b in range(3) for i in range(length)]
+    got = np.zeros_like(x)
+    for r in poisson.fourier(spark.createDataFrame(rows, "base long, i long, re double, im double"), length).collect():
+        got[r.base // 10, r.m] = r.re + 1j * r.im
+    assert got == pytest.approx(np.fft.fft(x, axis=1), abs=1e-9)
+
+
+def test_no_group_of_a_transform_holds_a_line():
+    for length in (2, 12, 198, 1 << 20, 2 * 99_999, 10**6):
+        n1, n2 = poisson.factors(length)
+        assert n1 * n2 == length and n1 <= n2 <= poisson.UNEVEN * math.sqrt(length)
+    assert poisson.factors(1_000_003) is None
+
+
+@pytest.mark.parametrize("periodic", [False, True])
+def test_long_line(spark, monkeypatch, periodic):
+    monkeypatch.setattr(ordered, "BLOCK", 64)
+    axis = Axis(0.0, 3.0, 20_000, periodic)
+    spec = GridSpec.of(axis)
+    g = np.random.default_rng(2).normal(size=axis.bins)
+    grad = Histogram(spec, spark.createDataFrame([(k, float(v)) for k, v in enumerate(g)], "addr long, g0 double"), ("g0",))
+    u = dense(poisson.integrate(grad)).ravel()
+    rows = {r.addr: r for r in poisson.laplacian_rows(grad).collect()}
+    rhs, half = (np.array([rows[k][c] for k in range(axis.bins)]) for c in ("rhs", "half"))
+    around = np.r_[u[-1], u, u[0]] if periodic else np.r_[u[1], u, u[-2]]
+    second = (around[2:] - 2 * u + around[:-2]) / axis.width**2
+    assert second == pytest.approx(rhs - (rhs * half).mean() / half, rel=1e-6, abs=1e-3) and u.min() == 0
 
 
 def test_integration_recovers_a_potential(spark):
