@@ -10,6 +10,7 @@ share of them: ceil(min_count * words of the shard / words of all).  So
    tasks: each adds up what it reads before the shuffle by (shard, phrase).  The number of
    shards is fixed, so the local support, and with it the pruning, does not fall as data grow;
 4. the union of the locally frequent phrases is counted over all chunks in one pass, exactly.
+   Those whose known counts, with the most that the other shards can add, stay below ``min_count`` are left out before.
 
 Phrases are told apart by numbers, never by hashes: an n-gram is the number of its first n-1
 words and that of its last word.  The sorted lists of candidates go to the tasks while they
@@ -213,14 +214,17 @@ def _mined(chunks: DataFrame, sent, n: int) -> DataFrame:
     return chunks.select("shard", "lang", "words").mapInPandas(run, "shard int, lang long, key long, n long")
 
 
-def _candidates(chunks: DataFrame, support: DataFrame, longest: int) -> list[np.ndarray]:
+def _candidates(chunks: DataFrame, support: DataFrame, longest: int, min_count: int) -> list[np.ndarray]:
     """Sorted keys of the phrases of 2, 3... words that are frequent in some shard, as far as they can be sent."""
     sc = chunks.sparkSession.sparkContext
     lists: list[np.ndarray] = []
     for n in range(2, longest + 1):
         sent = sc.broadcast(lists)
         local = _mined(chunks, sent, n).groupBy("shard", "key").agg(F.sum("n").alias("n"), F.min("lang").alias("lang"))
-        often = materialize(local.join(support, ["shard", "lang"]).filter("n >= least").select("key").distinct())
+        seen = local.join(support, ["shard", "lang"]).filter("n >= least")
+        # where a phrase is not frequent it has at most least - 1 occurrences
+        most = F.sum(F.col("n") - (F.col("least") - 1)) + F.first("unseen")
+        often = materialize(seen.groupBy("key").agg(most.alias("most")).filter(F.col("most") >= min_count).select("key"))
         count = often.count()
         if count > MOST_NAMES:
             break
@@ -280,8 +284,10 @@ def frequent_phrases(docs: DataFrame, min_count: int = 100, longest: int = 5) ->
     total = words.groupBy("lang").agg(F.min("name").alias("no")).join(langs, "lang").select(F.col("no").alias("lang"), F.col("n").alias("all"))
     share = chunks.groupBy("shard", "lang").agg(F.sum("n").alias("own")).join(total, "lang")
     least = F.ceil(F.lit(min_count).cast("decimal(20,0)") * F.col("own") / F.col("all")).cast("long")
-    support = materialize(share.select("shard", "lang", F.greatest(least, F.lit(1)).alias("least")))
-    lists = _candidates(chunks, support, longest)
+    share = share.select("shard", "lang", F.greatest(least, F.lit(1)).alias("least"))
+    unseen = share.groupBy("lang").agg(F.sum(F.col("least") - 1).alias("unseen"))
+    support = materialize(share.join(unseen, "lang"))
+    lists = _candidates(chunks, support, longest, min_count)
     found = _counted(chunks, lists, min_count)
     for n in range(len(lists) + 2, longest + 1):
         found = found.union(_plain(chunks, n, min_count))
