@@ -397,13 +397,13 @@ def q_patch_grid(spark, sf):
 
 def q_minimax_barrier(spark, sf):
     """Barriers from the start to every bin; none to the start itself (NULL)."""
-    r = search.find_path(mean_price(spark, sf, GRID_2D), START, END, mode="max", tile_nodes=TILE)
+    found = search.find_distances(mean_price(spark, sf, GRID_2D), START, "max")
     passed = F.when(F.col("distance") > F.lit(float("-inf")), F.col("distance"))
-    return rounded(r.distances.withColumn("distance", passed))
+    return rounded(found.withColumn("distance", passed))
 
 
 def q_shortest_sum(spark, sf):
-    return rounded(search.find_path(mean_price(spark, sf, GRID_2D), START, END, mode="sum", tile_nodes=TILE).distances, digits=3)
+    return rounded(search.find_distances(mean_price(spark, sf, GRID_2D), START, "sum"), digits=3)
 
 
 def q_mfep_dijkstra(spark, sf):

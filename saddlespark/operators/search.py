@@ -33,6 +33,7 @@ from ..session import materialize
 from .graph import MAX, MFEP, SUM, grid_edges, is_bipartite, spfa
 from .histogram import Histogram
 from .patches import Patch, apply_patches
+from .relax import lowest_labels
 
 # Nodes of one tile, that is, of one task's search.
 TILE_NODES = 1 << 12
@@ -98,14 +99,13 @@ def _trace(rule: _Label, path, weights) -> tuple:
 
 # ---- one tile -------------------------------------------------------------------------
 def _serve(
-    rule: _Label, own: dict, around: dict, start: int, limit: tuple | None = None, end: int | None = None, brief: bool = False
+    rule: _Label, own: dict, around: dict, start: int, limit: tuple | None = None, end: int | None = None
 ) -> dict:
     """Serve the nodes of one tile: node -> (path, weights).
 
     ``own``: node -> outgoing edges.  ``around``: node outside -> (path, weights, edges into
     the tile).  With ``limit`` only nodes served before that key are returned.  If ``end`` is
-    given and no edge leaves the tile, nodes behind ``end`` are not served.  ``brief`` is for
-    barriers: instead of its path a node gets one step from the start that weighs as much.
+    given and no edge leaves the tile, nodes behind ``end`` are not served.
     """
     if end is not None and (start not in own or any(v not in own for out in own.values() for v, _ in out)):
         end = None
@@ -125,7 +125,7 @@ def _serve(
         if limit is not None and key >= limit:
             break
         label, _, _, parent, last_weight, entered_by = best[u]
-        done[u] = (start, label) if brief and u != start else (parent, last_weight)
+        done[u] = (parent, last_weight)
         if u == end:
             break
         for v, w in own[u] if u in own else around[u][2]:
@@ -143,8 +143,6 @@ def _serve(
             out[v] = around[v][0], around[v][1]
         elif parent is None:
             out[v] = ([v], [])
-        elif brief:
-            out[v] = ([start, v], [w])
         else:
             path, weights = out[parent]
             out[v] = ([*path, v], [*weights, w])
@@ -166,13 +164,13 @@ def _split(pdf: pd.DataFrame):
     return own, inside, around
 
 
-def _tile_round(mode: str, start: int, end: int | None, brief: bool):
+def _tile_round(mode: str, start: int, end: int | None):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         # of a node outside the tile the message just received replaces the older one
         halo = pdf[~pdf.own].sort_values("changed").drop_duplicates("node", keep="last")
         pdf = pd.concat([pdf[pdf.own], halo])
         own, inside, around = _split(pdf)
-        found = _serve(_Label(mode), inside, around, start, end=end, brief=brief)
+        found = _serve(_Label(mode), inside, around, start, end=end)
         old = {n: None if p is None else (list(p), list(w)) for n, p, w in zip(own.node, own.path, own.weights)}
         rows = pdf.copy()
         rows["changed"] = False
@@ -210,14 +208,12 @@ def label_setting(
     tile: int | None = None,
     tile_of: Column | None = None,
     to_end: bool = False,
-    brief: bool = False,
 ) -> SearchResult:
     """Search from ``start``; paths to every reachable node, and the one to ``end``.
 
     ``graph``: ``src, dst, weight``.  Nodes are cut into tiles of ``tile`` consecutive
     numbers, or by ``tile_of``, an expression over the column ``node``.  With ``to_end`` the
-    nodes that would be served after ``end`` may be missing.  ``brief``, for the maximum-edge
-    mode, finds distances only: a path is then just the start and the node.
+    nodes that would be served after ``end`` may be missing.
     """
     node = F.col("node")
     tile_of = F.floor(node / F.lit(tile or TILE_NODES)).cast("long") if tile_of is None else tile_of
@@ -243,7 +239,7 @@ def label_setting(
             active = messages.select("tile").distinct()
             busy = state.join(active, "tile", "left_semi").unionByName(messages)
             idle = state.join(active, "tile", "left_anti")
-        served = busy.groupBy("tile").applyInPandas(_tile_round(mode, start, end if to_end else None, brief), STATE)
+        served = busy.groupBy("tile").applyInPandas(_tile_round(mode, start, end if to_end else None), STATE)
         state = materialize(idle.withColumn("changed", F.lit(False)).unionByName(served))
         moved = state.filter("own AND changed").withColumnRenamed("tile", "home")
         targets = F.array_distinct(F.transform("out", lambda e: e["tile"]))
@@ -290,6 +286,15 @@ class PathResult:
     distances: DataFrame
 
 
+def find_distances(pmf: Histogram, start: list[float], mode: str, patches: list[Patch] = (), delta: float | None = None) -> DataFrame:
+    """addr, distance of every bin from a position: smallest sums (``sum``) or lowest barriers (``max``)."""
+    a = pmf.spec.address_value(list(start)) if len(start) == pmf.spec.ndim else None
+    if a is None:
+        raise ValueError("the start must lie on the grid")
+    edges = grid_edges(apply_patches(pmf, list(patches)))
+    return lowest_labels(edges, a, mode, delta=delta).withColumnRenamed("node", "addr")
+
+
 def find_path(
     pmf: Histogram,
     start: list[float],
@@ -320,7 +325,7 @@ def find_path(
         if mode == MFEP:
             # No bin beyond the barrier between the two ends is served before the search
             # arrives.  Finding the barrier first is the cheaper search of the two.
-            cheap = label_setting(edges, a, b, MAX, tile_of=tiles, brief=True).nodes
+            cheap = lowest_labels(edges, a, MAX)
             barrier = cheap.filter(F.col("node") == F.lit(b)).select("distance").first()
             edges = edges.filter(F.col("weight") <= F.lit(barrier[0])) if barrier else edges
         r = label_setting(edges, a, b, mode, tile_of=tiles, to_end=mode == MFEP)
