@@ -19,7 +19,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from saddlespark.functions.axis import Axis  # noqa: E402
 from saddlespark.functions.grid import GridSpec  # noqa: E402
-from saddlespark.functions.units import numbers, thermal_energy  # noqa: E402
+from saddlespark.functions.units import nearly_equal, numbers, thermal_energy  # noqa: E402
 from saddlespark.operators import graph as G  # noqa: E402
 from saddlespark.operators import hills as H  # noqa: E402
 from saddlespark.operators import histogram as B  # noqa: E402
@@ -27,7 +27,7 @@ from saddlespark.operators import history as Y  # noqa: E402
 from saddlespark.operators import poisson, search, stencil, thermo  # noqa: E402
 from saddlespark.operators.histogram import Histogram  # noqa: E402
 from saddlespark.operators.ordered import explode_range  # noqa: E402
-from saddlespark.operators.patches import Patch, apply_patches  # noqa: E402
+from saddlespark.operators.patches import Patch, apply_patch_table, apply_patches  # noqa: E402
 from saddlespark.session import shared_folder  # noqa: E402
 from saddlespark.sources import mdlog, sinks, text  # noqa: E402
 from saddlespark.streaming.accumulate import run_to_end, stream_bin_sum  # noqa: E402
@@ -395,6 +395,81 @@ def q_patch_grid(spark, sf):
     return rounded(apply_patches(counts(spark, sf, GRID_2D), PATCHES).df.select("addr", "value"))
 
 
+def q_patch_table(spark, sf):
+    """Every part raises a box of the grid."""
+    key = F.col("p_partkey")
+    boxes = load(spark, sf, "part").select(
+        F.col("p_size").cast("double").alias("center0"), (key % 7 + 0.5).alias("length0"), (key % 11 / 100.0).alias("center1"),
+        (key % 5 / 50.0 + 0.003).alias("length1"), (F.col("p_retailprice") / 1000.0).alias("value"),
+    )
+    return rounded(apply_patch_table(counts(spark, sf, GRID_2D), boxes).df.select("addr", "value"))
+
+
+def path_lines(spark, name: str, write) -> DataFrame:
+    """Lines of a text file just written, in order, as arrays of numbers."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    write(folder)
+    lines = spark.read.text(folder).withColumn("x", numbers(F.trim("value")))
+    return lines.select("x")
+
+
+def q_path_file_text(spark, sf):
+    """The nodes of a path, written and read back."""
+    found = search.find_path(mean_price(spark, sf, GRID_2D), START, END, PATCHES, tile_nodes=TILE)
+    x = path_lines(spark, "path", lambda folder: sinks.write_path(found.path, GRID_2D, folder))
+    return rounded(x.select(F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"), F.col("x")[2].alias("value")))
+
+
+def q_region_file_text(spark, sf):
+    """The bins visited by a search, written and read back."""
+    found = search.find_path(mean_price(spark, sf, GRID_2D), START, END, PATCHES, tile_nodes=TILE)
+    x = path_lines(spark, "region", lambda folder: sinks.write_region(found.visited, GRID_2D, folder))
+    return rounded(x.select(F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1")))
+
+
+def q_canonical_order(spark, sf):
+    """Places of the bins in a grid file."""
+    placed = G.number_sorted(mean_price(spark, sf, GRID_3D).table(), GRID_3D.index_names, "place")
+    return rounded(placed.select("place", "addr", "value"))
+
+
+def q_element_access(spark, sf):
+    """The values stored at three addresses, one of them beyond the grid."""
+    h = mean_price(spark, sf, GRID_2D)
+    return rounded(h.at(7).union(h.at(23)).union(h.at(GRID_2D.size)))
+
+
+def q_append_frame(spark, sf):
+    """An hourly history with the mean of its frames behind it."""
+    history = hourly(spark, sf)
+    top = history.agg(F.max("frame")).first()[0]
+    mean = Histogram(HOURS, history.groupBy("addr").agg(F.avg("value").alias("value")))
+    longer = Y.append_frame(history.withColumn("file", F.lit(0)).select("file", "frame", "addr", "value"), mean, top + 1)
+    return rounded(longer.filter(F.col("frame") >= top - 1).select("frame", "addr", "value"))
+
+
+def q_adjacency_print(spark, sf):
+    """The printed lines of a graph."""
+    return G.adjacency_lines(G.sort_by_weight(co_orders(spark, sf, False)))
+
+
+def q_label_growth(spark, sf):
+    """Labels of two weights, grown by a third; the number each label stands for."""
+    label = F.sort_array(F.array("p_retailprice", F.col("p_size").cast("double")), asc=False)
+    rows = load(spark, sf, "part").select("p_partkey", label.alias("label"), (F.col("p_partkey") % 1500).cast("double").alias("weight"))
+    grown = {m: G.extend_label(m, F.col("label") if m == "mfep" else F.col("label")[0], F.col("weight")) for m in ("mfep", "sum", "max")}
+    cols = [F.array_join(F.transform(grown["mfep"], lambda w: F.round(w, 2).cast("decimal(12,2)").cast("string")), ",").alias("label")]
+    cols += [G.distance_value(m, c).alias(f"by_{m}") for m, c in grown.items()]
+    return rounded(rows.select("p_partkey", *cols), digits=3)
+
+
+def q_nearly_equal(spark, sf):
+    """How often two ways to one price agree exactly, within two units in the last place, and not at all."""
+    a, b = F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount")), F.col("l_extendedprice") - F.col("l_extendedprice") * F.col("l_discount")
+    rows = load(spark, sf, "lineitem").select("l_returnflag", (a == b).alias("same"), nearly_equal(a, b).alias("near"))
+    return rows.groupBy("l_returnflag").agg(F.count_if("same").alias("same"), F.count_if("near").alias("near"), F.count("*").alias("rows"))
+
+
 def q_minimax_barrier(spark, sf):
     """Barriers from the start to every bin; none to the start itself (NULL)."""
     found = search.find_distances(mean_price(spark, sf, GRID_2D), START, "max")
@@ -901,6 +976,44 @@ def s_minimax() -> str:
     )
 
 
+def s_patch_table() -> str:
+    boxes = (
+        "(SELECT CAST(p_size AS DOUBLE) AS c0, 0.5e0 * (p_partkey % 7 + 0.5e0) AS h0, (p_partkey % 11) / 100e0 AS c1, "
+        "0.5e0 * ((p_partkey % 5) / 50e0 + 0.003e0) AS h1, p_retailprice / 1000e0 AS raised FROM part)"
+    )
+    inside = "x0 BETWEEN c0 - h0 AND c0 + h0 AND x1 BETWEEN c1 - h1 AND c1 + h1"
+    return (
+        f"SELECT addr, {r('any_value(value) + coalesce(sum(raised), 0e0)')} AS value FROM {s_count(GRID_2D)} g LEFT JOIN {boxes} b ON {inside} GROUP BY addr"
+    )
+
+
+def s_append_frame() -> str:
+    h, top = s_hourly(), "(SELECT max(frame) FROM h)"
+    return (
+        f"WITH h AS MATERIALIZED (SELECT * FROM {h}) SELECT frame, addr, {r('value')} AS value FROM h WHERE frame >= {top} - 1 "
+        f"UNION ALL SELECT {top} + 1, addr, {r('avg(value)')} FROM h GROUP BY addr"
+    )
+
+
+def s_label_growth() -> str:
+    label = "list_reverse_sort([p_retailprice, CAST(p_size AS DOUBLE)])"
+    grown = f"list_reverse_sort(list_append({label}, CAST(p_partkey % 1500 AS DOUBLE)))"
+    told = f"array_to_string(list_transform({grown}, lambda w: CAST(CAST(w AS DECIMAL(12, 2)) AS VARCHAR)), ',')"
+    weight = "CAST(p_partkey % 1500 AS DOUBLE)"
+    return (
+        f"SELECT p_partkey, {told} AS label, {r(f'{grown}[1]', 3)} AS by_mfep, {r(f'{label}[1] + {weight}', 3)} AS by_sum, "
+        f"{r(f'greatest({label}[1], {weight})', 3)} AS by_max FROM part"
+    )
+
+
+def s_nearly_equal() -> str:
+    a, b = "l_extendedprice * (1e0 - l_discount)", "(l_extendedprice - l_extendedprice * l_discount)"
+    near = f"abs({a} - {b}) < {2.0**-51!r} * abs({a} + {b}) OR abs({a} - {b}) < 2.2250738585072014e-308"
+    return (
+        f"SELECT l_returnflag, count(*) FILTER ({a} = {b}) AS same, count(*) FILTER ({near}) AS near, count(*) AS rows FROM lineitem GROUP BY 1"
+    )
+
+
 def s_numbers(parts: str) -> str:
     shape = r"^[-+]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[-+]?[0-9]+)?|inf(inity)?|nan)$"
     one = f"CASE WHEN regexp_matches(s, '{shape}', 'i') THEN coalesce(try_cast(s AS DOUBLE), 0e0) ELSE 0e0 END"
@@ -1118,6 +1231,15 @@ def oracle_sql() -> dict[str, str]:
         "build_graph": f"SELECT src, dst, {r('weight')} AS weight FROM {S_BOTH}",
         "sorted_adjacency": f"SELECT src, row_number() OVER (PARTITION BY src ORDER BY weight, dst) AS place, dst, {r('weight')} AS weight FROM {S_BOTH}",
         "patch_grid": s_patch(),
+        "patch_table": s_patch_table(),
+        "path_file_text": f"SELECT x0, x1, value FROM ({s_search(GRID_2D, s_path_rows(GRID_2D))})",
+        "region_file_text": f"SELECT x0, x1 FROM ({s_search(GRID_2D, s_visited(GRID_2D))})",
+        "canonical_order": f"SELECT row_number() OVER (ORDER BY i0, i1, i2) - 1 AS place, addr, {r('value')} AS value FROM {s_price(GRID_3D)}",
+        "element_access": f"SELECT addr, {r('value')} AS value FROM {s_price(GRID_2D)} WHERE addr IN (7, 23)",
+        "append_frame": s_append_frame(),
+        "adjacency_print": f"SELECT row_number() OVER (ORDER BY src, weight, dst) - 1 AS place, src || ' -> ' || dst || ' (' || printf('%.6g', weight) || ')' AS line FROM {S_BOTH}",
+        "label_growth": s_label_growth(),
+        "nearly_equal": s_nearly_equal(),
         "minimax_barrier": s_minimax(),
         "shortest_sum": s_shortest(),
         "mfep_dijkstra": s_search(GRID_2D, s_path_rows(GRID_2D)),

@@ -99,6 +99,19 @@ def adjacency(graph: DataFrame) -> DataFrame:
     return graph.orderBy("src", "ord").select("src", "dst", "weight")
 
 
+def adjacency_lines(graph: DataFrame) -> DataFrame:
+    """place, line: the printed edges of a graph, numbered without one long window."""
+    placed = number_sorted(graph.select("src", "dst", "weight", "ord"), ["src", "ord"], "place")
+    line = F.format_string("%d -> %d (%s)", F.col("src"), F.col("dst"), short_number(F.col("weight")))
+    return placed.select("place", line.alias("line"))
+
+
+def short_number(x: Column) -> Column:
+    """Six significant digits without trailing zeros."""
+    text = F.format_string("%.6g", x)  # Java keeps the zeros
+    return F.when(text.contains("."), F.regexp_replace(text, r"\.?0*$", "")).otherwise(text)
+
+
 # ---- depth-first order -------------------------------------------------------------
 def number_sorted(df: DataFrame, order: list[str], out: str) -> DataFrame:
     """Number rows 0, 1, 2... in sort order, from a range-partitioned sort."""
@@ -135,7 +148,8 @@ def dfs_order(graph: DataFrame, start: int) -> DataFrame:
 
 
 # ---- label-correcting search -----------------------------------------------------------
-def _extend(mode: str, label: Column, weight: Column) -> Column:
+def extend_label(mode: str, label: Column, weight: Column) -> Column:
+    """The label of a path that is one edge longer."""
     if mode == SUM:
         return label + weight
     if mode == MAX:
@@ -217,7 +231,7 @@ def _serve_pass(state: DataFrame, queue: DataFrame, graph: DataFrame, mode: str,
     ord_type = graph.schema["ord"].dataType
     key = lambda c: _compare_key(mode, c, length)
     offers = queue.join(graph, F.col("node") == F.col("src")).select(
-        F.col("dst").alias("node"), _extend(mode, F.col("label"), F.col("weight")).alias("label"),
+        F.col("dst").alias("node"), extend_label(mode, F.col("label"), F.col("weight")).alias("label"),
         F.array_append("path", F.col("dst")).alias("path"), F.col("okey").alias("from"), "ord",
         F.lit(None).cast(state.schema["okey"].dataType).alias("okey"), F.lit(True).alias("offer"),
     )
@@ -269,7 +283,7 @@ def _settle_queue(queue: DataFrame, graph: DataFrame, mode: str, longest: int) -
         offers = (
             current.join(inner, F.col("node") == F.col("src"))
             .select(
-                F.col("dst").alias("node"), "from", "ord", _extend(mode, F.col("label"), F.col("weight")).alias("new"),
+                F.col("dst").alias("node"), "from", "ord", extend_label(mode, F.col("label"), F.col("weight")).alias("new"),
                 F.array_append("path", F.col("dst")).alias("new_path"),
             )
             .join(first.select("node", F.col("label").alias("old")), "node")

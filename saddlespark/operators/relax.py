@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .graph import MAX, SUM
 
-BUCKETS = 16  # of a barrier search: buckets that the range of weights is cut into
-EDGES_AHEAD = 8  # of a sum: edges of mean weight that a bucket spans
+BUCKETS = 4  # of a barrier search: buckets that the range of weights is cut into
+EDGES_AHEAD = 16  # of a sum: edges of mean weight that a bucket spans
 
 
 def _label(mode: str, distance: Column, weight: Column) -> Column:
