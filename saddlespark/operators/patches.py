@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.axis import Axis
 from ..functions.grid import GridSpec
+from ..session import materialize
 from .histogram import Histogram
 from .ordered import running_sum
 
@@ -86,11 +87,13 @@ def patch_field(patches: DataFrame, spec: GridSpec) -> Histogram:
         part = F.struct(spec.address_of_index(at).cast("long").alias("addr"), (F.col("value") * (-1.0) ** sum(ends)).alias("value"))
         corners.append(F.when(inside, part))
     terms = boxes.select(F.explode(F.array_compact(F.array(*corners))).alias("c")).select("c.*")
-    field = Histogram(spec, terms.groupBy("addr").agg(F.sum("value").alias("value"))).dense().df
+    field = materialize(Histogram(spec, terms.groupBy("addr").agg(F.sum("value").alias("value"))).dense().df)
     for k, (axis, stride) in enumerate(zip(spec.axes, spec.strides)):
         i = spec.index_of_address(F.col("addr"))[k].cast("long")
         rows = field.select("addr", (F.col("addr") - i * F.lit(stride)).alias("_line"), i.alias("_i"), F.col("value").alias("_v"))
-        field = running_sum(rows, ["_line"], "_i", {"value": F.col("_v")}, levels=2).select("addr", "value")
+        field = running_sum(rows, ["_line"], "_i", {"value": F.col("_v")}, levels=2)
+        # a running sum reads its input several times
+        field = materialize(field.select("addr", "value"))
     return Histogram(spec, field)
 
 
