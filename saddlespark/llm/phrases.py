@@ -6,14 +6,15 @@ share of them: ceil(min_count * words of the shard / words of all).  So
 1. words are counted; rarer ones than ``min_count`` can be in no phrase and break the text;
 2. texts become numbers of words, stored in chunks, each of one of ``SHARDS`` shards (per language);
 3. every shard is mined completely at its lowered support, one phrase length after the other: an
-   n-gram counts only where both its (n-1)-grams are candidates.  A shard is spread over many
+   n-gram counts only where both its (n-1)-grams are frequent.  A shard is spread over many
    tasks: each adds up what it reads before the shuffle by (shard, phrase).  The number of
    shards is fixed, so the local support, and with it the pruning, does not fall as data grow;
-4. the union of the locally frequent phrases is counted over all chunks in one pass, exactly.
-   Those whose known counts, with the most that the other shards can add, stay below ``min_count`` are left out before.
+4. of each length the locally frequent phrases of all shards are united, less those whose known counts, with
+   the most that the other shards can add, stay below ``min_count``.  These candidates are counted
+   exactly over all shards, from the same shuffle, and the frequent ones lead to the next length.
 
 Phrases are told apart by numbers, never by hashes: an n-gram is the number of its first n-1
-words and that of its last word.  The sorted lists of candidates go to the tasks while they
+words and that of its last word.  The sorted lists of frequent phrases go to the tasks while they
 have at most ``MOST_NAMES`` entries; from the length on at which they have more, n-grams are counted as
 arrays by an ordinary aggregation, and more frequent words than that are numbered by a join.
 
@@ -165,7 +166,7 @@ def _chunks(docs: DataFrame, words: DataFrame, count: int) -> DataFrame:
 
 
 def chain(words: np.ndarray, lists: list[np.ndarray]) -> Iterator[np.ndarray]:
-    """For each length from 1 on, the number of the n-gram that starts at each place, -1 where it is no candidate."""
+    """For each length from 1 on, the number of the n-gram that starts at each place, -1 where it is not frequent."""
     names = words
     yield names
     for n, keys in enumerate(lists, start=2):
@@ -214,55 +215,52 @@ def _mined(chunks: DataFrame, sent, n: int) -> DataFrame:
     return chunks.select("shard", "lang", "words").mapInPandas(run, "shard int, lang long, key long, n long")
 
 
-def _candidates(chunks: DataFrame, support: DataFrame, longest: int, min_count: int) -> list[np.ndarray]:
-    """Sorted keys of the phrases of 2, 3... words that are frequent in some shard, as far as they can be sent."""
+def _frequent(chunks: DataFrame, support: DataFrame, longest: int, min_count: int) -> tuple[list[np.ndarray], list[DataFrame]]:
+    """For 2, 3... words, as far as they can be sent: the sorted keys of the frequent phrases, and a table key, a of them."""
     sc = chunks.sparkSession.sparkContext
     lists: list[np.ndarray] = []
+    tables: list[DataFrame] = []
     for n in range(2, longest + 1):
-        sent = sc.broadcast(lists)
-        local = _mined(chunks, sent, n).groupBy("shard", "key").agg(F.sum("n").alias("n"), F.min("lang").alias("lang"))
+        local = _mined(chunks, sc.broadcast(lists), n).groupBy("shard", "key").agg(F.sum("n").alias("n"), F.min("lang").alias("lang"))
         seen = local.join(support, ["shard", "lang"]).filter("n >= least")
         # where a phrase is not frequent it has at most least - 1 occurrences
         most = F.sum(F.col("n") - (F.col("least") - 1)) + F.first("unseen")
-        often = materialize(seen.groupBy("key").agg(most.alias("most")).filter(F.col("most") >= min_count).select("key"))
-        count = often.count()
+        candidates = seen.groupBy("key").agg(most.alias("most")).filter(F.col("most") >= min_count).select("key")
+        # their counts in all shards, frequent there or not; the shuffle by shard and key is used again
+        exact = local.join(candidates, "key", "left_semi").groupBy("key").agg(F.sum("n").alias("a"))
+        exact = materialize(exact.filter(F.col("a") >= min_count))
+        count = exact.count()
         if count > MOST_NAMES:
             break
-        keys = np.fromiter((r.key for r in often.toLocalIterator()), dtype=np.int64, count=count)
-        lists.append(np.sort(keys))
+        lists.append(np.sort(np.fromiter((r.key for r in exact.select("key").toLocalIterator()), dtype=np.int64, count=count)))
+        tables.append(exact)
         if not count:
-            lists += [keys] * (longest - n)
+            lists += [lists[-1]] * (longest - n)
             break
-    return lists
+    return lists, tables
 
 
-def _counted(chunks: DataFrame, lists: list[np.ndarray], least: int) -> DataFrame:
-    """words, a: every candidate with its exact number of occurrences, if that is high enough."""
-    sent = chunks.sparkSession.sparkContext.broadcast(lists)
+def _spelt(spark, lists: list[np.ndarray], tables: list[DataFrame]) -> DataFrame:
+    """words (numbers), a of the phrases whose keys the tables hold."""
+    sent = spark.sparkContext.broadcast(lists)
+    mask = (1 << BITS) - 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = [np.zeros(len(keys), dtype=np.int64) for keys in sent.value]
-        for b in batches:
-            for words in b["words"]:
-                for total, names in zip(totals, itertools.islice(chain(np.asarray(words, dtype=np.int64), sent.value), 1, None), strict=True):
-                    at, n = np.unique(names[names >= 0], return_counts=True)
-                    total[at] += n
-        for k, total in enumerate(totals):
-            at = np.flatnonzero(total)
-            yield pd.DataFrame({"k": k, "name": at, "n": total[at]})
-
-    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for k, part in b.groupby("k"):
-                name, words = part["name"].to_numpy(), []
-                for keys in sent.value[k::-1]:
-                    words.append(keys[name] & ((1 << BITS) - 1))
-                    name = keys[name] >> BITS
-                words = np.stack([name, *words[::-1]], axis=1)
-                yield pd.DataFrame({"words": list(words), "a": part["a"].to_numpy()})
+    def spell(k: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                key, words = b["key"].to_numpy(), []
+                for keys in reversed(sent.value[:k]):
+                    words.append(key & mask)
+                    key = keys[key >> BITS]
+                words = np.stack([key >> BITS, key & mask, *words[::-1]], axis=1)
+                yield pd.DataFrame({"words": list(words), "a": b["a"].to_numpy()})
+
+        return run
 
-    found = chunks.select("words").mapInPandas(run, "k int, name long, n long").groupBy("k", "name").agg(F.sum("n").alias("a"))
-    return found.filter(F.col("a") >= least).mapInPandas(spell, "words array<long>, a long")
+    out = spark.createDataFrame([], "words array<long>, a long")
+    for k, table in enumerate(tables):
+        out = out.union(table.mapInPandas(spell(k), "words array<long>, a long"))
+    return out
 
 
 def _plain(chunks: DataFrame, n: int, least: int) -> DataFrame:
@@ -287,8 +285,8 @@ def frequent_phrases(docs: DataFrame, min_count: int = 100, longest: int = 5) ->
     share = share.select("shard", "lang", F.greatest(least, F.lit(1)).alias("least"))
     unseen = share.groupBy("lang").agg(F.sum(F.col("least") - 1).alias("unseen"))
     support = materialize(share.join(unseen, "lang"))
-    lists = _candidates(chunks, support, longest, min_count)
-    found = _counted(chunks, lists, min_count)
+    lists, tables = _frequent(chunks, support, longest, min_count)
+    found = _spelt(docs.sparkSession, lists, tables)
     for n in range(len(lists) + 2, longest + 1):
         found = found.union(_plain(chunks, n, min_count))
     found = materialize(found)
