@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 # Fixed by the task: what separates words, as a character class.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -71,3 +74,13 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: i
         parts = [F.pmod(salt, F.lit(pieces)).alias(piece)] if level else []
         df = df.withColumn(rank, F.row_number().over(W.partitionBy(*keys, *parts).orderBy(*order))).filter(F.col(rank) <= n)
     return df.drop(rank)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A result that several later steps read, as a table in the shared folder.
+
+    Like a checkpoint it ends the lineage, but columns of it are read alone and numbers are stored compactly.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,10 +8,10 @@ then line) stays.
 
 Which lines are compared is decided by fingerprints of their words.  A line has ``BANDS`` keys,
 each made of ``ROWS`` minima over hashes of its words (weighted MinHash), short lines more; lines
-that share a key meet.  Each list of a key is scanned twice: first everybody against the list's smallest member,
+that share a key meet.  Blocks of SimHash bits do not find enough: the README has the figures.  Each list of a key is scanned twice: first everybody against the list's smallest member,
 which connects groups of near copies without forming their pairs, then pairs of different
 components inside the lists, in blocks of bounded size.  Lengths that rule the similarity out,
-and SimHash fingerprints that differ in more than ``DISTANCE`` bits (nearly half of them), stop a
+and SimHash fingerprints that differ in more than ``DISTANCE`` of 64 bits, stop a
 pair before its edit distance is computed, by Spark's own bounded function on the lines.
 
 Words weigh by length, so lines do not meet for their small words.  Keys are a matter of chance:
@@ -35,30 +35,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import fresh
+from .common import fresh, stored
 from .components import components
 from .lists import pairs_across
 
 MIN_WORDS = 5
 SIMILARITY = 0.8
-# Of 5,121 pairs of lines at SIMILARITY in sf0.1, two differ in more bits; of unlike lines about five in six do.
-DISTANCE = 28
-BANDS = 20
-ROWS = 4
+# Bits in which fingerprints of compared lines may differ; of unlike lines about one in 300 differs in so few.
+DISTANCE = 20
+BANDS = 8
+ROWS = 3
 # Lines of up to so many words, of which one changed word is a larger part, have further keys of fewer minima.
 SHORT = 16
 SHORT_BANDS = 12
 SHORT_ROWS = 2
-WORDS_KEPT = 100_000  # words that a worker remembers, 576 bytes each in the tables of votes and ranks
+WORDS_KEPT = 200_000  # words that a worker remembers, 232 bytes each in the tables of votes and ranks
 HELD_WORDS = 1 << 17  # words of lines that wait for their fingerprints
-CHUNK_WORDS = 1 << 16  # words whose bits are summed at once
+CHUNK_WORDS = 1 << 13  # words whose bits are summed at once
+# Votes are summed in lanes of 16 bits, four to a number: SEGMENT words of HEAVIEST fit.
+LANES = 16
+HEAVIEST = 127
+SEGMENT = 512
 BROADCAST_IDS = 1 << 20  # of 8 bytes; more go through a shuffled join
 
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def normal_word(word: str) -> str:
-    return EDGES.sub("", word.lower())
+    word = word.lower()
+    # most words begin and end with a letter or digit
+    return word if word[0].isalnum() and word[-1].isalnum() else EDGES.sub("", word)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -70,7 +76,8 @@ class Words(dict):
     """Number of each normalised word; -1 for mere marks.
 
     ``hashes`` has the words' hashes by number, ``votes`` what each word adds to every bit of a
-    fingerprint: its weight where its hash has the bit, and less the weight elsewhere.
+    fingerprint, its weight where its hash has the bit: bit 16 * l + c in lane l of column c, and
+    the weight in the last column.
     ``ranks`` has its place in each of the orders whose first words make the keys, ``sizes`` its length.
     """
 
@@ -85,15 +92,15 @@ class Words(dict):
     def _reset(self) -> None:
         self.clear()
         self._new: list[tuple[int, int, int]] = []
-        self.hashes, self.votes = np.empty(0, dtype=np.uint64), np.empty((0, 64), dtype=np.float32)
-        self.ranks, self.sizes = np.empty((0, BANDS * ROWS), dtype=np.float32), np.empty(0, dtype=np.int64)
+        self.hashes, self.votes = np.empty(0, dtype=np.uint64), np.empty((0, LANES + 1), dtype=np.uint64)
+        self.ranks, self.sizes = np.empty((0, BANDS * ROWS), dtype=np.uint32), np.empty(0, dtype=np.int64)
 
     def __missing__(self, word: str) -> int:
         known = normal_word(word)
         out = -1
         if known:
             out = len(self.hashes) + len(self._new)
-            self._new.append((self.hash(known), max(1, len(known) - 2), len(known)))
+            self._new.append((self.hash(known), min(max(1, len(known) - 2), HEAVIEST), len(known)))
         self[word] = out
         return out
 
@@ -101,13 +108,15 @@ class Words(dict):
         """Extend the tables by the words met since the last call."""
         if self._new:
             found, weights, sizes = zip(*self._new, strict=True)
-            hashes, weights = np.array(found, dtype=np.uint64), np.array(weights, dtype=np.float32)
-            bits = (hashes[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-            votes = (bits.astype(np.float32) * 2 - 1) * weights[:, None]
-            ranks = np.empty((len(hashes), BANDS * ROWS), dtype=np.float32)
+            hashes, weights = np.array(found, dtype=np.uint64), np.array(weights, dtype=np.uint64)
+            votes = np.zeros((len(hashes), LANES + 1), dtype=np.uint64)
+            for bit in range(64):
+                votes[:, bit % LANES] |= ((hashes >> np.uint64(bit)) & np.uint64(1)) * weights << np.uint64(bit // LANES * 16)
+            votes[:, LANES] = weights
+            ranks = np.empty((len(hashes), BANDS * ROWS), dtype=np.uint32)
             for k, salt in enumerate(self.salts):
                 # a quotient, not a logarithm: it has the same bits on every machine
-                ranks[:, k] = (mixed(hashes * salt) >> np.uint64(32)).astype(np.float32) / weights
+                ranks[:, k] = (mixed(hashes * salt) >> np.uint64(32)) // weights
             self.hashes, self.votes, self._new = np.concatenate([self.hashes, hashes]), np.concatenate([self.votes, votes]), []
             self.ranks, self.sizes = np.concatenate([self.ranks, ranks]), np.concatenate([self.sizes, np.array(sizes, dtype=np.int64)])
 
@@ -127,11 +136,19 @@ def _chunks(starts: np.ndarray, total: int) -> Iterator[tuple[int, int, int, int
 
 
 def fingerprints(votes: np.ndarray, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """SimHash of lines: the sign, per bit, of the sum of votes of the words from each start to the next."""
+    """SimHash of lines: per bit, whether words with more than half of the weight have it, from each start to the next."""
     out, shifts = np.zeros(len(starts), dtype=np.uint64), np.arange(64, dtype=np.uint64)
+    lanes = np.arange(4, dtype=np.uint64)[:, None] * np.uint64(16)
     for at, upto, lo, hi in _chunks(starts, len(words)):
-        sums = np.add.reduceat(votes[words[lo:hi]], starts[at:upto] - lo, axis=0)
-        out[at:upto] = ((sums > 0).astype(np.uint64) << shifts).sum(axis=1, dtype=np.uint64)
+        first = starts[at:upto] - lo
+        # long lines are summed in segments, which no lane can overflow
+        parts = -(-np.diff(np.r_[first, hi - lo]) // SEGMENT)
+        base = np.cumsum(parts) - parts
+        segments = np.repeat(first, parts) + (np.arange(parts.sum()) - np.repeat(base, parts)) * SEGMENT
+        sums = np.add.reduceat(votes[words[lo:hi]], segments, axis=0)
+        heavy = (sums[:, None, :LANES] >> lanes & np.uint64(0xFFFF)).reshape(-1, 64)
+        heavy, total = np.add.reduceat(heavy, base, axis=0), np.add.reduceat(sums[:, LANES], base)
+        out[at:upto] = ((heavy * np.uint64(2) > total[:, None]).astype(np.uint64) << shifts).sum(axis=1, dtype=np.uint64)
     return out
 
 
@@ -148,7 +165,7 @@ def band_keys(ranks: np.ndarray, words: np.ndarray, starts: np.ndarray) -> list[
     out: list[np.ndarray] = []
     for at, upto, lo, hi in _chunks(starts, len(words)):
         least = np.minimum.reduceat(ranks[words[lo:hi]], starts[at:upto] - lo, axis=0)
-        least = least.view(np.uint32).astype(np.uint64)
+        least = least.astype(np.uint64)
         keys = list(_keys(least.reshape(-1, BANDS, ROWS), 1).view(np.int64))
         short = np.flatnonzero(np.diff(np.r_[starts[at:upto], hi]) <= SHORT)
         more = _keys(least[short, : SHORT_BANDS * SHORT_ROWS].reshape(-1, SHORT_BANDS, SHORT_ROWS), BANDS + 1).view(np.int64)
@@ -186,7 +203,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
         known, lines, held = Words(), [], 0
         for b in batches:
             for key, text in zip(b["doc"].array, b["text"].array, strict=True):
-                for k, line in enumerate(text.split("\n")):
+                # in lower case at once, so that fewer words are met for the first time
+                for k, line in enumerate(text.lower().split("\n")):
                     ids = np.array([i for i in map(known.__getitem__, line.split()) if i >= 0], dtype=np.int32)
                     if len(ids) >= MIN_WORDS:
                         lines.append((key, k, ids))
@@ -239,8 +257,10 @@ def _alike(pairs: DataFrame, docs: DataFrame, places: DataFrame) -> DataFrame:
     texts = materialize(texts.dropDuplicates(["sid"]))
     both = pairs.join(texts.select(F.col("sid").alias("a"), F.col("told").alias("ta")), "a")
     both = both.join(texts.select(F.col("sid").alias("b"), F.col("told").alias("tb")), "b")
-    most = f"cast(floor({1 - SIMILARITY:.6f} * greatest(char_length(ta), char_length(tb)) + 1e-9) as int)"
-    return both.filter(F.expr(f"levenshtein(ta, tb, {most}) >= 0")).select("a", "b")
+    # the work grows with the bound, and most pairs that are alike differ in little
+    within = "levenshtein(ta, tb, cast(floor({} * greatest(char_length(ta), char_length(tb)) + 1e-9) as int)) >= 0"
+    bounds = [f"{(1 - SIMILARITY) / 8:.6f}", f"{1 - SIMILARITY:.6f}"]
+    return both.filter(F.expr(f"CASE WHEN {within.format(bounds[0])} THEN true ELSE {within.format(bounds[1])} END")).select("a", "b")
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -250,13 +270,13 @@ def _named(docs: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc (hash of doc_id and text) and the sorted numbers of the lines to be removed."""
-    rows = materialize(occurrences(docs))
+    rows = stored(occurrences(docs))
     ids = docs.select("doc", "doc_id")
     # the first place of each class; all classes for the links, later only those that come twice
     places = rows.groupBy("sid").agg(
         F.min(F.struct("doc", "line")).alias("p"), F.first("sim").alias("sim"), F.first("size").alias("size"), F.count("*").alias("n")
     )
-    places = materialize(places.select("sid", "p.doc", "p.line", "sim", "size", "n"))
+    places = stored(places.select("sid", "p.doc", "p.line", "sim", "size", "n"))
     # dealt out once for both uses; a class that comes in several places has its keys several times
     keys = rows.filter("keys IS NOT NULL").select("sid", F.explode("keys").alias("key")).filter("key IS NOT NULL").repartition("key")
     least = keys.groupBy("key").agg(F.min("sid").alias("pivot"), F.max("sid").alias("_m")).filter("pivot <> _m").select("key", "pivot")
