@@ -12,7 +12,7 @@ that share a key meet.  Blocks of SimHash bits do not find enough: the README ha
 which connects groups of near copies without forming their pairs, then pairs of different
 components inside the lists, in blocks of bounded size.  Lengths that rule the similarity out,
 and SimHash fingerprints that differ in more than ``DISTANCE`` of 64 bits, stop a
-pair before its edit distance is computed, by Spark's own bounded function on the lines.
+pair before its edit distance is compared with the bound.
 
 Words weigh by length, so lines do not meet for their small words.  Keys are a matter of chance:
 a pair that shares no key and no third line is missed; the README has the measured recall.
@@ -41,14 +41,15 @@ from .lists import pairs_across
 
 MIN_WORDS = 5
 SIMILARITY = 0.8
-# Bits in which fingerprints of compared lines may differ; of unlike lines about one in 300 differs in so few.
-DISTANCE = 20
+# Bits in which fingerprints of compared lines may differ; of unlike lines about one in thirty differs in so few.
+DISTANCE = 24
 BANDS = 8
 ROWS = 3
 # Lines of up to so many words, of which one changed word is a larger part, have further keys of fewer minima.
 SHORT = 16
 SHORT_BANDS = 12
 SHORT_ROWS = 2
+TURNS = 2  # more scans of lists with another member, before pairs are formed
 WORDS_KEPT = 200_000  # words that a worker remembers, 232 bytes each in the tables of votes and ranks
 HELD_WORDS = 1 << 17  # words of lines that wait for their fingerprints
 CHUNK_WORDS = 1 << 13  # words whose bits are summed at once
@@ -238,6 +239,47 @@ def _close(rows: pd.DataFrame):
     return test
 
 
+def within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance is at most ``most``.
+
+    Words exchanged in place bound it from above.  Where that does not settle it, the columns of
+    the distance table are kept as whole numbers, a bit per row for each step up and down.
+    """
+    if abs(len(a) - len(b)) > most:
+        return False
+    u, v = a.split(" "), b.split(" ")
+    shared = min(len(u), len(v))
+    at, end = 0, 0
+    while at < shared and u[at] == v[at]:
+        at += 1
+    while end < shared - at and u[-1 - end] == v[-1 - end]:
+        end += 1
+    u, v = u[at : len(u) - end], v[at : len(v) - end]
+    if len(u) == len(v) and sum(max(len(x), len(y)) for x, y in zip(u, v, strict=True) if x != y) <= most:
+        return True
+    a, b = " ".join(u), " ".join(v)
+    if not a or not b or max(len(a), len(b)) <= most:
+        # with words on one side only, a space goes with them if there are others
+        return len(a or b) + (at + end > 0) <= most if not a or not b else True
+    has: dict[str, int] = {}
+    for k, c in enumerate(a):
+        has[c] = has.get(c, 0) | 1 << k
+    every, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, cost, left = every, 0, len(a), len(b)
+    for c in b:
+        same = has.get(c, 0)
+        level = same | down
+        carry = ((same & up) + up ^ up) | same
+        rise, fall = down | every ^ ((carry | up) & every), up & carry
+        cost += 1 if rise & top else -1 if fall & top else 0
+        left -= 1
+        if cost - left > most:
+            return False
+        rise, fall = rise << 1 | 1, fall << 1
+        up, down = (fall | every ^ ((level | rise) & every)) & every, rise & level & every
+    return cost <= most
+
+
 def _alike(pairs: DataFrame, docs: DataFrame, places: DataFrame) -> DataFrame:
     """Pairs (a, b) of lines whose edit similarity is high enough; ``places`` says where each line stands."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(places, "sid")
@@ -257,10 +299,14 @@ def _alike(pairs: DataFrame, docs: DataFrame, places: DataFrame) -> DataFrame:
     texts = materialize(texts.dropDuplicates(["sid"]))
     both = pairs.join(texts.select(F.col("sid").alias("a"), F.col("told").alias("ta")), "a")
     both = both.join(texts.select(F.col("sid").alias("b"), F.col("told").alias("tb")), "b")
-    # the work grows with the bound, and most pairs that are alike differ in little
-    within = "levenshtein(ta, tb, cast(floor({} * greatest(char_length(ta), char_length(tb)) + 1e-9) as int)) >= 0"
-    bounds = [f"{(1 - SIMILARITY) / 8:.6f}", f"{1 - SIMILARITY:.6f}"]
-    return both.filter(F.expr(f"CASE WHEN {within.format(bounds[0])} THEN true ELSE {within.format(bounds[1])} END")).select("a", "b")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            most = [int(np.floor((1 - SIMILARITY) * max(len(x), len(y)) + 1e-9)) for x, y in zip(b["ta"], b["tb"], strict=True)]
+            fits = [within(x, y, k) for x, y, k in zip(b["ta"], b["tb"], most, strict=True)]
+            yield b.loc[np.array(fits, dtype=bool), ["a", "b"]]
+
+    return both.select("a", "b", "ta", "tb").mapInPandas(verify, "a long, b long")
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -287,6 +333,21 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     stars = stars.filter(_near(*[(F.col(f"_{x}.sim"), F.col(f"_{x}.size")) for x in "ab"])).select("a", "b")
     edges = materialize(_alike(materialize(stars), docs, places.select("sid", "doc", "line")))
     roots = components(edges)
+    for turn in range(TURNS):
+        # lists whose members are still apart: everybody against another member
+        apart = shared.select("key", "sid").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left")
+        apart = apart.withColumn("root", F.coalesce("root", "sid"))
+        pivots = apart.groupBy("key").agg(
+            F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "root")).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")
+        )
+        pivots = pivots.filter("lo <> hi").select("key", F.col("p.sid").alias("a"), F.col("p.root").alias("_r"))
+        met = apart.join(pivots, "key").filter("root <> _r").select("a", F.col("sid").alias("b")).distinct().join(one, "a").join(two, "b")
+        met = met.filter(_near(*[(F.col(f"_{x}.sim"), F.col(f"_{x}.size")) for x in "ab"])).select("a", "b")
+        new = materialize(_alike(materialize(met), docs, places.select("sid", "doc", "line")))
+        if new.isEmpty():
+            break
+        edges = edges.union(new)
+        roots = components(edges)
     more = materialize(pairs_across(shared.select("key", "sid"), roots, about, _close))
     if not more.isEmpty():
         roots = components(edges.union(_alike(more, docs, places.select("sid", "doc", "line"))))

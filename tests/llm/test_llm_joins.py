@@ -127,6 +127,23 @@ def distance(a, b):
     return row[-1]
 
 
+def test_edit_bound_is_exact():
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(rng.randrange(1, n)))
+    for _ in range(2000):
+        a = [word(4) for _ in range(rng.randrange(1, 7))]
+        b = list(a)
+        for _ in range(rng.randrange(3)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(3)] = [rng.choice(["a", "bc", "cab", "ü"]) for _ in range(rng.randrange(3))]
+        a, b = " ".join(a), " ".join(b)
+        d = distance(a, b)
+        for most in range(8):
+            assert line_dedup.within(a, b, most) == line_dedup.within(b, a, most) == (d <= most)
+    long = "ab " * 20_000
+    assert line_dedup.within(long + "c" * 50, "d" * 50 + long, 150) and not line_dedup.within(long + "c" * 50, "d" * 50 + long, 30)
+
+
 def fingerprint(weighted):
     return sum((sum(w if h >> b & 1 else -w for h, w in weighted) > 0) << b for b in range(64))
 
