@@ -49,7 +49,7 @@ ROWS = 3
 SHORT = 16
 SHORT_BANDS = 12
 SHORT_ROWS = 2
-TURNS = 2  # more scans of lists with another member, before pairs are formed
+TURNS = 1  # more scans of lists with another member, before pairs are formed
 WORDS_KEPT = 200_000  # words that a worker remembers, 232 bytes each in the tables of votes and ranks
 HELD_WORDS = 1 << 17  # words of lines that wait for their fingerprints
 CHUNK_WORDS = 1 << 13  # words whose bits are summed at once
