@@ -8,9 +8,10 @@ then line) stays.
 
 Which lines are compared is decided by fingerprints of their words.  A line has ``BANDS`` keys,
 each made of ``ROWS`` minima over hashes of its words (weighted MinHash), short lines more; lines
-that share a key meet.  Blocks of SimHash bits do not find enough: the README has the figures.  Each list of a key is scanned twice: first everybody against the list's smallest member,
-which connects groups of near copies without forming their pairs, then pairs of different
-components inside the lists, in blocks of bounded size.  Lengths that rule the similarity out,
+that share a key meet.  Blocks of SimHash bits do not find enough: the README has the figures.  Each list of
+a key is scanned with everybody against the list's smallest member, then, where members are still
+apart, against another one; that connects groups of near copies without forming their pairs.  Last
+come the pairs of different components inside the lists, in blocks of bounded size.  Lengths that rule the similarity out,
 and SimHash fingerprints that differ in more than ``DISTANCE`` of 64 bits, stop a
 pair before its edit distance is compared with the bound.
 
