@@ -1,17 +1,19 @@
 """Shards of near-equal size by histogram sort.
 
-Rows get a 64-bit key: the upper bits hash the text, the lower ones the document, so equal
-texts are neighbours and yet a hot text can be cut.  Splitters between shards are found by
+Rows get a 64-bit key: the upper bits hash the text, the lower ones the document and its place
+in the input, so equal texts are neighbours and yet a hot text can be cut, also one whose rows
+all have the same doc_id or none.  Splitters between shards are found by
 rounds: every round asks, for a few candidate boundaries in each splitter's bracket, how many
 bytes lie below (partial sums per task, one row per boundary), and narrows the brackets until
 every splitter is within tolerance.  Candidates stay on the borders between texts as long as
-such a border is precise enough.  Then the rows are exchanged once and numbered.
+such a border is precise enough.  Then the rows are exchanged once, by ranges of keys, and
+numbered by their place in the sorted ranges and one small row per range.
 
 Only small rows (id, size, checksum, key) take part; they are written once to the shared
 folder, so that the rounds do not read the texts again and a lost executor costs a re-read.
 
-Cases: a null text counts as empty; null doc_ids and repeated rows are rows like others (equal
-keys go to the same shard, in order of doc_id).  A document is never cut, so a text longer than
+Cases: a null text counts as empty; null doc_ids and repeated rows are rows like others and may
+go to different shards.  A document is never cut, so a text longer than
 the tolerance may make shards differ by its size.  An empty table gives no rows.
 """
 
@@ -30,7 +32,7 @@ from ..session import materialize
 LOW_BITS = 24  # of the key, for the document
 TOLERANCE = 0.005  # of a shard's bytes
 PROBES = 32  # candidate boundaries in each bracket and round
-PART_ROWS = 100_000  # rows that one task numbers
+PART_ROWS = 100_000  # rows that one task sorts
 FIRST, LAST = -(1 << 63), (1 << 63) - 1
 
 
@@ -38,11 +40,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     """Light rows: doc_id, size, text_crc32 and the sort key."""
     text = F.coalesce("text", F.lit(""))
     low = F.lit((1 << LOW_BITS) - 1)
+    own = F.xxhash64(F.lit(1), "doc_id", F.monotonically_increasing_id())
     return docs.select(
         F.col("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).bitwiseAND(F.bitwise_not(low)).bitwiseOR(F.xxhash64(F.lit(1), "doc_id").bitwiseAND(low)).alias("key"),
+        F.xxhash64(text).bitwiseAND(F.bitwise_not(low)).bitwiseOR(own.bitwiseAND(low)).alias("key"),
     )
 
 
@@ -102,25 +105,16 @@ def shard(docs: DataFrame, shards: int = 16, tolerance: float = TOLERANCE) -> Da
     """Light rows with ``shard`` and ``slot``, sorted by key inside each shard."""
     rows = materialize(keyed(docs))
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    # Each shard is several parts, so that no task has to sort and number a whole shard.
-    fine = max(4, -(-n // (shards * PART_ROWS)))
-    cuts = np.array(splitters(rows, total, shards * fine, tolerance) if n else [0], dtype="int64")
-
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["_part"] = np.searchsorted(cuts, b["key"].to_numpy(), side="right")
-            yield b
-
-    kinds = rows.schema.simpleString()[7:-1]
-    dealt = rows.mapInPandas(part, f"{kinds}, _part int")
-    inside = W.partitionBy("_part").orderBy("key", "doc_id")
-    numbered = dealt.withColumn("_place", F.row_number().over(inside) - 1)
-    # one row per part: how many rows the parts of the same shard before it have
-    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    cuts = splitters(rows, total, shards, tolerance) if n else []
+    # as many splitters as there are borders between shards, whatever the number of rows
+    own = sum((F.when(F.col("key") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    # a shard is many ranges of keys, so that no task has to sort and number a whole one
+    ranges = max(shards, -(-n // PART_ROWS))
+    dealt = rows.withColumn("shard", own).repartitionByRange(ranges, "key", "doc_id").sortWithinPartitions("key", "doc_id")
+    done = materialize(dealt).withColumns({"_part": F.spark_partition_id(), "_seq": F.monotonically_increasing_id()})
+    pieces = done.groupBy("shard", "_part").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
     before = W.partitionBy("shard").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.withColumn("shard", F.floor(F.col("_part") / F.lit(fine)).cast("int")).select(
-        "_part", "shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
-    )
-    return numbered.join(F.broadcast(starts), "_part").select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("_before") + F.col("_place")).cast("long").alias("slot")
+    starts = pieces.select("shard", "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base"))
+    return done.join(starts, ["shard", "_part"]).select(
+        "doc_id", "size", "text_crc32", "shard", (F.col("_base") + F.col("_seq")).cast("long").alias("slot")
     )
