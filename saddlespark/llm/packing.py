@@ -1,7 +1,8 @@
 """Best-fit-decreasing packing of token sequences into windows of a fixed size.
 
 Documents are tokenized and cut into pieces: full windows as long as they last, then the
-rest.  Pieces are dealt into groups of bounded size by a hash; in each group they are placed
+rest.  Pieces are dealt into groups of bounded size by a hash of their document, content and
+place in the input, so that repeated rows spread as well; in each group they are placed
 longest first, each into the open window with the least room that still holds it.  A segment
 tree over remaining capacities finds that window in a dozen steps.  Windows never span groups,
 so groups are independent tasks and a lost one is simply redone; the padding that separate
@@ -12,7 +13,7 @@ well and returns the padded windows themselves.
 
 Cases: a null or empty text gives one piece that holds the closing id alone.  Repeated rows and
 repeated doc_ids are separate pieces.  Ties in length go by doc_id, start and content, so
-reruns agree.  Very long texts are cut, never shortened.  Further columns of the documents are
+reruns over the same files and splits agree.  Very long texts are cut, never shortened.  Further columns of the documents are
 left out (``pieces`` names its columns).  An empty table gives no pieces.
 """
 
@@ -221,7 +222,9 @@ def pack(parts: DataFrame, groups: int | Column, window: int = WINDOW) -> DataFr
         group["offset"] = [o for _, o in spots]
         return group
 
-    dealt = parts.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    # the place of a row in its input split tells repeated rows apart, and is the same when a lost task is redone
+    place_in_split = F.monotonically_increasing_id()
+    dealt = parts.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", place_in_split), F.lit(groups)))
     return dealt.groupBy("_group").applyInPandas(run, f"{schema}, sequence_id long, offset long")
 
 
