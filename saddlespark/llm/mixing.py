@@ -8,10 +8,14 @@ words comes nearest to the budget.
 
 The order inside a source is found in two levels: keys are cut into buckets that keep their
 order, a window runs inside each bucket, and a second one over the bucket totals.  A source
-with a third of all rows is thus spread over many tasks.  Everything is native DataFrame code.
+with a third of all rows is thus spread over many tasks.  Buckets are even steps of the mean
+distribution function of the keys over ten quality weights from 0.1 to 1, so rows of any one
+quality meet a bucket at most ten times as often as they would a fair one, however many rows
+have it.  Everything is native DataFrame code.
 
 Cases: a null source is a source of its own, last in order.  Null and empty texts have size 0 and
-are taken with no words.  Repeated rows get equal keys and are told apart by order only.
+are taken with no words.  The random part of a key comes from doc_id, of rows without one from
+the text.  Repeated rows get equal keys, thus one bucket, and are told apart by order only.
 Equal keys go by doc_id, then size.  Sources without any word have target 0 and are not taken.
 An empty table gives no rows.  Further columns of the documents come along in ``mix``.
 """
@@ -28,7 +32,8 @@ from .common import count_words, unit_hash
 WEIGHTS = (5, 2, 1)  # of the sources in order, repeating
 SHARE = 1.5  # of all words the mix holds
 MOST = 2  # passes over a source at most
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000  # of a fair bucket
+RATES = 10  # quality weights whose distributions the buckets average
 
 
 def quality(text: Column) -> Column:
@@ -40,6 +45,20 @@ def quality(text: Column) -> Column:
     return F.greatest(F.lit(0.1), 1.0 - F.when(size > 0, 10.0 * marks / size).otherwise(0.0))
 
 
+def random_key(seed: int, doc_id: Column, text: Column) -> Column:
+    """Exponential keys: the higher the quality, the smaller the key tends to be."""
+    own = F.coalesce(doc_id.cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(text, F.lit("")))))
+    return -F.log(unit_hash(seed, own)) / quality(text)
+
+
+def bucket(key: Column, buckets: int) -> Column:
+    """A number from 0 that never falls as the key grows."""
+    above = F.lit(0.0)
+    for k in range(1, RATES + 1):
+        above = above + F.exp(-key * (k / RATES))
+    return F.floor((1.0 - above / RATES) * buckets).cast("long")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """Budget per source from ``source, source_size``: one row a source, so this table is small.
 
@@ -67,15 +86,14 @@ def plan(docs: DataFrame, seed: int = 0, keep: tuple[str, ...] = (), **kw) -> Da
     ``keep`` names further columns that come along.  The texts are read twice: once for the
     totals of sources and buckets, which are written to the shared folder, once for the rows.
     """
-    # exp(-key) falls with the key, so these buckets keep the order of the keys
     buckets = max(16, -(-docs.count() // BUCKET_ROWS))
     rows = docs.select(
         "doc_id",
         "source",
         count_words(F.col("text")).alias("size"),
-        (-F.log(unit_hash(seed, F.col("doc_id"))) / quality(F.col("text"))).alias("_key"),
+        random_key(seed, F.col("doc_id"), F.col("text")).alias("_key"),
         *keep,
-    ).withColumn("_b", F.floor((1.0 - F.exp(-F.col("_key"))) * buckets).cast("long"))
+    ).withColumn("_b", bucket(F.col("_key"), buckets))
     totals = materialize(rows.groupBy("source", "_b").agg(F.sum("size").alias("_t")))
     before = W.partitionBy("source").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     starts = totals.select(F.col("source").alias("_src"), F.col("_b").alias("_bk"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start"))

@@ -65,7 +65,7 @@ WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
 k AS (
   SELECT doc_id, source, size,
-    -ln((CAST(CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5e0) / 4503599627370496e0)
+    -ln((CAST(CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 't' || md5(t))), 1, 13) AS BIGINT) AS DOUBLE) + 0.5e0) / 4503599627370496e0)
     / greatest(0.1e0, 1e0 - CASE WHEN strlen(t) > 0 THEN 10e0 * ({marks}) / strlen(t) ELSE 0e0 END) AS key
   FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -122,10 +122,11 @@ FROM own LEFT JOIN extra USING (conv_id)"""
 
 def license_scan() -> str:
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in licenses.PHRASES.items())
-    rows = []
-    for label, text in licenses.TEMPLATES:
+    rows, tell = [], []
+    for k, ((label, text), sets) in enumerate(zip(licenses.TEMPLATES, licenses.telling(), strict=True)):
         words = sorted(set(text.split()))
-        rows.append(f"('{label}', {words}, {math.ceil(licenses.CONTAINS * len(words))}, {len(words)})")
+        rows.append(f"({k}, '{label}', {words}, {math.ceil(licenses.CONTAINS * len(words))}, {len(words)})")
+        tell += [f"({k}, {x})" for x in sets]
     step = licenses.BLOCK // 2
     return rf"""
 WITH d AS (
@@ -139,11 +140,14 @@ base AS (
 blocks AS (
   SELECT doc_id, list_distinct(w[s + 1:s + {licenses.BLOCK}]) AS w
   FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 1 - {step}, 0) + 1, {step})) AS s FROM d)),
-templates(label, words, need, n) AS (VALUES {", ".join(rows)}),
+templates(k, label, words, need, n) AS (VALUES {", ".join(rows)}),
+tell(k, one_of) AS (VALUES {", ".join(tell)}),
+near AS (
+  SELECT * FROM (SELECT doc_id, k, w, label, need, n, len(list_intersect(w, words)) AS common FROM blocks, templates)
+  WHERE common >= need),
 more AS (
   SELECT doc_id, list(DISTINCT label) AS labels, max(CAST(common AS DOUBLE) / n) AS share
-  FROM (SELECT doc_id, label, need, n, len(list_intersect(w, words)) AS common FROM blocks, templates)
-  WHERE common >= need GROUP BY doc_id)
+  FROM near ANTI JOIN tell ON near.k = tell.k AND NOT list_has_any(near.w, tell.one_of) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   coalesce(array_to_string(base.labels, ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,

@@ -3,14 +3,16 @@
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from check_queries import compare, connect
-from saddlespark.llm import forest, licenses, line_dedup, lists, ngram_join, pages
+from saddlespark.llm import forest, licenses, line_dedup, lists, ngram_join, pages, sql
 from saddlespark.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -261,6 +263,10 @@ def test_templates_are_told_apart(spark):
     got = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
     want = [label for label, _ in licenses.TEMPLATES] + ["cc-by-sa", "cc-by-nc", "cc-by-nc,cc-by-sa", ""]
     assert [got[k] for k in range(len(texts))] == want
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(list(enumerate(texts)), columns=["doc_id", "text"]))
+    rows = con.sql(sql.license_scan()).df()
+    assert dict(zip(rows["doc_id"], rows["labels"], strict=True)) == dict(enumerate(want))
 
 
 # ---- pages -----------------------------------------------------------------------------

@@ -109,6 +109,24 @@ def test_mix_is_near_the_budget_of_a_large_source(spark):
     assert all(abs(r.t - r.g) <= 17 for r in per)
 
 
+def test_buckets_hold_few_rows_of_any_quality(spark):
+    texts = [("", 1.0), ("word " * 40 + "#", 0.95), ("## word", 0.1)]
+    for text, weight in texts:
+        docs = spark.range(50_000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+        keys = docs.select(mixing.random_key(0, F.col("doc_id"), F.col("text")).alias("k"), mixing.quality(F.col("text")).alias("q"))
+        got = keys.withColumn("b", mixing.bucket(F.col("k"), 100)).groupBy("b").agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+        got = got.orderBy("b").collect()
+        assert max(r.n for r in got) <= 10 * 500 + 300
+        assert all(a.hi <= b.lo for a, b in zip(got, got[1:]))
+        assert abs(keys.first().q - weight) < 0.05
+
+
+def test_rows_without_id_get_keys_of_their_own(spark):
+    docs = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    keys = docs.select(mixing.random_key(0, F.col("doc_id"), F.col("text")).alias("k"))
+    assert keys.distinct().count() == 1000
+
+
 # ---- packing -------------------------------------------------------------------------
 def test_pieces_and_windows(spark, odd):
     from tokenizers import Tokenizer
@@ -163,10 +181,21 @@ def test_words_give_the_ids_of_the_whole_text(text):
     assert np.frombuffer(got, dtype="<u4").tolist() == want
 
 
+def test_repeated_rows_spread_over_groups(spark):
+    same = spark.range(20_000, numPartitions=4).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b").alias("text"))
+    groups = packing._groups(same, 64)
+    rows = packing.pack(packing.pieces(same, tokenizer_path(), 64), groups, 64)
+    per = Counter(r.sequence_id >> 32 for r in rows.collect())
+    assert groups == 3 and len(per) == 3 and min(per.values()) > 5000
+
+
 # ---- sharding ------------------------------------------------------------------------
 def test_shards_are_even_and_numbered(spark, odd):
     many = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id"))).alias("text"))
-    for docs, near in ((many, 0.02), (odd.select("doc_id", "text"), None), (odd.limit(0), None)):
+    # one row said over and over, by one document and by none
+    hot = [F.when(F.col("id") % 2 == 0, x).otherwise(F.col("id")) for x in (F.lit(None), F.lit(7))]
+    again = [spark.range(4000).select(h.alias("doc_id"), F.when(F.col("id") % 2 == 0, "hot").otherwise("t").alias("text")) for h in hot]
+    for docs, near in ((many, 0.02), *[(d, 0.02) for d in again], (odd.select("doc_id", "text"), None), (odd.limit(0), None)):
         rows = sharding.shard(docs, shards=4).collect()
         want = Counter((d.doc_id, len((d.text or "").encode()) + 1, zlib.crc32((d.text or "").encode())) for d in docs.collect())
         assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want
