@@ -71,7 +71,7 @@ def carry_forward(df: DataFrame, keys: list[str], order: str, value: str) -> Dat
     )
 
 
-def number_rows(df: DataFrame, files: DataFrame | None, out: str) -> DataFrame:
+def number_rows(df: DataFrame, files: DataFrame | None, out: str, kind: str | None = None) -> DataFrame:
     """Number rows 0, 1, 2... in reading order without moving them.
 
     ``df`` has ``part`` (file name) and ``block`` (offset of the input split), straight
@@ -79,23 +79,27 @@ def number_rows(df: DataFrame, files: DataFrame | None, out: str) -> DataFrame:
     is carried along as the column ``file``; without it names give the order and ``file``
     is 0.  Only one row per input split is aggregated and shuffled; the rows get their
     number from that small table.
+
+    With ``kind`` every value of that column is numbered from 0 on its own; the rows of a
+    kind and split must then follow each other (``sortWithinPartitions`` by kind first).
     """
+    kinds = [kind] if kind else []
     df = df.withColumn("_seq", F.monotonically_increasing_id())
-    pieces = df.groupBy("part", "block").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
+    pieces = df.groupBy("part", "block", *kinds).agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
     if files is None:
         pieces = pieces.withColumn("file", F.lit(0))
     else:
         unknown = F.raise_error(F.concat(F.lit("file not in the list of inputs: "), F.col("part"))).cast("int")
         pieces = pieces.join(files, "part", "left").withColumn("file", F.coalesce("file", unknown))
-    whole = pieces.groupBy("file").agg(F.sum("_n").alias("_rows"))
-    files_before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
-    whole = whole.select("file", F.coalesce(F.sum("_rows").over(files_before), F.lit(0)).alias("_file_base"))
-    before = W.partitionBy("file").orderBy("part", "block").rowsBetween(W.unboundedPreceding, -1)
+    whole = pieces.groupBy("file", *kinds).agg(F.sum("_n").alias("_rows"))
+    files_before = W.partitionBy(*kinds).orderBy("file").rowsBetween(W.unboundedPreceding, -1)
+    whole = whole.select("file", *kinds, F.coalesce(F.sum("_rows").over(files_before), F.lit(0)).alias("_file_base"))
+    before = W.partitionBy("file", *kinds).orderBy("part", "block").rowsBetween(W.unboundedPreceding, -1)
     pieces = pieces.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    table = pieces.join(whole, "file").select(
-        "part", "block", "file", (F.col("_base") + F.col("_file_base") - F.col("_first")).alias("_base")
+    table = pieces.join(whole, ["file", *kinds]).select(
+        "part", "block", *kinds, "file", (F.col("_base") + F.col("_file_base") - F.col("_first")).alias("_base")
     )
     # the files are scanned once for the pieces and once for the rows: both must be split alike
     lost = F.raise_error(F.concat(F.lit("input split differently on a second scan: "), F.col("part"))).cast("long")
-    found = df.join(table, ["part", "block"], "left")
+    found = df.join(table, ["part", "block", *kinds], "left")
     return found.withColumn(out, F.col("_seq") + F.coalesce("_base", lost)).drop("_seq", "_base")

@@ -93,6 +93,25 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> Lines:
     return Lines(df, files, tuple(f for f, k in table if k == 0))
 
 
+def first_lines(lines: Lines, keep: Column, n: int, all_paths: bool = False) -> list[str]:
+    """The first ``n`` lines that meet ``keep``, in reading order, from the first path or all.
+
+    Files are asked for one after the other by their name, which leaves the other files
+    unread, and of a file no more splits are read than it takes: a header is found in the
+    first split of the first file.
+    """
+    found: list[str] = []
+    names = sorted({_part_name(f) for f in lines.df.inputFiles()})
+    if lines.first_parts is not None and not all_paths:
+        names = [f for f in names if f in lines.first_parts]
+    for name in names:
+        here = lines.df.filter((F.col("part") == name) & keep).select("value")
+        found += [r.value for r in here.take(n - len(found))]
+        if len(found) == n:
+            break
+    return found
+
+
 def is_data(separator: str = FIELD_SEPARATOR) -> Column:
     """Neither a blank line nor a ``#`` line.
 
@@ -168,21 +187,12 @@ def read_hills(spark: SparkSession, path: str | list[str], ndim: int, mode: str
 # ---- grids --------------------------------------------------------------------
 def read_header(lines: Lines) -> GridSpec:
     """Grid axes from the first ``# N`` line of the first file and the N lines behind it."""
-    df = lines.df
-    if lines.first_parts is not None:
-        df = df.filter(F.col("part").isin(*lines.first_parts))
-    comments = df.filter(F.col("value").rlike(r"^\s*#")).withColumn("f", fields(F.col("value"), WHITESPACE))
-    placed = comments.withColumn("_seq", F.monotonically_increasing_id())
-    order = ["part", "block", "_seq"]
-
-    def head(n: int):
-        return [r.f for r in placed.orderBy(*order).limit(n).select("f").collect()]
-
-    top = head(16)
+    comment = F.col("value").rlike(r"^\s*#")
+    top = [x.split() for x in first_lines(lines, comment, 1)]
     if not top or len(top[0]) < 2:
         raise ValueError("the file has no '# N' line")
     n = int(top[0][1])
-    axes = (top if n < 16 else head(n + 1))[1 : n + 1]
+    axes = [x.split() for x in first_lines(lines, comment, n + 1)][1:]
     if len(axes) < n or any(len(a) < 5 for a in axes):
         raise ValueError(f"the header does not describe {n} axes")
     out = []
@@ -192,6 +202,21 @@ def read_header(lines: Lines) -> GridSpec:
     return GridSpec(tuple(out))
 
 
+def _foreign_header(spec: GridSpec) -> Column:
+    """True for a ``# N`` line with another N and for a line of an axis that ``spec`` does not have.
+
+    ``f`` holds the fields of a comment line; comments without these numbers are no headers.
+    """
+    x = [to_number(F.get("f", F.lit(k))) for k in range(1, 5)]
+    own = F.lit(False)
+    for a in spec.axes:
+        near = [F.abs(x[k] - v) <= 1e-6 * max(a.width, abs(v)) for k, v in ((0, a.lower), (1, a.width))]
+        own = own | near[0] & near[1] & (x[2] == a.bins) & ((x[3] != 0) == F.lit(bool(a.periodic)))
+    count = (F.size("f") == 2) & (x[0] != spec.ndim)
+    axis = (F.size("f") == 5) & x[0].isNotNull() & x[1].isNotNull() & x[2].isNotNull() & x[3].isNotNull() & ~own
+    return F.coalesce(count | axis, F.lit(False))
+
+
 def _grid_rows(lines: Lines, spec: GridSpec, nvalues: int, other_shapes: str) -> DataFrame:
     """``addr, v0..`` of the data rows; of several rows for one bin the last one counts."""
     n = spec.ndim
@@ -233,8 +258,8 @@ def read_history(spark: SparkSession, paths: str | list[str], mode: str = STRICT
 
     A ``# N`` line behind the first data row of a file ends a frame, and so does the end
     of the file.  Bins a frame does not list keep their value from the frame before.  A
-    row of another shape, a bad number and a place off the grid are errors; permissive
-    mode drops such rows.
+    row of another shape, a bad number, a place off the grid and a header line of another
+    grid, in whichever file or frame, are errors; permissive mode drops such rows.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     lines = read_lines(spark, paths)
@@ -244,8 +269,14 @@ def read_history(spark: SparkSession, paths: str | list[str], mode: str = STRICT
     comment = F.col("value").rlike(r"^\s*#")
 
     def kinds(df: DataFrame) -> DataFrame:
-        df = df.withColumn("f", f).withColumn("sep", comment & (F.size("f") == 2))
-        df = df.filter(F.col("sep") | ~comment & (F.size("f") > 0))
+        df = df.withColumn("f", f)
+        # headers are checked by the pass that reads the rows; it needs no look at neighbouring lines
+        other = comment & _foreign_header(spec)
+        sep = comment & (F.size("f") == 2)
+        if mode != PERMISSIVE:
+            foreign = F.raise_error(F.concat(F.lit("a header of another grid: "), F.col("value"))).cast("boolean")
+            sep = F.when(other, foreign).otherwise(sep)
+        df = df.withColumn("sep", sep).filter(F.col("sep") | ~comment & (F.size("f") > 0))
         fits, row = F.size("f") == n + 1, ~comment & (F.size("f") > 0)
         x = [F.when(fits, to_number(F.get("f", F.lit(k)))) for k in range(n + 1)]
         addr = F.when(x[n].isNotNull(), spec.address(x[:n]))
@@ -267,7 +298,7 @@ def read_history(spark: SparkSession, paths: str | list[str], mode: str = STRICT
     before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
     per_file = per_file.select("file", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
 
-    placed = running_sum(rows, ["file"], "row", {"local": ends}).filter(~F.col("sep")).join(per_file, "file")
+    placed = running_sum(rows, ["file"], "row", {"local": ends}, levels=2).filter(~F.col("sep")).join(per_file, "file")
     updates = (
         placed.withColumn("frame", F.col("local") + F.col("_base"))
         .groupBy("file", "frame", "addr")

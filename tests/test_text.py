@@ -168,3 +168,84 @@ def test_path_positions_may_carry_a_value(spark, tmp_path):
     p = put(tmp_path / "p", "# x y\n\n0.5 90\n1.5 -90 3.0\n1 2 3 4\n7 7\n")
     rows = text.read_path(spark, p, 2)
     assert [tuple(r) for r in rows.orderBy("row").collect()] == [(0, 0.5, 90.0), (1, 1.5, -90.0), (2, 7.0, 7.0)]
+
+
+def tasks_of(spark, group, work):
+    """What ``work`` returns, and the numbers of tasks of the stages it ran."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        out = work()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = [i for j in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(j).stageIds]
+    return out, [tracker.getStageInfo(i).numTasks for i in stages]
+
+
+def test_header_is_read_from_the_first_split_of_the_first_file(spark, tmp_path):
+    rows = "".join(f"{k % 2}.5 {-90 if k % 4 < 2 else 90} {k}.25\n" for k in range(60_000))
+    folder = tmp_path / "grid"
+    folder.mkdir()
+    put(folder / "part-00000", "")
+    put(folder / "part-00001", GRID_2D + rows)
+    put(folder / "part-00002", "# 1\n# 7 7 7 0\n" + rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        lines = text.read_lines(spark, str(folder))
+        spec, tasks = tasks_of(spark, "header", lambda: text.read_header(lines))
+        assert lines.df.rdd.getNumPartitions() > 15
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert spec == GridSpec.of(Axis(0.0, 2.0, 2), Axis(-180.0, 180.0, 2, True))
+    # a job for the number of axes and one for the axes; an empty file has no split
+    assert tasks and max(tasks) == 1 and len(tasks) <= 2
+
+
+def test_history_of_another_grid_is_refused(spark, tmp_path):
+    head = "# 1\n# 0 1.0 2 0\n"
+    body = head + "0.5 1\n# 1\n# 0.0 1 2 0\n# step 5 of 9 is 12\n1.5 2\n"
+    a = put(tmp_path / "a", body)
+    assert text.read_history(spark, [a, put(tmp_path / "c", body)])[1].count() == 8
+    for other in ("# 1\n# 0 1.0 3 0\n", "# 1\n# 0.5 1.0 2 0\n", "# 2\n# 0 1.0 2 0\n# 0 1.0 2 0\n", "# 1\n# 0 1.0 2 1\n"):
+        b = put(tmp_path / "b", other + "0.5 1\n")
+        with pytest.raises(Exception, match="header of another grid"):
+            text.read_history(spark, [a, b])
+        assert text.read_history(spark, [a, b], text.PERMISSIVE)[1].count() == 6
+
+
+def test_log_terms_come_from_one_scan(spark, tmp_path):
+    log = mdlog.read_md_log(spark, put(tmp_path / "log", LOG))
+    terms = log.terms(["VDW", "ELECT"], ["VDW_FORCE", "ELECT_FORCE"])
+    plan = terms._jdf.queryExecution().toString()
+    assert "FileScan" not in plan  # the parsed rows are kept, the text is not scanned again
+    got = {r.row: tuple(r)[1:] for r in terms.collect()}
+    assert got == {0: (-2.5, -3.5, 1, 2, 3, 4, 5, 6), 1: (-4.5, 10.0, 10, 20, 30, None, None, None)}
+    bad = mdlog.read_md_log(spark, put(tmp_path / "bad", LOG + "ENERGY: 20 1 x 77 5\n"))
+    assert bad.terms(["ELECT"]).count() == 3
+    assert [r.VDW for r in bad.energies(["VDW"], text.PERMISSIVE).orderBy("row").collect()] == [-2.5, -4.5, None]
+    with pytest.raises(Exception, match="no number for VDW: ENERGY: 20"):
+        bad.energies(["VDW"]).collect()
+
+
+def test_log_terms_keep_their_order_over_splits_and_files(spark, tmp_path):
+    lines = ["ETITLE: TS VDW"]
+    for k in range(6000):
+        lines.append(f"ENERGY: {k} {k}.5")
+        if k % 3 == 0:
+            lines.append(f"PAIR INTERACTION: STEP: {k} VDW_FORCE: {k} 0 1 ELECT_FORCE: 0 {k} 2")
+    half = len(lines) // 2
+    folder = tmp_path / "log"
+    folder.mkdir()
+    put(folder / "part-00000", "\n".join(lines[:half]) + "\n")
+    put(folder / "part-00001", "\n".join(lines[half:]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = mdlog.read_md_log(spark, str(folder)).terms(["TS", "VDW"], ["ELECT_FORCE", "VDW_FORCE"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 6000
+    for r in got:
+        assert (r.TS, r.VDW) == (r.row, r.row + 0.5)
+        forces = (r.ELECT_FORCE_x, r.ELECT_FORCE_y, r.ELECT_FORCE_z, r.VDW_FORCE_x, r.VDW_FORCE_y, r.VDW_FORCE_z)
+        assert forces == ((0, 3 * r.row, 2, 3 * r.row, 0, 1) if r.row < 2000 else (None,) * 6)
