@@ -91,14 +91,10 @@ def number_rows(df: DataFrame, files: DataFrame | None, out: str, kind: str | No
     else:
         unknown = F.raise_error(F.concat(F.lit("file not in the list of inputs: "), F.col("part"))).cast("int")
         pieces = pieces.join(files, "part", "left").withColumn("file", F.coalesce("file", unknown))
-    whole = pieces.groupBy("file", *kinds).agg(F.sum("_n").alias("_rows"))
-    files_before = W.partitionBy(*kinds).orderBy("file").rowsBetween(W.unboundedPreceding, -1)
-    whole = whole.select("file", *kinds, F.coalesce(F.sum("_rows").over(files_before), F.lit(0)).alias("_file_base"))
-    before = W.partitionBy("file", *kinds).orderBy("part", "block").rowsBetween(W.unboundedPreceding, -1)
-    pieces = pieces.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    table = pieces.join(whole, ["file", *kinds]).select(
-        "part", "block", *kinds, "file", (F.col("_base") + F.col("_file_base") - F.col("_first")).alias("_base")
-    )
+    # one window over all splits: a second one over totals of files would scan the rows once more
+    before = W.partitionBy(*kinds).orderBy("file", "part", "block").rowsBetween(W.unboundedPreceding, -1)
+    base = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")
+    table = pieces.select("part", "block", *kinds, "file", base.alias("_base"))
     # the files are scanned once for the pieces and once for the rows: both must be split alike
     lost = F.raise_error(F.concat(F.lit("input split differently on a second scan: "), F.col("part"))).cast("long")
     found = df.join(table, ["part", "block", *kinds], "left")

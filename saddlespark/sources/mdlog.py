@@ -12,7 +12,7 @@ from ..functions.units import fields, to_number
 from ..operators.histogram import Histogram, bin_mean
 from ..operators.ordered import number_rows
 from ..session import materialize
-from .text import PERMISSIVE, STRICT, Lines, first_lines, parse_trajectory, read_lines
+from .text import PERMISSIVE, STRICT, Lines, first_lines, is_data, parse_trajectory, read_lines
 
 # Line prefixes of the log format and the names of its force terms.
 TITLE_PREFIX = "ETITLE:"
@@ -52,19 +52,22 @@ class MDLog:
         def row(kind: int, numbers: list[Column]) -> Column:
             return F.struct(F.lit(kind).alias("kind"), F.array(*numbers).cast("array<double>").alias("v"))
 
-        terms = fields(F.expr(f"substring(value, {len(ENERGY_PREFIX) + 1})"), r"\s+")
+        # columns of their own below a generator: as parts of ``row`` the lines would be split once per number
+        terms, words = F.col("_terms"), F.col("_words")
         own = [F.when(line.startswith(TITLE_PREFIX), row(TITLE, []))]
         own.append(F.when(line.startswith(ENERGY_PREFIX), row(ENERGY, [to_number(F.get(terms, F.lit(place[t]))) for t in energies])))
-        words = fields(line, r"\s+")
         for k, t in enumerate(forces):
             at = F.array_position(words, t + ":").cast("int")
             own.append(F.when(line.startswith(PAIR_PREFIX) & (at > 0), row(k + 1, [to_number(F.get(words, at + i)) for i in range(3)])))
-        known = F.filter(F.array(*own), lambda x: x.isNotNull())
         prefixes = F.lit(False)
         for p in (TITLE_PREFIX, ENERGY_PREFIX, PAIR_PREFIX):
             prefixes = prefixes | line.startswith(p)
         df = self.lines.df.filter(prefixes).withColumn("pos", F.monotonically_increasing_id())
-        df = df.select("part", "block", "pos", "value", F.inline(known))
+        df = df.withColumns({
+            "_terms": F.when(line.startswith(ENERGY_PREFIX), fields(F.expr(f"substring(value, {len(ENERGY_PREFIX) + 1})"), r"\s+")),
+            "_words": F.when(line.startswith(PAIR_PREFIX), fields(line, r"\s+")),
+        })
+        df = df.select("part", "block", "pos", "value", F.inline_outer(F.array(*own))).filter(F.col("kind").isNotNull())
         # of lines with bad numbers the text is kept for the message
         df = df.withColumn("bad", F.when(F.exists("v", lambda x: x.isNull()), line)).drop("value")
         df = materialize(df.sortWithinPartitions("kind", "part", "block", "pos"))
@@ -153,8 +156,12 @@ def bin_log(
     trajectory goes with the k-th energy (and force) line of the log.
     """
     coords = [f"x{k}" for k in range(spec.ndim)]
-    picked = trajectory.map(lambda d: parse_trajectory(d, dict(zip(coords, columns)), mode))
-    rows = picked.numbered().select("row", *coords)
+    places = dict(zip(coords, columns))
+    if mode == PERMISSIVE:
+        rows = trajectory.map(lambda d: parse_trajectory(d, places, mode)).numbered()
+    else:  # no row is dropped, so the pass that counts the rows need not read their numbers
+        rows = parse_trajectory(trajectory.map(lambda d: d.filter(is_data())).numbered(), places, mode)
+    rows = rows.select("row", *coords)
     values = [*energies, *[f"{t}_{c}" for t in forces for c in "xyz"]]
     if values:
         rows = rows.join(log.terms(energies, forces, mode), "row", "left")

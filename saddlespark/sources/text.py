@@ -48,10 +48,15 @@ def _part_name(path: str) -> str:
 
 
 def _part_column(path: Column) -> Column:
-    path = F.regexp_replace(path, "^file:/+", "file:/")
-    piece = lambda k: F.regexp_extract(path, NUMBERED, k)
-    number = F.lpad(piece(2), F.greatest(F.char_length(piece(2)), F.lit(DIGITS)), "0")
-    return F.when(path.rlike(NUMBERED), F.concat(piece(1), number, piece(3))).otherwise(path)
+    """The column form of :func:`_part_name`, which meets every line: without patterns, which cost more than reading the line."""
+    path = F.when(path.startswith("file:/"), F.concat(F.lit("file:"), F.lit("/"), F.ltrim(F.substring(path, 6, 1 << 30), F.lit("/")))).otherwise(path)
+    name = F.substring_index(path, "/", -1)
+    behind = F.substring(name, 6, 1 << 30)  # of "part-"
+    rest = F.ltrim(behind, F.lit("0123456789"))
+    digits = F.char_length(behind) - F.char_length(rest)
+    number = F.lpad(F.left(behind, digits), F.greatest(digits, F.lit(DIGITS)), "0")
+    numbered = name.startswith("part-") & (digits > 0) & path.contains("/")
+    return F.when(numbered, F.concat(F.left(path, F.char_length(path) - F.char_length(behind)), number, rest)).otherwise(path)
 
 
 @dataclass(frozen=True)
@@ -148,10 +153,20 @@ def number_at(
     return x if mode == PERMISSIVE else must(x, f"field {pos} is not a number in its place", where, separator).cast("double")
 
 
+def parsed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are evaluated once per row.
+
+    The optimizer copies a projected expression into every filter that follows and so splits and
+    matches each line several times; it does not reach behind a generator.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in {n.lower() for n in columns}]
+    return df.select(*kept, F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 # ---- trajectories and hills ------------------------------------------------------
 def parse_trajectory(lines: DataFrame, columns: dict[str, int], mode: str = STRICT) -> DataFrame:
     """Pick numeric columns by position.  Permissive mode drops rows it cannot read."""
-    df = data_fields(lines).withColumns({n: number_at(p, mode) for n, p in columns.items()})
+    df = parsed_once(data_fields(lines), {n: number_at(p, mode) for n, p in columns.items()})
     return df.dropna(subset=list(columns)) if mode == PERMISSIVE else df
 
 
@@ -172,7 +187,7 @@ def parse_hills(lines: DataFrame, ndim: int, mode: str = STRICT) -> DataFrame:
     cols |= {f"c{k}": number_at(1 + k, mode, shape=fits) for k in range(ndim)}
     cols |= {f"s{k}": number_at(1 + ndim + k, mode, shape=fits) for k in range(ndim)}
     cols["height"] = number_at(1 + 2 * ndim, mode, shape=fits)
-    df = df.withColumns(cols)
+    df = parsed_once(df, cols)
     return df.dropna(subset=list(cols)) if mode == PERMISSIVE else df
 
 

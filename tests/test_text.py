@@ -249,3 +249,38 @@ def test_log_terms_keep_their_order_over_splits_and_files(spark, tmp_path):
         assert (r.TS, r.VDW) == (r.row, r.row + 0.5)
         forces = (r.ELECT_FORCE_x, r.ELECT_FORCE_y, r.ELECT_FORCE_z, r.VDW_FORCE_x, r.VDW_FORCE_y, r.VDW_FORCE_z)
         assert forces == ((0, 3 * r.row, 2, 3 * r.row, 0, 1) if r.row < 2000 else (None,) * 6)
+
+
+def test_many_small_grids_are_written_by_several_tasks(spark, tmp_path):
+    spec = GridSpec.of(Axis(0.0, 3.0, 3))
+    df = spark.range(120).selectExpr("id % 40 AS g", "id % 3 AS addr", "id * 1.0D AS value").dropDuplicates(["g", "addr"])
+    sinks.write_grids(df, spec, ["value"], F.concat(F.lit("g_"), F.col("g").cast("string")), str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("name=g_*/part-*.txt"))
+    assert len({f.parent for f in files}) == 40
+    assert len({f.name.split("-")[1] for f in files}) > 1
+    assert all([x[0] for x in text_of(f.parent)[2:]] == [0.5, 1.5, 2.5] for f in files)
+
+
+def text_of(folder):
+    return [[float(x) for x in line.strip("#").split()] for f in sorted(folder.glob("part-*.txt")) for line in f.read_text().splitlines()]
+
+
+def test_filters_on_trajectory_columns_do_not_split_the_line_again(spark, tmp_path):
+    (tmp_path / "t").write_text("1 2 3\n4 5 6\n")
+    df = text.read_trajectory(spark, str(tmp_path / "t"), {"q": 1, "d": 2}).filter("q >= 2 AND q < 9 AND d > 1 AND d < 7")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert sorted(map(tuple, df.collect())) == [(2.0, 3.0), (5.0, 6.0)]
+
+
+def test_rows_are_numbered_with_one_scan_for_the_counts(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / f"f{k}").write_text(f"{k}\n")
+    rows = text.read_lines(spark, [str(tmp_path / "f1"), str(tmp_path / "f0")]).numbered()
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count(" text") == 2
+    assert [r.value for r in rows.orderBy("row").collect()] == ["1", "0"]
+
+
+def test_names_of_parts_in_columns_are_those_of_python(spark):
+    names = ["file:///a/part-00012-u-c000.txt", "file:/a/part-12", "hdfs://h/part-1/part-x", "/x/part-", "/x/part-1234567890123456-z", "part-5", "/x/part-7y8"]
+    found = spark.createDataFrame([(n,) for n in names], "p string").select("p", text._part_column(F.col("p"))).collect()
+    assert all(c == text._part_name(p) for p, c in found)
