@@ -14,11 +14,16 @@ from pyspark.sql import functions as F
 from ..functions.grid import GridSpec
 from ..operators.histogram import Histogram
 from ..operators.history import frame_suffix
+from ..session import materialize
 
 # Field width and digits of the text formats.
 FIELD_WIDTH = 24
 DIGITS = 15
 HEADER_DIGITS = 9
+# How many grids are dealt out to the tasks that write them.
+TASKS_PER_CORE = 4
+GRIDS_PER_TASK = 16
+LINES_PER_TASK = 1 << 20
 
 
 def header_lines(spec: GridSpec) -> list[str]:
@@ -64,8 +69,15 @@ def write_grids(df: DataFrame, spec: GridSpec, values: list[str], name: Column,
 
     ``df`` has ``addr`` and ``values`` for each grid, dense.
     """
-    lines = _grid_lines(df.withColumn("name", name), spec, values, ["name"])
-    lines.orderBy("name", *spec.index_names).select("name", "value").write.mode("overwrite").partitionBy("name").text(path)
+    # written once: the lines are counted, sampled for the ranges and dealt out
+    lines = materialize(_grid_lines(df.withColumn("name", name), spec, values, ["name"]))
+    found = lines.agg(F.count("*").alias("n"), F.approx_count_distinct("name").alias("grids")).first()
+    # what a file costs does not show in bytes, by which adaptive execution would leave the files of all grids to a few tasks
+    tasks = min(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, found.grids // GRIDS_PER_TASK)
+    tasks = max(1, tasks, -(-found.n // LINES_PER_TASK))
+    order = ["name", *spec.index_names]
+    parts = lines.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    parts.select("name", "value").write.mode("overwrite").partitionBy("name").text(path)
 
 
 def write_frames(history: DataFrame, spec: GridSpec, prefix: str) -> None:
