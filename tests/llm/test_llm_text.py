@@ -230,3 +230,9 @@ def test_chat_windows_read_back(spark):
     assert len(first) > 3 and all("<|im_start|>system\nbe kind<|im_end|>" in r.formatted for r in first)
     assert all(r.n_context >= 1 for r in first[1:]) and first[0].n_context == 0
     assert chat.windows(df.limit(0)).count() == 0
+
+
+def test_mix_reads_the_text_of_a_row_once(spark):
+    docs = spark.createDataFrame([(k, "s", "some words # and more") for k in range(50)], "doc_id long, source string, text string")
+    told = mixing.plan(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert told.count("md5(") == 2  # of the text, inside that of the row
