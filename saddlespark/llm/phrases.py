@@ -46,9 +46,10 @@ from .common import first_rows
 
 SHARDS = 8
 MOST_NAMES = 1 << 20  # words, or phrases of one length, that are sent to the tasks
-WORDS_HELD = 1 << 17  # different words that a task holds before it hands on their counts
+WORDS_HELD = 1 << 16  # different words, of all languages, that a task holds before it hands on their counts
 CHUNK = 1 << 16  # words of a chunk
-KEYS_HELD = 1 << 21  # n-grams of a shard that are added up at once
+KEYS_HELD = 1 << 19  # n-grams, of all shards and languages, that a task holds before it hands on their counts
+ROWS_TOLD = 1 << 16  # rows that a task hands on at once
 BITS = 31  # of a number
 # Fixed by the task: these end a piece, together with the line ends.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -72,19 +73,26 @@ def word_counts(docs: DataFrame) -> DataFrame:
         held: dict[str, Counter] = {}
 
         def told():
-            rows = [(lang, w, n) for lang, c in held.items() for w, n in c.items()]
-            held.clear()
-            return pd.DataFrame(rows, columns=["lang", "word", "n"])
-
+            while held:
+                lang, c = held.popitem()
+                words, counts = list(c), np.fromiter(c.values(), dtype=np.int64, count=len(c))
+                c.clear()
+                for k in range(0, len(words), ROWS_TOLD):
+                    yield pd.DataFrame({"lang": lang, "word": words[k : k + ROWS_TOLD], "n": counts[k : k + ROWS_TOLD]})
+
+        size = 0
         for b in batches:
             for lang, text in zip(b["lang"], b["text"], strict=True):
                 found = tokens(text)
                 c = held.setdefault(lang, Counter())
+                size -= len(c)
                 c.update(found)
                 c[None] += len(found) - c.pop(b".", 0)
-                if len(c) > WORDS_HELD:
-                    yield told()
-        yield told()
+                size += len(c)
+                if size > WORDS_HELD:
+                    yield from told()
+                    size = 0
+        yield from told()
 
     found = _texts(docs).mapInPandas(run, "lang string, word binary, n long")
     return found.groupBy("lang", F.col("word").cast("string").alias("word")).agg(F.sum("n").alias("n"))
@@ -195,22 +203,26 @@ def _mined(chunks: DataFrame, sent, n: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple[int, int], list] = {}
+        size = 0
 
-        def told(where):
-            keys, counts = np.unique(np.concatenate(held.pop(where)[0]), return_counts=True)
-            return pd.DataFrame({"shard": where[0], "lang": where[1], "key": keys, "n": counts})
+        def told():
+            while held:
+                (shard, lang), arrays = held.popitem()
+                keys, counts = np.unique(np.concatenate(arrays), return_counts=True)
+                for k in range(0, len(keys), ROWS_TOLD):
+                    yield pd.DataFrame({"shard": shard, "lang": lang, "key": keys[k : k + ROWS_TOLD], "n": counts[k : k + ROWS_TOLD]})
 
         for b in batches:
             for shard, lang, words in zip(b["shard"], b["lang"], b["words"], strict=True):
                 words = np.asarray(words, dtype=np.int64)
                 *_, names = chain(words, sent.value)
-                h = held.setdefault((shard, lang), [[], 0])
-                h[0].append(grown(words, names, n)[1])
-                h[1] += len(h[0][-1])
-                if h[1] >= KEYS_HELD:
-                    yield told((shard, lang))
-        for where in list(held):
-            yield told(where)
+                key = grown(words, names, n)[1]
+                held.setdefault((shard, lang), []).append(key)
+                size += len(key)
+                if size >= KEYS_HELD:
+                    yield from told()
+                    size = 0
+        yield from told()
 
     return chunks.select("shard", "lang", "words").mapInPandas(run, "shard int, lang long, key long, n long")
 

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from saddlespark.llm import phrases
@@ -77,3 +79,28 @@ def test_products_past_64_bits(spark):
     rows = [("en", "x y " * 2_000_000)]
     r = phrases.collocations(spark.createDataFrame(rows, "lang string, text string"), 100, 2).collect()
     assert [(x.phrase, x.score) for x in r] == [("x y", 1000 * 2_000_000 * 4_000_000 // (2_000_000**2)), ("y x", 1000 * 1_999_999 * 4_000_000 // (2_000_000**2))]
+
+
+def test_what_a_task_holds_does_not_grow_with_languages_and_shards(spark, monkeypatch):
+    class Chunks:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, schema):
+            return run
+
+    monkeypatch.setattr(phrases, "KEYS_HELD", 100)
+    monkeypatch.setattr(phrases, "ROWS_TOLD", 30)
+    read = []
+
+    def batches():
+        for k in range(40):
+            read.append(k)
+            yield pd.DataFrame({"shard": [k % 8], "lang": [k % 5], "words": [np.arange(21) + 100 * k]})
+
+    run = phrases._mined(Chunks(), spark.sparkContext.broadcast([]), 2)
+    frames = []
+    for f in run(batches()):
+        frames.append(f)
+        assert len(f) <= 30 and len(read) * 20 - sum(map(len, frames)) < 100 + 20
+    assert sum(f["n"].sum() for f in frames) == 40 * 20
