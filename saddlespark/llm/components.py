@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from .common import discard, stored
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
@@ -39,10 +39,11 @@ def components(edges: DataFrame) -> DataFrame:
     a, b = edges.columns
     down = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     mark = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    down = materialize(down)
+    down = stored(down)
     old = mark(down)
     while old[0]:
-        down = materialize(_small_star(_large_star(down)))
+        last, down = down, stored(_small_star(_large_star(down)))
+        discard(last)
         new = mark(down)
         if new == old:
             break

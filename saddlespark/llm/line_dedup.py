@@ -35,8 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import fresh, stored
+from .common import discard, fresh, stored
 from .components import components
 from .lists import pairs_across
 
@@ -281,12 +280,17 @@ def within(a: str, b: str, most: int) -> bool:
     return cost <= most
 
 
-def _alike(pairs: DataFrame, docs: DataFrame, places: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines whose edit similarity is high enough; ``places`` says where each line stands."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(places, "sid")
-    lines = wanted.groupBy("doc").agg(F.collect_list(F.struct("line", "sid")).alias("lines"))
-    lines = materialize(lines)  # at most the lines of a document each
-    side = F.broadcast(lines) if wanted.count() <= BROADCAST_IDS else lines
+def alike(a: str, b: str) -> bool:
+    """Whether the edit similarity of two normalised lines is high enough."""
+    return within(a, b, int(np.floor((1 - SIMILARITY) * max(len(a), len(b)) + 1e-9)))
+
+
+def _told(sids: DataFrame, docs: DataFrame, places: DataFrame) -> DataFrame:
+    """sid and told (the normalised line) of the wanted sids; ``places`` says where each line stands."""
+    lines = sids.join(places.select("sid", "doc", "line"), "sid").groupBy("doc").agg(F.collect_list(F.struct("line", "sid")).alias("lines"))
+    lines = stored(lines)  # at most the lines of a document each
+    count = lines.agg(F.sum(F.size("lines"))).first()[0] or 0
+    side = F.broadcast(lines) if count <= BROADCAST_IDS else lines
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -297,17 +301,30 @@ def _alike(pairs: DataFrame, docs: DataFrame, places: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["sid", "told"])
 
     texts = docs.select("doc", "text").join(side, "doc").select("text", "lines").mapInPandas(run, "sid long, told string")
-    texts = materialize(texts.dropDuplicates(["sid"]))
+    texts = stored(texts.dropDuplicates(["sid"]))
+    discard(lines)
+    return texts
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, places: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines whose edit similarity is high enough, stored."""
+    texts = _told(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), docs, places)
     both = pairs.join(texts.select(F.col("sid").alias("a"), F.col("told").alias("ta")), "a")
     both = both.join(texts.select(F.col("sid").alias("b"), F.col("told").alias("tb")), "b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            most = [int(np.floor((1 - SIMILARITY) * max(len(x), len(y)) + 1e-9)) for x, y in zip(b["ta"], b["tb"], strict=True)]
-            fits = [within(x, y, k) for x, y, k in zip(b["ta"], b["tb"], most, strict=True)]
+            fits = [alike(x, y) for x, y in zip(b["ta"], b["tb"], strict=True)]
             yield b.loc[np.array(fits, dtype=bool), ["a", "b"]]
 
-    return both.select("a", "b", "ta", "tb").mapInPandas(verify, "a long, b long")
+    found = stored(both.select("a", "b", "ta", "tb").mapInPandas(verify, "a long, b long"))
+    discard(texts)
+    return found
+
+
+def _settled(rows: pd.DataFrame):
+    told = rows["told"].tolist()
+    return lambda x, y: alike(told[x], told[y])
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -327,12 +344,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     # dealt out once for both uses; a class that comes in several places has its keys several times
     keys = rows.filter("keys IS NOT NULL").select("sid", F.explode("keys").alias("key")).filter("key IS NOT NULL").repartition("key")
     least = keys.groupBy("key").agg(F.min("sid").alias("pivot"), F.max("sid").alias("_m")).filter("pivot <> _m").select("key", "pivot")
-    shared = materialize(keys.join(least, "key").select("key", "sid", "pivot").distinct())
+    shared = stored(keys.join(least, "key").select("key", "sid", "pivot").distinct())
+    # the keys are most of the table
+    every, rows = rows, stored(rows.select("doc", "line", "sid"))
+    discard(every)
     about = places.select("sid", "sim", "size")
     one, two = (about.select(F.col("sid").alias(x), F.struct("sim", "size").alias(f"_{x}")) for x in "ab")
     stars = shared.filter("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct().join(one, "a").join(two, "b")
-    stars = stars.filter(_near(*[(F.col(f"_{x}.sim"), F.col(f"_{x}.size")) for x in "ab"])).select("a", "b")
-    edges = materialize(_alike(materialize(stars), docs, places.select("sid", "doc", "line")))
+    stars = stored(stars.filter(_near(*[(F.col(f"_{x}.sim"), F.col(f"_{x}.size")) for x in "ab"])).select("a", "b"))
+    edges = _alike(stars, docs, places)
+    discard(stars)
     roots = components(edges)
     for turn in range(TURNS):
         # lists whose members are still apart: everybody against another member
@@ -343,20 +364,23 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         )
         pivots = pivots.filter("lo <> hi").select("key", F.col("p.sid").alias("a"), F.col("p.root").alias("_r"))
         met = apart.join(pivots, "key").filter("root <> _r").select("a", F.col("sid").alias("b")).distinct().join(one, "a").join(two, "b")
-        met = met.filter(_near(*[(F.col(f"_{x}.sim"), F.col(f"_{x}.size")) for x in "ab"])).select("a", "b")
-        new = materialize(_alike(materialize(met), docs, places.select("sid", "doc", "line")))
+        met = stored(met.filter(_near(*[(F.col(f"_{x}.sim"), F.col(f"_{x}.size")) for x in "ab"])).select("a", "b"))
+        new = _alike(met, docs, places)
+        discard(met)
         if new.isEmpty():
             break
         edges = edges.union(new)
         roots = components(edges)
-    more = materialize(pairs_across(shared.select("key", "sid"), roots, about, _close))
+    tell = lambda sids: about.join(_told(sids, docs, places), "sid")
+    more = stored(pairs_across(shared.select("key", "sid"), roots, tell, _close, _settled))
+    discard(shared)
     if not more.isEmpty():
-        roots = components(edges.union(_alike(more, docs, places.select("sid", "doc", "line"))))
+        roots = components(edges.union(more))
     linked = roots.select(F.col("node").alias("sid"), "root")
     linked = linked.union(linked.select(F.col("root").alias("sid"), "root").distinct())
     # only lines that come twice or are linked can go
     several = places.filter("n > 1").select("sid").join(linked, "sid", "full").select("sid", F.coalesce("root", "sid").alias("root"))
-    some = materialize(rows.select("doc", "line", "sid").join(several, "sid").join(ids.distinct(), "doc"))
+    some = stored(rows.select("doc", "line", "sid").join(several, "sid").join(ids.distinct(), "doc"))
     first = some.groupBy("root").agg(F.min(F.struct("doc_id", "doc", "line")).alias("keep"))
     gone = some.join(first, "root").filter(~((F.col("doc") == F.col("keep.doc")) & (F.col("line") == F.col("keep.line"))))
     return gone.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("gone"))

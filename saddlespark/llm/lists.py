@@ -4,6 +4,10 @@ Lists whose members are all connected already are left out.  The members of the
 ordered by component and cut into blocks; every two blocks of a list meet in one place, unless
 both lie in the same component.  So a long list, and a group of copies in it, is spread over
 many places, and none holds more than two blocks.
+
+Where a second, dear test is given it settles the pairs on the spot.  Members that links found
+in the same place connect are not held against each other any more, so what is handed on is at
+most a link for each member and place, however many pairs there are.
 """
 
 from __future__ import annotations
@@ -17,32 +21,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from .common import stored
 
 BLOCK = 512
+PAIRS_HELD = 1 << 18  # that a task hands on at once
 
 Test = Callable[[np.ndarray, np.ndarray], np.ndarray]
+Settle = Callable[[int, int], bool]
 
 
-def pairs_across(lists: DataFrame, roots: DataFrame, about: DataFrame, test: Callable[[pd.DataFrame], Test]) -> DataFrame:
+def pairs_across(
+    lists: DataFrame,
+    roots: DataFrame,
+    about: Callable[[DataFrame], DataFrame],
+    test: Callable[[pd.DataFrame], Test],
+    settle: Callable[[pd.DataFrame], Settle] | None = None,
+) -> DataFrame:
     """(a, b) with a < b for members (key, sid) of ``lists`` that pass the test.
 
     ``roots`` (node, root) has the components; members without a row are alone.  ``about`` gives
-    each sid further columns, and ``test`` makes from rows with these a function of two arrays
-    of row numbers.
+    further columns for a table of sids, and ``test`` makes from rows with these a function of
+    two arrays of row numbers.  ``settle`` makes one of two row numbers; with it the result is
+    not all pairs, but enough of those that pass both to connect what they connect.
     """
     root = roots.select(F.col("node").alias("sid"), "root")
     rows = lists.select("key", "sid").join(root, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed = rows.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("key")
     rows = rows.join(mixed, "key")
     place = F.row_number().over(W.partitionBy("key").orderBy("root", "sid")) - 1
-    rows = materialize(rows.withColumn("block", F.floor(place / F.lit(BLOCK)).cast("int")))
+    rows = stored(rows.withColumn("block", F.floor(place / F.lit(BLOCK)).cast("int")))
     blocks = rows.groupBy("key", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     other = blocks.select("key", F.col("block").alias("block2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     meet = blocks.join(other, "key").filter("block <= block2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)")
     meet = meet.select("key", F.col("block").alias("i"), F.col("block2").alias("j"))
     sides = meet.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    full = rows.join(sides, ["key", "block"]).join(about, "sid")
+    full = rows.join(sides, ["key", "block"]).join(about(rows.select("sid").distinct()), "sid")
     full = full.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j", "block", "root", "sid")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -56,26 +69,74 @@ def pairs_across(lists: DataFrame, roots: DataFrame, about: DataFrame, test: Cal
             done = len(rest) if b is None else starts[-1]
             held = None if b is None else rest.iloc[done:].reset_index(drop=True)
             if done:
-                yield _inside(rest.iloc[:done], starts[starts < done], test)
+                yield from _inside(rest.iloc[:done], starts[starts < done], test, settle)
 
     return full.mapInPandas(run, "a long, b long").distinct()
 
 
-def _inside(rows: pd.DataFrame, starts: np.ndarray, test: Callable[[pd.DataFrame], Test]) -> pd.DataFrame:
+def _inside(
+    rows: pd.DataFrame,
+    starts: np.ndarray,
+    test: Callable[[pd.DataFrame], Test],
+    settle: Callable[[pd.DataFrame], Settle] | None,
+) -> Iterator[pd.DataFrame]:
     """Pairs inside groups of rows that lie in different components and, if a group has two blocks, in both."""
     ends = np.r_[starts[1:], len(rows)]
     last = np.repeat(ends, ends - starts)
     root, sid, block = (rows[c].to_numpy() for c in ("root", "sid", "block"))
     across, passes, at = (rows["i"] != rows["j"]).to_numpy(), test(rows), np.arange(len(rows))
-    found = [np.empty((0, 2), dtype=np.int64)]
-    step = 1
+    links = _Links(root, sid, settle(rows)) if settle else None
+    found, held, step = [], 0, 1
     while True:
         x = at[at + step < last]
         if not len(x):
             break
         x = x[(root[x] != root[x + step]) & (~across[x] | (block[x] != block[x + step]))]
         x = x[passes(x, x + step)]
+        if links:
+            x = links.new(x, x + step)
         found.append(np.stack([sid[x], sid[x + step]], axis=1))
+        held += len(x)
+        if held >= PAIRS_HELD:
+            yield _sorted(found)
+            found, held = [], 0
         step += 1
+    if held:
+        yield _sorted(found)
+
+
+def _sorted(found: list[np.ndarray]) -> pd.DataFrame:
     pairs = np.sort(np.concatenate(found), axis=1)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]}).drop_duplicates()
+
+
+class _Links:
+    """Components as far as the rows of one place tell, and the test that joins two of them."""
+
+    def __init__(self, root: np.ndarray, sid: np.ndarray, holds: Settle):
+        self.root, self.sid, self.holds = root, sid, holds
+        self.up: dict[int, int] = {}
+        self.not_linked: set[tuple[int, int]] = set()  # pairs come again in further lists
+
+    def top(self, node: int) -> int:
+        up = self.up
+        while (over := up.get(node, node)) != node:
+            up[node] = node = up.get(over, over)
+        return node
+
+    def new(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Those of x that link with their y and lie in another component."""
+        kept = []
+        for k, i, j in zip(range(len(x)), x.tolist(), y.tolist(), strict=True):
+            a, b = self.top(int(self.root[i])), self.top(int(self.root[j]))
+            if a == b:
+                continue
+            pair = (int(self.sid[i]), int(self.sid[j]))
+            if pair in self.not_linked:
+                continue
+            if self.holds(i, j):
+                self.up[max(a, b)] = min(a, b)
+                kept.append(k)
+            elif len(self.not_linked) < PAIRS_HELD:
+                self.not_linked.add(pair)
+        return x[kept]

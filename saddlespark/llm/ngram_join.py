@@ -14,8 +14,9 @@ where the cost of one passes that of the other:
 Lists are scanned twice.  First every set is held against one set of its list, which joins
 groups of near copies without forming their pairs.  Then pairs of different components are
 held against each other inside the lists, in blocks of bounded size; blocks that lie in one
-component are never paired.  Parity bitmaps of the sets bound the symmetric difference from
-below and stop most pairs; all others are settled by intersecting the sets themselves.
+component are never paired.  Parity bitmaps of the sets, longer for larger
+sets, bound the symmetric difference from below and stop most pairs; all others are settled by
+intersecting the sets themselves.
 
 Cases: null, empty and blank texts have an empty set, n_shingles 0, and are linked with nothing.
 Texts shorter than an n-gram have their whole sequence as the only one.  Equal texts, ties and
@@ -29,7 +30,6 @@ from __future__ import annotations
 
 import itertools
 import math
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -39,15 +39,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, shared_folder
-from .common import fresh
+from .common import discard, fresh, stored
 from .components import components
 from .lists import pairs_across
 
 SKETCH_BITS = 20  # counters per row of the sketch; two rows of four bytes each: 8 MB in all
-BITMAP_BITS = 512
+BITMAP_BITS = 512  # at least; larger sets have the power of two that is at most their size
 MANY = 16  # members from which a list gets several pivots
-WORDS_KEPT = 500_000  # word hashes that a worker remembers
+WORDS_KEPT = 1 << 18  # word hashes that a worker remembers
+ENTRIES_HELD = 1 << 17  # list entries that a task hands on at once
+TEXTS_AT_ONCE = 256  # whose sets are handed on together
+HELD = 1 << 17  # numbers of bitmaps that are compared at once
 BROADCAST_IDS = 1 << 20  # ids of 8 bytes: 8 MB; more go through a shuffled join
 
 # ---- sizes -----------------------------------------------------------------------------
@@ -125,9 +127,10 @@ def cells(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parities of the numbers of n-grams per bit."""
-    at = (s >> np.uint64(52)).astype(np.int64) % BITMAP_BITS
-    return np.packbits(np.bincount(at, minlength=BITMAP_BITS) & 1).tobytes()
+    """Parities of the numbers of n-grams per bit; a long bitmap is folded to a shorter one by halves."""
+    size = max(BITMAP_BITS, 1 << (len(s).bit_length() - 1))
+    at = (s >> np.uint64(32)).astype(np.int64) % size
+    return np.packbits(np.bincount(at, minlength=size) & 1).tobytes()
 
 
 # ---- passes over the texts -------------------------------------------------------------
@@ -198,9 +201,21 @@ def _keys(docs: DataFrame, words: int, percent: int, sketch: np.ndarray, light:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, seen, count = Shingles(words), set(), counts.value
+        cols: list[list[np.ndarray]] = [[], [], []]
+        few: list[tuple[int, ...]] = []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if few:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*few, strict=True)], schema=schema)
+            if cols[0]:
+                made = [pa.array(np.concatenate(x)) for x in cols]
+                none = pa.nulls(len(made[0]), pa.int64())
+                yield pa.RecordBatch.from_arrays([*made, none, none], schema=schema)
+            for held in (few, *cols):
+                held.clear()
+
+        size = 0
         for b in batches:
-            cols: list[list[np.ndarray]] = [[], [], []]
-            few = []
             for text in b.column("text"):
                 s = make.of(text.as_py())
                 n = len(s)
@@ -218,12 +233,11 @@ def _keys(docs: DataFrame, words: int, percent: int, sketch: np.ndarray, light:
                     cols[0].append(s[first].view(np.int64))
                     cols[1].append(np.full(len(first), sid, dtype=np.int64))
                     cols[2].append(np.full(len(first), n, dtype=np.int64))
-            if few:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*few, strict=True)], schema=schema)
-            if cols[0]:
-                made = [pa.array(np.concatenate(x)) for x in cols]
-                none = pa.nulls(len(made[0]), pa.int64())
-                yield pa.RecordBatch.from_arrays([*made, none, none], schema=schema)
+                    size += len(first)
+                if size + len(few) >= ENTRIES_HELD:
+                    yield from told()
+                    size = 0
+        yield from told()
 
     return _texts(docs).mapInArrow(run, "key long, sid long, n long, lo long, hi long")
 
@@ -231,18 +245,41 @@ def _keys(docs: DataFrame, words: int, percent: int, sketch: np.ndarray, light:
 # ---- pairs -----------------------------------------------------------------------------
 
 
-def _apart(bits_a: np.ndarray, bits_b: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """True where the bitmaps prove that two sets do not link.
-
-    They differ in at least as many n-grams as bits; linked sets in at most (n + m) - 2 * overlap.
-    """
-    least = np.bitwise_count(bits_a ^ bits_b).sum(axis=1, dtype=np.int64)
-    most = n + m - 2 * (-(-percent * (n + m) // (100 + percent)))
-    return (least > most) | (percent * np.maximum(n, m) > 100 * np.minimum(n, m))
-
-
-def _stack(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint64).reshape(len(column), -1)
+class Bitmaps:
+    """The bitmaps of some sets, each at its own length and all shorter ones."""
+
+    def __init__(self, column: pd.Series):
+        sizes = np.array([len(x) for x in column], dtype=np.int64) // 8
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # row of each set or -1, bitmaps
+        width, longer = int(sizes.max(initial=0)), np.empty((0, 0), dtype=np.uint64)
+        at_longer = np.empty(0, dtype=np.int64)
+        while width >= BITMAP_BITS // 64:
+            own = np.flatnonzero(sizes == width)
+            bits = np.frombuffer(b"".join(column.iloc[own]), dtype=np.uint64).reshape(len(own), width)
+            if len(at_longer):
+                bits = np.concatenate([longer[:, :width] ^ longer[:, width:], bits])
+            at = np.concatenate([at_longer, own])
+            row = np.full(len(sizes), -1, dtype=np.int64)
+            row[at] = np.arange(len(at))
+            self.levels.append((row, bits))
+            longer, at_longer, width = bits, at, width // 2
+        self.levels.reverse()
+
+    def apart(self, x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+        """True where the bitmaps prove that sets x and y, of sizes n and m, do not link.
+
+        They differ in at least as many n-grams as bits; linked sets in at most (n + m) - 2 * overlap.
+        """
+        most = n + m - 2 * (-(-percent * (n + m) // (100 + percent)))
+        out = percent * np.maximum(n, m) > 100 * np.minimum(n, m)
+        for row, bits in self.levels:
+            left = np.flatnonzero(~out & (row[x] >= 0) & (row[y] >= 0))
+            step = max(1, HELD // bits.shape[1])
+            for k in range(0, len(left), step):
+                some = left[k : k + step]
+                least = np.bitwise_count(bits[row[x[some]]] ^ bits[row[y[some]]]).sum(axis=1, dtype=np.int64)
+                out[some] = least > most[some]
+        return out
 
 
 def _probable(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -253,15 +290,16 @@ def _probable(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             if len(p):
-                out = _apart(_stack(p["ba"]), _stack(p["bb"]), p["na"].to_numpy(), p["nb"].to_numpy(), percent)
+                x, y = np.arange(len(p)), np.arange(len(p), 2 * len(p))
+                out = Bitmaps(pd.concat([p["ba"], p["bb"]])).apart(x, y, p["na"].to_numpy(), p["nb"].to_numpy(), percent)
                 yield p.loc[~out, ["a", "b"]]
 
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ba", "bb").mapInPandas(run, "a long, b long")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by intersecting their sets; the sets are made from the texts again."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "doc_id", "n"), "sid"))
+    """The pairs (a, b) that link, by intersecting their sets; the sets are made from the texts again. Stored."""
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "doc_id", "n"), "sid"))
     needed = ids.select("doc_id").distinct()
     if ids.count() <= BROADCAST_IDS:
         needed = F.broadcast(needed)
@@ -269,13 +307,14 @@ def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, perc
     def make_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         make = Shingles(words)
         for b in batches:
-            made = [make.of(t) for t in b["text"]]
-            yield pd.DataFrame({"sid": [make.key(s) for s in made], "grams": [s.tobytes() for s in made]})
+            for k in range(0, len(b), TEXTS_AT_ONCE):
+                made = [make.of(t) for t in b["text"].iloc[k : k + TEXTS_AT_ONCE]]
+                yield pd.DataFrame({"sid": [make.key(s) for s in made], "grams": [s.tobytes() for s in made]})
 
     texts = _texts(docs).filter("text IS NOT NULL").join(needed, "doc_id", "left_semi")
     made = texts.mapInPandas(make_sets, "sid long, grams binary")
     # a doc_id that stands for several texts may bring other sets along
-    made = materialize(made.join(ids.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]))
+    made = stored(made.join(ids.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -288,15 +327,18 @@ def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, perc
 
     joined = pairs.join(made.select(F.col("sid").alias("a"), F.col("grams").alias("ga")), "a")
     joined = joined.join(made.select(F.col("sid").alias("b"), F.col("grams").alias("gb")), "b")
-    return joined.select("a", "b", "ga", "gb").mapInPandas(run, "a long, b long")
+    found = stored(joined.select("a", "b", "ga", "gb").mapInPandas(run, "a long, b long"))
+    discard(made)
+    discard(ids)
+    return found
 
 
 def _unproved(percent: int):
     """The test of pairs inside lists: the bitmaps do not rule a link out."""
 
     def test(rows: pd.DataFrame):
-        bits, n = _stack(rows["bits"]), rows["n"].to_numpy()
-        return lambda x, y: ~_apart(bits[x], bits[y], n[x], n[y], percent)
+        bits, n = Bitmaps(rows["bits"]), rows["n"].to_numpy()
+        return lambda x, y: ~bits.apart(x, y, n[x], n[y], percent)
 
     return test
 
@@ -306,7 +348,7 @@ def _unproved(percent: int):
 
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id in reach) of every document."""
-    raw = materialize(_signatures(docs, words))
+    raw = stored(_signatures(docs, words))
     sid = F.when(F.col("doc_id").isNotNull(), F.col("sid"))
     sigs = raw.filter("chunk IS NULL").select("doc_id", "n", sid.alias("sid"), "bits")
     sketch = _sketch(raw.filter("chunk IS NOT NULL").select("chunk", "bits"))
@@ -315,13 +357,15 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
     noise = float(np.median(first))
     mean = float((first * np.maximum(first - noise, 0)).sum() / max(first.sum(), 1)) + 1
     light = boundary(mean, percent)
-    sets = materialize(sigs.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    sets = stored(sigs.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
 
     subsets, lists = _alive(_keys(docs, words, percent, sketch, light))
     stars = _stars(lists)
-    edges = materialize(_linked(materialize(_probable(stars, sets, percent)), docs, sets, words, percent).union(subsets).distinct())
+    edges = _linked(stored(_probable(stars, sets, percent)), docs, sets, words, percent).union(subsets).distinct()
     roots = components(edges)
-    more = materialize(pairs_across(lists, roots, sets.select("sid", "n", "bits"), _unproved(percent)))
+    tell = lambda sids: sets.select("sid", "n", "bits")
+    more = stored(pairs_across(lists, roots, tell, _unproved(percent)))
+    discard(lists)
     if not more.isEmpty():
         roots = components(edges.union(_linked(more, docs, sets, words, percent)))
     named = sets.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
@@ -337,21 +381,17 @@ def _alive(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     Subsets link if sets of both their sizes have them.
     """
     # written as a table, because it is read more than once and a second pass over the texts costs more
-    spark = keys.sparkSession
-    path = f"{shared_folder(spark)}/keys-{uuid.uuid4().hex}"
-    keys.write.parquet(path)
-    stored = spark.read.parquet(path)
-    parts = stored.filter("lo IS NOT NULL")
+    every = stored(keys)
+    parts = every.filter("lo IS NOT NULL")
     found = parts.groupBy("key", "lo", "hi").agg(
         F.min("sid").alias("a"), F.max("sid").alias("_other"), F.min("n").alias("_n0"), F.max("n").alias("_n1")
     )
     found = found.filter("a <> _other AND (lo = hi OR _n0 <> _n1)").select("key", "lo", "hi", "a")
     subsets = parts.join(found, ["key", "lo", "hi"]).filter("sid <> a").select("a", F.col("sid").alias("b")).distinct()
-    entries = stored.filter("lo IS NULL").select("key", "sid")
+    entries = every.filter("lo IS NULL").select("key", "sid")
     shared = entries.groupBy("key").agg(F.min("sid").alias("_a"), F.max("sid").alias("_b")).filter("_a <> _b").select("key")
-    subsets, lists = materialize(subsets), materialize(entries.join(shared, "key"))
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    subsets, lists = stored(subsets), stored(entries.join(shared, "key"))
+    discard(every)
     return subsets, lists
 
 

@@ -1,6 +1,7 @@
 """Similarity joins, line dedup, license scans, page text, search and the pipeline against plain loops."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -391,3 +392,62 @@ def test_pipeline_stages_work_on_what_is_kept(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def _names(path):
+    import os
+
+    return {f for f in os.listdir(path.removeprefix("file:")) if f.startswith("table-")}
+
+
+def test_stored_tables_leave_no_shuffle_behind_and_can_go(spark):
+    from saddlespark.llm.common import discard, stored
+    from saddlespark.session import shared_folder
+
+    seen, folder = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None), shared_folder(spark)
+    before = _names(folder)
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = blocks.getAllFiles()
+        names = {files.apply(k).getName() for k in range(files.size())}
+        return {f for f in names if f.startswith("shuffle_")}
+
+    old = shuffles()
+    table = stored(spark.range(2000).repartition(3, "id").groupBy("id").count())
+    deadline = time.time() + 20
+    while (left := shuffles() - old) and time.time() < deadline:  # files go in the background
+        time.sleep(0.2)
+    assert not left and table.count() == 2000 and len(_names(folder) - before) == 1
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == seen
+    discard(table)
+    assert _names(folder) == before
+
+
+def test_settled_lists_hand_on_links_and_not_all_pairs(spark):
+    n = 700  # more than a block
+    rows = spark.createDataFrame([(k, s) for k in (1, 2) for s in range(n)], "key long, sid long")
+    roots = spark.createDataFrame([], "node long, root long")
+    test = lambda rows: lambda x, y: np.ones(len(x), dtype=bool)
+
+    def settle(rows):
+        sid = rows["sid"].tolist()
+        return lambda x, y: sid[x] % 2 == sid[y] % 2
+
+    found = {(r.a, r.b) for r in lists.pairs_across(rows, roots, lambda sids: sids, test, settle).collect()}
+    assert all(a < b and (b - a) % 2 == 0 for a, b in found) and len(found) < 10 * n
+    parts = {r.node: r.root for r in components(spark.createDataFrame([*found], "a long, b long")).collect()}
+    assert [parts.get(k, k) for k in range(n)] == [k % 2 for k in range(n)]
+    every = lists.pairs_across(rows.filter("key = 1 AND sid < 60"), roots, lambda sids: sids, test).count()
+    assert every == 60 * 59 // 2
+
+
+def test_bitmaps_of_large_sets_tell_them_apart():
+    rng = np.random.default_rng(5)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+    a, b, small, other = draw(6000), draw(6000), draw(700), draw(90)
+    near = np.unique(np.r_[a[:5700], b[:200]])
+    sets = [a, b, near, small, np.unique(np.r_[small[:670], other[:20]]), other]
+    bits, n = ngram_join.Bitmaps(pd.Series([ngram_join.bitmap(s) for s in sets])), np.array([len(s) for s in sets])
+    x, y = np.array([0, 0, 1, 3, 3, 5]), np.array([1, 2, 2, 4, 5, 5])
+    assert bits.apart(x, y, n[x], n[y], 85).tolist() == [True, False, True, False, True, False]
