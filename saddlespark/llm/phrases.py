@@ -30,7 +30,6 @@ table gives no rows.
 from __future__ import annotations
 
 import itertools
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,8 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import materialize, shared_folder
-from .common import first_rows
+from .common import first_rows, stored
 
 SHARDS = 8
 MOST_NAMES = 1 << 20  # words, or phrases of one length, that are sent to the tasks
@@ -100,7 +98,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def numbered(df: DataFrame, out: str) -> DataFrame:
     """The rows with numbers 0, 1, 2... from the row counts of the partitions."""
-    df = materialize(df.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    df = stored(df.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
     parts = df.groupBy("_part").agg(F.count("*").alias("_n"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -159,15 +157,13 @@ def _chunks(docs: DataFrame, words: DataFrame, count: int) -> DataFrame:
                 yield pd.DataFrame({"shard": shard, "lang": b["lang"], "n": [len(m) - m.count(b".") for m in made], "told": made})
 
         spelt = _texts(docs).mapInPandas(spell, "shard int, lang string, n long, told array<binary>")
-        spelt = materialize(spelt.withColumn("doc", F.monotonically_increasing_id()))
+        spelt = stored(spelt.withColumn("doc", F.monotonically_increasing_id()))
         each = spelt.select("doc", "lang", F.posexplode("told").alias("at", "word")).withColumn("word", F.col("word").cast("string"))
         each = each.join(words.select("lang", "word", "name"), ["lang", "word"], "left")
         codes = each.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("name", F.lit(-1)).cast("int").alias("k")))).alias("ks"))
         found = spelt.select("doc", "shard", "lang", "n").join(langs, "lang").join(codes, "doc")
         found = found.select("shard", F.col("no").alias("lang"), "n", F.concat("ks.k", F.array(F.lit(-1))).alias("words"))
-    path = f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
-    found.write.parquet(path)
-    return spark.read.parquet(path)
+    return stored(found)
 
 
 # ---- n-grams ---------------------------------------------------------------------------
@@ -232,15 +228,17 @@ def _frequent(chunks: DataFrame, support: DataFrame, longest: int, min_count: in
     sc = chunks.sparkSession.sparkContext
     lists: list[np.ndarray] = []
     tables: list[DataFrame] = []
+    part = (F.col("lang") * SHARDS + F.col("shard")).alias("part")
+    limits = support.select(part, "least", "unseen")  # a row per shard and language
     for n in range(2, longest + 1):
-        local = _mined(chunks, sc.broadcast(lists), n).groupBy("shard", "key").agg(F.sum("n").alias("n"), F.min("lang").alias("lang"))
-        seen = local.join(support, ["shard", "lang"]).filter("n >= least")
+        # one shuffle by key serves the counts of the shards and those of all
+        rows = _mined(chunks, sc.broadcast(lists), n).select("key", part, "n").repartition("key")
+        local = rows.groupBy("key", "part").agg(F.sum("n").alias("n")).join(F.broadcast(limits), "part")
         # where a phrase is not frequent it has at most least - 1 occurrences
-        most = F.sum(F.col("n") - (F.col("least") - 1)) + F.first("unseen")
-        candidates = seen.groupBy("key").agg(most.alias("most")).filter(F.col("most") >= min_count).select("key")
-        # their counts in all shards, frequent there or not; the shuffle by shard and key is used again
-        exact = local.join(candidates, "key", "left_semi").groupBy("key").agg(F.sum("n").alias("a"))
-        exact = materialize(exact.filter(F.col("a") >= min_count))
+        seen = F.when(F.col("n") >= F.col("least"), F.col("n") - (F.col("least") - 1))
+        # the first filter leaves the candidates, the second those whose counts in all shards, frequent there or not, suffice
+        found = local.groupBy("key").agg((F.sum(seen) + F.first("unseen")).alias("most"), F.sum("n").alias("a"))
+        exact = stored(found.filter(F.col("most") >= min_count).filter(F.col("a") >= min_count).select("key", "a"))
         count = exact.count()
         if count > MOST_NAMES:
             break
@@ -287,21 +285,21 @@ def _plain(chunks: DataFrame, n: int, least: int) -> DataFrame:
 
 def frequent_phrases(docs: DataFrame, min_count: int = 100, longest: int = 5) -> tuple[DataFrame, DataFrame]:
     """Phrases (lang, words, phrase, a) of 1 to ``longest`` words with at least ``min_count`` occurrences; lang, n of the languages."""
-    counts = materialize(word_counts(docs).filter((F.col("n") >= min_count) | F.col("word").isNull()))
+    counts = stored(word_counts(docs).filter((F.col("n") >= min_count) | F.col("word").isNull()))
     langs = counts.filter("word IS NULL").select("lang", "n")
-    words = materialize(numbered(counts.filter("word IS NOT NULL"), "name"))
+    words = stored(numbered(counts.filter("word IS NOT NULL"), "name"))
     chunks = _chunks(docs, words, words.count())
     total = words.groupBy("lang").agg(F.min("name").alias("no")).join(langs, "lang").select(F.col("no").alias("lang"), F.col("n").alias("all"))
     share = chunks.groupBy("shard", "lang").agg(F.sum("n").alias("own")).join(total, "lang")
     least = F.ceil(F.lit(min_count).cast("decimal(20,0)") * F.col("own") / F.col("all")).cast("long")
     share = share.select("shard", "lang", F.greatest(least, F.lit(1)).alias("least"))
     unseen = share.groupBy("lang").agg(F.sum(F.col("least") - 1).alias("unseen"))
-    support = materialize(share.join(unseen, "lang"))
+    support = stored(share.join(unseen, "lang"))
     lists, tables = _frequent(chunks, support, longest, min_count)
     found = _spelt(docs.sparkSession, lists, tables)
     for n in range(len(lists) + 2, longest + 1):
         found = found.union(_plain(chunks, n, min_count))
-    found = materialize(found)
+    found = stored(found)
     each = found.select("a", F.col("words").alias("ks"), F.posexplode("words").alias("at", "name")).join(words.select("name", "lang", "word"), "name")
     told = each.groupBy("ks").agg(F.first("a").alias("a"), F.first("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("at", "word"))).alias("ws"))
     told = told.select("lang", F.col("ws.word").alias("words"), "a")
@@ -312,7 +310,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = 100, longest: int = 5) ->
 def collocations(docs: DataFrame, min_count: int = 100, longest: int = 5, top: int = 2000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the phrases of every language whose words attract each other most."""
     phrases, langs = frequent_phrases(docs, min_count, longest)
-    phrases = materialize(phrases)
+    phrases = stored(phrases)
     count = phrases.select("lang", "phrase", "a")
     part = lambda first, length: F.array_join(F.slice("words", first, length), " ")
     size = F.size("words")

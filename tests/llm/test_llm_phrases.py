@@ -104,3 +104,21 @@ def test_what_a_task_holds_does_not_grow_with_languages_and_shards(spark, monkey
         frames.append(f)
         assert len(f) <= 30 and len(read) * 20 - sum(map(len, frames)) < 100 + 20
     assert sum(f["n"].sum() for f in frames) == 40 * 20
+
+
+def test_phrases_of_a_length_are_mined_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "u v w x", "en") for k in range(40)] + [(40 + k, "u v. w", "de") for k in range(40)], "doc_id long, text string, lang string")
+    plans = []
+    real = phrases.stored
+
+    def told(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(phrases, "stored", told)
+    found, _ = phrases.frequent_phrases(docs, 10, 4)
+    assert {(r.lang, r.phrase): r.a for r in found.filter("size(words) > 1").collect()} == {
+        ("en", p): 40 for p in ("u v", "v w", "w x", "u v w", "v w x", "u v w x")
+    } | {("de", "u v"): 40}
+    mined = [p.count("MapInPandas") for p in plans if "key#" in p and "least#" in p and "MapInPandas" in p]
+    assert mined == [1, 1, 1]
