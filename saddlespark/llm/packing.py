@@ -53,6 +53,7 @@ class _WordIds(dict):
         super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
+        self.spelt = [i.to_bytes(4, "little") for i in range(max(vocabulary.values()) + 1)]
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.mark = self._encode(self.MARK)
@@ -62,6 +63,11 @@ class _WordIds(dict):
 
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
+    def _lettered(self, words: list[str]) -> None:
+        """Words of lower-case ASCII letters, which the normalizer and the patterns leave as they are."""
+        merged, spelt = self.tokenizer.model.tokenize, self.spelt
+        self.update([(w, b"".join([spelt[t.id] for t in merged(w)])) for w in words])
+
     def _plain(self, words: list[str]) -> list:
         import numpy as np
 
@@ -91,21 +97,26 @@ class _WordIds(dict):
         """Ids for words not known yet.
 
         A mark behind a letter is a token of its own, and ASCII letters are lowered by the
-        tokenizer itself, so such words are put together from others.
+        tokenizer itself, so such words are put together from others.  Words with other
+        characters are not lowered here, as names of special tokens are told apart by case.
         """
         if len(self) > WORDS_KEPT:
             self.clear()
             self[""] = b""
-        new = {}
-        for w in words:
-            if w not in self:
-                split = len(w) > 1 and w[-1] in self.TAILS and w[-2].isalpha()
-                base, tail = (w[:-1], w[-1]) if split else (w, "")
-                new[w] = (base.lower() if base.isascii() else base, tail)
-        need = list({p for both in new.values() for p in both if p not in self})
-        self._add([w for w in need if w.isalpha()], self._plain)
+        parts, need = [], set(self.TAILS)
+        for w in words.difference(self):
+            base, tail = (w[:-1], w[-1]) if w[-1] in self.TAILS and w[-2:-1].isalpha() else (w, "")
+            if base.isascii() and base.isalpha():
+                base = base.lower()
+            need.add(base)
+            if base != w:
+                parts.append((w, base, tail))
+        need.difference_update(self)
+        letters = [w for w in need if w.isalpha()]
+        self._lettered([w for w in letters if w.isascii()])
+        self._add([w for w in letters if not w.isascii()], self._plain)
         self._add([w for w in need if not w.isalpha()], self._marked)
-        self.update((w, self[base] + self[tail]) for w, (base, tail) in new.items())
+        self.update((w, self[base] + self[tail]) for w, base, tail in parts)
 
 
 def stretches(text: str | None) -> list[str]:
@@ -114,7 +125,10 @@ def stretches(text: str | None) -> list[str]:
     The tokenizer drops white space and no token spans it, so the stretches can be encoded one
     by one; words come again, whole texts do not.
     """
-    return (text or "").replace("\n", " ").split(" ")
+    text = text or ""
+    if text.isascii() and "<|" not in text:
+        text = text.lower()  # as the tokenizer does, so that fewer stretches differ; it tells names of special tokens apart by case
+    return text.replace("\n", " ").split(" ")
 
 
 def token_bytes(texts: list[str | None], ids: _WordIds) -> Iterator[bytes]:

@@ -236,3 +236,12 @@ def test_mix_reads_the_text_of_a_row_once(spark):
     docs = spark.createDataFrame([(k, "s", "some words # and more") for k in range(50)], "doc_id long, source string, text string")
     told = mixing.plan(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert told.count("md5(") == 2  # of the text, inside that of the row
+
+
+@pytest.mark.parametrize("text", ["Ab. <|ENDOFTEXT|> aB, <|endoftext|>", "é <|StartOfText|>. ABC abc"])
+def test_names_of_special_tokens_keep_their_case(text):
+    from tokenizers import Tokenizer
+
+    got = next(iter(packing.token_bytes([text], packing._WordIds(tokenizer_path()))))
+    want = [*Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids, 2]
+    assert np.frombuffer(got, dtype="<u4").tolist() == want
