@@ -8,7 +8,7 @@ never gathered, so adaptive execution can split them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import discard, stored
@@ -38,14 +38,28 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns
     down = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    mark = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    down = stored(down)
-    old = mark(down)
-    while old[0]:
-        last, down = down, stored(_small_star(_large_star(down)))
+
+    def kept(df: DataFrame) -> tuple[DataFrame, dict]:
+        # counted while it is written
+        seen = Observation()
+        return stored(df.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("mark"))), seen.get
+
+    down, old = kept(down)
+    while old["n"]:
+        last = down
+        down, new = kept(_small_star(_large_star(last)))
         discard(last)
-        new = mark(down)
         if new == old:
             break
         old = new
     return down.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``roots`` (node, root) when ``links`` (a, b) connect some of them; stored."""
+    for x in "ab":
+        links = links.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"_{x}")), x, "left")
+    over = components(links.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
+    top = over.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = roots.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return stored(moved.union(over))

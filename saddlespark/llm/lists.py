@@ -6,8 +6,8 @@ both lie in the same component.  So a long list, and a group of copies in it, is
 many places, and none holds more than two blocks.
 
 Where a second, dear test is given it settles the pairs on the spot.  Members that links found
-in the same place connect are not held against each other any more, so what is handed on is at
-most a link for each member and place, however many pairs there are.
+by the same task connect are not held against each other any more, also not in further lists, so
+what is handed on is at most a link for each member and task, however many pairs there are.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from .common import stored
 
 BLOCK = 512
 PAIRS_HELD = 1 << 18  # that a task hands on at once
+LINKS_HELD = 1 << 18  # that a task remembers
+LOOK_AGAIN = 16  # steps after which members that links have connected meanwhile are left out
 
 Test = Callable[[np.ndarray, np.ndarray], np.ndarray]
 Settle = Callable[[int, int], bool]
@@ -36,20 +38,27 @@ def pairs_across(
     about: Callable[[DataFrame], DataFrame],
     test: Callable[[pd.DataFrame], Test],
     settle: Callable[[pd.DataFrame], Settle] | None = None,
+    held: int | None = None,
 ) -> DataFrame:
     """(a, b) with a < b for members (key, sid) of ``lists`` that pass the test.
 
     ``roots`` (node, root) has the components; members without a row are alone.  ``about`` gives
     further columns for a table of sids, and ``test`` makes from rows with these a function of
     two arrays of row numbers.  ``settle`` makes one of two row numbers; with it the result is
-    not all pairs, but enough of those that pass both to connect what they connect.
+    not all pairs, but enough of those that pass both to connect what they connect.  With
+    ``held``, members have a ``size``, and the sizes of a block add up to so much, or to less than
+    that before its last member; else a block has ``BLOCK`` members.
     """
     root = roots.select(F.col("node").alias("sid"), "root")
-    rows = lists.select("key", "sid").join(root, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    rows = lists.select("key", "sid", *["size"] * (held is not None)).join(root, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed = rows.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("key")
     rows = rows.join(mixed, "key")
-    place = F.row_number().over(W.partitionBy("key").orderBy("root", "sid")) - 1
-    rows = stored(rows.withColumn("block", F.floor(place / F.lit(BLOCK)).cast("int")))
+    order = W.partitionBy("key").orderBy("root", "sid")
+    if held is None:
+        block = F.floor((F.row_number().over(order) - 1) / F.lit(BLOCK))
+    else:
+        block = F.floor((F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")) / F.lit(held))
+    rows = stored(rows.withColumn("block", block.cast("int")).select("key", "sid", "root", "block"))
     blocks = rows.groupBy("key", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     other = blocks.select("key", F.col("block").alias("block2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     meet = blocks.join(other, "key").filter("block <= block2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)")
@@ -59,17 +68,18 @@ def pairs_across(
     full = full.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j", "block", "root", "sid")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # the last group of a batch may go on in the next
+        links = _Links() if settle else None
+        left = None  # the last group of a batch may go on in the next
         for b in itertools.chain(batches, [None]):
-            rest = held if b is None else b if held is None else pd.concat([held, b], ignore_index=True)
+            rest = left if b is None else b if left is None else pd.concat([left, b], ignore_index=True)
             if rest is None or not len(rest):
                 continue
             group = rest[["key", "i", "j"]].to_numpy()
             starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1)])
             done = len(rest) if b is None else starts[-1]
-            held = None if b is None else rest.iloc[done:].reset_index(drop=True)
+            left = None if b is None else rest.iloc[done:].reset_index(drop=True)
             if done:
-                yield from _inside(rest.iloc[:done], starts[starts < done], test, settle)
+                yield from _inside(rest.iloc[:done], starts[starts < done], test, settle, links)
 
     return full.mapInPandas(run, "a long, b long").distinct()
 
@@ -79,22 +89,25 @@ def _inside(
     starts: np.ndarray,
     test: Callable[[pd.DataFrame], Test],
     settle: Callable[[pd.DataFrame], Settle] | None,
+    links: _Links | None,
 ) -> Iterator[pd.DataFrame]:
     """Pairs inside groups of rows that lie in different components and, if a group has two blocks, in both."""
     ends = np.r_[starts[1:], len(rows)]
     last = np.repeat(ends, ends - starts)
-    root, sid, block = (rows[c].to_numpy() for c in ("root", "sid", "block"))
+    own, sid, block = (rows[c].to_numpy() for c in ("root", "sid", "block"))
     across, passes, at = (rows["i"] != rows["j"]).to_numpy(), test(rows), np.arange(len(rows))
-    links = _Links(root, sid, settle(rows)) if settle else None
+    holds, root, known = settle(rows) if settle else None, own, None
     found, held, step = [], 0, 1
     while True:
-        x = at[at + step < last]
-        if not len(x):
+        at = at[at + step < last[at]]
+        if not len(at):
             break
-        x = x[(root[x] != root[x + step]) & (~across[x] | (block[x] != block[x + step]))]
+        if links and step % LOOK_AGAIN == 1 and known != links.joined:
+            root, known = links.tops(own), links.joined
+        x = at[(root[at] != root[at + step]) & (~across[at] | (block[at] != block[at + step]))]
         x = x[passes(x, x + step)]
         if links:
-            x = links.new(x, x + step)
+            x = links.new(x, x + step, root, sid, holds)
         found.append(np.stack([sid[x], sid[x + step]], axis=1))
         held += len(x)
         if held >= PAIRS_HELD:
@@ -103,6 +116,8 @@ def _inside(
         step += 1
     if held:
         yield _sorted(found)
+    if links:
+        links.shrink()
 
 
 def _sorted(found: list[np.ndarray]) -> pd.DataFrame:
@@ -111,11 +126,11 @@ def _sorted(found: list[np.ndarray]) -> pd.DataFrame:
 
 
 class _Links:
-    """Components as far as the rows of one place tell, and the test that joins two of them."""
+    """Components as far as a task has met their links."""
 
-    def __init__(self, root: np.ndarray, sid: np.ndarray, holds: Settle):
-        self.root, self.sid, self.holds = root, sid, holds
+    def __init__(self):
         self.up: dict[int, int] = {}
+        self.joined = 0  # how often two became one, or all was forgotten
         self.not_linked: set[tuple[int, int]] = set()  # pairs come again in further lists
 
     def top(self, node: int) -> int:
@@ -124,19 +139,29 @@ class _Links:
             up[node] = node = up.get(over, over)
         return node
 
-    def new(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def tops(self, nodes: np.ndarray) -> np.ndarray:
+        some, at = np.unique(nodes, return_inverse=True)
+        return np.array([self.top(k) for k in some.tolist()], dtype=np.int64)[at]
+
+    def new(self, x: np.ndarray, y: np.ndarray, root: np.ndarray, sid: np.ndarray, holds: Settle) -> np.ndarray:
         """Those of x that link with their y and lie in another component."""
         kept = []
         for k, i, j in zip(range(len(x)), x.tolist(), y.tolist(), strict=True):
-            a, b = self.top(int(self.root[i])), self.top(int(self.root[j]))
+            a, b = self.top(int(root[i])), self.top(int(root[j]))
             if a == b:
                 continue
-            pair = (int(self.sid[i]), int(self.sid[j]))
+            pair = (int(sid[i]), int(sid[j]))
             if pair in self.not_linked:
                 continue
-            if self.holds(i, j):
+            if holds(i, j):
                 self.up[max(a, b)] = min(a, b)
+                self.joined += 1
                 kept.append(k)
             elif len(self.not_linked) < PAIRS_HELD:
                 self.not_linked.add(pair)
         return x[kept]
+
+    def shrink(self) -> None:
+        if len(self.up) >= LINKS_HELD:
+            self.up.clear()
+            self.joined += 1

@@ -15,8 +15,8 @@ Lists are scanned twice.  First every set is held against one set of its list, w
 groups of near copies without forming their pairs.  Then pairs of different components are
 held against each other inside the lists, in blocks of bounded size; blocks that lie in one
 component are never paired.  Parity bitmaps of the sets, longer for larger
-sets, bound the symmetric difference from below and stop most pairs; all others are settled by
-intersecting the sets themselves.
+sets, bound the symmetric difference from below and stop most pairs.  The components that the
+others would connect make one list each, and there the sets themselves are intersected.
 
 Cases: null, empty and blank texts have an empty set, n_shingles 0, and are linked with nothing.
 Texts shorter than an n-gram have their whole sequence as the only one.  Equal texts, ties and
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, fresh, stored
-from .components import components
+from .components import components, merged
 from .lists import pairs_across
 
 SKETCH_BITS = 20  # counters per row of the sketch; two rows of four bytes each: 8 MB in all
@@ -49,6 +49,7 @@ MANY = 16  # members from which a list gets several pivots
 WORDS_KEPT = 1 << 18  # word hashes that a worker remembers
 ENTRIES_HELD = 1 << 17  # list entries that a task hands on at once
 TEXTS_AT_ONCE = 256  # whose sets are handed on together
+GRAMS_HELD = 1 << 17  # n-grams of a block whose sets are intersected: 1 MB, unless a set is larger
 HELD = 1 << 17  # numbers of bitmaps that are compared at once
 BROADCAST_IDS = 1 << 20  # ids of 8 bytes: 8 MB; more go through a shuffled join
 
@@ -297,9 +298,9 @@ def _probable(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ba", "bb").mapInPandas(run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by intersecting their sets; the sets are made from the texts again. Stored."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "doc_id", "n"), "sid"))
+def _grams(wanted: DataFrame, docs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
+    """sid and grams (the sorted n-grams, 8 bytes each) of the wanted sids, made from the texts again. Stored."""
+    ids = stored(wanted.join(sets.select("sid", "doc_id", "n"), "sid"))
     needed = ids.select("doc_id").distinct()
     if ids.count() <= BROADCAST_IDS:
         needed = F.broadcast(needed)
@@ -315,21 +316,30 @@ def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, perc
     made = texts.mapInPandas(make_sets, "sid long, grams binary")
     # a doc_id that stands for several texts may bring other sets along
     made = stored(made.join(ids.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]))
+    discard(ids)
+    return made
+
+
+def _link(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two sets link."""
+    s, t = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    common = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * common >= percent * (len(s) + len(t) - common)
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by intersecting their sets. Stored."""
+    made = _grams(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), docs, sets, words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            keep = []
-            for x, y in zip(p["ga"], p["gb"], strict=True):
-                s, t = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * common >= percent * (len(s) + len(t) - common))
-            yield p.loc[keep, ["a", "b"]]
+            keep = [_link(x, y, percent) for x, y in zip(p["ga"], p["gb"], strict=True)]
+            yield p.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
     joined = pairs.join(made.select(F.col("sid").alias("a"), F.col("grams").alias("ga")), "a")
     joined = joined.join(made.select(F.col("sid").alias("b"), F.col("grams").alias("gb")), "b")
     found = stored(joined.select("a", "b", "ga", "gb").mapInPandas(run, "a long, b long"))
     discard(made)
-    discard(ids)
     return found
 
 
@@ -343,6 +353,37 @@ def _unproved(percent: int):
     return test
 
 
+def _across(lists: DataFrame, roots: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """Links (a, b) that connect the components ``roots`` where sets that share a list link; stored, None if there are none.
+
+    A pair that the bitmaps leave may come in many lists and with many others.  So the lists only
+    tell which components such pairs connect: what a task hands on is no more than the components
+    it has met.  The members of components connected in that way then make one list, whose blocks
+    bring their sets along, and links are settled there.
+    """
+    tell = lambda sids: sets.select("sid", "n", "bits")
+    every = lambda rows: lambda x, y: True
+    met = stored(pairs_across(lists, roots, tell, _unproved(percent), every))
+    if met.isEmpty():
+        return None
+    for x in "ab":
+        met = met.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"_{x}")), x, "left").withColumn(x, F.coalesce(f"_{x}", x)).drop(f"_{x}")
+    groups = components(met)
+    groups = groups.union(groups.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("_r"), F.col("root").alias("key"))
+    named = sets.join(roots.withColumnsRenamed({"node": "sid", "root": "_r"}), "sid", "left").withColumn("_r", F.coalesce("_r", "sid"))
+    members = stored(named.join(groups, "_r").select("key", "sid", F.col("n").alias("size")))
+    grams = _grams(members.select("sid"), docs, sets, words)
+    tell = lambda sids: sets.select("sid", "n", "bits").join(grams, "sid")
+
+    def settle(rows: pd.DataFrame):
+        made = rows["grams"].tolist()
+        return lambda x, y: _link(made[x], made[y], percent)
+
+    links = stored(pairs_across(members, roots, tell, _unproved(percent), settle, GRAMS_HELD))
+    discard(grams)
+    return links
+
+
 # ---- the join --------------------------------------------------------------------------
 
 
@@ -363,11 +404,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
     stars = _stars(lists)
     edges = _linked(stored(_probable(stars, sets, percent)), docs, sets, words, percent).union(subsets).distinct()
     roots = components(edges)
-    tell = lambda sids: sets.select("sid", "n", "bits")
-    more = stored(pairs_across(lists, roots, tell, _unproved(percent)))
+    more = _across(lists, roots, docs, sets, words, percent)
     discard(lists)
-    if not more.isEmpty():
-        roots = components(edges.union(_linked(more, docs, sets, words, percent)))
+    if more is not None:
+        roots = merged(roots, more)
     named = sets.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "root").select("sid", "component_id")

@@ -14,7 +14,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from check_queries import compare, connect
 from saddlespark.llm import forest, licenses, line_dedup, lists, ngram_join, pages, sql
-from saddlespark.llm.components import components
+from saddlespark.llm.components import components, merged
 
 SF = "/root/testdata/sf0.001"
 
@@ -442,6 +442,65 @@ def test_settled_lists_hand_on_links_and_not_all_pairs(spark):
     assert every == 60 * 59 // 2
 
 
+def test_links_of_a_task_are_handed_on_once(spark):
+    # fifty lists with the same members come in several batches of one task
+    n, seen = 40, spark.sparkContext.accumulator(0)
+    rows = spark.range(50 * n).selectExpr(f"id div {n} AS key", f"id % {n} AS sid")
+    roots = spark.createDataFrame([], "node long, root long")
+    test = lambda rows: lambda x, y: np.ones(len(x), dtype=bool)
+
+    def settle(rows):
+        def holds(x, y):
+            seen.add(1)
+            return True
+
+        return holds
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    for k, v in zip(before, ("1", "100"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        found = lists.pairs_across(rows, roots, lambda sids: sids, test, settle).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len({(r.a, r.b) for r in found}) == len(found) == seen.value == n - 1
+
+
+def test_blocks_by_size_find_the_same_links(spark):
+    n = 60
+    rows = spark.range(n).selectExpr("1L AS key", "id AS sid", "id % 7 * 50 AS size")
+    roots = spark.createDataFrame([(3, 0), (6, 0), (4, 1)], "node long, root long")
+    test = lambda rows: lambda x, y: np.ones(len(x), dtype=bool)
+
+    def settle(rows):
+        sid = rows["sid"].tolist()
+        return lambda x, y: sid[x] % 3 == sid[y] % 3
+
+    links = lists.pairs_across(rows, roots, lambda sids: sids, test, settle, 200)
+    parts = {r.node: r.root for r in merged(roots, links).collect()}
+    assert [parts.get(k, k) for k in range(n)] == [k % 3 for k in range(n)]
+
+
+def test_near_copies_hand_on_few_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = family(rng, 120, 150, 9) + [" ".join(f"u{k}x{j}" for j in range(30)) for k in range(20)]
+    handed, linked_pairs = [], ngram_join._linked
+
+    def counted(pairs, *rest):
+        handed.append(pairs.count())
+        return linked_pairs(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "_linked", counted)
+    sets, root = linked(texts, 4, 85)
+    close = sum(100 * len(a & b) >= 75 * len(a | b) for i, a in enumerate(sets[:150]) for b in sets[:i])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df, 4, 85).collect()}
+    assert got == {i: (len(s), root[i]) for i, s in enumerate(sets)}
+    # pairs are held against each other beside their sets; only those with a list's pivots are joined with them
+    assert len(handed) == 1 and handed[0] < close, (handed, close)
+
+
 def test_bitmaps_of_large_sets_tell_them_apart():
     rng = np.random.default_rng(5)
     draw = lambda n: np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
