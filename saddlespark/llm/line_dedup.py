@@ -13,7 +13,8 @@ a key is scanned with everybody against the list's smallest member, then, where
 apart, against another one; that connects groups of near copies without forming their pairs.  Last
 come the pairs of different components inside the lists, in blocks of bounded size.  Lengths that rule the similarity out,
 and SimHash fingerprints that differ in more than ``DISTANCE`` of 64 bits, stop a
-pair before its edit distance is compared with the bound.
+pair; so do counts of two-character sequences that differ by more than the edit similarity
+allows.  The edit distance of the others is compared with the bound.
 
 Words weigh by length, so lines do not meet for their small words.  Keys are a matter of chance:
 a pair that shares no key and no third line is missed; the README has the measured recall.
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, fresh, stored
-from .components import components
+from .components import components, merged
 from .lists import pairs_across
 
 MIN_WORDS = 5
@@ -57,6 +58,9 @@ CHUNK_WORDS = 1 << 13  # words whose bits are summed at once
 LANES = 16
 HEAVIEST = 127
 SEGMENT = 512
+LOOK, LOOKS = 64, 16  # columns of an edit distance after which one is written out: at least, and a share of the line
+PAIR_COUNTS = 1024  # counters of two-character sequences in a line
+COUNTED = 1 << 9  # lines whose sequences are counted at once
 BROADCAST_IDS = 1 << 20  # of 8 bytes; more go through a shuffled join
 
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -231,10 +235,14 @@ def _near(one: tuple[Column, Column], two: tuple[Column, Column]) -> Column:
 
 def _close(rows: pd.DataFrame):
     sim, size = rows["sim"].to_numpy().view(np.uint64), rows["size"].to_numpy()
+    counts = Sequences(rows["told"].tolist())
 
     def test(x, y):
         fits = np.abs(size[x] - size[y]) <= np.floor((1 - SIMILARITY) * np.maximum(size[x], size[y]) + 1e-9)
-        return fits & (np.bitwise_count(sim[x] ^ sim[y]) <= DISTANCE)
+        fits &= np.bitwise_count(sim[x] ^ sim[y]) <= DISTANCE
+        some = np.flatnonzero(fits)
+        fits[some] = counts.near(x[some], y[some])
+        return fits
 
     return test
 
@@ -243,7 +251,8 @@ def within(a: str, b: str, most: int) -> bool:
     """Whether the edit distance is at most ``most``.
 
     Words exchanged in place bound it from above.  Where that does not settle it, the columns of
-    the distance table are kept as whole numbers, a bit per row for each step up and down.
+    the distance table are kept as whole numbers, a bit per row for each step up and down.  Of long
+    lines some columns are written out: no way to the end is shorter than the best of one.
     """
     if abs(len(a) - len(b)) > most:
         return False
@@ -266,6 +275,7 @@ def within(a: str, b: str, most: int) -> bool:
         has[c] = has.get(c, 0) | 1 << k
     every, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, cost, left = every, 0, len(a), len(b)
+    look = max(LOOK, len(b) // LOOKS)
     for c in b:
         same = has.get(c, 0)
         level = same | down
@@ -277,14 +287,56 @@ def within(a: str, b: str, most: int) -> bool:
             return False
         rise, fall = rise << 1 | 1, fall << 1
         up, down = (fall | every ^ ((level | rise) & every)) & every, rise & level & every
+        if left and left % look == 0 and _shortest(up, down, len(a), len(b) - left, left) > most:
+            return False
     return cost <= most
 
 
+def _shortest(up: int, down: int, rows: int, column: int, left: int) -> int:
+    """The least of a column's distances, each with what the rows and columns that are left differ by."""
+    step = [np.unpackbits(np.frombuffer(x.to_bytes(-(-rows // 8), "little"), dtype=np.uint8), count=rows, bitorder="little") for x in (up, down)]
+    so_far = np.zeros(rows + 1, dtype=np.int64)
+    np.cumsum(step[0].astype(np.int64) - step[1], out=so_far[1:])
+    return column + int((so_far + np.abs(np.arange(rows - left, -left - 1, -1))).min())
+
+
 def alike(a: str, b: str) -> bool:
     """Whether the edit similarity of two normalised lines is high enough."""
     return within(a, b, int(np.floor((1 - SIMILARITY) * max(len(a), len(b)) + 1e-9)))
 
 
+class Sequences:
+    """How often each two-character sequence stands in each of some lines, by counter.
+
+    One edit changes at most two sequences of either line, so two lines whose counts differ by more
+    than four times a number are more than that number of edits apart.  Sequences that share a
+    counter, and counters that are full, only make the difference smaller.
+    """
+
+    def __init__(self, told: list[str]):
+        self.counts = np.empty((len(told), PAIR_COUNTS), dtype=np.uint8)
+        self.most = np.floor((1 - SIMILARITY) * np.arange(max(map(len, told), default=0) + 1) + 1e-9).astype(np.int64)
+        self.size = np.array([len(t) for t in told], dtype=np.int64)
+        for k in range(0, len(told), COUNTED):
+            some = self.size[k : k + COUNTED]
+            code = np.frombuffer("".join(told[k : k + COUNTED]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            row = np.repeat(np.arange(len(some)), some)
+            inside = np.flatnonzero(row[1:] == row[:-1])
+            at = (code[inside] * np.uint32(31) + code[inside + 1]) % np.uint32(PAIR_COUNTS)
+            found = np.bincount(row[inside] * PAIR_COUNTS + at, minlength=len(some) * PAIR_COUNTS)
+            self.counts[k : k + len(some)] = np.minimum(found, 255).reshape(len(some), PAIR_COUNTS)
+
+    def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """False where the counts prove that lines x and y are not alike."""
+        out = np.empty(len(x), dtype=bool)
+        for k in range(0, len(x), COUNTED):
+            i, j = x[k : k + COUNTED], y[k : k + COUNTED]
+            a, b = self.counts[i], self.counts[j]
+            apart = (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int64)
+            out[k : k + len(i)] = apart <= 4 * self.most[np.maximum(self.size[i], self.size[j])]
+        return out
+
+
 def _told(sids: DataFrame, docs: DataFrame, places: DataFrame) -> DataFrame:
     """sid and told (the normalised line) of the wanted sids; ``places`` says where each line stands."""
     lines = sids.join(places.select("sid", "doc", "line"), "sid").groupBy("doc").agg(F.collect_list(F.struct("line", "sid")).alias("lines"))
@@ -314,8 +366,9 @@ def _alike(pairs: DataFrame, docs: DataFrame, places: DataFrame) -> DataFrame:
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fits = [alike(x, y) for x, y in zip(b["ta"], b["tb"], strict=True)]
-            yield b.loc[np.array(fits, dtype=bool), ["a", "b"]]
+            one, two, at = b["ta"].tolist(), b["tb"].tolist(), np.arange(len(b))
+            fits = [k for k in at[Sequences(one + two).near(at, at + len(b))].tolist() if alike(one[k], two[k])]
+            yield b.iloc[fits][["a", "b"]]
 
     found = stored(both.select("a", "b", "ta", "tb").mapInPandas(verify, "a long, b long"))
     discard(texts)
@@ -369,13 +422,12 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         discard(met)
         if new.isEmpty():
             break
-        edges = edges.union(new)
-        roots = components(edges)
+        roots = merged(roots, new)
     tell = lambda sids: about.join(_told(sids, docs, places), "sid")
     more = stored(pairs_across(shared.select("key", "sid"), roots, tell, _close, _settled))
     discard(shared)
     if not more.isEmpty():
-        roots = components(edges.union(more))
+        roots = merged(roots, more)
     linked = roots.select(F.col("node").alias("sid"), "root")
     linked = linked.union(linked.select(F.col("root").alias("sid"), "root").distinct())
     # only lines that come twice or are linked can go

@@ -147,6 +147,29 @@ def test_edit_bound_is_exact():
     assert line_dedup.within(long + "c" * 50, "d" * 50 + long, 150) and not line_dedup.within(long + "c" * 50, "d" * 50 + long, 30)
 
 
+def test_counts_and_columns_stop_only_lines_apart():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeü") for _ in range(rng.randrange(1, 8))) for _ in range(40)]
+    told = []
+    for _ in range(60):
+        a = [rng.choice(words) for _ in range(rng.randrange(5, 70))]
+        b = list(a)
+        for _ in range(rng.randrange(len(a) // 2)):
+            k = rng.randrange(len(b))
+            b[k : k + rng.randrange(3)] = [rng.choice(words) for _ in range(rng.randrange(3))]
+            b = b or ["x"]
+        told += [" ".join(a), " ".join(b)]
+    told += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300)) for _ in range(4)]
+    at = np.arange(0, len(told), 2)
+    near = line_dedup.Sequences(told).near(at, at + 1)
+    d = [distance(told[k], told[k + 1]) for k in at]
+    fits = [x <= 0.2 * max(len(told[k]), len(told[k + 1])) for k, x in zip(at, d, strict=True)]
+    assert all(near[np.array(fits)]) and sum(fits) >= 10 and not near[-2:].any()
+    for k, x in zip(at, d, strict=True):
+        for most in (x - 1, x, x // 2, 2 * x):
+            assert line_dedup.within(told[k], told[k + 1], most) == (x <= most)
+
+
 def fingerprint(weighted):
     return sum((sum(w if h >> b & 1 else -w for h, w in weighted) > 0) << b for b in range(64))
 
