@@ -61,7 +61,7 @@ SEGMENT = 512
 LOOK, LOOKS = 64, 16  # columns of an edit distance after which one is written out: at least, and a share of the line
 PAIR_COUNTS = 1024  # counters of two-character sequences in a line
 COUNTED = 1 << 9  # lines whose sequences are counted at once
-BROADCAST_IDS = 1 << 20  # of 8 bytes; more go through a shuffled join
+BROADCAST_IDS = 1 << 20  # line numbers of 4 bytes; more go through a shuffled join
 
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -338,18 +338,27 @@ class Sequences:
 
 
 def _told(sids: DataFrame, docs: DataFrame, places: DataFrame) -> DataFrame:
-    """sid and told (the normalised line) of the wanted sids; ``places`` says where each line stands."""
-    lines = sids.join(places.select("sid", "doc", "line"), "sid").groupBy("doc").agg(F.collect_list(F.struct("line", "sid")).alias("lines"))
+    """sid and told (the normalised line) of the wanted sids; ``places`` says where each line stands.
+
+    Only line numbers go to the texts; the sids are made again from the words.
+    """
+    lines = sids.join(places.select("sid", "doc", "line"), "sid").groupBy("doc").agg(F.collect_list("line").alias("lines"))
     lines = stored(lines)  # at most the lines of a document each
     count = lines.agg(F.sum(F.size("lines"))).first()[0] or 0
     side = F.broadcast(lines) if count <= BROADCAST_IDS else lines
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        digest = xxhash.xxh64_intdigest
         for b in batches:
             out = []
             for text, asked in zip(b["text"], b["lines"], strict=True):
-                parts = text.split("\n")
-                out += [(a["sid"], " ".join(filter(None, map(normal_word, parts[a["line"]].split())))) for a in asked]
+                parts = text.lower().split("\n")
+                for k in asked:
+                    words = [w for w in map(normal_word, parts[k].split()) if w]
+                    hashes = np.array([digest(w) for w in words], dtype=np.uint64)
+                    out.append((digest(hashes.tobytes()) - (1 << 63), " ".join(words)))
             yield pd.DataFrame(out, columns=["sid", "told"])
 
     texts = docs.select("doc", "text").join(side, "doc").select("text", "lines").mapInPandas(run, "sid long, told string")

@@ -251,6 +251,16 @@ def test_changed_lines_go_as_by_edit_similarity_alone(spark):
     assert want >= 25 and len(got) >= 0.95 * want
 
 
+def test_lines_are_told_by_number_alone(spark):
+    texts = ["ΑΣ ΒΣ. one (Two) THREE four\nshort\nthe second line, of «Seven» words Straße", "x\n\nİstanbul is a town of many-sided words"]
+    docs = line_dedup._named(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = line_dedup.occurrences(docs).select("sid", "doc", "line").localCheckpoint()
+    lines = {r.doc: r.text.lower().split("\n") for r in docs.collect()}
+    want = {(r.sid, " ".join(line_words(lines[r.doc][r.line]))) for r in rows.collect()}
+    told = line_dedup._told(rows.select("sid"), docs, rows)
+    assert len(want) == 3 and {(r.sid, r.told) for r in told.collect()} == want
+
+
 def test_rows_of_other_numbers_stay(spark):
     rows = ["1204 3381 9920 1175 6402", "5871 2093 4416 8059 7732", "bread 1.20 milk 0.95 eggs", "1204 3381 9920 1175 6402"]
     log = [f"2026-01-0{k} the nightly job of the northern office has come to its end" for k in (1, 2)]
