@@ -29,16 +29,20 @@ from __future__ import annotations
 
 import itertools
 import re
+import string
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, fresh, stored
 from .components import components, merged
-from .lists import pairs_across
+from .edits import bounded
+from .lists import alike_across
 
 MIN_WORDS = 5
 SIMILARITY = 0.8
@@ -52,24 +56,33 @@ SHORT_BANDS = 12
 SHORT_ROWS = 2
 TURNS = 1  # more scans of lists with another member, before pairs are formed
 WORDS_KEPT = 200_000  # words that a worker remembers, 232 bytes each in the tables of votes and ranks
+ROWS_HELD = 1 << 8
 HELD_WORDS = 1 << 17  # words of lines that wait for their fingerprints
 CHUNK_WORDS = 1 << 13  # words whose bits are summed at once
 # Votes are summed in lanes of 16 bits, four to a number: SEGMENT words of HEAVIEST fit.
 LANES = 16
 HEAVIEST = 127
 SEGMENT = 512
+TABLES = [(np.uint64,), (np.uint64, LANES + 1), (np.uint32, BANDS * ROWS), (np.int64,)]
+ENDS = [(f"{mark}{space}", space) for mark in ",." for space in " \n"]  # the commonest marks at ends of words
 LOOK, LOOKS = 64, 16  # columns of an edit distance after which one is written out: at least, and a share of the line
 PAIR_COUNTS = 1024  # counters of two-character sequences in a line
 COUNTED = 1 << 9  # lines whose sequences are counted at once
+STRIPPED = 192  # characters of a line from which on words that a pair has in common are looked for
 BROADCAST_IDS = 1 << 20  # line numbers of 4 bytes; more go through a shuffled join
 
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+MARKS = string.punctuation
 
 
 def normal_word(word: str) -> str:
     word = word.lower()
-    # most words begin and end with a letter or digit
-    return word if word[0].isalnum() and word[-1].isalnum() else EDGES.sub("", word)
+    # most words begin and end with a letter or digit, or do without plain marks
+    if not (word[0].isalnum() and word[-1].isalnum()):
+        word = word.strip(MARKS)
+        if word and not (word[0].isalnum() and word[-1].isalnum()):
+            return EDGES.sub("", word)
+    return word
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -78,12 +91,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """Number of each normalised word; -1 for mere marks.
+    """Number of each word as it stands in a line.
 
-    ``hashes`` has the words' hashes by number, ``votes`` what each word adds to every bit of a
-    fingerprint, its weight where its hash has the bit: bit 16 * l + c in lane l of column c, and
-    the weight in the last column.
-    ``ranks`` has its place in each of the orders whose first words make the keys, ``sizes`` its length.
+    By number, once they are settled: ``hashes`` has the normalised words' hashes, ``votes`` what
+    each word adds to every bit of a fingerprint, its weight where its hash has the bit, four bits
+    to a column, and the weight in the last column.
+    ``ranks`` has its place in each of the orders whose first words make the keys, ``sizes`` its
+    length, 0 for mere marks.
     """
 
     def __init__(self):
@@ -92,42 +106,41 @@ class Words(dict):
         super().__init__()
         self.hash = xxhash.xxh64_intdigest
         self.salts = [np.uint64(self.hash(bytes([k])) | 1) for k in range(BANDS * ROWS)]
-        self._reset()
+        self._space = [np.empty((1 << 12, *shape), dtype=kind) for kind, *shape in TABLES]
+        self._show(0)
 
-    def _reset(self) -> None:
-        self.clear()
-        self._new: list[tuple[int, int, int]] = []
-        self.hashes, self.votes = np.empty(0, dtype=np.uint64), np.empty((0, LANES + 1), dtype=np.uint64)
-        self.ranks, self.sizes = np.empty((0, BANDS * ROWS), dtype=np.uint32), np.empty(0, dtype=np.int64)
+    def _show(self, count: int) -> None:
+        self.hashes, self.votes, self.ranks, self.sizes = (x[:count] for x in self._space)
 
     def __missing__(self, word: str) -> int:
-        known = normal_word(word)
-        out = -1
-        if known:
-            out = len(self.hashes) + len(self._new)
-            self._new.append((self.hash(known), min(max(1, len(known) - 2), HEAVIEST), len(known)))
-        self[word] = out
+        out = self[word] = len(self)
         return out
 
     def settle(self) -> None:
         """Extend the tables by the words met since the last call."""
-        if self._new:
-            found, weights, sizes = zip(*self._new, strict=True)
-            hashes, weights = np.array(found, dtype=np.uint64), np.array(weights, dtype=np.uint64)
-            votes = np.zeros((len(hashes), LANES + 1), dtype=np.uint64)
-            for bit in range(64):
-                votes[:, bit % LANES] |= ((hashes >> np.uint64(bit)) & np.uint64(1)) * weights << np.uint64(bit // LANES * 16)
-            votes[:, LANES] = weights
-            ranks = np.empty((len(hashes), BANDS * ROWS), dtype=np.uint32)
+        if len(self.hashes) < len(self):
+            found = [*map(normal_word, itertools.islice(self, len(self.hashes), None))]
+            hashes = np.array([*map(self.hash, found)], dtype=np.uint64)
+            sizes = np.array([*map(len, found)], dtype=np.int64)
+            weights = np.clip(sizes - 2, 1, HEAVIEST).astype(np.uint16)
+            bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ranks = np.empty((BANDS * ROWS, len(hashes)), dtype=np.uint32)
             for k, salt in enumerate(self.salts):
                 # a quotient, not a logarithm: it has the same bits on every machine
-                ranks[:, k] = (mixed(hashes * salt) >> np.uint64(32)) // weights
-            self.hashes, self.votes, self._new = np.concatenate([self.hashes, hashes]), np.concatenate([self.votes, votes]), []
-            self.ranks, self.sizes = np.concatenate([self.ranks, ranks]), np.concatenate([self.sizes, np.array(sizes, dtype=np.int64)])
+                np.floor_divide((mixed(hashes * salt) >> np.uint64(32)).astype(np.uint32), weights, out=ranks[k])
+            old = len(self.hashes)
+            if len(self) > len(self._space[0]):
+                for k, x in enumerate(self._space):
+                    self._space[k] = np.empty((2 * len(self), *x.shape[1:]), dtype=x.dtype)
+                    self._space[k][:old] = x[:old]
+            self._show(len(self))
+            self.hashes[old:], self.ranks[old:], self.sizes[old:] = hashes, ranks.T, sizes
+            self.votes[old:, :LANES], self.votes[old:, LANES] = (bits * weights[:, None]).view(np.uint64), weights
 
     def shrink(self) -> None:
         if len(self) >= WORDS_KEPT:
-            self._reset()
+            self.clear()
+            self._show(0)
 
 
 def _chunks(starts: np.ndarray, total: int) -> Iterator[tuple[int, int, int, int]]:
@@ -142,8 +155,7 @@ def _chunks(starts: np.ndarray, total: int) -> Iterator[tuple[int, int, int, int
 
 def fingerprints(votes: np.ndarray, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """SimHash of lines: per bit, whether words with more than half of the weight have it, from each start to the next."""
-    out, shifts = np.zeros(len(starts), dtype=np.uint64), np.arange(64, dtype=np.uint64)
-    lanes = np.arange(4, dtype=np.uint64)[:, None] * np.uint64(16)
+    out = np.zeros(len(starts), dtype=np.uint64)
     for at, upto, lo, hi in _chunks(starts, len(words)):
         first = starts[at:upto] - lo
         # long lines are summed in segments, which no lane can overflow
@@ -151,9 +163,10 @@ def fingerprints(votes: np.ndarray, words: np.ndarray, starts: np.ndarray) -> np
         base = np.cumsum(parts) - parts
         segments = np.repeat(first, parts) + (np.arange(parts.sum()) - np.repeat(base, parts)) * SEGMENT
         sums = np.add.reduceat(votes[words[lo:hi]], segments, axis=0)
-        heavy = (sums[:, None, :LANES] >> lanes & np.uint64(0xFFFF)).reshape(-1, 64)
-        heavy, total = np.add.reduceat(heavy, base, axis=0), np.add.reduceat(sums[:, LANES], base)
-        out[at:upto] = ((heavy * np.uint64(2) > total[:, None]).astype(np.uint64) << shifts).sum(axis=1, dtype=np.uint64)
+        heavy, total = np.ascontiguousarray(sums[:, :LANES]).view(np.uint16).astype(np.uint32), sums[:, LANES]
+        if len(parts) < len(segments):
+            heavy, total = np.add.reduceat(heavy.astype(np.uint64), base, axis=0), np.add.reduceat(total, base)
+        out[at:upto] = np.packbits(heavy * heavy.dtype.type(2) > total[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
 
@@ -165,19 +178,25 @@ def _keys(least: np.ndarray, first: int) -> np.ndarray:
     return key
 
 
-def band_keys(ranks: np.ndarray, words: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """The keys of every line: hashes of the smallest ranks of its words."""
-    out: list[np.ndarray] = []
+def band_keys(ranks: np.ndarray, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all lines, hashes of the smallest ranks of their words, and how many each line has."""
+    out, count = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
     for at, upto, lo, hi in _chunks(starts, len(words)):
         least = np.minimum.reduceat(ranks[words[lo:hi]], starts[at:upto] - lo, axis=0)
         least = least.astype(np.uint64)
-        keys = list(_keys(least.reshape(-1, BANDS, ROWS), 1).view(np.int64))
-        short = np.flatnonzero(np.diff(np.r_[starts[at:upto], hi]) <= SHORT)
-        more = _keys(least[short, : SHORT_BANDS * SHORT_ROWS].reshape(-1, SHORT_BANDS, SHORT_ROWS), BANDS + 1).view(np.int64)
-        for k, m in zip(short, more, strict=True):
-            keys[k] = np.concatenate([keys[k], m])
-        out += keys
-    return out
+        short = np.diff(np.r_[starts[at:upto], hi]) <= SHORT
+        keys = np.empty((upto - at, BANDS + SHORT_BANDS), dtype=np.uint64)
+        keys[:, :BANDS] = _keys(least.reshape(-1, BANDS, ROWS), 1)
+        keys[short, BANDS:] = _keys(least[short, : SHORT_BANDS * SHORT_ROWS].reshape(-1, SHORT_BANDS, SHORT_ROWS), BANDS + 1)
+        out.append(keys[short[:, None] | (np.arange(keys.shape[1]) < BANDS)].view(np.int64))
+        count.append(BANDS + SHORT_BANDS * short)
+    return np.concatenate(out), np.concatenate(count)
+
+
+def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """Rows of a batch, of which few are Python objects at a time."""
+    for k in range(0, batch.num_rows, ROWS_HELD):
+        yield from zip(*(batch[name].slice(k, ROWS_HELD).to_pylist() for name in names), strict=True)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -187,43 +206,55 @@ def occurrences(docs: DataFrame) -> DataFrame:
     Of equal lines that follow soon on each other just the first has the keys.
     """
 
-    def frame(known: Words, lines: list[tuple[int, int, np.ndarray]]) -> pd.DataFrame:
+    def frame(known: Words, doc: list[int], number: list[int], count: list[int], ids: array) -> pa.RecordBatch:
         known.settle()
-        starts = np.cumsum([0, *(len(ids) for _, _, ids in lines)])
-        at = np.concatenate([ids for _, _, ids in lines])
-        words = known.hashes[at]
-        sid = [known.hash(words[s:e].tobytes()) - (1 << 63) for s, e in itertools.pairwise(starts.tolist())]
-        sim = fingerprints(known.votes, at, starts[:-1])
-        size = np.add.reduceat(known.sizes[at] + 1, starts[:-1]) - 1
-        keys = band_keys(known.ranks, at, starts[:-1])
-        seen = set()
-        for k, s in enumerate(sid):
-            if s in seen:
-                keys[k] = None
-            seen.add(s)
-        doc, number, _ = zip(*lines, strict=True)
-        return pd.DataFrame({"doc": doc, "line": number, "sid": sid, "sim": sim.view(np.int64), "size": size, "keys": keys})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, lines, held = Words(), [], 0
+        at = np.array(ids, dtype=np.int32)
+        line = np.repeat(np.arange(len(count)), count)
+        real = known.sizes[at] > 0
+        enough = np.bincount(line[real], minlength=len(count)) >= MIN_WORDS
+        real &= enough[line]
+        at, line = at[real], line[real]
+        starts = np.flatnonzero(np.diff(line, prepend=-1))
+        words = known.hashes[at].tobytes()
+        sid = np.array([known.hash(words[8 * s : 8 * e]) for s, e in itertools.pairwise([*starts.tolist(), len(at)])], dtype=np.uint64)
+        sid = (sid ^ np.uint64(1 << 63)).view(np.int64)
+        sim = fingerprints(known.votes, at, starts)
+        size = np.add.reduceat(known.sizes[at] + 1, starts) - 1 if len(at) else np.empty(0, dtype=np.int64)
+        first = np.zeros(len(sid), dtype=bool)
+        first[np.unique(sid, return_index=True)[1]] = True
+        held = np.diff(np.r_[starts, len(at)])
+        keys, many = band_keys(known.ranks, at[np.repeat(first, held)], np.cumsum(held[first]) - held[first])
+        ends = np.zeros(len(sid) + 1, dtype=np.int32)
+        ends[1:][first] = many
+        keys = pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(keys), mask=pa.array(~first))
+        columns = [np.array(doc, dtype=np.int64)[enough], np.array(number, dtype=np.int32)[enough], sid, sim.view(np.int64), size]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), keys], names=["doc", "line", "sid", "sim", "size", "keys"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        doc, number, count, ids = [], [], [], array("i")
         for b in batches:
-            for key, text in zip(b["doc"].array, b["text"].array, strict=True):
-                # in lower case at once, so that fewer words are met for the first time
-                for k, line in enumerate(text.lower().split("\n")):
-                    ids = np.array([i for i in map(known.__getitem__, line.split()) if i >= 0], dtype=np.int32)
-                    if len(ids) >= MIN_WORDS:
-                        lines.append((key, k, ids))
-                        held += len(ids)
+            for key, text in _rows(b, "doc", "text"):
+                # in lower case and without common marks at once, so that fewer words are met for the first time
+                text = text.lower()
+                for mark, space in ENDS:
+                    text = text.replace(mark, space)
+                for k, line in enumerate(text.split("\n")):
+                    words = line.split()
+                    if len(words) >= MIN_WORDS:
+                        doc.append(key)
+                        number.append(k)
+                        count.append(len(words))
+                        ids.extend(map(known.__getitem__, words))
                 # whatever the size of a batch, few lines and words are held at a time
-                if held >= HELD_WORDS or len(known) >= WORDS_KEPT:
-                    if lines:
-                        yield frame(known, lines)
+                if len(ids) >= HELD_WORDS or len(known) >= WORDS_KEPT:
+                    yield frame(known, doc, number, count, ids)
                     known.shrink()
-                    lines, held = [], 0
-        if lines:
-            yield frame(known, lines)
+                    doc, number, count, ids = [], [], [], array("i")
+        if doc:
+            yield frame(known, doc, number, count, ids)
 
-    return docs.select("doc", "text").filter("text IS NOT NULL").mapInPandas(run, "doc long, line int, sid long, sim long, size long, keys array<long>")
+    return docs.select("doc", "text").filter("text IS NOT NULL").mapInArrow(run, "doc long, line int, sid long, sim long, size long, keys array<long>")
 
 
 def _near(one: tuple[Column, Column], two: tuple[Column, Column]) -> Column:
@@ -233,18 +264,24 @@ def _near(one: tuple[Column, Column], two: tuple[Column, Column]) -> Column:
     return fits & (F.bit_count(one[0].bitwiseXOR(two[0])) <= DISTANCE)
 
 
-def _close(rows: pd.DataFrame):
-    sim, size = rows["sim"].to_numpy().view(np.uint64), rows["size"].to_numpy()
-    counts = Sequences(rows["told"].tolist())
-
-    def test(x, y):
-        fits = np.abs(size[x] - size[y]) <= np.floor((1 - SIMILARITY) * np.maximum(size[x], size[y]) + 1e-9)
-        fits &= np.bitwise_count(sim[x] ^ sim[y]) <= DISTANCE
-        some = np.flatnonzero(fits)
-        fits[some] = counts.near(x[some], y[some])
-        return fits
-
-    return test
+def stripped(a: str, b: str, most: int) -> tuple[str, str, bool | None]:
+    """Both texts without the words that they begin and end with alike, whose edit distance is the same,
+    and whether it is at most ``most`` if words exchanged in place, or mere lengths, tell."""
+    u, v = a.split(" "), b.split(" ")
+    shared = min(len(u), len(v))
+    at, end = 0, 0
+    while at < shared and u[at] == v[at]:
+        at += 1
+    while end < shared - at and u[-1 - end] == v[-1 - end]:
+        end += 1
+    u, v = u[at : len(u) - end], v[at : len(v) - end]
+    a, b = " ".join(u), " ".join(v)
+    if len(u) == len(v) and sum(max(len(x), len(y)) for x, y in zip(u, v, strict=True) if x != y) <= most:
+        return a, b, True
+    if not a or not b:
+        # with words on one side only, a space goes with them if there are others
+        return a, b, len(a or b) + (at + end > 0) <= most
+    return a, b, True if max(len(a), len(b)) <= most else None
 
 
 def within(a: str, b: str, most: int) -> bool:
@@ -256,20 +293,9 @@ def within(a: str, b: str, most: int) -> bool:
     """
     if abs(len(a) - len(b)) > most:
         return False
-    u, v = a.split(" "), b.split(" ")
-    shared = min(len(u), len(v))
-    at, end = 0, 0
-    while at < shared and u[at] == v[at]:
-        at += 1
-    while end < shared - at and u[-1 - end] == v[-1 - end]:
-        end += 1
-    u, v = u[at : len(u) - end], v[at : len(v) - end]
-    if len(u) == len(v) and sum(max(len(x), len(y)) for x, y in zip(u, v, strict=True) if x != y) <= most:
-        return True
-    a, b = " ".join(u), " ".join(v)
-    if not a or not b or max(len(a), len(b)) <= most:
-        # with words on one side only, a space goes with them if there are others
-        return len(a or b) + (at + end > 0) <= most if not a or not b else True
+    a, b, known = stripped(a, b, most)
+    if known is not None:
+        return known
     has: dict[str, int] = {}
     for k, c in enumerate(a):
         has[c] = has.get(c, 0) | 1 << k
@@ -300,9 +326,9 @@ def _shortest(up: int, down: int, rows: int, column: int, left: int) -> int:
     return column + int((so_far + np.abs(np.arange(rows - left, -left - 1, -1))).min())
 
 
-def alike(a: str, b: str) -> bool:
-    """Whether the edit similarity of two normalised lines is high enough."""
-    return within(a, b, int(np.floor((1 - SIMILARITY) * max(len(a), len(b)) + 1e-9)))
+def most_edits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The largest edit distance of lines of lengths x and y that are alike."""
+    return np.floor((1 - SIMILARITY) * np.maximum(x, y) + 1e-9).astype(np.int64)
 
 
 class Sequences:
@@ -314,29 +340,56 @@ class Sequences:
     """
 
     def __init__(self, told: list[str]):
-        self.counts = np.empty((len(told), PAIR_COUNTS), dtype=np.uint8)
-        self.most = np.floor((1 - SIMILARITY) * np.arange(max(map(len, told), default=0) + 1) + 1e-9).astype(np.int64)
+        self.told = told
+        self.counts, self.counted = np.empty((len(told), PAIR_COUNTS), dtype=np.uint8), np.zeros(len(told), dtype=bool)
         self.size = np.array([len(t) for t in told], dtype=np.int64)
-        for k in range(0, len(told), COUNTED):
-            some = self.size[k : k + COUNTED]
-            code = np.frombuffer("".join(told[k : k + COUNTED]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            row = np.repeat(np.arange(len(some)), some)
+
+    def _count(self, lines: np.ndarray) -> None:
+        """Count those lines that were not yet asked for."""
+        lines = np.unique(lines[~self.counted[lines]])
+        for k in range(0, len(lines), COUNTED):
+            some = lines[k : k + COUNTED]
+            code = np.frombuffer("".join([self.told[i] for i in some.tolist()]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            row = np.repeat(np.arange(len(some)), self.size[some])
             inside = np.flatnonzero(row[1:] == row[:-1])
             at = (code[inside] * np.uint32(31) + code[inside + 1]) % np.uint32(PAIR_COUNTS)
             found = np.bincount(row[inside] * PAIR_COUNTS + at, minlength=len(some) * PAIR_COUNTS)
-            self.counts[k : k + len(some)] = np.minimum(found, 255).reshape(len(some), PAIR_COUNTS)
+            self.counts[some] = np.minimum(found, 255).reshape(len(some), PAIR_COUNTS)
+        self.counted[lines] = True
 
     def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """False where the counts prove that lines x and y are not alike."""
         out = np.empty(len(x), dtype=bool)
+        self._count(np.concatenate([x, y]))
+        most = most_edits(self.size[x], self.size[y])
         for k in range(0, len(x), COUNTED):
-            i, j = x[k : k + COUNTED], y[k : k + COUNTED]
-            a, b = self.counts[i], self.counts[j]
-            apart = (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int64)
-            out[k : k + len(i)] = apart <= 4 * self.most[np.maximum(self.size[i], self.size[j])]
+            a, b = self.counts[x[k : k + COUNTED]], self.counts[y[k : k + COUNTED]]
+            apart = (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.uint32)
+            out[k : k + len(a)] = apart <= 4 * most[k : k + len(a)]
         return out
 
 
+def alike(one: list[str], two: list[str], strip: bool = False) -> np.ndarray:
+    """Whether the edit similarity of normalised lines is high enough; ``strip``: words that they have in common are looked for first."""
+    most = most_edits(*(np.array([*map(len, x)], dtype=np.int64) for x in (one, two)))
+    out, rest = np.zeros(len(one), dtype=bool), np.arange(len(one))
+    if strip:
+        some, a, b = [], [], []
+        for k, (x, y, bound) in enumerate(zip(one, two, most.tolist(), strict=True)):
+            known = None
+            if len(x) > STRIPPED and abs(len(x) - len(y)) <= bound:
+                x, y, known = stripped(x, y, bound)
+            if known is None:
+                some.append(k)
+                a.append(x)
+                b.append(y)
+            else:
+                out[k] = known
+        one, two, rest = a, b, np.array(some, dtype=np.int64)
+    out[rest] = bounded(one, two, most[rest], within)
+    return out
+
+
 def _told(sids: DataFrame, docs: DataFrame, places: DataFrame) -> DataFrame:
     """sid and told (the normalised line) of the wanted sids; ``places`` says where each line stands.
 
@@ -376,17 +429,22 @@ def _alike(pairs: DataFrame, docs: DataFrame, places: DataFrame) -> DataFrame:
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             one, two, at = b["ta"].tolist(), b["tb"].tolist(), np.arange(len(b))
-            fits = [k for k in at[Sequences(one + two).near(at, at + len(b))].tolist() if alike(one[k], two[k])]
-            yield b.iloc[fits][["a", "b"]]
+            some = np.flatnonzero(Sequences(one + two).near(at, at + len(b)))
+            fits = alike([one[k] for k in some.tolist()], [two[k] for k in some.tolist()], strip=True)
+            yield b.iloc[some[fits]][["a", "b"]]
 
     found = stored(both.select("a", "b", "ta", "tb").mapInPandas(verify, "a long, b long"))
     discard(texts)
     return found
 
 
-def _settled(rows: pd.DataFrame):
-    told = rows["told"].tolist()
-    return lambda x, y: alike(told[x], told[y])
+def _close(rows: pd.DataFrame):
+    sim = rows["sim"].to_numpy().view(np.uint64)
+    return lambda x, y: np.bitwise_count(sim[x] ^ sim[y]) <= DISTANCE
+
+
+def _likely(rows: pd.DataFrame):
+    return Sequences(rows["told"].tolist()).near
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -398,11 +456,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc (hash of doc_id and text) and the sorted numbers of the lines to be removed."""
     rows = stored(occurrences(docs))
     ids = docs.select("doc", "doc_id")
-    # the first place of each class; all classes for the links, later only those that come twice
-    places = rows.groupBy("sid").agg(
-        F.min(F.struct("doc", "line")).alias("p"), F.first("sim").alias("sim"), F.first("size").alias("size"), F.count("*").alias("n")
-    )
-    places = stored(places.select("sid", "p.doc", "p.line", "sim", "size", "n"))
+    # a place of each class, all columns from the same row; all classes for the links, later only those that come twice
+    places = stored(rows.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("doc", "line", "sim", "size")], F.count("*").alias("n")))
     # dealt out once for both uses; a class that comes in several places has its keys several times
     keys = rows.filter("keys IS NOT NULL").select("sid", F.explode("keys").alias("key")).filter("key IS NOT NULL").repartition("key")
     least = keys.groupBy("key").agg(F.min("sid").alias("pivot"), F.max("sid").alias("_m")).filter("pivot <> _m").select("key", "pivot")
@@ -432,8 +487,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         if new.isEmpty():
             break
         roots = merged(roots, new)
-    tell = lambda sids: about.join(_told(sids, docs, places), "sid")
-    more = stored(pairs_across(shared.select("key", "sid"), roots, tell, _close, _settled))
+    tell = lambda sids: about.select("sid", "sim").join(_told(sids, docs, places), "sid")
+    more = stored(alike_across(shared.select("key", "sid").join(about.select("sid", "size"), "sid"), roots, tell, SIMILARITY, _close, _likely, alike))
     discard(shared)
     if not more.isEmpty():
         roots = merged(roots, more)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from check_queries import compare, connect
-from saddlespark.llm import forest, licenses, line_dedup, lists, ngram_join, pages, sql
+from saddlespark.llm import edits, forest, licenses, line_dedup, lists, ngram_join, pages, sql
 from saddlespark.llm.components import components, merged
 
 SF = "/root/testdata/sf0.001"
@@ -170,6 +170,55 @@ def test_counts_and_columns_stop_only_lines_apart():
             assert line_dedup.within(told[k], told[k + 1], most) == (x <= most)
 
 
+def test_many_edit_distances_are_bounded_at_once():
+    rng = random.Random(6)
+    one, two = ["", "", "abc", "a" * 64], ["", "xy", "", "a" * 65]
+    for n in (1, 5, 60, 63, 64, 65, 129, 200, 300) * 12:
+        letters = rng.choice(["ab", "abcd ü", "abcdefghijklmnopqrstuvwxyz \U0001f600"])
+        a = [rng.choice(letters) for _ in range(n)]
+        b = list(a)
+        for _ in range(rng.randrange(n // 3 + 2)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(3)] = [rng.choice(letters) for _ in range(rng.randrange(3))]
+        one.append("".join(a))
+        two.append("".join(b))
+    d = np.array([distance(a, b) for a, b in zip(one, two, strict=True)])
+    for most in (d, d - 1, d // 2, 2 * d + 1, np.full(len(d), 12)):
+        for alone in (None, line_dedup.within):
+            assert edits.bounded(one, two, most, alone).tolist() == (d <= most).tolist()
+    fits = [x <= 0.2 * max(len(a), len(b)) for x, a, b in zip(d, one, two, strict=True)]
+    assert line_dedup.alike(one, two).tolist() == line_dedup.alike(one, two, strip=True).tolist() == fits
+
+
+def test_lines_of_a_list_are_settled_together_and_only_among_like_lengths(spark, monkeypatch):
+    # one list of many lines apart: pairs of unlike lengths are not formed, and the others settled in few calls
+    rng = random.Random(9)
+    told = ["".join(rng.choice("abcdefgh") for _ in range(20 + k // 4 * 6)) for k in range(160)]
+    told += [t[:-1] + "z" for t in told[::16]]
+    rows = spark.createDataFrame([(1, k, len(t)) for k, t in enumerate(told)], "key long, sid long, size long")
+    tell = lambda sids: sids.join(spark.createDataFrame([*enumerate(told)], "sid long, told string"), "sid")
+    calls, pairs = (spark.sparkContext.accumulator(0) for _ in range(2))
+
+    def test(rows):
+        return lambda x, y: np.ones(len(rows), dtype=bool)[x]
+
+    def near(rows):
+        return lambda x, y: pairs.add(len(x)) or np.ones(len(x), dtype=bool)
+
+    def settle(one, two):
+        calls.add(1)
+        return line_dedup.alike(one, two)
+
+    roots = spark.createDataFrame([(160, 0)], "node long, root long")
+    for block, most in ((lists.BLOCK, 2), (8, 400)):
+        monkeypatch.setattr(lists, "BLOCK", block)
+        calls.value = pairs.value = 0
+        found = {(r.a, r.b) for r in lists.alike_across(rows, roots, tell, 0.8, test, near, settle).collect()}
+        assert found == {(16 * k, 160 + k) for k in range(1, 10)}
+        every = [(a, b) for k, a in enumerate(told) for b in told[:k] if min(len(a), len(b)) >= 0.8 * max(len(a), len(b))]
+        assert pairs.value == len(every) - 1 < 170 * 169 / 4 and calls.value <= most
+
+
 def fingerprint(weighted):
     return sum((sum(w if h >> b & 1 else -w for h, w in weighted) > 0) << b for b in range(64))
 
