@@ -334,8 +334,8 @@ def most_edits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 class Sequences:
     """How often each two-character sequence stands in each of some lines, by counter.
 
-    One edit changes at most two sequences of either line, so two lines whose counts differ by more
-    than four times a number are more than that number of edits apart.  Sequences that share a
+    One edit changes at most two sequences of either line, so two lines of which one has more than twice
+    a number of sequences over the other are more than that number of edits apart.  Sequences that share a
     counter, and counters that are full, only make the difference smaller.
     """
 
@@ -343,6 +343,7 @@ class Sequences:
         self.told = told
         self.counts, self.counted = np.empty((len(told), PAIR_COUNTS), dtype=np.uint8), np.zeros(len(told), dtype=bool)
         self.size = np.array([len(t) for t in told], dtype=np.int64)
+        self.total = np.zeros(len(told), dtype=np.int64)
 
     def _count(self, lines: np.ndarray) -> None:
         """Count those lines that were not yet asked for."""
@@ -354,7 +355,8 @@ class Sequences:
             inside = np.flatnonzero(row[1:] == row[:-1])
             at = (code[inside] * np.uint32(31) + code[inside + 1]) % np.uint32(PAIR_COUNTS)
             found = np.bincount(row[inside] * PAIR_COUNTS + at, minlength=len(some) * PAIR_COUNTS)
-            self.counts[some] = np.minimum(found, 255).reshape(len(some), PAIR_COUNTS)
+            self.counts[some] = found = np.minimum(found, 255).reshape(len(some), PAIR_COUNTS)
+            self.total[some] = found.sum(axis=1)
         self.counted[lines] = True
 
     def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -363,9 +365,11 @@ class Sequences:
         self._count(np.concatenate([x, y]))
         most = most_edits(self.size[x], self.size[y])
         for k in range(0, len(x), COUNTED):
-            a, b = self.counts[x[k : k + COUNTED]], self.counts[y[k : k + COUNTED]]
-            apart = (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.uint32)
-            out[k : k + len(a)] = apart <= 4 * most[k : k + len(a)]
+            i, j = x[k : k + COUNTED], y[k : k + COUNTED]
+            a, b = self.counts[i], self.counts[j]
+            apart = (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int64)
+            # twice what the one with more of them has over the other
+            out[k : k + len(i)] = apart + np.abs(self.total[i] - self.total[j]) <= 4 * most[k : k + len(i)]
         return out
 
 
